@@ -22,7 +22,7 @@ TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 def col(name: str) -> Column:
     """A column by its literal name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def profile_dtype(data_type: T.DataType) -> str:
@@ -52,6 +52,16 @@ def safe_double(value: Column, data_type: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def quoted(name: str) -> str:
+    """The column's name as it is written in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """The text as it is written in a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def safe_timestamp(value: Column, data_type: T.DataType) -> Column:
     """Timestamp or null. Only strings are parsed, and only in the listed layouts."""
     if isinstance(data_type, TEMPORAL):

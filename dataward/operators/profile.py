@@ -1,29 +1,40 @@
 """Column profiles: one row per column of a table.
 
-Two physical steps. A single global aggregate computes counts, bounds and moments with no
-shuffle of rows. Distinct counts, top values and quantiles share one shuffle of
-(column, value) pairs, combined map-side, so hot values travel once per task.
+First one global aggregate counts, bounds and moments, without a shuffle of rows; its
+result is one row per column. Distinct counts, quartiles and top values then come from
+(column, value) frequencies, counted per kind of column and combined map-side, so a hot
+value leaves each task as one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataward.constants import TOP_VALUES
 from dataward.functions.coerce import (
+    TEMPORAL,
     col,
     nan_to_null,
     parse_dates,
     profile_dtype,
-    safe_double,
+    quoted,
+    text_literal,
 )
 from dataward.operators.quantile import GROUP_LIMIT, exact_quantiles
 from dataward.session import materialize
 
 LONG_VALUE = 256          # longer strings are grouped by digest, never by their text
-PROFILED = ("int", "float", "datetime", "boolean", "object")
+TOP_TYPE = "array<struct<value:string,n:bigint>>"
+STATS_SCHEMA = (
+    "column_name string, ordinal int, dtype string, total_count bigint, null_count bigint, "
+    "min_value double, max_value double, mean double, std double, min_ts timestamp, "
+    "max_ts timestamp, negative_count bigint, zero_count bigint, future_date_count bigint, "
+    "has_empty_strings bigint, valid_email_count bigint, invalid_email_count bigint, "
+    "longest int, sketch_count bigint, sketch_p25 double, sketch_p75 double")
 
 
 def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
@@ -35,188 +46,187 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
     ``approx`` replaces exact distinct counts and quartiles by mergeable sketches.
     """
     table = parse_dates(nan_to_null(df))
-    total = table.count()
-    sampled = sample_rows is not None and total > sample_rows
-    if sampled:
-        table = table.sample(fraction=sample_rows / total, seed=42)
-    stats = column_stats(table, as_of, approx)
-    if not approx:
-        numeric = _value_counts(table, ("int", "float"))
-        other = _value_counts(table, ("datetime", "boolean"))
-        text = _text_counts(table)
-        if numeric is not None and total > group_limit:
-            numeric = materialize(numeric, "value-counts")
-        pieces = [t.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-                  for t in (numeric, other, text) if t is not None]
-        if pieces:
-            distinct = pieces[0]
-            for piece in pieces[1:]:
-                distinct = distinct.unionByName(piece)
-            stats = stats.drop("unique_count").join(
-                F.broadcast(distinct), "column_name", "left")
-        if numeric is not None:
-            stats = stats.drop("p25", "p75").join(F.broadcast(exact_quantiles(
-                numeric, [0.25, 0.75], ["p25", "p75"], total, group_limit)),
-                "column_name", "left")
-    top = top_values(table)
-    if top is None:
-        stats = stats.withColumn(
-            "top_values", F.lit(None).cast("array<struct<value:string,n:bigint>>"))
+    total, sampled = None, False
+    if sample_rows is not None:
+        total = table.count()
+        sampled = total > sample_rows
+        if sampled:
+            table = table.sample(fraction=sample_rows / total, seed=42)
+    rows = column_stats(table, as_of, approx).collect()          # one row per column
+    stats = df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
+    longest = {r.column_name: r.longest for r in rows if r.longest is not None}
+    if total is None:
+        total = rows[0].total_count if rows else 0
+    filled = {r.column_name: r.total_count - r.null_count for r in rows}
+    pieces = _distinct_pieces(table, longest, filled, approx, group_limit)
+    if pieces:
+        merged = reduce(DataFrame.unionByName, pieces).groupBy("column_name").agg(
+            *[F.max(c).alias(c) for c in ("unique_count", "p25", "p75", "top_values")])
+        stats = stats.join(F.broadcast(merged), "column_name", "left")
     else:
-        tops = top.groupBy("column_name").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
-            lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")))
-            .alias("top_values"))
-        stats = stats.join(F.broadcast(tops), "column_name", "left")
-    n = F.greatest(F.col("total_count"), F.lit(1))
-    return stats.select(
-        F.lit(dataset).alias("dataset"), "column_name", "ordinal", "dtype",
+        stats = stats.selectExpr("*", "0L AS unique_count", "double(NULL) AS p25",
+                                 "double(NULL) AS p75", f"cast(NULL AS {TOP_TYPE}) AS top_values")
+    unique = "coalesce(unique_count, sketch_count, 0L)"
+    return stats.selectExpr(
+        f"{text_literal(dataset)} AS dataset", "column_name", "ordinal", "dtype",
         "total_count", "null_count",
-        F.round(F.col("null_count") / n * 100, 2).alias("null_pct"),
-        F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
-        F.round(F.coalesce("unique_count", F.lit(0)) / n * 100, 2).alias("unique_pct"),
-        "min_value", "max_value",
-        F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
-        F.round("p25", 4).alias("p25"), F.round("p75", 4).alias("p75"),
-        "negative_count", "zero_count",
-        F.date_format("min_ts", "yyyy-MM-dd HH:mm:ss").alias("min_date"),
-        F.date_format("max_ts", "yyyy-MM-dd HH:mm:ss").alias("max_date"),
-        "future_date_count",
-        F.round(F.try_divide("future_date_count", F.col("total_count") - F.col("null_count"))
-                * 100, 2).alias("future_date_pct"),
-        "has_empty_strings", "valid_email_count", "invalid_email_count",
-        F.when(F.col("dtype").isin("object", "boolean"), F.col("top_values"))
-        .alias("top_values"),
-        F.lit(sampled).alias("sampled"), F.lit(total).alias("total_rows"),
-        F.col("total_count").alias("profiled_rows"))
-
-
-def _now(as_of: str | None) -> Column:
-    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+        "round(null_count / greatest(total_count, 1) * 100, 2) AS null_pct",
+        f"{unique} AS unique_count",
+        f"round({unique} / greatest(total_count, 1) * 100, 2) AS unique_pct",
+        "min_value", "max_value", "round(mean, 4) AS mean", "round(std, 4) AS std",
+        "round(coalesce(p25, sketch_p25), 4) AS p25",
+        "round(coalesce(p75, sketch_p75), 4) AS p75", "negative_count", "zero_count",
+        "date_format(min_ts, 'yyyy-MM-dd HH:mm:ss') AS min_date",
+        "date_format(max_ts, 'yyyy-MM-dd HH:mm:ss') AS max_date", "future_date_count",
+        "round(try_divide(future_date_count, total_count - null_count) * 100, 2) "
+        "AS future_date_pct",
+        "has_empty_strings", "valid_email_count", "invalid_email_count", "top_values",
+        f"{str(sampled).lower()} AS sampled", f"{total}L AS total_rows",
+        "total_count AS profiled_rows")
 
 
 def column_stats(df: DataFrame, as_of: str | None = None, approx: bool = False) -> DataFrame:
     """Counts, bounds and moments of every column from one global aggregate."""
-    per_column = [_stats_struct(f, i, as_of, approx) for i, f in enumerate(df.schema.fields)]
-    return df.agg(F.array(*per_column).alias("s")).select(F.inline("s"))
-
-
-def _stats_struct(field: T.StructField, ordinal: int, as_of: str | None,
-                  approx: bool) -> Column:
-    c, kind = col(field.name), profile_dtype(field.dataType)
-    number, moment, text = kind in ("int", "float"), kind == "datetime", kind == "object"
-    d = safe_double(c, field.dataType)
-    mail = text and "mail" in field.name.lower()
-    has_mail = c.rlike(r"@.*\.")
-
-    def given(condition: bool, value: Column, sql_type: str, name: str) -> Column:
-        return (value if condition else F.lit(None)).cast(sql_type).alias(name)
-
-    return F.struct(
-        F.lit(field.name).alias("column_name"),
-        F.lit(ordinal).alias("ordinal"),
-        F.lit(kind).alias("dtype"),
-        F.count(F.lit(1)).alias("total_count"),
-        (F.count(F.lit(1)) - F.count(c)).alias("null_count"),
-        given(approx and kind in PROFILED, F.approx_count_distinct(c), "bigint",
-              "unique_count"),
-        given(number, F.min(d), "double", "min_value"),
-        given(number, F.max(d), "double", "max_value"),
-        given(number, F.avg(d), "double", "mean"),
-        given(number, F.stddev_samp(d), "double", "std"),
-        given(approx and number, F.percentile_approx(d, 0.25), "double", "p25"),
-        given(approx and number, F.percentile_approx(d, 0.75), "double", "p75"),
-        given(number, F.count_if(d < 0), "bigint", "negative_count"),
-        given(number, F.count_if(d == 0), "bigint", "zero_count"),
-        given(moment, F.min(c), "timestamp", "min_ts"),
-        given(moment, F.max(c), "timestamp", "max_ts"),
-        given(moment, F.count_if(c > _now(as_of)), "bigint", "future_date_count"),
-        given(text, F.count_if(c == ""), "bigint", "has_empty_strings"),
-        given(mail, F.count_if(has_mail), "bigint", "valid_email_count"),
-        given(mail, F.count_if(~has_mail), "bigint", "invalid_email_count"),
-    )
-
-
-def _unpivot(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
-    """(column_name, value) of the named columns, nulls left out."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-
-    def cast(name: str) -> Column:
-        if sql_type == "double":
-            return safe_double(col(name), fields[name])
-        return col(name).cast(sql_type)
-
-    typed = df.select(*[cast(n).alias(n) for n in names])
-    return typed.unpivot([], [col(n) for n in names], "column_name", "value").where(
-        F.col("value").isNotNull())
+    names = [c.split()[0] for c in STATS_SCHEMA.split(", ")]
+    types = dict(c.split() for c in STATS_SCHEMA.split(", "))
+    structs = []
+    for i, f in enumerate(df.schema.fields):
+        found = _stats_sql(f, i, as_of, approx)
+        structs.append("struct(" + ", ".join(
+            f"cast({found.get(n, 'NULL')} AS {types[n]}) AS {n}" for n in names) + ")")
+    return df.selectExpr(f"array({', '.join(structs)}) AS s").selectExpr("inline(s)")
+
+
+def _stats_sql(field: T.StructField, ordinal: int, as_of: str | None,
+               approx: bool) -> dict[str, str]:
+    """The aggregates that apply to this kind of column."""
+    c, kind = quoted(field.name), profile_dtype(field.dataType)
+    out = {"column_name": text_literal(field.name), "ordinal": str(ordinal),
+           "dtype": text_literal(kind), "total_count": "count(1)",
+           "null_count": f"count(1) - count({c})"}
+    if kind in ("int", "float"):
+        out |= {"min_value": f"min({c})", "max_value": f"max({c})", "mean": f"avg({c})",
+                "std": f"stddev_samp({c})", "negative_count": f"count_if({c} < 0)",
+                "zero_count": f"count_if({c} = 0)"}
+        if approx:
+            out |= {"sketch_p25": f"percentile_approx({c}, 0.25)",
+                    "sketch_p75": f"percentile_approx({c}, 0.75)"}
+    elif kind == "datetime":
+        now = "current_timestamp()" if as_of is None else f"timestamp {text_literal(as_of)}"
+        out |= {"min_ts": f"min({c})", "max_ts": f"max({c})",
+                "future_date_count": f"count_if({c} > {now})"}
+    elif kind == "object":
+        out |= {"has_empty_strings": f"count_if({c} = '')", "longest": f"max(length({c}))"}
+        if "mail" in field.name.lower():
+            mail = f"{c} RLIKE '@.*[.]'"
+            out |= {"valid_email_count": f"count_if({mail})",
+                    "invalid_email_count": f"count_if(NOT {mail})"}
+    if approx and kind in PROFILED:
+        out["sketch_count"] = f"approx_count_distinct({c})"
+    return out
 
 
-def _value_counts(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame | None:
-    """Frequency table of all non-text columns of these kinds.
+PROFILED = ("int", "float", "datetime", "boolean", "object")
 
-    Numbers are counted as doubles, except 64-bit columns: beyond 2^53 two of their
-    values may share a double, so they are counted as they are and converted after."""
-    names = [f.name for f in df.schema.fields if profile_dtype(f.dataType) in kinds]
-    if not names:
-        return None
-    if "float" not in kinds:
-        counted = _unpivot(df, names, "string")
-        return counted.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    whole = [f.name for f in df.schema.fields if profile_dtype(f.dataType) == "int"]
-    parts = []
-    if whole:
-        parts.append(_unpivot(df, whole, "bigint"))
-    if [n for n in names if n not in whole]:
-        parts.append(_unpivot(df, [n for n in names if n not in whole], "double"))
-    counted = [p.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("value", F.col("value").cast("double")) for p in parts]
-    return counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
+
+def _distinct_pieces(df: DataFrame, longest: dict[str, int], filled: dict[str, int],
+                     approx: bool, group_limit: int) -> list[DataFrame]:
+    """(column_name, unique_count, p25, p75, top_values) per kind of column."""
+    no_top, no_quartiles = f"cast(NULL AS {TOP_TYPE}) AS top_values", [
+        "double(NULL) AS p25", "double(NULL) AS p75"]
+    pieces = []
+    kinds = {f.name: profile_dtype(f.dataType) for f in df.schema.fields}
+    if not approx:
+        for sql_type, names in (
+                ("bigint", [n for n, k in kinds.items() if k in ("int", "datetime")]),
+                ("double", [n for n, k in kinds.items() if k == "float"])):
+            if not names:
+                continue
+            freq = _frequencies(df, names, sql_type)
+            if max(filled[n] for n in names) > group_limit:
+                freq = materialize(freq, "value-counts")
+            numbers = {n: filled[n] for n in names if kinds[n] != "datetime"}
+            moments = [n for n in names if n not in numbers]
+            if numbers:
+                values = freq.withColumn("value", F.col("value").cast("double"))
+                pieces.append(exact_quantiles(
+                    values, numbers, [0.25, 0.75], ["p25", "p75"], group_limit)
+                    .selectExpr("*", no_top))
+            if moments:
+                pieces.append(freq.where(F.col("column_name").isin(moments))
+                              .groupBy("column_name")
+                              .agg(F.count(F.lit(1)).alias("unique_count"))
+                              .selectExpr("*", *no_quartiles, no_top))
+    counts = _text_counts(df, longest)
+    if counts is not None:
+        if not approx:
+            pieces.append(counts.groupBy("column_name").agg(
+                F.count(F.lit(1)).alias("unique_count")).selectExpr("*", *no_quartiles, no_top))
+        tops = _top_of(df, counts, longest, TOP_VALUES).groupBy("column_name").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
+            lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")))
+            .alias("top_values"))
+        pieces.append(tops.selectExpr("column_name", "bigint(NULL) AS unique_count",
+                                      *no_quartiles, "top_values"))
+    return pieces
+
+
+def _pairs(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
+    """(column_name, value) of the named columns, nulls left out. Points in time are
+    counted as microseconds."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def cast(name: str) -> str:
+        if isinstance(types[name], TEMPORAL):
+            return f"unix_micros(cast({quoted(name)} AS timestamp))"
+        return f"cast({quoted(name)} AS {sql_type})"
+
+    typed = df.selectExpr(*[f"{cast(n)} AS {quoted(n)}" for n in names])
+    return typed.unpivot([], [col(n) for n in names], "column_name", "value").where(
+        "value IS NOT NULL")
 
 
-def _text_key(value: Column) -> Column:
-    return F.when(F.length(value) > LONG_VALUE, F.sha2(value, 256)).otherwise(value)
+def _frequencies(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
+    return _pairs(df, names, sql_type).groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
-def _text_counts(df: DataFrame) -> DataFrame | None:
-    """Frequency table of the text columns. Long texts are counted by their digest, so
-    whole documents never reach the shuffle."""
-    names = [f.name for f in df.schema.fields if profile_dtype(f.dataType) == "object"]
+def _text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields
+            if profile_dtype(f.dataType) in ("object", "boolean")]
+
+
+def _text_counts(df: DataFrame, longest: dict[str, int]) -> DataFrame | None:
+    """Frequencies of the text and boolean columns: (column_name, key, is_digest, n). Long
+    texts are counted by their digest, so whole documents never reach the shuffle."""
+    names = _text_columns(df)
     if not names:
         return None
-    value = F.col("value")
-    return (_unpivot(df, names, "string")
-            .select("column_name", _text_key(value).alias("key"),
-                    (F.length(value) > LONG_VALUE).alias("is_digest"))
-            .groupBy("column_name", "key", "is_digest")
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def top_values(df: DataFrame, k: int = TOP_VALUES) -> DataFrame | None:
-    """The k most frequent values per text or boolean column, ties in value order
-    (digest order for long texts): (column_name, rank, value, n)."""
-    booleans = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
-    counts = _text_counts(df)
-    if booleans:
-        flags = (_unpivot(df, booleans, "string")
-                 .groupBy("column_name", F.col("value").alias("key"))
-                 .agg(F.count(F.lit(1)).alias("n"))
-                 .withColumn("is_digest", F.lit(False)))
-        counts = flags if counts is None else counts.unionByName(flags)
-    if counts is None:
-        return None
+    pairs = _pairs(df, names, "string")
+    if max(longest.values(), default=0) <= LONG_VALUE:
+        keyed = pairs.selectExpr("column_name", "value AS key", "false AS is_digest")
+    else:
+        keyed = pairs.selectExpr(
+            "column_name",
+            f"CASE WHEN length(value) > {LONG_VALUE} THEN sha2(value, 256) ELSE value END AS key",
+            f"length(value) > {LONG_VALUE} AS is_digest")
+    return keyed.groupBy("column_name", "key", "is_digest").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top_of(df: DataFrame, counts: DataFrame, longest: dict[str, int], k: int) -> DataFrame:
+    """The k most frequent values per column, ties in value order (digest order for long
+    texts): (column_name, rank, value, n). The rank filter runs before the shuffle."""
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), "key")
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    short = ranked.where(~F.col("is_digest")).select(
-        "column_name", "rank", F.col("key").alias("value"), "n")
-    texts = [f.name for f in df.schema.fields if profile_dtype(f.dataType) == "object"]
-    if not texts:
+    short = ranked.where("NOT is_digest").selectExpr("column_name", "rank", "key AS value", "n")
+    long_columns = [n for n, size in longest.items() if size > LONG_VALUE]
+    if not long_columns:
         return short
-    # Fetch the text behind the few winning digests: at most k per column are broadcast,
-    # and with none the scan is skipped at run time.
+    # Fetch the text behind the few winning digests: at most k per column are broadcast.
     digests = ranked.where("is_digest").select("column_name", "key", "rank", "n")
-    long_texts = (_unpivot(df, texts, "string").where(F.length("value") > LONG_VALUE)
-                  .withColumn("key", F.sha2("value", 256)))
-    restored = (long_texts.join(F.broadcast(digests), ["column_name", "key"])
+    texts = _pairs(df, long_columns, "string").where(f"length(value) > {LONG_VALUE}")
+    restored = (texts.withColumn("key", F.sha2("value", 256))
+                .join(F.broadcast(digests), ["column_name", "key"])
                 .groupBy("column_name", "rank", "n").agg(F.min("value").alias("value"))
                 .select("column_name", "rank", "value", "n"))
     return short.unionByName(restored)

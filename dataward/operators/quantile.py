@@ -2,87 +2,153 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dataward.functions.coerce import text_literal
+
 # A column with at most this many distinct values is finished by one aggregate.
 GROUP_LIMIT = 1_000_000
-SPLITS = 256
-
-
-def exact_quantiles(freq: DataFrame, probs: list[float], names: list[str],
-                    rows_bound: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """One row per column_name with one linear-interpolated quantile per probability.
-
-    ``freq`` is (column_name, value double, n), one row per distinct value.
-    ``rows_bound`` is an upper bound on rows per column. Up to ``group_limit`` the
-    built-in weighted percentile finishes every column in one bounded group. Beyond it,
-    each wanted rank is first enclosed by counting values between splitters, round by
-    round, until the enclosing interval is small enough for that same aggregate.
-    """
-    def finish(table: DataFrame) -> DataFrame:
-        return table.groupBy("column_name").agg(*[
-            F.percentile("value", p, F.col("n")).alias(name)
-            for p, name in zip(probs, names, strict=True)])
-
-    if rows_bound <= group_limit:
-        return finish(freq)
-
-    sizes = {r.column_name: r for r in freq.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("n"),
-        F.min("value").alias("low"), F.max("value").alias("high")).collect()}
-    small = [c for c, r in sizes.items() if r.distinct_values <= group_limit]
-    result = finish(freq.where(F.col("column_name").isin(small)))
-    spark = freq.sparkSession
-    for column, size in sizes.items():
-        if column in small:
-            continue
-        own = freq.where(F.col("column_name") == column)
-        found = [_select_rank(own, p * (size.n - 1), size, group_limit) for p in probs]
-        schema = "column_name string, " + ", ".join(f"{n} double" for n in names)
-        result = result.unionByName(spark.createDataFrame([(column, *found)], schema))
-    return result
-
-
-def _select_rank(own: DataFrame, rank: float, size, group_limit: int) -> float:
-    """Value at a fractional zero-based rank, interpolated between its two neighbours."""
-    low, high, below = size.low, size.high, 0
-    remaining = size.distinct_values
-    while remaining > group_limit:
-        inside = own.where(F.col("value").between(low, high))
-        splits = inside.agg(F.percentile_approx(
-            "value", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS)).first()[0]
-        edges = sorted({low, high, *splits})
-        # bin i holds (edges[i-1], edges[i]]; the first one holds the lowest value only
-        bins = sorted(
-            inside.groupBy(_bin_of(F.col("value"), edges).alias("bin")).agg(
-                F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_values"),
-                F.min("value").alias("low"), F.max("value").alias("high")).collect(),
-            key=lambda r: r.bin)
-        first, last = int(rank // 1), int(-(-rank // 1))
-        seen, chosen = below, []
-        for b in bins:
-            if seen <= last and seen + b.n > first:
-                if not chosen:
-                    start = seen
-                chosen.append(b)
-            seen += b.n
-        below, low, high = start, chosen[0].low, chosen[-1].high
-        shrunk = sum(b.distinct_values for b in chosen)
-        if shrunk >= remaining:
-            break
-        remaining = shrunk
-    inside = own.where(F.col("value").between(low, high))
-    total = inside.agg(F.sum("n")).first()[0]
-    local = (rank - below) / (total - 1) if total > 1 else 0.0
-    return inside.agg(F.percentile("value", local, F.col("n"))).first()[0]
-
-
-def _bin_of(value, edges):
-    """Index of the first edge not below the value, by halving: log2(edges) compares."""
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= edges[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-    return search(0, len(edges) - 1)
+BINS = 64
+
+
+def exact_quantiles(freq: DataFrame, sizes: dict[str, int], probs: list[float],
+                    names: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """One row per column_name: unique_count and one linearly interpolated quantile per
+    probability.
+
+    ``freq`` is (column_name, value double, n), one row per distinct value; ``sizes`` has
+    the rows per column. A column of at most ``group_limit`` rows is ranked in one bounded
+    group. Of a larger one each wanted rank is first enclosed by counting values between
+    splitters, round by round, until the enclosing interval is that small."""
+    bounded = {c: n for c, n in sizes.items() if n <= group_limit}
+    rest = [c for c in sizes if c not in bounded]
+    if not rest:
+        return _rank_in_group(freq, bounded, probs, names)
+    counts = {r.column_name: r for r in
+              freq.where(F.col("column_name").isin(rest)).groupBy("column_name").agg(
+                  F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("n"),
+                  F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    few = {c: r.n for c, r in counts.items() if r.distinct_values <= group_limit}
+    out = _rank_in_group(freq, bounded | few, probs, names)
+    many = [r for c, r in counts.items() if c not in few]
+    if not many:
+        return out
+    found = _rank_by_search(freq, many, probs, group_limit)
+    schema = "column_name string, unique_count bigint, " + ", ".join(
+        f"{n} double" for n in names)
+    rows = [(r.column_name, r.distinct_values,
+             *[found[r.column_name, i] for i in range(len(probs))]) for r in many]
+    return out.unionByName(freq.sparkSession.createDataFrame(rows, schema))
+
+
+def _rank_in_group(freq: DataFrame, sizes: dict[str, int], probs: list[float],
+                   names: list[str]) -> DataFrame:
+    """Quantiles of columns with few distinct values, from running counts."""
+    own = freq.where(F.col("column_name").isin(list(sizes)))
+    running = Window.partitionBy("column_name").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0)
+    size = F.expr("CASE column_name " + " ".join(
+        f"WHEN {text_literal(c)} THEN {n}L" for c, n in sizes.items()) + " END"
+        if sizes else "0L")
+    ranked = own.select("column_name", "value", F.sum("n").over(running).alias("upto"),
+                        (size - 1).alias("last"))
+    at = []
+    for i, p in enumerate(probs):
+        at += [f"min(CASE WHEN upto > floor(last * {p!r}D) THEN value END) AS low{i}",
+               f"min(CASE WHEN upto > ceil(last * {p!r}D) THEN value END) AS high{i}",
+               f"max(last * {p!r}D - floor(last * {p!r}D)) AS part{i}"]
+    return ranked.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("unique_count"), *[F.expr(x) for x in at]).selectExpr(
+        "column_name", "unique_count",
+        *[f"low{i} + (high{i} - low{i}) * part{i} AS {n}" for i, n in enumerate(names)])
+
+
+@dataclass
+class _Bracket:
+    """Interval of values known to hold a wanted rank."""
+
+    column_name: str
+    part: int            # which probability
+    rank: float          # zero-based, fractional
+    low: float
+    high: float
+    below: int           # rows under the interval
+    distinct_values: int
+
+
+def _rank_by_search(freq: DataFrame, columns: list, probs: list[float],
+                    group_limit: int) -> dict[tuple[str, int], float]:
+    """Values at all wanted ranks. Every round handles all columns at once: splitters of
+    the open intervals, then exact counts between them; only counts reach the driver."""
+    brackets = [_Bracket(r.column_name, i, p * (r.n - 1), r.low, r.high, 0,
+                         r.distinct_values)
+                for r in columns for i, p in enumerate(probs)]
+    wide = [b for b in brackets if b.distinct_values > group_limit]
+    while wide:
+        probes = [i / BINS for i in range(1, BINS)]
+        edges = {(r.column_name, r.part): r.edges for r in _inside(freq, wide).groupBy(
+            "column_name", "part").agg(
+                F.percentile_approx("value", probes, 10 * BINS).alias("edges")).collect()}
+        counted: dict[tuple[str, int], list] = {}
+        for r in (_inside(freq, wide, edges)
+                  .groupBy("column_name", "part", _bin(0, BINS - 1).alias("bin"))
+                  .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_values"),
+                       F.min("value").alias("low"), F.max("value").alias("high")).collect()):
+            counted.setdefault((r.column_name, r.part), []).append(r)
+        still = []
+        for b in wide:
+            before = b.distinct_values
+            _narrow(b, sorted(counted[b.column_name, b.part], key=lambda r: r.bin))
+            if group_limit < b.distinct_values < before:
+                still.append(b)
+        wide = still
+    return _finish(freq, brackets)
+
+
+def _narrow(b: _Bracket, bins: list) -> None:
+    """Keep the bins that hold the two order statistics around the rank."""
+    seen, kept, start = b.below, [], b.below
+    for r in bins:
+        if seen <= math.ceil(b.rank) and seen + r.n > math.floor(b.rank):
+            if not kept:
+                start = seen
+            kept.append(r)
+        seen += r.n
+    b.below, b.low, b.high = start, kept[0].low, kept[-1].high
+    b.distinct_values = sum(r.distinct_values for r in kept)
+
+
+def _inside(freq: DataFrame, brackets: list[_Bracket], edges=None) -> DataFrame:
+    """Frequencies within the intervals. The broadcast side has one row per interval."""
+    rows = [(b.column_name, b.part, b.low, b.high, b.below, b.rank,
+             (edges or {}).get((b.column_name, b.part))) for b in brackets]
+    table = freq.sparkSession.createDataFrame(
+        rows, "column_name string, part int, low double, high double, below bigint, "
+              "rank double, edges array<double>")
+    return freq.join(F.broadcast(table), "column_name").where("value BETWEEN low AND high")
+
+
+def _bin(first: int, last: int):
+    """Number of edges below the value, by halving."""
+    if first == last:
+        return F.lit(first)
+    mid = (first + last) // 2
+    return F.when(F.col("value") <= F.col("edges")[mid], _bin(first, mid)).otherwise(
+        _bin(mid + 1, last))
+
+
+def _finish(freq: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
+    running = Window.partitionBy("column_name", "part").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0)
+    ranked = _inside(freq, brackets).select(
+        "column_name", "part", "value", "rank",
+        (F.sum("n").over(running) + F.col("below")).alias("upto"))
+    rows = ranked.groupBy("column_name", "part").agg(
+        F.expr("min(CASE WHEN upto > floor(rank) THEN value END)").alias("low"),
+        F.expr("min(CASE WHEN upto > ceil(rank) THEN value END)").alias("high"),
+        F.expr("max(rank - floor(rank))").alias("share")).collect()
+    return {(r.column_name, r.part): r.low + (r.high - r.low) * r.share for r in rows}
