@@ -35,19 +35,19 @@ class QualityRun:
 def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str | None = None,
                 rules=None, proposed_rules: DataFrame | None = None,
                 proposed_actions: DataFrame | None = None, max_cycles: int = MAX_CYCLES,
-                guard: float = GUARD_SHARE, profiles: DataFrame | None = None) -> QualityRun:
+                guard: float = GUARD_SHARE, typed: DataFrame | None = None) -> QualityRun:
     """Heal ``df`` against its suite for at most ``max_cycles`` rounds.
 
-    ``rules`` replaces the generated suite; ``proposed_rules`` and ``proposed_actions`` are
+    ``rules`` replaces the generated suite, ``typed`` the profile with semantic types;
+    ``proposed_rules`` and ``proposed_actions`` are
     screened first. Only suite-sized results reach the driver: one validation row per rule
     and the counts that decide the guard. Each round's table is written once to shared
     storage, so rounds neither recompute earlier ones nor depend on executors staying up."""
     spark = df.sparkSession
-    if profiles is None:
-        profiles = profile(df, dataset, as_of)
-    typed_rows = with_semantic_types(profiles).collect()      # one row per column
-    typed = spark.createDataFrame(
-        typed_rows, with_semantic_types(profiles).schema)
+    if typed is None:
+        typed = with_semantic_types(profile(df, dataset, as_of))
+    typed_rows = typed.collect()                             # one row per column
+    typed = spark.createDataFrame(typed_rows, typed.schema)
     semantics = {r.column_name: r.semantic_type for r in typed_rows}
     suite = as_rules(build_suite(typed, proposed_rules) if rules is None else rules)
 
