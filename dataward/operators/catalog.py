@@ -36,19 +36,20 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def upsert(existing: DataFrame | None, changes: DataFrame, keys: list[str],
-           order: str = "created_at") -> DataFrame:
-    """Last change per key replaces the stored row entirely.
-
-    Changes are reduced to one row per key by an aggregate (combined map-side, so a key
-    changed a billion times is no hot spot); stored rows then leave by anti-join."""
+def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Last change per key. An aggregate, combined map-side: a key changed a billion times
+    is no hot spot."""
     rest = [c for c in changes.columns if c not in keys]
-    newest = changes.groupBy(*keys).agg(
+    return changes.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(
             *keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(changes.columns)
+
+
+def upsert(existing: DataFrame | None, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes, one per key, replace the stored rows of their keys entirely."""
     if existing is None:
-        return newest
-    return existing.join(newest.select(keys), keys, "left_anti").unionByName(newest)
+        return changes
+    return existing.join(changes.select(keys), keys, "left_anti").unionByName(changes)
 
 
 def upsert_edges(existing: DataFrame | None, edges: DataFrame, created_at) -> DataFrame:
@@ -108,7 +109,7 @@ def upsert_columns(existing: DataFrame | None, tags: DataFrame,
                                 F.col("dtype").alias("data_type"))
         batch = batch.join(types, ["table_name", "column_name"], "left")
     columns = [c.split()[0] for c in SCHEMAS["catalog_columns"].split(", ")]
-    return upsert(existing, batch.select(columns), KEYS["catalog_columns"], "pii_confidence")
+    return upsert(existing, batch.select(columns), KEYS["catalog_columns"])
 
 
 def flag_tables(tables: DataFrame, detections: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def risk_scores(detections: DataFrame, edge_counts: DataFrame | None = None,
         F.col("top_risk") * 0.7 + F.col("pii_count") / 10 * 0.3, 10))
     score = F.when(F.col("edges") > 5, F.least(F.lit(1.0), F.round(base + 0.1, 10))
                    ).otherwise(base)
-    return (per_run.withColumn("score", F.coalesce(score, F.lit(0.0)))
+    return (per_run.withColumn("score", F.when(F.col("pii_count") > 0, score).otherwise(0.0))
             .withColumn("risk_level", risk_level(F.col("score"))))
 
 

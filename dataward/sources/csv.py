@@ -62,11 +62,13 @@ def file_formats(spark: SparkSession, path: str) -> DataFrame:
     return sniff_delimiters(spark, path).join(detect_encodings(spark, path), "file")
 
 
-def _read(spark: SparkSession, paths: list[str], delimiter: str, encoding: str) -> DataFrame:
-    """All-string rows of files of one format, with lines of too many fields left in
-    the marker column."""
+def _read(spark: SparkSession, paths: list[str], delimiter: str, encoding: str,
+          multi_line: bool) -> DataFrame:
+    """All-string rows of files of one format and header, with malformed lines kept as
+    text in the marker column."""
     options = {"header": True, "sep": delimiter, "encoding": encoding, "quote": '"',
-               "escape": '"', "columnPruning": False, "emptyValue": "", "nullValue": ""}
+               "escape": '"', "columnPruning": False, "emptyValue": "", "nullValue": "",
+               "multiLine": multi_line}
     raw = spark.read.options(**options).csv(paths)
     names = [c.removeprefix(BOM) if i == 0 else c for i, c in enumerate(raw.columns)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
@@ -109,19 +111,21 @@ def _by_format(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]
     return [(d, e, sorted(files)) for (d, e), files in sorted(groups.items())]
 
 
-def read_raw(spark: SparkSession, path: str) -> list[tuple[DataFrame, str]]:
-    return [(_read(spark, files, delimiter, encoding), delimiter)
+def read_raw(spark: SparkSession, path: str,
+             multi_line: bool = False) -> list[tuple[DataFrame, str]]:
+    return [(_read(spark, files, delimiter, encoding, multi_line), delimiter)
             for delimiter, encoding, files in _by_format(spark, path)]
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True,
-             rows: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, rows: int | None = None,
+             multi_line: bool = False) -> DataFrame:
     """A clean table from a CSV file or a directory of them.
 
     Over-long lines are skipped, null tokens become null, blank-header columns, empty
-    columns and empty rows are dropped; ``infer`` gives columns their types."""
+    columns and empty rows are dropped; ``infer`` gives columns their types. ``multi_line``
+    accepts line breaks inside quotes, at the price of one task per file."""
     parts = []
-    for raw, delimiter in read_raw(spark, path):
+    for raw, delimiter in read_raw(spark, path, multi_line):
         good = raw.where(~F.coalesce(_too_long(raw, delimiter), F.lit(False))).drop(CORRUPT)
         parts.append(named_columns(good))
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -132,9 +136,12 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True,
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """How many over-long lines the reader skips."""
-    parts = [raw.where(_too_long(raw, delimiter)).select(CORRUPT, *raw.columns[:1])
-             .agg(F.count(F.lit(1)).alias("skipped_lines"))
-             for raw, delimiter in read_raw(spark, path)]
+    """How many over-long lines the reader skips, and how many lines it keeps."""
+    parts = []
+    for raw, delimiter in read_raw(spark, path):
+        skip = F.coalesce(_too_long(raw, delimiter), F.lit(False))
+        parts.append(raw.agg(
+            F.count_if(skip).alias("skipped_lines"),
+            F.count(F.when(~skip, F.struct(col(raw.columns[0])))).alias("kept_lines")))
     return reduce(DataFrame.unionByName, parts).agg(
-        F.sum("skipped_lines").alias("skipped_lines"))
+        F.sum("skipped_lines").alias("skipped_lines"), F.sum("kept_lines").alias("kept_lines"))

@@ -8,6 +8,7 @@ from dataward.constants import (
     DATETIME_NAMES,
     EMAIL_NAMES,
     ID_SUFFIXES,
+    NA_TOKENS,
     PHONE_NAMES,
     SIGNED_NAMES,
     UNSIGNED_NAMES,
@@ -16,6 +17,7 @@ from dataward.constants import (
 from dataward.functions.coerce import NUMBER_TEXT, TIME_TEXT
 from queries.fixtures import AS_OF
 
+NA = ", ".join(f"'{t}'" for t in NA_TOKENS)
 NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
 
 # Columns of the inputs with their profile type.
