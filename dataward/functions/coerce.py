@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from dataward.constants import NA_TOKENS
 
-# Text accepted as a number and as a point in time.
+# Text accepted as a number, a whole number and a point in time. Patterns
+# are tested first: a cast that fails is far slower than a pattern that does not match.
 NUMBER_TEXT = (
     r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 )
+WHOLE_TEXT = r"^\s*[+-]?\d{1,19}\s*$"
 TIME_TEXT = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?\s*$"
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -102,36 +104,49 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(col(c)), col(c)) for c in floats})
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Give all-string columns a type: bigint, double, boolean or string.
+HEAD_ROWS = 1000
 
-    One aggregate over the table counts, per column, how many values convert; a column
-    takes the narrowest type that converts all of its non-null values.
-    """
+
+def _conversions(name: str) -> dict[str, tuple[Column, Column]]:
+    """Per type, narrowest first: (test that a value converts, the converted value)."""
+    c = col(name)
+    number = safe_double(c, T.StringType())
+    whole = F.when(c.rlike(WHOLE_TEXT), c.try_cast("bigint"))
+    return {
+        "bigint": (whole.isNotNull(), F.trim(c).cast("bigint")),
+        "double": (number.isNotNull(), number),
+        "boolean": (F.lower(c).isin("true", "false"), F.lower(c).cast("boolean")),
+    }
+
+
+def infer_types(df: DataFrame, drop_empty: bool = False) -> DataFrame:
+    """Give all-string columns the narrowest type that converts all their non-null values:
+    bigint, double, boolean or string.
+
+    Types that the first rows already rule out are not tried again, so the one aggregate
+    over the whole table only tests what is still possible. ``drop_empty`` also leaves out
+    columns without any value."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df
-    text = T.StringType()
-    counts = df.agg(*[
-        F.struct(
-            F.count(col(c)).alias("n"),
-            F.count_if(col(c).rlike(r"^\s*[+-]?\d+\s*$")
-                       & col(c).try_cast("bigint").isNotNull()).alias("ints"),
-            F.count(safe_double(col(c), text)).alias("doubles"),
-            F.count_if(col(c).isin("True", "False", "TRUE", "FALSE", "true", "false"))
-            .alias("booleans"),
-        ).alias(f"c{i}")
-        for i, c in enumerate(strings)
-    ]).first()
-    typed = {}
+    options = {c: _conversions(c) for c in strings}
+
+    def misses(table: DataFrame, wanted: dict[str, list[str]]):
+        """Per column its number of values and, per wanted type, of values that fail."""
+        return table.agg(*[F.struct(F.count(col(c)).alias("n"), *[
+            F.count_if(col(c).isNotNull() & ~options[c][t][0]).alias(t) for t in types])
+            .alias(f"c{i}") for i, (c, types) in enumerate(wanted.items())]).first()
+
+    head = misses(df.limit(HEAD_ROWS), {c: list(options[c]) for c in strings})
+    possible = {c: [t for t in options[c] if head[i][t] == 0] for i, c in enumerate(strings)}
+    found = misses(df, possible)
+    typed, empty = {}, []
     for i, c in enumerate(strings):
-        seen = counts[i]
-        if seen.n == 0:
+        if found[i].n == 0:
+            empty.append(c)
             continue
-        if seen.ints == seen.n:
-            typed[c] = F.trim(col(c)).cast("bigint")
-        elif seen.doubles == seen.n:
-            typed[c] = safe_double(col(c), text)
-        elif seen.booleans == seen.n:
-            typed[c] = F.lower(col(c)).cast("boolean")
-    return df.withColumns(typed) if typed else df
+        fits = [t for t in possible[c] if found[i][t] == 0]
+        if fits:
+            typed[c] = options[c][fits[0]][1]
+    kept = [c for c in df.columns if not (drop_empty and c in empty)]
+    return df.select([typed.get(c, col(c)).alias(c) for c in kept])

@@ -29,7 +29,6 @@ from dataward.session import materialize
 FUSE_LIMIT = 60              # trigger combinations are bits of one bigint
 COMBINATION_LIMIT = 10_000   # more of them: the run is halved and counted again
 REASON = "reject_reason"
-HIT_BY = "__rejected_by"
 
 
 @dataclass
@@ -81,11 +80,36 @@ def _condition(action: Action) -> str | None:
     return alias.get(action.condition, action.condition)
 
 
-def quarantine_mask(df: DataFrame, action: Action, value: Column, data_type: T.DataType,
-                    as_of: str | None = None) -> Column:
+class _Steps:
+    """A table that grows helper columns, each computed once per row however often later
+    ones refer to it."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.count = 0
+
+    def add(self, value: Column) -> Column:
+        name = f"__step{self.count}"
+        self.count += 1
+        self.df = self.df.withColumn(name, value)
+        return F.col(name)
+
+
+def _number(bound) -> float | None:
+    try:
+        return None if bound is None else float(bound)
+    except (TypeError, ValueError):
+        return None
+
+
+def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.DataType,
+                     as_of: str | None) -> Column:
     """True for rows the action would set aside (duplicates are handled elsewhere)."""
     condition = _condition(action)
-    not_a_number = value.isNotNull() & safe_double(value, data_type).isNull()
+
+    def not_a_number() -> Column:
+        return value.isNotNull() & safe_double(value, data_type).isNull()
+
     if condition == "is_null":
         return value.isNull()
     if condition == "is_future_date":
@@ -94,45 +118,43 @@ def quarantine_mask(df: DataFrame, action: Action, value: Column, data_type: T.D
                    or any(w in name for w in DATE_COLUMN_NAMES)
                    or isinstance(data_type, TEMPORAL))
         if not is_date:
-            return not_a_number
-        moment = safe_timestamp(value, data_type)
-        return moment.isNull() | (moment > now(as_of)) | (
-            moment < F.lit(MIN_DATE).cast("timestamp"))
+            return not_a_number()
+        moment = steps.add(safe_timestamp(value, data_type))
+        return ~F.coalesce(moment.between(F.lit(MIN_DATE).cast("timestamp"), now(as_of)),
+                           F.lit(False))
     if condition == "out_of_bounds":
         if action.min_bound is None and action.max_bound is None:
-            return not_a_number
-
-        def number(bound):
-            try:
-                return None if bound is None else float(bound)
-            except (TypeError, ValueError):
-                return None
-        return outside(safe_double(value, data_type), number(action.min_bound),
-                       number(action.max_bound))
+            return not_a_number()
+        return outside(steps.add(safe_double(value, data_type)), _number(action.min_bound),
+                       _number(action.max_bound))
     if condition == "fails_regex" and action.regex and usable_regex(
-            df.sparkSession, action.regex):
+            steps.df.sparkSession, action.regex):
         return fails_regex(value, action.regex)
     return F.lit(False)
 
 
-def fix_mask(action: Action, value: Column, data_type: T.DataType) -> tuple[Column, Column]:
+def _fix(steps: _Steps, action: Action, value: Column,
+         data_type: T.DataType) -> tuple[Column, Column]:
     """(rows the fix counts as changed, the value after it)."""
+    unchanged = F.lit(False), value
     if action.operation == "abs":
-        number = safe_double(value, data_type)
-        mask = F.coalesce(number < 0, F.lit(False))
-        plain = F.abs(value) if isinstance(data_type, NUMERIC) else F.abs(number)
-        return mask, F.when(mask, plain.cast(data_type)).otherwise(value)
-    if action.operation in CATEGORICAL_FIXES:
+        number = steps.add(safe_double(value, data_type))
+        mask = steps.add(F.coalesce(number < 0, F.lit(False)))
+        positive = F.abs(value) if isinstance(data_type, NUMERIC) else F.abs(number)
+        fixed = positive.cast(data_type)
+    elif action.operation in CATEGORICAL_FIXES:
         if not action.valid_values or action.default_value is None:
-            return F.lit(False), value
-        mask = not_in_set(value, data_type, action.valid_values)
-        return mask, F.when(mask, F.lit(action.default_value).cast(data_type)).otherwise(value)
-    if action.operation == "replace_empty_string" and isinstance(data_type, T.StringType):
-        mask = F.coalesce(value == "", F.lit(False))
+            return unchanged
+        mask = steps.add(not_in_set(value, data_type, action.valid_values))
+        fixed = F.lit(action.default_value).cast(data_type)
+    elif action.operation == "replace_empty_string" and isinstance(data_type, T.StringType):
+        mask = steps.add(F.coalesce(value == "", F.lit(False)))
         if action.default_value is None:
             return mask, value
-        return mask, F.when(mask, F.lit(str(action.default_value))).otherwise(value)
-    return F.lit(False), value
+        fixed = F.lit(str(action.default_value))
+    else:
+        return unchanged
+    return mask, steps.add(F.when(mask, fixed).otherwise(value))
 
 
 def _is_shuffle(action: Action) -> bool:
@@ -141,11 +163,15 @@ def _is_shuffle(action: Action) -> bool:
 
 
 def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
-         guard: float = GUARD_SHARE, cut_lineage: bool = False) -> Healed:
+         guard: float = GUARD_SHARE, cut_lineage: bool | None = None) -> Healed:
     """Apply actions in order. ``key`` is a unique, non-null column that also defines
-    which of several duplicates is the first. ``cut_lineage`` writes each intermediate
-    table once, so that long runs neither recompute nor lose it."""
+    which of several duplicates is the first.
+
+    ``cut_lineage`` writes each intermediate table once, so that long plans neither
+    recompute nor lose it; by default this is done when a plan has several stages."""
     plan = as_actions(actions)
+    if cut_lineage is None:
+        cut_lineage = len(plan) > 1 and any(_is_shuffle(a) for a in plan)
     clean, rejected, stats = df, [], []
     position = 0
     while position < len(plan):
@@ -153,16 +179,14 @@ def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
             clean, gone, row = _duplicates(clean, plan[position], key, guard, cut_lineage)
             stats.append(row)
             position += 1
-            if gone is not None:
-                rejected.append(gone)
-            continue
-        end = position
-        while (end < len(plan) and end - position < FUSE_LIMIT
-               and not _is_shuffle(plan[end])):
-            end += 1
-        clean, gone, rows, done = _fused(clean, plan[position:end], as_of, guard, cut_lineage)
-        stats += rows
-        position += done
+        else:
+            end = position
+            while (end < len(plan) and end - position < FUSE_LIMIT
+                   and not _is_shuffle(plan[end])):
+                end += 1
+            clean, gone, rows = _fused(clean, plan[position:end], as_of, guard, cut_lineage)
+            stats += rows
+            position += len(rows)
         if gone is not None:
             rejected.append(gone)
     out = None
@@ -172,36 +196,41 @@ def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
 
 
 def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage):
-    """Apply a run of row-local actions; returns also how many of them were done."""
+    """Apply a run of row-local actions, or its first half when rows combine too many
+    triggers: (clean rows, set-aside rows or None, one result per action done)."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    steps = _Steps(df)
     current = {c: col(c) for c in df.columns}
     masks: list[Column] = []
     fixes: list[tuple[int, str, Column]] = []
     for i, action in enumerate(run):
-        if action.column not in types:
-            masks.append(F.lit(False))
-            continue
-        value, data_type = current[action.column], types[action.column]
-        if action.action_type == "fix_value":
-            mask, fixed = fix_mask(action, value, data_type)
-            current[action.column] = fixed
-            fixes.append((i, action.column, fixed))
-        elif action.action_type == "quarantine":
-            mask = quarantine_mask(df, action, value, data_type, as_of)
-        else:
-            mask = F.lit(False)
-        masks.append(F.coalesce(mask, F.lit(False)))
+        mask = F.lit(False)
+        if action.column in types:
+            value, data_type = current[action.column], types[action.column]
+            if action.action_type == "fix_value":
+                mask, fixed = _fix(steps, action, value, data_type)
+                current[action.column] = fixed
+                fixes.append((i, action.column, fixed))
+            elif action.action_type == "quarantine":
+                mask = steps.add(F.coalesce(
+                    _quarantine_mask(steps, action, value, data_type, as_of), F.lit(False)))
+        masks.append(mask)
 
     bits = F.lit(0).cast("bigint")
     for i, mask in enumerate(masks):
         bits = bits + F.when(mask, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    groups = (df.select(bits.alias("bits")).groupBy("bits")
+    groups = (steps.df.select(bits.alias("bits")).groupBy("bits")
               .agg(F.count(F.lit(1)).alias("n"))
               .limit(COMBINATION_LIMIT + 1).collect())
     if len(groups) > COMBINATION_LIMIT:
         return _fused(df, run[:len(run) // 2], as_of, guard, cut_lineage)
+    rows, effective = _replay(run, types, {g.bits: g.n for g in groups}, guard)
+    return (*_apply(df, steps, run, masks, fixes, effective, cut_lineage), rows)
+
 
-    alive = {g.bits: g.n for g in groups}
+def _replay(run, types, alive: dict[int, int], guard: float) -> tuple[list[dict], list[int]]:
+    """Results of the actions in order, from the counts of trigger combinations, and the
+    positions of the quarantines that take place."""
     rows, effective = [], []
     for i, action in enumerate(run):
         total = sum(alive.values())
@@ -217,32 +246,25 @@ def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage):
                 effective.append(i)
                 alive = {b: n for b, n in alive.items() if not b >> i & 1}
         rows.append(_stat(action, True, hit, sum(alive.values())))
+    return rows, effective
 
-    return (*_apply(df, run, masks, fixes, effective, cut_lineage), rows, len(run))
 
-
-def _apply(df, run, masks, fixes, effective, cut_lineage):
+def _apply(df, steps, run, masks, fixes, effective, cut_lineage):
     """Project the surviving effects: (clean rows, set-aside rows or None)."""
-    rejected_by = F.coalesce(
-        *[F.when(masks[i], F.lit(i)) for i in effective], F.lit(len(run)))
-    tagged = df.withColumn(HIT_BY, rejected_by) if effective else df
     values = {c: col(c) for c in df.columns}
+    if not effective:
+        values |= {column: fixed for _, column, fixed in fixes}
+        clean = steps.df.select([values[c].alias(c) for c in df.columns])
+        return (materialize(clean, "healed") if cut_lineage and fixes else clean), None
+    rejected_by = steps.add(F.coalesce(
+        *[F.when(masks[i], F.lit(i)) for i in effective], F.lit(len(run))))
     for i, column, fixed in fixes:
         # a row set aside earlier keeps the value it had then
-        if effective and effective[0] < i:
-            values[column] = F.when(F.col(HIT_BY) > i, fixed).otherwise(values[column])
-        else:
-            values[column] = fixed
-    if not effective:
-        clean = df.select([values[c].alias(c) for c in df.columns])
-        if cut_lineage and fixes:
-            clean = materialize(clean, "healed")
-        return clean, None
-    reason = F.lit(None).cast("string")
-    for i in effective:
-        reason = F.when(F.col(HIT_BY) == i, F.lit(run[i].reason or "Data quality failure")
-                        ).otherwise(reason)
-    out = tagged.select([values[c].alias(c) for c in df.columns] + [reason.alias(REASON)])
+        values[column] = fixed if effective[0] > i else (
+            F.when(rejected_by > i, fixed).otherwise(values[column]))
+    reasons = F.array(*[F.lit(a.reason or "Data quality failure") for a in run])
+    out = steps.df.select([values[c].alias(c) for c in df.columns]
+                          + [F.get(reasons, rejected_by).alias(REASON)])
     if cut_lineage:
         out = materialize(out, "healed")
     return (out.where(F.col(REASON).isNull()).drop(REASON),

@@ -24,44 +24,43 @@ def _outside_quotes(line: Column) -> Column:
     return F.regexp_replace(line, '"[^"]*"', "")
 
 
-def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """(file, delimiter): the candidate whose count per line is most often the same.
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """(file, delimiter, encoding) from one pass over the lines.
 
-    Files are read as splittable text; a huge file is counted by many tasks and combined
-    map-side."""
+    The delimiter is the candidate whose count per line is most often the same. The text
+    reader keeps raw bytes, so a file is UTF-8 when every line is valid UTF-8, otherwise
+    ISO-8859-1. Files are read as splittable text: a huge one is counted by many tasks
+    and combined map-side."""
     bare = _outside_quotes(F.col("value"))
-    per_line = _lines(spark, path).where(F.col("value") != "").select("file", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("choice"),
-                 (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))))
-                 .alias("found"))
-        for i, d in enumerate(DELIMITERS)])))
-    counts = per_line.groupBy("file", "choice", "found").agg(F.count(F.lit(1)).alias("lines"))
-    total = Window.partitionBy("file", "choice")
-    # share of lines with the modal count; more columns break ties, then candidate order
-    modal = (counts.withColumn("all_lines", F.sum("lines").over(total))
-             .where(F.col("found") > 0)
-             .withColumn("share", F.col("lines") / F.col("all_lines")))
-    best = modal.groupBy("file").agg(F.max_by(
-        "choice", F.struct("share", "found", -F.col("choice"))).alias("choice"))
+    per_line = _lines(spark, path).where(F.col("value") != "").select(
+        "file", F.is_valid_utf8("value").alias("valid"), F.inline(F.array(*[
+            F.struct(F.lit(i).alias("choice"),
+                     (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))))
+                     .alias("found"))
+            for i, d in enumerate(DELIMITERS)])))
+    counts = per_line.groupBy("file", "choice", "found").agg(
+        F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("valid"))
+    per_choice = Window.partitionBy("file", "choice")
+    shares = counts.withColumn("share", F.col("lines") / F.sum("lines").over(per_choice))
+    # the modal share decides; more columns, then candidate order, break ties
+    best = F.max_by(F.when(F.col("found") > 0, F.col("choice")),
+                    F.when(F.col("found") > 0, F.struct("share", "found", -F.col("choice"))))
     names = F.array(*[F.lit(d) for d in DELIMITERS])
-    files = counts.select("file").distinct()
-    return files.join(best, "file", "left").select(
-        "file", F.get(names, F.coalesce("choice", F.lit(0))).alias("delimiter"))
+    return shares.groupBy("file").agg(
+        F.get(names, F.coalesce(best, F.lit(0))).alias("delimiter"),
+        F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding): UTF-8 when every line is valid, otherwise ISO-8859-1.
+def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
+    return file_formats(spark, path).select("file", "delimiter")
+
 
-    The text reader keeps raw bytes, so validity is checked line by line."""
+def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).groupBy("file").agg(
         F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise("ISO-8859-1")
         .alias("encoding"))
 
 
-def file_formats(spark: SparkSession, path: str) -> DataFrame:
-    return sniff_delimiters(spark, path).join(detect_encodings(spark, path), "file")
-
-
 def _read(spark: SparkSession, paths: list[str], delimiter: str, encoding: str,
           multi_line: bool) -> DataFrame:
     """All-string rows of files of one format and header, with malformed lines kept as
@@ -99,15 +98,13 @@ def drop_empty(df: DataFrame) -> DataFrame:
 
 
 def _by_format(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
-    """Distinct formats with their files; a uniform directory is one format and needs no
-    file list. The list of paths is what Spark's own file index holds on the driver too."""
-    formats = file_formats(spark, path)
-    kinds = formats.select("delimiter", "encoding").distinct().collect()
-    if len(kinds) == 1:
-        return [(kinds[0].delimiter, kinds[0].encoding, [path])]
+    """Distinct formats with their files; a uniform directory is read as a whole. The
+    driver gets one row per file, as it does for Spark's own file index."""
     groups: dict[tuple[str, str], list[str]] = {}
-    for r in formats.collect():
+    for r in file_formats(spark, path).collect():
         groups.setdefault((r.delimiter, r.encoding), []).append(r.file)
+    if len(groups) == 1:
+        return [(*next(iter(groups)), [path])]
     return [(d, e, sorted(files)) for (d, e), files in sorted(groups.items())]
 
 
@@ -131,8 +128,8 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, rows: int | Non
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if rows is not None:
         table = table.limit(rows)
-    table = drop_empty(null_tokens(table))
-    return infer_types(table) if infer else table
+    table = null_tokens(table)
+    return infer_types(table, drop_empty=True).na.drop("all") if infer else drop_empty(table)
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
