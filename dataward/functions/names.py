@@ -29,6 +29,11 @@ def abs_is_safe(name: Column) -> Column:
     return ~contains_any(name, SIGNED_NAMES) & contains_any(name, UNSIGNED_NAMES)
 
 
+# The same test on the column column_name of a metadata table, as SQL.
+ABS_IS_SAFE = (f"(NOT lower(column_name) RLIKE '{any_of(SIGNED_NAMES)}' "
+               f"AND lower(column_name) RLIKE '{any_of(UNSIGNED_NAMES)}')")
+
+
 def pii_type_of_name(name: Column) -> Column:
     """First type with a keyword that equals, prefixes or suffixes the name as a word,
     or, from four letters on, occurs anywhere in it."""

@@ -21,7 +21,7 @@ from dataward.constants import (
     REPAIR_CONFIDENCE,
     UNIQUE,
 )
-from dataward.functions.names import abs_is_safe
+from dataward.functions.names import ABS_IS_SAFE
 from dataward.operators.rules import canonical_type
 
 ACTION_FIELDS = {
@@ -37,65 +37,59 @@ HISTORY_SCHEMA = (
     "confidence double, error string")
 
 
-def _action(**given) -> Column:
-    return F.struct(*[
-        (given[n] if isinstance(given.get(n), Column) else F.lit(given.get(n)))
-        .cast(t).alias(n) for n, t in ACTION_FIELDS.items()])
+DATED = ("(semantic_type = 'datetime' OR lower(column_name) LIKE '%date%' "
+         "OR lower(column_name) LIKE '%time%')")
 
 
-def _about(before: str, after: str) -> Column:
-    return F.concat(F.lit(before + " '"), F.col("column_name"), F.lit("'" + after))
+def _action(**given: str) -> str:
+    """SQL for an action struct; the values given are SQL, all others are null."""
+    return "struct(" + ", ".join(
+        f"cast({given.get(n, 'NULL')} AS {t}) AS {n}" for n, t in ACTION_FIELDS.items()) + ")"
 
 
-def _is_dated(semantic: Column, *words: str) -> Column:
-    test = semantic == "datetime"
-    for w in words:
-        test = test | F.lower("column_name").contains(w)
-    return F.coalesce(test, F.lit(False))
+def _about(before: str, after: str) -> str:
+    return f"concat('{before} \\'', column_name, '\\'{after}')"
 
 
 def action_for_failure() -> Column:
     """The repair for a failed rule, as a struct, from the rule and the semantic type."""
-    kind, name = F.col("expectation_type"), F.col("column_name")
-    dated = _is_dated(F.col("semantic_type"), "date", "time")
-    has_set = F.coalesce(F.size("value_set"), F.lit(0)) > 0
-    default = F.try_element_at("value_set", F.lit(1))
-    bounds = F.concat(
-        F.lit("'"), name, F.lit("' values outside expected range ["),
-        F.coalesce("min_value", F.lit("None")), F.lit(", "),
-        F.coalesce("max_value", F.lit("None")), F.lit("]"))
-    why = F.concat(F.lit("Deterministic repair for "), kind, F.lit(" on '"), name, F.lit("'"))
-    return (
-        F.when(kind == NOT_NULL, _action(
-            action_type="quarantine", condition="is_null", reasoning=why,
-            reason=_about("Missing required value in", " (null check failed)")))
-        .when((kind == BETWEEN) & dated, _action(
-            action_type="quarantine", condition="is_future_date", reasoning=why,
-            reason=_about("Invalid date in", " (out of valid range)")))
-        .when((kind == BETWEEN) & abs_is_safe(name), _action(
-            action_type="fix_value", operation="abs", reasoning=why,
-            reason=_about("Negative values are errors in", " — taking the absolute value")))
-        .when(kind == BETWEEN, _action(
-            action_type="quarantine", condition="out_of_bounds",
-            min_bound=F.col("min_value"), max_bound=F.col("max_value"), reasoning=why,
-            reason=bounds))
-        .when(kind == UNIQUE, _action(action_type="deduplicate", reasoning=why))
-        .when((kind == IN_SET) & has_set, _action(
-            action_type="fix_value", operation="replace_invalid_categorical",
-            valid_values=F.col("value_set"), default_value=default, reasoning=why,
-            reason=F.concat(_about("Invalid categorical value in", " — replacing with '"),
-                            default, F.lit("'"))))
-        .when(kind == IN_SET, _action(
-            action_type="quarantine", condition="is_null", reasoning=why,
-            reason=_about("Invalid categorical value in", " — no value set, quarantining")))
-        .when(kind == REGEX, _action(
-            action_type="quarantine", condition="fails_regex", regex=F.col("regex"),
+    why = ("concat('Deterministic repair for ', expectation_type, ' on \\'', column_name, "
+           "'\\'')")
+    null = {"action_type": "'quarantine'", "condition": "'is_null'", "reasoning": why}
+    bounds = ("concat('\\'', column_name, '\\' values outside expected range [', "
+              "coalesce(min_value, 'None'), ', ', coalesce(max_value, 'None'), ']')")
+    default = "try_element_at(value_set, 1)"
+    branches = [
+        (f"expectation_type = '{NOT_NULL}'", _action(
+            **null, reason=_about("Missing required value in", " (null check failed)"))),
+        (f"expectation_type = '{BETWEEN}' AND {DATED}", _action(
+            action_type="'quarantine'", condition="'is_future_date'", reasoning=why,
+            reason=_about("Invalid date in", " (out of valid range)"))),
+        (f"expectation_type = '{BETWEEN}' AND {ABS_IS_SAFE}", _action(
+            action_type="'fix_value'", operation="'abs'", reasoning=why,
+            reason=_about("Negative values are errors in", " — taking the absolute value"))),
+        (f"expectation_type = '{BETWEEN}'", _action(
+            action_type="'quarantine'", condition="'out_of_bounds'", min_bound="min_value",
+            max_bound="max_value", reasoning=why, reason=bounds)),
+        (f"expectation_type = '{UNIQUE}'", _action(
+            action_type="'deduplicate'", reasoning=why)),
+        (f"expectation_type = '{IN_SET}' AND size(value_set) > 0", _action(
+            action_type="'fix_value'", operation="'replace_invalid_categorical'",
+            valid_values="value_set", default_value=default, reasoning=why,
+            reason=f"concat({_about('Invalid categorical value in', ' — replacing with ')}, "
+                   f"'\\'', {default}, '\\'')")),
+        (f"expectation_type = '{IN_SET}'", _action(
+            **null, reason=_about("Invalid categorical value in",
+                                  " — no value set, quarantining"))),
+        (f"expectation_type = '{REGEX}'", _action(
+            action_type="'quarantine'", condition="'fails_regex'", regex="regex",
             reasoning=why,
-            reason=_about("Value in", " failed regex validation — quarantining")))
-        .otherwise(_action(
-            action_type="quarantine", condition="is_null", reasoning=why,
-            reason=F.concat(F.lit("Unhandled failure type '"), kind,
-                            _about("' on", " — quarantining")))))
+            reason=_about("Value in", " failed regex validation — quarantining"))),
+    ]
+    other = _action(**null, reason="concat('Unhandled failure type \\'', expectation_type, "
+                                   + _about("\\' on", " — quarantining") + ")")
+    return F.expr("CASE " + " ".join(f"WHEN {test} THEN {action}" for test, action in branches)
+                  + f" ELSE {other} END")
 
 
 def _failures(results: DataFrame, semantics: DataFrame) -> DataFrame:
@@ -148,7 +142,7 @@ def _screen(proposed: DataFrame, failures: DataFrame, semantics: DataFrame) -> D
         | ((kind == "fix_value") & operation.isin(CATEGORICAL_FIXES)
            & (F.col("expectation_type") != IN_SET))
         | ((kind == "quarantine") & F.col("expectation_type").isin(REGEX, BETWEEN)))
-    as_proposed = _action(**{n: F.col(n) for n in ACTION_FIELDS})
+    as_proposed = F.expr(_action(**{n: n for n in ACTION_FIELDS}))
     return matched.select(
         F.col("proposal_order").alias("step"), "column_name",
         F.coalesce("failure_type", "expectation_type").alias("failure_type"), "rule_order",
@@ -159,51 +153,50 @@ def _screen(proposed: DataFrame, failures: DataFrame, semantics: DataFrame) -> D
 
 def _complete(plan: DataFrame) -> DataFrame:
     """Fill what an action lacks from its failed rule, and veto unsafe repairs."""
-    act = plan.select("step", "column_name", "failure_type", "semantic_type", "min_value",
-                      "max_value", F.col("value_set").alias("rule_set"),
-                      *[F.col(f"act.{n}").alias(n) for n in ACTION_FIELDS])
-    kind, operation = F.col("action_type"), F.col("operation")
-    failure = F.coalesce("failure_type", F.lit(""))
-    derived = (F.when(_is_dated(F.col("semantic_type"), "date"), "is_future_date")
-               .when(failure.contains("null"), "is_null")
-               .when(failure.contains("unique"), "is_duplicate")
-               .when(failure.contains("between"), "out_of_bounds")
-               .otherwise("is_null"))
-    rule_has_set = F.coalesce(F.size("rule_set"), F.lit(0)) > 0
-    own_set = F.coalesce(F.size("valid_values"), F.lit(0)) > 0
-    categorical = F.coalesce(operation.isin(CATEGORICAL_FIXES), F.lit(False))
-    no_set = categorical & ~rule_has_set & ~own_set
-    veto = F.coalesce(operation == "abs", F.lit(False)) & ~abs_is_safe(F.col("column_name"))
-    changed = no_set | veto
-    condition = (F.when(no_set, "is_null").when(veto, "out_of_bounds")
-                 .when((kind == "quarantine") & F.col("condition").isNull(), derived)
-                 .otherwise(F.col("condition")))
-    bounded = condition == "out_of_bounds"
-    default = F.when(F.array_contains("rule_set", F.col("default_value")),
-                     F.col("default_value")).otherwise(F.try_element_at("rule_set", F.lit(1)))
-    return act.select(
-        "step", "column_name", "failure_type", "semantic_type",
-        kind.alias("planned_type"),
-        F.when(changed, F.lit("quarantine")).otherwise(kind).alias("action_type"),
-        F.when(~changed, operation).alias("operation"),
-        condition.alias("condition"),
-        F.when(veto, F.col("min_value"))
-        .when(bounded, F.coalesce("min_bound", "min_value"))
-        .otherwise(F.col("min_bound")).alias("min_bound"),
-        F.when(veto, F.col("max_value"))
-        .when(bounded, F.coalesce("max_bound", "max_value"))
-        .otherwise(F.col("max_bound")).alias("max_bound"),
-        F.when(categorical & rule_has_set, F.col("rule_set"))
-        .otherwise(F.col("valid_values")).alias("valid_values"),
-        F.when(categorical & rule_has_set, default)
-        .otherwise(F.col("default_value")).alias("default_value"),
+    facts = plan.selectExpr(
+        "step", "column_name", "failure_type", "semantic_type", "min_value", "max_value",
+        "value_set AS rule_set", "act.*").selectExpr(
+        "*",
+        f"coalesce(operation IN ({_words(CATEGORICAL_FIXES)}), false) AS categorical",
+        "coalesce(size(rule_set), 0) > 0 AS rule_has_set",
+        f"coalesce(operation = 'abs', false) AND NOT {ABS_IS_SAFE} AS veto").selectExpr(
+        "*", "categorical AND NOT rule_has_set AND coalesce(size(valid_values), 0) <= 0 "
+             "AS no_set").selectExpr(
+        "*", """CASE WHEN no_set THEN 'is_null' WHEN veto THEN 'out_of_bounds'
+            WHEN action_type <> 'quarantine' OR condition IS NOT NULL THEN condition
+            WHEN semantic_type = 'datetime' OR lower(column_name) LIKE '%date%'
+                THEN 'is_future_date'
+            WHEN failure_type LIKE '%null%' THEN 'is_null'
+            WHEN failure_type LIKE '%unique%' THEN 'is_duplicate'
+            WHEN failure_type LIKE '%between%' THEN 'out_of_bounds'
+            ELSE 'is_null' END AS final_condition""")
+
+    def bound(own: str, rule: str) -> str:
+        return (f"CASE WHEN veto THEN {rule} WHEN final_condition = 'out_of_bounds' "
+                f"THEN coalesce({own}, {rule}) ELSE {own} END AS {own}")
+
+    return facts.selectExpr(
+        "step", "column_name", "failure_type", "semantic_type", "action_type AS planned_type",
+        "CASE WHEN no_set OR veto THEN 'quarantine' ELSE action_type END AS action_type",
+        "CASE WHEN NOT (no_set OR veto) THEN operation END AS operation",
+        "final_condition AS condition",
+        bound("min_bound", "min_value"), bound("max_bound", "max_value"),
+        "CASE WHEN categorical AND rule_has_set THEN rule_set ELSE valid_values END "
+        "AS valid_values",
+        "CASE WHEN NOT (categorical AND rule_has_set) THEN default_value "
+        "WHEN array_contains(rule_set, default_value) THEN default_value "
+        "ELSE rule_set[0] END AS default_value",
         "regex",
-        F.when(no_set, F.lit("No valid categorical set available — quarantining"))
-        .when(veto, _about("Signed numeric", " — quarantining out-of-range values"))
-        .when((kind == "quarantine") & F.col("reason").isNull(),
-              F.coalesce("reasoning", F.lit("Data quality failure")))
-        .otherwise(F.col("reason")).alias("reason"),
-        F.coalesce("reasoning", F.lit("")).alias("reasoning"))
+        f"""CASE WHEN no_set THEN 'No valid categorical set available — quarantining'
+            WHEN veto THEN {_about('Signed numeric', ' — quarantining out-of-range values')}
+            WHEN action_type = 'quarantine' AND reason IS NULL
+                THEN coalesce(reasoning, 'Data quality failure')
+            ELSE reason END AS reason""",
+        "coalesce(reasoning, '') AS reasoning")
+
+
+def _words(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
 def confidence_table(spark: SparkSession) -> DataFrame:
