@@ -9,31 +9,30 @@ from dataward.functions.coerce import col
 from dataward.functions.masks import mask
 
 
-def as_types(detections, table: str | None = None) -> dict[str, str]:
-    """column -> type from a detection table (one row per sensitive column) or a dict."""
-    if isinstance(detections, dict):
-        return detections
-    rows = detections if table is None else detections.where(F.col("table_name") == table)
-    return {r.column_name: r.pii_type
-            for r in rows.select("column_name", "pii_type").collect()}
+def types_by_table(detections: DataFrame) -> dict[str, dict[str, str]]:
+    """table -> column -> type. A detection table has one row per sensitive column."""
+    found: dict[str, dict[str, str]] = {}
+    for r in detections.select("table_name", "column_name", "pii_type").collect():
+        found.setdefault(r.table_name, {})[r.column_name] = r.pii_type
+    return found
 
 
-def mask_table(df: DataFrame, detections, table: str | None = None) -> DataFrame:
-    types = as_types(detections, table)
+def mask_table(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The table with the given columns masked as their type asks."""
     return df.withColumns({c: mask(col(c), t) for c, t in types.items() if c in df.columns})
 
 
 def mask_tables(tables: dict[str, DataFrame], detections: DataFrame) -> dict[str, DataFrame]:
     """Every table with at least one detection, masked."""
-    wanted = {r.table_name for r in detections.select("table_name").distinct().collect()}
-    return {name: mask_table(df, detections, name)
-            for name, df in tables.items() if name in wanted}
+    found = types_by_table(detections)
+    return {name: mask_table(df, found[name]) for name, df in tables.items() if name in found}
 
 
-def masking_details(df: DataFrame, detections, key: str, table: str, k: int = 3) -> DataFrame:
+def masking_details(df: DataFrame, types: dict[str, str], key: str, table: str,
+                    k: int = 3) -> DataFrame:
     """Per masked column its first k non-null values in key order, before and after."""
     parts = []
-    for c, t in as_types(detections, table).items():
+    for c, t in types.items():
         if c not in df.columns:
             continue
         head = (df.where(col(c).isNotNull())
@@ -51,10 +50,9 @@ def masking_details(df: DataFrame, detections, key: str, table: str, k: int = 3)
 
 def masking_summary(tables: dict[str, DataFrame], detections: DataFrame) -> DataFrame:
     """Per masked table: masked columns and its row count (all rows, changed or not)."""
-    parts = None
+    parts, found = None, types_by_table(detections)
     for name, df in tables.items():
-        types = as_types(detections, name)
-        columns = sorted(c for c in types if c in df.columns)
+        columns = sorted(c for c in found.get(name, {}) if c in df.columns)
         if not columns:
             continue
         row = df.agg(F.count(F.lit(1)).alias("rows_affected")).select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,14 +127,19 @@ def detections(scores: DataFrame) -> DataFrame:
         "sample_values")
 
 
+def columns_and_samples(tables: dict[str, DataFrame],
+                        parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """All columns of the tables and their samples; the small first reads run side by
+    side."""
+    with ThreadPoolExecutor(parallel) as pool:
+        samples = list(pool.map(lambda t: sample_distinct(t[1], t[0]), tables.items()))
+    columns = [columns_of(df, name) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, columns), reduce(DataFrame.unionByName, samples)
+
+
 def detect_pii(tables: dict[str, DataFrame]) -> DataFrame:
     """Detections over all columns of all given tables."""
-    columns = samples = None
-    for name, df in tables.items():
-        c, s = columns_of(df, name), sample_distinct(df, name)
-        columns = c if columns is None else columns.unionByName(c)
-        samples = s if samples is None else samples.unionByName(s)
-    return detections(score_columns(columns, samples))
+    return detections(score_columns(*columns_and_samples(tables)))
 
 
 def lineage_tables(spark: SparkSession, edges: DataFrame) -> dict[str, DataFrame]:

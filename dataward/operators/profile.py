@@ -8,6 +8,7 @@ value leaves each task as one row.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -24,9 +25,10 @@ from dataward.functions.coerce import (
     quoted,
     text_literal,
 )
-from dataward.operators.quantile import GROUP_LIMIT, exact_quantiles
+from dataward.operators.quantile import GROUP_LIMIT, Extent, exact_quantiles
 from dataward.session import materialize
 
+COLUMNS_PER_SCAN = 200
 LONG_VALUE = 256          # longer strings are grouped by digest, never by their text
 TOP_TYPE = "array<struct<value:string,n:bigint>>"
 STATS_SCHEMA = (
@@ -57,8 +59,9 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
     longest = {r.column_name: r.longest for r in rows if r.longest is not None}
     if total is None:
         total = rows[0].total_count if rows else 0
-    filled = {r.column_name: r.total_count - r.null_count for r in rows}
-    pieces = _distinct_pieces(table, longest, filled, approx, group_limit)
+    extents = {r.column_name: Extent(r.total_count - r.null_count, r.min_value, r.max_value)
+               for r in rows}
+    pieces = _distinct_pieces(table, longest, extents, approx, group_limit)
     if pieces:
         merged = reduce(DataFrame.unionByName, pieces).groupBy("column_name").agg(
             *[F.max(c).alias(c) for c in ("unique_count", "p25", "p75", "top_values")])
@@ -86,7 +89,8 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
 
 
 def column_stats(df: DataFrame, as_of: str | None = None, approx: bool = False) -> DataFrame:
-    """Counts, bounds and moments of every column from one global aggregate."""
+    """Counts, bounds and moments of every column from one global aggregate; very wide
+    tables take one aggregate per group of columns, each reading only those."""
     names = [c.split()[0] for c in STATS_SCHEMA.split(", ")]
     types = dict(c.split() for c in STATS_SCHEMA.split(", "))
     structs = []
@@ -94,7 +98,19 @@ def column_stats(df: DataFrame, as_of: str | None = None, approx: bool = False)
         found = _stats_sql(f, i, as_of, approx)
         structs.append("struct(" + ", ".join(
             f"cast({found.get(n, 'NULL')} AS {types[n]}) AS {n}" for n in names) + ")")
-    return df.selectExpr(f"array({', '.join(structs)}) AS s").selectExpr("inline(s)")
+    return reduce(DataFrame.unionByName, [
+        df.selectExpr(f"array({', '.join(structs[i:i + COLUMNS_PER_SCAN])}) AS s")
+        .selectExpr("inline(s)") for i in range(0, len(structs), COLUMNS_PER_SCAN)])
+
+
+def profile_tables(tables: dict[str, DataFrame], as_of: str | None = None,
+                   parallel: int = 4, **options) -> DataFrame:
+    """Profiles of many tables, one row per column. Their first aggregates are submitted
+    side by side, the rest is one job."""
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(
+            lambda item: profile(item[1], item[0], as_of, **options), tables.items()))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _stats_sql(field: T.StructField, ordinal: int, as_of: str | None,
@@ -129,7 +145,7 @@ def _stats_sql(field: T.StructField, ordinal: int, as_of: str | None,
 PROFILED = ("int", "float", "datetime", "boolean", "object")
 
 
-def _distinct_pieces(df: DataFrame, longest: dict[str, int], filled: dict[str, int],
+def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str, Extent],
                      approx: bool, group_limit: int) -> list[DataFrame]:
     """(column_name, unique_count, p25, p75, top_values) per kind of column."""
     no_top, no_quartiles = f"cast(NULL AS {TOP_TYPE}) AS top_values", [
@@ -143,37 +159,45 @@ def _distinct_pieces(df: DataFrame, longest: dict[str, int], filled: dict[str, i
             if not names:
                 continue
             freq = _frequencies(df, names, sql_type)
-            if max(filled[n] for n in names) > group_limit:
+            if max(extents[n].n for n in names) > group_limit:
                 freq = materialize(freq, "value-counts")
-            numbers = {n: filled[n] for n in names if kinds[n] != "datetime"}
-            moments = [n for n in names if n not in numbers]
+            numbers = {i: extents[n] for i, n in enumerate(names)
+                       if kinds[n] != "datetime" and extents[n].n}
+            moments = [i for i, n in enumerate(names) if kinds[n] == "datetime"]
             if numbers:
                 values = freq.withColumn("value", F.col("value").cast("double"))
                 pieces.append(exact_quantiles(
                     values, numbers, [0.25, 0.75], ["p25", "p75"], group_limit)
-                    .selectExpr("*", no_top))
+                    .selectExpr(_name_of(names), "unique_count", "p25", "p75", no_top))
             if moments:
-                pieces.append(freq.where(F.col("column_name").isin(moments))
-                              .groupBy("column_name")
+                pieces.append(freq.where(F.col("column_id").isin(moments))
+                              .groupBy("column_id")
                               .agg(F.count(F.lit(1)).alias("unique_count"))
-                              .selectExpr("*", *no_quartiles, no_top))
-    counts = _text_counts(df, longest)
-    if counts is not None:
+                              .selectExpr(_name_of(names), "unique_count", *no_quartiles,
+                                          no_top))
+    texts = [n for n, k in kinds.items() if k in ("object", "boolean")]
+    if texts:
+        counts = _text_counts(df, texts, longest)
         if not approx:
-            pieces.append(counts.groupBy("column_name").agg(
-                F.count(F.lit(1)).alias("unique_count")).selectExpr("*", *no_quartiles, no_top))
-        tops = _top_of(df, counts, longest, TOP_VALUES).groupBy("column_name").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
-            lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")))
+            pieces.append(counts.groupBy("column_id").agg(
+                F.count(F.lit(1)).alias("unique_count"))
+                .selectExpr(_name_of(texts), "unique_count", *no_quartiles, no_top))
+        tops = _top_of(df, texts, counts, longest, TOP_VALUES).groupBy("column_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
+                        lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")))
             .alias("top_values"))
-        pieces.append(tops.selectExpr("column_name", "bigint(NULL) AS unique_count",
+        pieces.append(tops.selectExpr(_name_of(texts), "bigint(NULL) AS unique_count",
                                       *no_quartiles, "top_values"))
     return pieces
 
 
+def _name_of(names: list[str]) -> str:
+    return f"array({', '.join(text_literal(n) for n in names)})[column_id] AS column_name"
+
+
 def _pairs(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
-    """(column_name, value) of the named columns, nulls left out. Points in time are
-    counted as microseconds."""
+    """(column_id, value) of the named columns, nulls left out; the id is the position in
+    ``names``. Points in time are counted as microseconds."""
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def cast(name: str) -> str:
@@ -181,54 +205,46 @@ def _pairs(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
             return f"unix_micros(cast({quoted(name)} AS timestamp))"
         return f"cast({quoted(name)} AS {sql_type})"
 
-    typed = df.selectExpr(*[f"{cast(n)} AS {quoted(n)}" for n in names])
-    return typed.unpivot([], [col(n) for n in names], "column_name", "value").where(
+    pairs = ", ".join(f"{i}, {cast(n)}" for i, n in enumerate(names))
+    return df.selectExpr(f"stack({len(names)}, {pairs}) AS (column_id, value)").where(
         "value IS NOT NULL")
 
 
 def _frequencies(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
-    return _pairs(df, names, sql_type).groupBy("column_name", "value").agg(
+    return _pairs(df, names, sql_type).groupBy("column_id", "value").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-def _text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if profile_dtype(f.dataType) in ("object", "boolean")]
-
-
-def _text_counts(df: DataFrame, longest: dict[str, int]) -> DataFrame | None:
-    """Frequencies of the text and boolean columns: (column_name, key, is_digest, n). Long
-    texts are counted by their digest, so whole documents never reach the shuffle."""
-    names = _text_columns(df)
-    if not names:
-        return None
+def _text_counts(df: DataFrame, names: list[str], longest: dict[str, int]) -> DataFrame:
+    """Frequencies of text and boolean columns: (column_id, key, is_digest, n). Long texts
+    are counted by their digest, so whole documents never reach the shuffle."""
     pairs = _pairs(df, names, "string")
-    if max(longest.values(), default=0) <= LONG_VALUE:
-        keyed = pairs.selectExpr("column_name", "value AS key", "false AS is_digest")
+    if max((longest.get(n, 0) for n in names), default=0) <= LONG_VALUE:
+        keyed = pairs.selectExpr("column_id", "value AS key", "false AS is_digest")
     else:
         keyed = pairs.selectExpr(
-            "column_name",
+            "column_id",
             f"CASE WHEN length(value) > {LONG_VALUE} THEN sha2(value, 256) ELSE value END AS key",
             f"length(value) > {LONG_VALUE} AS is_digest")
-    return keyed.groupBy("column_name", "key", "is_digest").agg(F.count(F.lit(1)).alias("n"))
+    return keyed.groupBy("column_id", "key", "is_digest").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _top_of(df: DataFrame, counts: DataFrame, longest: dict[str, int], k: int) -> DataFrame:
+def _top_of(df: DataFrame, names: list[str], counts: DataFrame, longest: dict[str, int],
+            k: int) -> DataFrame:
     """The k most frequent values per column, ties in value order (digest order for long
-    texts): (column_name, rank, value, n). The rank filter runs before the shuffle."""
-    w = Window.partitionBy("column_name").orderBy(F.desc("n"), "key")
+    texts): (column_id, rank, value, n). The rank filter runs before the shuffle."""
+    w = Window.partitionBy("column_id").orderBy(F.desc("n"), "key")
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    short = ranked.where("NOT is_digest").selectExpr("column_name", "rank", "key AS value", "n")
-    long_columns = [n for n, size in longest.items() if size > LONG_VALUE]
-    if not long_columns:
+    short = ranked.where("NOT is_digest").selectExpr("column_id", "rank", "key AS value", "n")
+    if max((longest.get(n, 0) for n in names), default=0) <= LONG_VALUE:
         return short
     # Fetch the text behind the few winning digests: at most k per column are broadcast.
-    digests = ranked.where("is_digest").select("column_name", "key", "rank", "n")
-    texts = _pairs(df, long_columns, "string").where(f"length(value) > {LONG_VALUE}")
+    digests = ranked.where("is_digest").select("column_id", "key", "rank", "n")
+    texts = _pairs(df, names, "string").where(f"length(value) > {LONG_VALUE}")
     restored = (texts.withColumn("key", F.sha2("value", 256))
-                .join(F.broadcast(digests), ["column_name", "key"])
-                .groupBy("column_name", "rank", "n").agg(F.min("value").alias("value"))
-                .select("column_name", "rank", "value", "n"))
+                .join(F.broadcast(digests), ["column_id", "key"])
+                .groupBy("column_id", "rank", "n").agg(F.min("value").alias("value"))
+                .select("column_id", "rank", "value", "n"))
     return short.unionByName(restored)
 
 

@@ -8,62 +8,87 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataward.functions.coerce import text_literal
-
 # A column with at most this many distinct values is finished by one aggregate.
 GROUP_LIMIT = 1_000_000
-BINS = 64
+BINS = 64                 # splitter intervals per search round
+WIDTH_BINS = 1024
+
+
+@dataclass(frozen=True)
+class Extent:
+    """Rows and value range of one column."""
+
+    n: int
+    low: float
+    high: float
 
 
-def exact_quantiles(freq: DataFrame, sizes: dict[str, int], probs: list[float],
+def exact_quantiles(freq: DataFrame, extents: dict[int, Extent], probs: list[float],
                     names: list[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """One row per column_name: unique_count and one linearly interpolated quantile per
+    """One row per column_id: unique_count and one linearly interpolated quantile per
     probability.
 
-    ``freq`` is (column_name, value double, n), one row per distinct value; ``sizes`` has
-    the rows per column. A column of at most ``group_limit`` rows is ranked in one bounded
-    group. Of a larger one each wanted rank is first enclosed by counting values between
-    splitters, round by round, until the enclosing interval is that small."""
-    bounded = {c: n for c, n in sizes.items() if n <= group_limit}
-    rest = [c for c in sizes if c not in bounded]
+    ``freq`` is (column_id, value double, n), one row per distinct value. A column of at
+    most ``group_limit`` rows is ranked directly. Of a larger one each wanted rank is first
+    enclosed by counting values between splitters, round by round, until the enclosing
+    interval holds that few values."""
+    bounded = {c: e for c, e in extents.items() if e.n <= group_limit}
+    rest = [c for c in extents if c not in bounded]
     if not rest:
-        return _rank_in_group(freq, bounded, probs, names)
-    counts = {r.column_name: r for r in
-              freq.where(F.col("column_name").isin(rest)).groupBy("column_name").agg(
-                  F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("n"),
-                  F.min("value").alias("low"), F.max("value").alias("high")).collect()}
-    few = {c: r.n for c, r in counts.items() if r.distinct_values <= group_limit}
-    out = _rank_in_group(freq, bounded | few, probs, names)
-    many = [r for c, r in counts.items() if c not in few]
+        return _rank_directly(freq, bounded, probs, names)
+    counts = {r.column_id: r.distinct_values for r in
+              freq.where(F.col("column_id").isin(rest)).groupBy("column_id").agg(
+                  F.count(F.lit(1)).alias("distinct_values")).collect()}
+    bounded |= {c: extents[c] for c, d in counts.items() if d <= group_limit}
+    out = _rank_directly(freq, bounded, probs, names)
+    many = {c: d for c, d in counts.items() if c not in bounded}
     if not many:
         return out
-    found = _rank_by_search(freq, many, probs, group_limit)
-    schema = "column_name string, unique_count bigint, " + ", ".join(
-        f"{n} double" for n in names)
-    rows = [(r.column_name, r.distinct_values,
-             *[found[r.column_name, i] for i in range(len(probs))]) for r in many]
+    found = _rank_by_search(freq, many, extents, probs, group_limit)
+    schema = "column_id int, unique_count bigint, " + ", ".join(f"{n} double" for n in names)
+    rows = [(c, d, *[found[c, i] for i in range(len(probs))]) for c, d in many.items()]
     return out.unionByName(freq.sparkSession.createDataFrame(rows, schema))
 
 
-def _rank_in_group(freq: DataFrame, sizes: dict[str, int], probs: list[float],
+def _rank_directly(freq: DataFrame, extents: dict[int, Extent], probs: list[float],
                    names: list[str]) -> DataFrame:
-    """Quantiles of columns with few distinct values, from running counts."""
-    own = freq.where(F.col("column_name").isin(list(sizes)))
-    running = Window.partitionBy("column_name").orderBy("value").rowsBetween(
+    """Quantiles of columns whose distinct values fit one group.
+
+    Rows per equal-width bin tell which bins hold the wanted ranks; only the values of
+    those few bins are shuffled and sorted."""
+    table = freq.sparkSession.createDataFrame(
+        [(c, e.n - 1, e.low, e.high) for c, e in extents.items()],
+        "column_id int, last bigint, low double, high double")
+    binned = freq.join(F.broadcast(table), "column_id").selectExpr(
+        "column_id", "value", "n", "last",
+        f"""CASE WHEN high > low AND high - low < double('Infinity') THEN least(
+            {WIDTH_BINS - 1}, int((value - low) / (high - low) * {WIDTH_BINS})) ELSE 0 END
+            AS bin""")
+    column = Window.partitionBy("column_id")
+    upto = F.sum("n").over(column.orderBy("bin"))
+    wanted = " OR ".join(
+        f"(before <= {f}(last * {p!r}D) AND upto > {f}(last * {p!r}D))"
+        for p in probs for f in ("floor", "ceil"))
+    bins = (binned.groupBy("column_id", "bin").agg(
+                F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"),
+                F.max("last").alias("last"))
+            .select("column_id", "bin", "last", upto.alias("upto"),
+                    (upto - F.col("n")).alias("before"),
+                    F.sum("values").over(column).alias("unique_count"))
+            .where(wanted).select("column_id", "bin", "before", "unique_count"))
+    in_bin = Window.partitionBy("column_id", "bin").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0)
-    size = F.expr("CASE column_name " + " ".join(
-        f"WHEN {text_literal(c)} THEN {n}L" for c, n in sizes.items()) + " END"
-        if sizes else "0L")
-    ranked = own.select("column_name", "value", F.sum("n").over(running).alias("upto"),
-                        (size - 1).alias("last"))
+    ranked = binned.join(F.broadcast(bins), ["column_id", "bin"]).select(
+        "column_id", "value", "last", "unique_count",
+        (F.sum("n").over(in_bin) + F.col("before")).alias("upto"))
     at = []
     for i, p in enumerate(probs):
         at += [f"min(CASE WHEN upto > floor(last * {p!r}D) THEN value END) AS low{i}",
                f"min(CASE WHEN upto > ceil(last * {p!r}D) THEN value END) AS high{i}",
                f"max(last * {p!r}D - floor(last * {p!r}D)) AS part{i}"]
-    return ranked.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"), *[F.expr(x) for x in at]).selectExpr(
-        "column_name", "unique_count",
+    return ranked.groupBy("column_id").agg(
+        F.max("unique_count").alias("unique_count"), *[F.expr(x) for x in at]).selectExpr(
+        "column_id", "unique_count",
         *[f"low{i} + (high{i} - low{i}) * part{i} AS {n}" for i, n in enumerate(names)])
 
 
@@ -71,7 +96,7 @@ def _rank_in_group(freq: DataFrame, sizes: dict[str, int], probs: list[float],
 class _Bracket:
     """Interval of values known to hold a wanted rank."""
 
-    column_name: str
+    column_id: int
     part: int            # which probability
     rank: float          # zero-based, fractional
     low: float
@@ -80,29 +105,28 @@ class _Bracket:
     distinct_values: int
 
 
-def _rank_by_search(freq: DataFrame, columns: list, probs: list[float],
-                    group_limit: int) -> dict[tuple[str, int], float]:
+def _rank_by_search(freq: DataFrame, columns: dict[int, int], extents: dict[int, Extent],
+                    probs: list[float], group_limit: int) -> dict[tuple[int, int], float]:
     """Values at all wanted ranks. Every round handles all columns at once: splitters of
     the open intervals, then exact counts between them; only counts reach the driver."""
-    brackets = [_Bracket(r.column_name, i, p * (r.n - 1), r.low, r.high, 0,
-                         r.distinct_values)
-                for r in columns for i, p in enumerate(probs)]
+    brackets = [_Bracket(c, i, p * (extents[c].n - 1), extents[c].low, extents[c].high, 0, d)
+                for c, d in columns.items() for i, p in enumerate(probs)]
     wide = [b for b in brackets if b.distinct_values > group_limit]
     while wide:
         probes = [i / BINS for i in range(1, BINS)]
-        edges = {(r.column_name, r.part): r.edges for r in _inside(freq, wide).groupBy(
-            "column_name", "part").agg(
+        edges = {(r.column_id, r.part): r.edges for r in _inside(freq, wide).groupBy(
+            "column_id", "part").agg(
                 F.percentile_approx("value", probes, 10 * BINS).alias("edges")).collect()}
-        counted: dict[tuple[str, int], list] = {}
+        counted: dict[tuple[int, int], list] = {}
         for r in (_inside(freq, wide, edges)
-                  .groupBy("column_name", "part", _bin(0, BINS - 1).alias("bin"))
+                  .groupBy("column_id", "part", _bin(0, BINS - 1).alias("bin"))
                   .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_values"),
                        F.min("value").alias("low"), F.max("value").alias("high")).collect()):
-            counted.setdefault((r.column_name, r.part), []).append(r)
+            counted.setdefault((r.column_id, r.part), []).append(r)
         still = []
         for b in wide:
             before = b.distinct_values
-            _narrow(b, sorted(counted[b.column_name, b.part], key=lambda r: r.bin))
+            _narrow(b, sorted(counted[b.column_id, b.part], key=lambda r: r.bin))
             if group_limit < b.distinct_values < before:
                 still.append(b)
         wide = still
@@ -124,12 +148,12 @@ def _narrow(b: _Bracket, bins: list) -> None:
 
 def _inside(freq: DataFrame, brackets: list[_Bracket], edges=None) -> DataFrame:
     """Frequencies within the intervals. The broadcast side has one row per interval."""
-    rows = [(b.column_name, b.part, b.low, b.high, b.below, b.rank,
-             (edges or {}).get((b.column_name, b.part))) for b in brackets]
+    rows = [(b.column_id, b.part, b.low, b.high, b.below, b.rank,
+             (edges or {}).get((b.column_id, b.part))) for b in brackets]
     table = freq.sparkSession.createDataFrame(
-        rows, "column_name string, part int, low double, high double, below bigint, "
+        rows, "column_id int, part int, low double, high double, below bigint, "
               "rank double, edges array<double>")
-    return freq.join(F.broadcast(table), "column_name").where("value BETWEEN low AND high")
+    return freq.join(F.broadcast(table), "column_id").where("value BETWEEN low AND high")
 
 
 def _bin(first: int, last: int):
@@ -141,14 +165,14 @@ def _bin(first: int, last: int):
         _bin(mid + 1, last))
 
 
-def _finish(freq: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    running = Window.partitionBy("column_name", "part").orderBy("value").rowsBetween(
+def _finish(freq: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    running = Window.partitionBy("column_id", "part").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0)
     ranked = _inside(freq, brackets).select(
-        "column_name", "part", "value", "rank",
+        "column_id", "part", "value", "rank",
         (F.sum("n").over(running) + F.col("below")).alias("upto"))
-    rows = ranked.groupBy("column_name", "part").agg(
+    rows = ranked.groupBy("column_id", "part").agg(
         F.expr("min(CASE WHEN upto > floor(rank) THEN value END)").alias("low"),
         F.expr("min(CASE WHEN upto > ceil(rank) THEN value END)").alias("high"),
         F.expr("max(rank - floor(rank))").alias("share")).collect()
-    return {(r.column_name, r.part): r.low + (r.high - r.low) * r.share for r in rows}
+    return {(r.column_id, r.part): r.low + (r.high - r.low) * r.share for r in rows}

@@ -121,11 +121,7 @@ def scanned(spark, sf):
     ctes={"samples": samples_sql()}))
 def pii_samples(spark, sf):
     """The 20 smallest distinct values of every column of ten tables."""
-    out = None
-    for name, df in scanned(spark, sf).items():
-        part = pii.sample_distinct(df, name)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
+    return pii.columns_and_samples(scanned(spark, sf))[1].withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("pii_regex_score", oracle(
@@ -133,12 +129,7 @@ def pii_samples(spark, sf):
     "keyword_score, shape_type, round(shape_score, 4)::double AS shape_score FROM scores",
     *PII_VIEWS, ctes={k: v for k, v in PII_CTES.items() if k != "detected"}))
 def pii_regex_score(spark, sf):
-    columns = samples = None
-    for name, df in scanned(spark, sf).items():
-        c, s = pii.columns_of(df, name), pii.sample_distinct(df, name)
-        columns = c if columns is None else columns.unionByName(c)
-        samples = s if samples is None else samples.unionByName(s)
-    return pii.score_columns(columns, samples).select(
+    return pii.score_columns(*pii.columns_and_samples(scanned(spark, sf))).select(
         "table_name", "column_name", "samples", "keyword_type",
         F.round("keyword_score", 4).alias("keyword_score"), "shape_type",
         F.round("shape_score", 4).alias("shape_score"))
@@ -355,6 +346,4 @@ FROM detected d WHERE table_name IN ('customer_pii', 'customer', 'part') GROUP B
     *PII_VIEWS, ctes=PII_CTES))
 def masking_summary(spark, sf):
     tables = {t: table(spark, sf, t) for t in ("customer_pii", "customer", "part")}
-    found = pii.detect_pii(tables)
-    return masking.masking_summary(
-        tables, spark.createDataFrame(found.collect(), found.schema))   # a row per column
+    return masking.masking_summary(tables, pii.detect_pii(tables))

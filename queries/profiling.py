@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,7 @@ from queries.sqlparts import ABS_SAFE, HEALTH, SEMANTIC, profile_sql
 
 
 def profiles(spark, sf, *names, **options) -> DataFrame:
-    return reduce(DataFrame.unionByName, [
-        profile.profile(table(spark, sf, n), n, AS_OF, **options) for n in names])
+    return profile.profile_tables({n: table(spark, sf, n) for n in names}, AS_OF, **options)
 
 
 def profile_oracle(select: str, *names: str, where: str = "", more=None) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dataward.operators import classify
 from dataward.operators.profile import profile
-from dataward.operators.quantile import exact_quantiles
+from dataward.operators.quantile import Extent, exact_quantiles
 
 SCHEMA = "id bigint, price double, status string, sign_date string, email string, ok boolean"
 
@@ -59,15 +59,18 @@ def test_exact_quantiles_at_any_group_limit(spark, limit):
         "hot": np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 500, 3000) / 8),
         "few": rng.integers(0, 5, 1000).astype(float),
     }
-    frame = pd.concat([pd.DataFrame({"column_name": c, "value": v}) for c, v in columns.items()])
-    freq = spark.createDataFrame(frame).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    got = exact_quantiles(freq, {c: len(v) for c, v in columns.items()}, [0.25, 0.5, 0.99],
-                          ["a", "b", "c"], limit).collect()
-    assert {r.column_name: r.unique_count for r in got} == {
+    ids = dict(enumerate(columns))
+    frame = pd.concat([pd.DataFrame({"column_id": i, "value": columns[c]})
+                       for i, c in ids.items()])
+    freq = spark.createDataFrame(frame, "column_id int, value double").groupBy(
+        "column_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    extents = {i: Extent(len(columns[c]), float(min(columns[c])), float(max(columns[c])))
+               for i, c in ids.items()}
+    got = exact_quantiles(freq, extents, [0.25, 0.5, 0.99], ["a", "b", "c"], limit).collect()
+    assert {ids[r.column_id]: r.unique_count for r in got} == {
         c: len(set(v)) for c, v in columns.items()}
     for r in got:
-        want = np.quantile(columns[r.column_name], [0.25, 0.5, 0.99])
+        want = np.quantile(columns[ids[r.column_id]], [0.25, 0.5, 0.99])
         assert np.allclose([r.a, r.b, r.c], want, rtol=1e-12)
 
 
