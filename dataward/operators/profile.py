@@ -153,34 +153,30 @@ def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str,
     pieces = []
     kinds = {f.name: profile_dtype(f.dataType) for f in df.schema.fields}
     if not approx:
-        for sql_type, names in (
-                ("bigint", [n for n, k in kinds.items() if k in ("int", "datetime")]),
-                ("double", [n for n, k in kinds.items() if k == "float"])):
-            if not names:
+        for sql_type, kind in (("bigint", "int"), ("double", "float")):
+            names = [n for n, k in kinds.items() if k == kind]
+            numbers = {i: extents[n] for i, n in enumerate(names) if extents[n].n}
+            if not numbers:
                 continue
             freq = _frequencies(df, names, sql_type)
-            if max(extents[n].n for n in names) > group_limit:
+            if max(e.n for e in numbers.values()) > group_limit:
                 freq = materialize(freq, "value-counts")
-            numbers = {i: extents[n] for i, n in enumerate(names)
-                       if kinds[n] != "datetime" and extents[n].n}
-            moments = [i for i, n in enumerate(names) if kinds[n] == "datetime"]
-            if numbers:
-                values = freq.withColumn("value", F.col("value").cast("double"))
-                pieces.append(exact_quantiles(
-                    values, numbers, [0.25, 0.75], ["p25", "p75"], group_limit)
-                    .selectExpr(_name_of(names), "unique_count", "p25", "p75", no_top))
-            if moments:
-                pieces.append(freq.where(F.col("column_id").isin(moments))
-                              .groupBy("column_id")
-                              .agg(F.count(F.lit(1)).alias("unique_count"))
-                              .selectExpr(_name_of(names), "unique_count", *no_quartiles,
-                                          no_top))
+            pieces.append(exact_quantiles(
+                freq.withColumn("value", F.col("value").cast("double")), numbers,
+                [0.25, 0.75], ["p25", "p75"], group_limit)
+                .selectExpr(_name_of(names), "unique_count", "p25", "p75", no_top))
+        moments = [n for n, k in kinds.items() if k == "datetime"]
+        if moments:
+            pieces.append(_frequencies(df, moments, "bigint").groupBy("column_id").agg(
+                F.count(F.lit(1)).alias("unique_count"))
+                .selectExpr(_name_of(moments), "unique_count", *no_quartiles, no_top))
     texts = [n for n, k in kinds.items() if k in ("object", "boolean")]
     if texts:
         counts = _text_counts(df, texts, longest)
         if not approx:
+            # reading n keeps this and the top values on one shuffle
             pieces.append(counts.groupBy("column_id").agg(
-                F.count(F.lit(1)).alias("unique_count"))
+                F.count_if(F.col("n") > 0).alias("unique_count"))
                 .selectExpr(_name_of(texts), "unique_count", *no_quartiles, no_top))
         tops = _top_of(df, texts, counts, longest, TOP_VALUES).groupBy("column_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),

@@ -97,19 +97,21 @@ def csv_latin(spark, sf):
     return csv.read_csv(spark, land(df, "latin", ";", "ISO-8859-1"))
 
 
-LINE = F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")
-BROKEN = (F.when(F.col("c_custkey") % 10 == 4, F.concat(LINE, F.lit(",one,more")))
-          .when(F.col("c_custkey") % 10 == 6, F.concat_ws(",", "c_custkey", "c_name"))
-          .otherwise(F.concat(LINE, F.lit(","))))
+def broken_line():
+    """Trailing delimiters, short lines (two fields) and over-long ones."""
+    line = F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")
+    return (F.when(F.col("c_custkey") % 10 == 4, F.concat(line, F.lit(",one,more")))
+            .when(F.col("c_custkey") % 10 == 6, F.concat_ws(",", "c_custkey", "c_name"))
+            .otherwise(F.concat(line, F.lit(","))))
 
 
 @query("csv_malformed", """SELECT c_custkey AS id, c_name AS name,
  CASE WHEN c_custkey % 10 <> 6 THEN c_mktsegment END AS segment
 FROM customer WHERE c_custkey % 10 <> 4""")
 def csv_malformed(spark, sf):
-    """Trailing delimiters, short lines (padded) and over-long lines (skipped)."""
+    """Short lines are padded, over-long lines skipped."""
     return csv.read_csv(spark, land_lines(
-        table(spark, sf, "customer"), "malformed", "id,name,segment,", BROKEN))
+        table(spark, sf, "customer"), "malformed", "id,name,segment,", broken_line()))
 
 
 @query("csv_malformed_count", """
@@ -117,7 +119,7 @@ SELECT count(*) FILTER (c_custkey % 10 = 4) AS skipped_lines,
  count(*) FILTER (c_custkey % 10 <> 4) AS kept_lines FROM customer""")
 def csv_malformed_count(spark, sf):
     return csv.malformed_lines(spark, land_lines(
-        table(spark, sf, "customer"), "malformed", "id,name,segment,", BROKEN))
+        table(spark, sf, "customer"), "malformed", "id,name,segment,", broken_line()))
 
 
 @query("csv_first_rows", "SELECT 25::bigint AS n FROM region LIMIT 1")
