@@ -127,8 +127,9 @@ def append_report(existing: DataFrame | None, report: DataFrame, advice: DataFra
     texts = advice.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
         "table_name", "column_name", "pii_type", "action", "priority", "detail"))))
         .alias("recommendations"))
-    row = report.crossJoin(F.broadcast(texts)).select(             # one row by one row
-        "risk_level", "risk_score", "summary", "recommendations", "pii_count",
+    row = report.select(
+        "risk_level", "risk_score", "summary", texts.scalar().alias("recommendations"),
+        "pii_count",
         "tables_analyzed", F.lit(created_at).cast("timestamp").alias("created_at"))
     return row if existing is None else existing.unionByName(row)
 
@@ -136,7 +137,7 @@ def append_report(existing: DataFrame | None, report: DataFrame, advice: DataFra
 def apply_risk(tables: DataFrame, report: DataFrame, advice: DataFrame) -> DataFrame:
     """Stored tables named by a recommendation take the report's risk level."""
     named = (advice.where(F.col("table_name") != "*").select("table_name").distinct()
-             .crossJoin(F.broadcast(report.select(F.col("risk_level").alias("new_level")))))
+             .withColumn("new_level", report.select("risk_level").scalar()))
     return (tables.join(named, "table_name", "left")
             .withColumn("risk_level", F.coalesce("new_level", "risk_level"))
             .drop("new_level").select(tables.columns))

@@ -280,7 +280,8 @@ def dataset_info(df: DataFrame, dataset: str, key: str, rows: int = 3) -> DataFr
             .agg(F.array_sort(F.collect_list(F.struct(
                 col(key).alias("k"), F.to_json(F.struct("*")).alias("row")))).alias("h"))
             .select(F.transform("h", lambda r: r["row"]).alias("sample_rows")))
-    return df.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(F.broadcast(head)).select(
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(dataset).alias("dataset"), "row_count",
         F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        F.lit(names).alias("columns"), F.lit(types).alias("dtypes"), "sample_rows")
+        F.lit(names).alias("columns"), F.lit(types).alias("dtypes"),
+        head.scalar().alias("sample_rows"))

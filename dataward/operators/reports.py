@@ -42,16 +42,12 @@ def list_tables(spark: SparkSession) -> DataFrame:
 def run_metrics(clean: DataFrame, quarantined: DataFrame | None, statistics: DataFrame,
                 cycles: int, status: str) -> DataFrame:
     """One row: clean rows, set-aside rows, pass rate, cycles and status of a run."""
-    kept = clean.agg(F.count(F.lit(1)).alias("clean_rows"))
-    if quarantined is None:
-        gone = clean.sparkSession.range(1).select(F.lit(0).cast("bigint").alias(
-            "quarantined_rows"))
-    else:
-        gone = quarantined.agg(F.count(F.lit(1)).alias("quarantined_rows"))
-    rate = statistics.select(F.floor("success_percent").alias("pass_rate"))
-    # three one-row tables side by side
-    return kept.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(rate)).select(
-        "*", F.lit(cycles).cast("bigint").alias("cycles"), F.lit(status).alias("status"))
+    gone = F.lit(0).cast("bigint") if quarantined is None else quarantined.agg(
+        F.count(F.lit(1))).scalar()
+    return clean.agg(F.count(F.lit(1)).alias("clean_rows")).select(
+        "*", gone.alias("quarantined_rows"),
+        statistics.select(F.floor("success_percent")).scalar().alias("pass_rate"),
+        F.lit(cycles).cast("bigint").alias("cycles"), F.lit(status).alias("status"))
 
 
 def healing_ledger(history: DataFrame) -> DataFrame:

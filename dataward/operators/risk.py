@@ -41,7 +41,7 @@ def risk_scores(detections: DataFrame, edge_counts: DataFrame | None = None,
         per_run = per_run.join(edge_counts, by, "left").withColumn(
             "edges", F.coalesce("edges", F.lit(0)))
     else:
-        per_run = per_run.crossJoin(F.broadcast(edge_counts))     # one row by one row
+        per_run = per_run.withColumn("edges", edge_counts.select("edges").scalar())
     # Ten decimals keep level and rounding free of binary noise around the limits.
     base = F.least(F.lit(1.0), F.round(
         F.col("top_risk") * 0.7 + F.col("pii_count") / 10 * 0.3, 10))
@@ -102,7 +102,8 @@ def risk_report(detections: DataFrame, edges: DataFrame | None = None,
     elif by:
         scores = scores.join(tables, by, "full")
     else:
-        scores = scores.crossJoin(F.broadcast(tables))            # one row by one row
+        scores = scores.withColumn("tables_analyzed",
+                                   tables.select("tables_analyzed").scalar())
     found = F.coalesce("pii_count", F.lit(0))
     level = F.coalesce("risk_level", F.lit("LOW"))
     score = F.coalesce("score", F.lit(0.0))

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="dataward-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temp folder only in local mode without one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="dataward-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
