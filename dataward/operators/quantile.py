@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = 1_000_000
 BINS = 64                 # splitter intervals per search round
 WIDTH_BINS = 1024
+SORTED_ROWS = 100_000      # columns up to this long are not binned
 
 
 @dataclass(frozen=True)
@@ -52,14 +54,37 @@ def exact_quantiles(freq: DataFrame, extents: dict[int, Extent], probs: list[flo
 
 def _rank_directly(freq: DataFrame, extents: dict[int, Extent], probs: list[float],
                    names: list[str]) -> DataFrame:
-    """Quantiles of columns whose distinct values fit one group.
-
-    Rows per equal-width bin tell which bins hold the wanted ranks; only the values of
-    those few bins are shuffled and sorted."""
+    """Quantiles of columns whose distinct values fit one group: short columns are sorted
+    whole, of others only the values around the wanted ranks."""
+    short = {c: e for c, e in extents.items() if e.n <= SORTED_ROWS}
+    binned = {c: e for c, e in extents.items() if c not in short}
+    parts = [rank(_with_extent(freq, chosen), probs)
+             for rank, chosen in ((_rank_sorted, short), (_rank_in_bins, binned)) if chosen]
+    if not parts:
+        parts = [_rank_sorted(_with_extent(freq, {}), probs)]
+    return _interpolate(reduce(DataFrame.unionByName, parts), probs, names)
+
+
+def _with_extent(freq: DataFrame, extents: dict[int, Extent]) -> DataFrame:
+    """Frequencies of these columns with their last rank and value range."""
     table = freq.sparkSession.createDataFrame(
         [(c, e.n - 1, e.low, e.high) for c, e in extents.items()],
         "column_id int, last bigint, low double, high double")
-    binned = freq.join(F.broadcast(table), "column_id").selectExpr(
+    return freq.join(F.broadcast(table), "column_id")
+
+
+def _rank_sorted(own: DataFrame, probs: list[float]) -> DataFrame:
+    """(column_id, value, last, upto, values): rows up to each value, distinct values."""
+    running = Window.partitionBy("column_id").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return own.select("column_id", "value", "last", F.sum("n").over(running).alias("upto"),
+                      F.row_number().over(running).cast("bigint").alias("values"))
+
+
+def _rank_in_bins(own: DataFrame, probs: list[float]) -> DataFrame:
+    """The same for the values in the equal-width bins that hold a wanted rank; the other
+    values are counted per bin, neither shuffled again nor sorted."""
+    binned = own.selectExpr(
         "column_id", "value", "n", "last",
         f"""CASE WHEN high > low AND high - low < double('Infinity') THEN least(
             {WIDTH_BINS - 1}, int((value - low) / (high - low) * {WIDTH_BINS})) ELSE 0 END
@@ -74,20 +99,23 @@ def _rank_directly(freq: DataFrame, extents: dict[int, Extent], probs: list[floa
                 F.max("last").alias("last"))
             .select("column_id", "bin", "last", upto.alias("upto"),
                     (upto - F.col("n")).alias("before"),
-                    F.sum("values").over(column).alias("unique_count"))
-            .where(wanted).select("column_id", "bin", "before", "unique_count"))
+                    F.sum("values").over(column).alias("values"))
+            .where(wanted).select("column_id", "bin", "before", "values"))
     in_bin = Window.partitionBy("column_id", "bin").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0)
-    ranked = binned.join(F.broadcast(bins), ["column_id", "bin"]).select(
-        "column_id", "value", "last", "unique_count",
-        (F.sum("n").over(in_bin) + F.col("before")).alias("upto"))
+    return binned.join(F.broadcast(bins), ["column_id", "bin"]).select(
+        "column_id", "value", "last",
+        (F.sum("n").over(in_bin) + F.col("before")).alias("upto"), "values")
+
+
+def _interpolate(ranked: DataFrame, probs: list[float], names: list[str]) -> DataFrame:
     at = []
     for i, p in enumerate(probs):
         at += [f"min(CASE WHEN upto > floor(last * {p!r}D) THEN value END) AS low{i}",
                f"min(CASE WHEN upto > ceil(last * {p!r}D) THEN value END) AS high{i}",
                f"max(last * {p!r}D - floor(last * {p!r}D)) AS part{i}"]
     return ranked.groupBy("column_id").agg(
-        F.max("unique_count").alias("unique_count"), *[F.expr(x) for x in at]).selectExpr(
+        F.max("values").alias("unique_count"), *[F.expr(x) for x in at]).selectExpr(
         "column_id", "unique_count",
         *[f"low{i} + (high{i} - low{i}) * part{i} AS {n}" for i, n in enumerate(names)])
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dataward.operators import classify
+from dataward.operators import classify, quantile
 from dataward.operators.profile import profile
 from dataward.operators.quantile import Extent, exact_quantiles
 
@@ -51,8 +51,10 @@ def test_distinct_longs_beyond_double_precision(spark):
     assert profile(df).first().unique_count == 3
 
 
-@pytest.mark.parametrize("limit", [1, 7, 50, 10_000])
-def test_exact_quantiles_at_any_group_limit(spark, limit):
+@pytest.mark.parametrize("limit, sorted_rows", [
+    (1, 100), (7, 0), (50, 2500), (10_000, 0), (10_000, 100_000)])
+def test_exact_quantiles_by_every_way(spark, monkeypatch, limit, sorted_rows):
+    monkeypatch.setattr(quantile, "SORTED_ROWS", sorted_rows)
     rng = np.random.default_rng(5)
     columns = {
         "normal": rng.normal(size=3000), "heavy": np.exp(rng.normal(0, 20, size=2000)),
