@@ -295,7 +295,7 @@ CANONICAL = """CASE
  WHEN given IN ('match_regex', 'expect_column_values_to_be_valid_email') THEN 'expect_column_values_to_match_regex'
  ELSE given END"""
 SANITIZED = f"""
-SELECT rule_order, dataset, column_name, final AS expectation_type,
+SELECT cast(rule_order AS bigint) AS rule_order, dataset, column_name, final AS expectation_type,
  CASE WHEN date_range OR NOT number_range THEN try_cast(min_value AS double)
   WHEN min_value IS NULL THEN least(0.0, seen_min) ELSE try_cast(min_value AS double) END AS min_number,
  CASE WHEN date_range OR NOT number_range THEN try_cast(max_value AS double)
