@@ -49,6 +49,12 @@ def with_semantic_types(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("semantic_type", semantic_type())
 
 
+def settled(profiles: DataFrame) -> DataFrame:
+    """The same rows as a local table: one row per column, computed once. Rules and plans
+    refer to them many times."""
+    return profiles.sparkSession.createDataFrame(profiles.collect(), profiles.schema)
+
+
 def health_status() -> Column:
     null_pct, future = F.col("null_pct"), _count("future_date_pct")
     return (F.when((null_pct > 20) | (future > 5) | (_count("invalid_email_count") > 0),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from dataward.constants import GUARD_SHARE, MAX_CYCLES
 from dataward.operators.actions import plan_actions, skip_tried, with_confidence
-from dataward.operators.classify import with_semantic_types
+from dataward.operators.classify import settled, with_semantic_types
 from dataward.operators.heal import as_actions, heal
 from dataward.operators.profile import profile
 from dataward.operators.rules import build_suite
@@ -46,9 +46,8 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
     spark = df.sparkSession
     if typed is None:
         typed = with_semantic_types(profile(df, dataset, as_of))
-    typed_rows = typed.collect()                             # one row per column
-    typed = spark.createDataFrame(typed_rows, typed.schema)
-    semantics = {r.column_name: r.semantic_type for r in typed_rows}
+    typed = settled(typed)
+    semantics = {r.column_name: r.semantic_type for r in typed.collect()}
     suite = as_rules(build_suite(typed, proposed_rules) if rules is None else rules)
 
     work, gone, history = df, None, []

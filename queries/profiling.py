@@ -242,7 +242,8 @@ def comparable(suite: DataFrame, *more: str) -> DataFrame:
     "SELECT " + ", ".join(RULE_OUT) + f" FROM ({GENERATED})",
     "dirty_orders", "dirty_patients", ctes=typed_cte(*RULED)))
 def suggest_rules(spark, sf):
-    typed = classify.with_semantic_types(profiles(spark, sf, *RULED))
+    typed = classify.settled(classify.with_semantic_types(
+        profiles(spark, sf, *RULED)))
     return comparable(rules.build_suite(typed))
 
 
@@ -324,7 +325,8 @@ WHERE starts_with(final, 'expect_column_values_to_')"""
     f"SELECT * FROM ({SANITIZED})", "dirty_orders", "dirty_patients",
     ctes=typed_cte("dirty_orders", "dirty_patients") | {"proposed": PROPOSED_SQL}))
 def sanitize_rules(spark, sf):
-    typed = classify.with_semantic_types(profiles(spark, sf, "dirty_orders", "dirty_patients"))
+    typed = classify.settled(classify.with_semantic_types(
+        profiles(spark, sf, "dirty_orders", "dirty_patients")))
     clean = rules.sanitize_rules(proposals(spark), typed)
     return comparable(clean, "rule_order", "reasoning")
 
@@ -337,5 +339,6 @@ SELECT {", ".join(RULE_OUT)} FROM (
 WHERE place = 1""", "dirty_orders", "dirty_patients",
     ctes=typed_cte("dirty_orders", "dirty_patients") | {"proposed": PROPOSED_SQL}))
 def build_suite(spark, sf):
-    typed = classify.with_semantic_types(profiles(spark, sf, "dirty_orders", "dirty_patients"))
+    typed = classify.settled(classify.with_semantic_types(
+        profiles(spark, sf, "dirty_orders", "dirty_patients")))
     return comparable(rules.build_suite(typed, proposals(spark)))
