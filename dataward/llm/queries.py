@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dataward.llm import bpe, packing, quality
+from dataward.llm import bpe, htmltext, langid, packing, quality, substrdedup, topk
 from dataward.llm.registry import query
 
 
@@ -73,3 +73,57 @@ FROM m"""
 @query("op10_quality_rules", _quality_sql())
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+def _topk_sql() -> str:
+    return """
+WITH v AS (SELECT row_number() OVER () AS row_id, vec_id,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row_id, a.vec_id AS query_id, b.vec_id, b.row_id AS other,
+             list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM v a JOIN v b ON a.row_id <> b.row_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id, other)::INTEGER AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+@query("op6_exact_top_k", _topk_sql())
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def _passages_sql() -> str:
+    n = substrdedup.WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+w AS (SELECT row_id, doc_id, p, array_to_string(ws[p:p + {n - 1}], ' ') AS win
+      FROM (SELECT row_id, doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS p FROM d
+            WHERE len(ws) >= {n} AND doc_id IS NOT NULL)),
+dup AS (SELECT row_id, p FROM (SELECT row_id, doc_id, p, min(doc_id) OVER (PARTITION BY win) AS low FROM w)
+        WHERE low < doc_id),
+gone AS (SELECT DISTINCT row_id, p + unnest(range(0, {n})) AS p FROM dup),
+words AS (SELECT row_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT words.row_id, string_agg(word, ' ' ORDER BY words.p) AS text, count(*) AS n
+         FROM words ANTI JOIN gone ON words.row_id = gone.row_id AND words.p = gone.p GROUP BY words.row_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row_id)"""
+
+
+@query("op9_substring_dedup", _passages_sql())
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrdedup.digests(table(spark, sf_dir, "documents"))
