@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dataward.llm import bpe, htmltext, langid, packing, quality, substrdedup, topk
+from dataward.llm import bpe, htmltext, langid, neardup, packing, quality, substrdedup, topk
 from dataward.llm.registry import query
 
 
@@ -127,3 +127,8 @@ FROM d LEFT JOIN kept USING (row_id)"""
 @query("op9_substring_dedup", _passages_sql())
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrdedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
