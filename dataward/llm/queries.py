@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dataward.llm import bpe, htmltext, langid, neardup, packing, quality, substrdedup, topk
+from dataward.llm import bpe, htmltext, langid, linededup, neardup, packing, quality, substrdedup, topk
 from dataward.llm.registry import query
 
 
@@ -132,3 +132,31 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def _lines_sql() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT row_id, doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM d WHERE text IS NOT NULL),
+w AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, pos, row_id) AS place FROM l
+      WHERE regexp_matches(line, '{WORDS}')),
+u AS (SELECT line, min(place) AS first FROM w GROUP BY line),
+f AS (SELECT * FROM u WHERE length(line) >= {linededup.FUZZY}),
+v AS (SELECT line, first, i, substring(line, 1, i) || substring(line, i + 2) AS variant
+      FROM (SELECT line, first, unnest(range(0, length(line))) AS i FROM f)),
+near AS (SELECT a.line FROM v a JOIN v b ON a.variant = b.variant AND a.i = b.i WHERE b.first < a.first
+         UNION SELECT v.line FROM v JOIN f ON v.variant = f.line WHERE f.first < v.first
+         UNION SELECT f.line FROM v JOIN f ON v.variant = f.line WHERE v.first < f.first),
+gone AS (SELECT w.row_id, w.pos FROM w JOIN u USING (line) LEFT JOIN near ON near.line = w.line
+         WHERE w.place > u.first OR near.line IS NOT NULL),
+kept AS (SELECT l.row_id, string_agg(line, chr(10) ORDER BY l.pos) AS text, count(*) AS n
+         FROM l ANTI JOIN gone ON l.row_id = gone.row_id AND l.pos = gone.pos GROUP BY l.row_id)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines,
+       (coalesce(len(ls), 0) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM d LEFT JOIN kept USING (row_id)"""
+
+
+@query("op7_line_dedup", _lines_sql())
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
