@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dataward.llm import packing, quality
+from dataward.llm import linededup, neardup, packing, quality, substrdedup
 from dataward.session import materialize
 
 
@@ -16,12 +16,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrdedup.deduplicate(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("substring_dedup", passage_stage),
     ("best_fit_packing", packing_stage),
 ]
 

@@ -99,10 +99,9 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _ratios() -> dict[str, Column]:
-    n = F.col("__n_words")
-    return {"word_length": F.col("__word_chars") / n, "symbols_per_word": F.col("__n_symbols") / n,
-            "dup_lines_per_word": F.col("__n_dup_lines") / n,
-            "repeat_share": F.col("__n_repeat_words") / n}
+    counts = {"word_length": "__word_chars", "symbols_per_word": "__n_symbols",
+              "dup_lines_per_word": "__n_dup_lines", "repeat_share": "__n_repeat_words"}
+    return {name: F.try_divide(F.col(c), F.col("__n_words")) for name, c in counts.items()}
 
 
 def base_failed() -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dataward.llm import bpe, htmltext, langid, linededup, neardup, packing, quality, substrdedup, topk
+from dataward.llm import bpe, chat, htmltext, langid, linededup, neardup, packing, quality, substrdedup, topk
 from dataward.llm.registry import query
 
 
@@ -160,3 +161,44 @@ FROM d LEFT JOIN kept USING (row_id)"""
 @query("op7_line_dedup", _lines_sql())
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
+
+
+def _preference_sql() -> str:
+    def safe(c: str) -> str:
+        return f"replace({c}, '{chat.OPEN}', '< |')"
+
+    def shown(role: str, text: str) -> str:
+        return f"'{chat.OPEN}' || {safe(role)} || '|>' || chr(10) || {safe(text)} || '<|end|>' || chr(10)"
+
+    end = len(chat.END)
+    return f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i FROM t),
+a AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+p AS (SELECT a.conv_id, a.last, coalesce((SELECT max(i) FROM n WHERE n.conv_id = a.conv_id
+             AND n.role = 'assistant' AND n.i < a.last), a.last - 1) AS previous FROM a),
+x AS (SELECT p.conv_id, p.last, g.text AS good, coalesce(b.text, '') AS bad
+      FROM p JOIN n g ON g.conv_id = p.conv_id AND g.i = p.last
+      LEFT JOIN n b ON b.conv_id = p.conv_id AND b.i = p.previous)
+SELECT x.conv_id, (x.last - 1)::INTEGER AS n_prompt_turns,
+       sha256(coalesce((SELECT string_agg({shown('n.role', 'n.text')}, '' ORDER BY n.i) FROM n
+                        WHERE n.conv_id = x.conv_id AND n.i < x.last), '')) AS prompt_sha256,
+       sha256({shown("'assistant'", 'x.good')}) AS chosen_sha256,
+       sha256({shown("'assistant'", 'x.bad')}) AS rejected_sha256,
+       (length({safe('x.good')}) + {end})::BIGINT AS chosen_trained,
+       (length({safe('x.bad')}) + {end})::BIGINT AS rejected_trained
+FROM x WHERE x.good <> x.bad"""
+
+
+@query("op5_preference_formatting", _preference_sql())
+def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.formatted(chat.repeated_answers(table(spark, sf_dir, "conversations")))
+
+    def trained(mask: str):
+        return F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"), "n_prompt_turns",
+        *[F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
+        *[trained(f"{c}_mask").alias(f"{c}_trained") for c in ("chosen", "rejected")])
