@@ -16,6 +16,7 @@ MAX_CYCLES = 5            # heal -> validate rounds before an alert
 GUARD_SHARE = 0.5         # a quarantine hitting more than this share does nothing
 FAILING_KEYS = 50         # keys listed per failing rule
 TOP_VALUES = 10
+CATEGORY_VALUES = 50      # a categorical column has at most so many values
 PII_SAMPLES = 20
 MIN_DATE = "1900-01-01"
 

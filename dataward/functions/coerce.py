@@ -15,6 +15,10 @@ NUMBER_TEXT = (
 )
 WHOLE_TEXT = r"^\s*[+-]?\d{1,19}\s*$"
 TIME_TEXT = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?\s*$"
+# The same with slashes, without seconds or with a zone; and days or months first.
+LOOSE_TIME_TEXT = (r"^\s*\d{4}[-/]\d{2}[-/]\d{2}"
+                   r"([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$")
+SLASHED_DATE = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -69,10 +73,45 @@ def safe_timestamp(value: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, TEMPORAL):
         return value.cast("timestamp")
     if isinstance(data_type, T.StringType):
-        return F.when(value.rlike(TIME_TEXT), value.try_cast("timestamp"))
+        dashed = F.regexp_replace(F.trim(value), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
+        full = F.regexp_replace(dashed, r"^(\S{10}[ T]\d{2}:\d{2})(?!:)", "$1:00")
+        return (F.when(value.rlike(TIME_TEXT), value.try_cast("timestamp"))
+                .when(value.rlike(LOOSE_TIME_TEXT), full.try_cast("timestamp")))
     return F.lit(None).cast("timestamp")
 
 
+def slashed_orders(df: DataFrame) -> DataFrame:
+    """(column_name, slashed, day_first, month_first, layout) of text columns named like a
+    date, from one aggregate: a first or second number above 12 shows which one is the day.
+    Without such a value, or with both kinds, the layout is null: it is not guessed."""
+    names = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, T.StringType) and looks_like_date(f.name)]
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, slashed bigint, day_first bigint, month_first bigint, layout string")
+
+    def part(name: str, group: int) -> Column:
+        return F.regexp_extract(col(name), SLASHED_DATE, group).try_cast("int")
+
+    counts = [F.struct(F.lit(n).alias("column_name"),
+                       F.count_if(col(n).rlike(SLASHED_DATE)).alias("slashed"),
+                       F.count_if(part(n, 1) > 12).alias("day_first"),
+                       F.count_if(part(n, 2) > 12).alias("month_first")) for n in names]
+    return df.agg(F.array(*counts).alias("c")).select(F.inline("c")).withColumn(
+        "layout", F.when((F.col("day_first") > 0) & (F.col("month_first") == 0), "d/M/yyyy")
+        .when((F.col("month_first") > 0) & (F.col("day_first") == 0), "M/d/yyyy"))
+
+
+def seen(value: Column, name: str, data_type: T.DataType) -> Column:
+    """The value as the profile reads it: NaN and, in text columns named like a date, text
+    that is no date are null."""
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), value)
+    if isinstance(data_type, T.StringType) and looks_like_date(name):
+        return safe_timestamp(value, data_type)
+    return value
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
@@ -82,13 +121,20 @@ def looks_like_date(name: str) -> bool:
     return "date" in name.lower() or "time" in name.lower()
 
 
-def parse_dates(df: DataFrame) -> DataFrame:
-    """String columns named like a date become timestamps; unparseable text becomes null."""
-    parsed = {
-        f.name: safe_timestamp(col(f.name), f.dataType)
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.StringType) and looks_like_date(f.name)
-    }
+def parse_dates(df: DataFrame, layouts: dict[str, str] | None = None) -> DataFrame:
+    """String columns named like a date become timestamps; unparseable text becomes null.
+
+    ``layouts`` gives a column's layout of slashed dates, as ``slashed_orders`` finds it."""
+    parsed = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType) and looks_like_date(f.name):
+            moment = safe_timestamp(col(f.name), f.dataType)
+            layout = (layouts or {}).get(f.name)
+            if layout:
+                moment = F.coalesce(moment, F.when(
+                    col(f.name).rlike(SLASHED_DATE),
+                    F.try_to_timestamp(F.trim(col(f.name)), F.lit(layout))))
+            parsed[f.name] = moment
     return df.withColumns(parsed) if parsed else df
 
 

@@ -83,16 +83,19 @@ def column_health(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({"health_status": health_status(), "issues": issues()})
 
 
-def quality_score(profiles: DataFrame) -> DataFrame:
-    """0 to 100 per dataset, from the mean penalty of its columns."""
+def quality_score(profiles: DataFrame, datasets: list[str] | None = None) -> DataFrame:
+    """0 to 100 per dataset, from the mean penalty of its columns. Of the named ``datasets``,
+    those without a profiled column get 50."""
     penalty = (F.least(F.col("null_pct") / 100, F.lit(0.3))
                + F.when(_count("negative_count") > 0, 0.1).otherwise(0.0)
                + F.when(_count("future_date_pct") > 0, 0.2).otherwise(0.0))
     score = F.greatest(F.lit(0), F.floor(100 - F.round(F.avg(penalty) * 100, 9)))
-    return profiles.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("columns"),
-        F.when(F.count(F.lit(1)) == 0, 50).otherwise(score).cast("bigint")
-        .alias("quality_score"))
+    found = profiles.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("columns"), score.cast("bigint").alias("quality_score"))
+    if datasets is None:
+        return found
+    named = profiles.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string")
+    return named.join(found, "dataset", "left").na.fill({"columns": 0, "quality_score": 50})
 
 
 def column_priority(profiles: DataFrame) -> DataFrame:

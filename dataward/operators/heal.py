@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataward.constants import CATEGORICAL_FIXES, DATE_COLUMN_NAMES, GUARD_SHARE, MIN_DATE
-from dataward.functions.coerce import NUMERIC, TEMPORAL, col, safe_double, safe_timestamp
+from dataward.functions.coerce import (
+    NUMERIC,
+    TEMPORAL,
+    col,
+    nan_to_null,
+    safe_double,
+    safe_timestamp,
+    seen,
+)
 from dataward.operators.validate import (
+    bound,
     fails_regex,
     not_in_set,
     now,
     outside,
+    require_key,
     usable_regex,
 )
 from dataward.session import materialize
@@ -95,13 +105,6 @@ class _Steps:
         return F.col(name)
 
 
-def _number(bound) -> float | None:
-    try:
-        return None if bound is None else float(bound)
-    except (TypeError, ValueError):
-        return None
-
-
 def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.DataType,
                      as_of: str | None) -> Column:
     """True for rows the action would set aside (duplicates are handled elsewhere)."""
@@ -111,7 +114,7 @@ def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.
         return value.isNotNull() & safe_double(value, data_type).isNull()
 
     if condition == "is_null":
-        return value.isNull()
+        return seen(value, action.column, data_type).isNull()
     if condition == "is_future_date":
         name = action.column.lower()
         is_date = (action.semantic_type in ("datetime", "date")
@@ -125,8 +128,8 @@ def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.
     if condition == "out_of_bounds":
         if action.min_bound is None and action.max_bound is None:
             return not_a_number()
-        return outside(steps.add(safe_double(value, data_type)), _number(action.min_bound),
-                       _number(action.max_bound))
+        return outside(steps.add(safe_double(value, data_type)), bound(action.min_bound),
+                       bound(action.max_bound))
     if condition == "fails_regex" and action.regex and usable_regex(
             steps.df.sparkSession, action.regex):
         return fails_regex(value, action.regex)
@@ -169,7 +172,9 @@ def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
 
     ``cut_lineage`` writes each intermediate table once, so that long plans neither
     recompute nor lose it; by default this is done when a plan has several stages."""
-    plan = as_actions(actions)
+    plan, df = as_actions(actions), nan_to_null(df)
+    if any(_is_shuffle(a) for a in plan):
+        require_key(df, key)
     if cut_lineage is None:
         cut_lineage = len(plan) > 1 and any(_is_shuffle(a) for a in plan)
     clean, rejected, stats = df, [], []

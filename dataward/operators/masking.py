@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataward.functions.coerce import col
 from dataward.functions.masks import mask
@@ -31,7 +32,10 @@ def mask_tables(tables: dict[str, DataFrame], detections: DataFrame) -> dict[str
 def masking_details(df: DataFrame, types: dict[str, str], key: str, table: str,
                     k: int = 3) -> DataFrame:
     """Per masked column its first k non-null values in key order, before and after."""
-    parts = []
+    parts = [df.sparkSession.createDataFrame([], T.StructType(
+        [T.StructField(n, T.StringType()) for n in ("table_name", "column_name", "pii_type")]
+        + [T.StructField("k", df.schema[key].dataType)]
+        + [T.StructField(n, T.StringType()) for n in ("before", "after")]))]
     for c, t in types.items():
         if c not in df.columns:
             continue
@@ -50,7 +54,9 @@ def masking_details(df: DataFrame, types: dict[str, str], key: str, table: str,
 
 def masking_summary(tables: dict[str, DataFrame], detections: DataFrame) -> DataFrame:
     """Per masked table: masked columns and its row count (all rows, changed or not)."""
-    parts, found = None, types_by_table(detections)
+    parts = detections.sparkSession.createDataFrame(
+        [], "table_name string, columns_masked bigint, columns string, rows_affected bigint")
+    found = types_by_table(detections)
     for name, df in tables.items():
         columns = sorted(c for c in found.get(name, {}) if c in df.columns)
         if not columns:
@@ -59,5 +65,5 @@ def masking_summary(tables: dict[str, DataFrame], detections: DataFrame) -> Data
             F.lit(name).alias("table_name"),
             F.lit(len(columns)).cast("bigint").alias("columns_masked"),
             F.lit(",".join(columns)).alias("columns"), "rows_affected")
-        parts = row if parts is None else parts.unionByName(row)
+        parts = parts.unionByName(row)
     return parts

@@ -18,11 +18,15 @@ BOUND_PREFIX = 64        # characters of each value used for that
 HIGHEST = chr(0x10FFFF)
 
 
+COLUMNS = "table_name string, column_name string, ordinal int"
+SAMPLES = "table_name string, column_name string, rank int, value string"
+
+
 def columns_of(df: DataFrame, table: str) -> DataFrame:
     """(table_name, column_name, ordinal) of one table."""
     rows = [(table, f.name, i) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(
-        rows, "table_name string, column_name string, ordinal int")
+        rows, COLUMNS)
 
 
 def sample_distinct(df: DataFrame, table: str, k: int = PII_SAMPLES) -> DataFrame:
@@ -34,6 +38,8 @@ def sample_distinct(df: DataFrame, table: str, k: int = PII_SAMPLES) -> DataFram
     in the scan and the exact distinct step that follows is small. A column without such
     a bound has few distinct values among its rows; those combine map-side."""
     names = [f.name for f in df.schema.fields if profile_dtype(f.dataType) in PROFILED]
+    if not names:
+        return df.sparkSession.createDataFrame([], SAMPLES)
     text = {n: col(n).cast("string") for n in names}
     bounds = _upper_bounds(df, text, k)
     kept = df.select([
@@ -131,6 +137,9 @@ def columns_and_samples(tables: dict[str, DataFrame],
                         parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """All columns of the tables and their samples; the small first reads run side by
     side."""
+    if not tables:
+        spark = SparkSession.active()
+        return spark.createDataFrame([], COLUMNS), spark.createDataFrame([], SAMPLES)
     with ThreadPoolExecutor(parallel) as pool:
         samples = list(pool.map(lambda t: sample_distinct(t[1], t[0]), tables.items()))
     columns = [columns_of(df, name) for name, df in tables.items()]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataward.constants import TOP_VALUES
+from dataward.constants import CATEGORY_VALUES, TOP_VALUES
 from dataward.functions.coerce import (
     TEMPORAL,
     col,
@@ -64,11 +64,11 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
     pieces = _distinct_pieces(table, longest, extents, approx, group_limit)
     if pieces:
         merged = reduce(DataFrame.unionByName, pieces).groupBy("column_name").agg(
-            *[F.max(c).alias(c) for c in ("unique_count", "p25", "p75", "top_values")])
+            *[F.max(c).alias(c) for c in ("unique_count", "p25", "p75", "tops")])
         stats = stats.join(F.broadcast(merged), "column_name", "left")
     else:
         stats = stats.selectExpr("*", "0L AS unique_count", "double(NULL) AS p25",
-                                 "double(NULL) AS p75", f"cast(NULL AS {TOP_TYPE}) AS top_values")
+                                 "double(NULL) AS p75", f"cast(NULL AS {TOP_TYPE}) AS tops")
     unique = "coalesce(unique_count, sketch_count, 0L)"
     return stats.selectExpr(
         f"{text_literal(dataset)} AS dataset", "column_name", "ordinal", "dtype",
@@ -83,7 +83,10 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
         "date_format(max_ts, 'yyyy-MM-dd HH:mm:ss') AS max_date", "future_date_count",
         "round(try_divide(future_date_count, total_count - null_count) * 100, 2) "
         "AS future_date_pct",
-        "has_empty_strings", "valid_email_count", "invalid_email_count", "top_values",
+        "has_empty_strings", "valid_email_count", "invalid_email_count",
+        f"slice(tops, 1, {TOP_VALUES}) AS top_values",
+        # complete, or null: rules may rely on it
+        f"CASE WHEN size(tops) <= {CATEGORY_VALUES} THEN tops END AS category_values",
         f"{str(sampled).lower()} AS sampled", f"{total}L AS total_rows",
         "total_count AS profiled_rows")
 
@@ -147,8 +150,8 @@ PROFILED = ("int", "float", "datetime", "boolean", "object")
 
 def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str, Extent],
                      approx: bool, group_limit: int) -> list[DataFrame]:
-    """(column_name, unique_count, p25, p75, top_values) per kind of column."""
-    no_top, no_quartiles = f"cast(NULL AS {TOP_TYPE}) AS top_values", [
+    """(column_name, unique_count, p25, p75, tops) per kind of column."""
+    no_top, no_quartiles = f"cast(NULL AS {TOP_TYPE}) AS tops", [
         "double(NULL) AS p25", "double(NULL) AS p75"]
     pieces = []
     kinds = {f.name: profile_dtype(f.dataType) for f in df.schema.fields}
@@ -165,6 +168,12 @@ def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str,
                 freq.withColumn("value", F.col("value").cast("double")), numbers,
                 [0.25, 0.75], ["p25", "p75"], group_limit)
                 .selectExpr(_name_of(names), "unique_count", "p25", "p75", no_top))
+        # as doubles, decimals that differ can be equal; the larger count is the right one
+        decimals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+        if decimals:
+            pieces.append(_frequencies(df, decimals, "string").groupBy("column_id").agg(
+                F.count(F.lit(1)).alias("unique_count"))
+                .selectExpr(_name_of(decimals), "unique_count", *no_quartiles, no_top))
         moments = [n for n, k in kinds.items() if k == "datetime"]
         if moments:
             pieces.append(_frequencies(df, moments, "bigint").groupBy("column_id").agg(
@@ -178,12 +187,12 @@ def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str,
             pieces.append(counts.groupBy("column_id").agg(
                 F.count_if(F.col("n") > 0).alias("unique_count"))
                 .selectExpr(_name_of(texts), "unique_count", *no_quartiles, no_top))
-        tops = _top_of(df, texts, counts, longest, TOP_VALUES).groupBy("column_id").agg(
+        tops = _top_of(df, texts, counts, longest, CATEGORY_VALUES + 1).groupBy("column_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                         lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")))
-            .alias("top_values"))
+            .alias("tops"))
         pieces.append(tops.selectExpr(_name_of(texts), "bigint(NULL) AS unique_count",
-                                      *no_quartiles, "top_values"))
+                                      *no_quartiles, "tops"))
     return pieces
 
 
@@ -227,9 +236,11 @@ def _text_counts(df: DataFrame, names: list[str], longest: dict[str, int]) -> Da
 
 def _top_of(df: DataFrame, names: list[str], counts: DataFrame, longest: dict[str, int],
             k: int) -> DataFrame:
-    """The k most frequent values per column, ties in value order (digest order for long
-    texts): (column_id, rank, value, n). The rank filter runs before the shuffle."""
-    w = Window.partitionBy("column_id").orderBy(F.desc("n"), "key")
+    """The k most frequent values per column, ties in the order of the values' digests,
+    whatever their length: (column_id, rank, value, n). The rank filter runs before the
+    shuffle."""
+    digest = F.when(F.col("is_digest"), F.col("key")).otherwise(F.sha2("key", 256))
+    w = Window.partitionBy("column_id").orderBy(F.desc("n"), digest)
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     short = ranked.where("NOT is_digest").selectExpr("column_id", "rank", "key AS value", "n")
     if max((longest.get(n, 0) for n in names), default=0) <= LONG_VALUE:
@@ -248,7 +259,9 @@ def sample_values(df: DataFrame, key: str, k: int = 3) -> DataFrame:
     """First k non-null values per text column in key order: (column_name, rank, value).
 
     Each column is a top-k by key: k rows per task, no shuffle of the table."""
-    parts = []
+    parts = [df.sparkSession.createDataFrame([], T.StructType([
+        T.StructField("column_name", T.StringType()),
+        T.StructField("k", df.schema[key].dataType), T.StructField("value", T.StringType())]))]
     for f in df.schema.fields:
         if profile_dtype(f.dataType) != "object" or f.name == key:
             continue

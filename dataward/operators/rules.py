@@ -36,13 +36,14 @@ def _lower_bound() -> Column:
     return F.least(F.lit(0.0), F.col("min_value"))
 
 
-def _upper_bound() -> Column:
-    top = F.col("max_value")
+def _upper_bound(top: Column) -> Column:
     return F.when(top < 0, top).otherwise(F.round(top * 1.5, 4))
 
 
 def _value_set(min_share: float = 0.0) -> Column:
-    kept = F.filter("top_values", lambda t: t["n"] >= F.col("total_count") * min_share)
+    """All values of a column with few of them, the most frequent first; null for others. A
+    part of the values would make the rest look wrong."""
+    kept = F.filter("category_values", lambda t: t["n"] >= F.col("total_count") * min_share)
     return F.transform(kept, lambda t: t["value"])
 
 
@@ -71,9 +72,9 @@ def generate_rules(profiles: DataFrame, min_share: float = 0.0) -> DataFrame:
         rule((F.col("null_pct") < 5) | (kind == "email"), NOT_NULL, "few or no nulls in"),
         rule(kind == "identifier", UNIQUE, "identifier"),
         rule(unsigned_errors, BETWEEN, "negative values are errors in",
-             F.lit(0.0), _upper_bound()),
+             F.lit(0.0), _upper_bound(F.col("max_value"))),
         rule(numeric & ~F.coalesce(unsigned_errors, F.lit(False)), BETWEEN,
-             "observed range of", _lower_bound(), _upper_bound()),
+             "observed range of", _lower_bound(), _upper_bound(F.col("max_value"))),
         rule(kind == "datetime", BETWEEN, "dates up to today in", MIN_DATE, "today"),
         rule((kind == "categorical") & (F.size(values) > 0), IN_SET, "known values of",
              values=values),
@@ -106,7 +107,7 @@ def sanitize_rules(proposed: DataFrame, profiles: DataFrame) -> DataFrame:
     facts = profiles.select(
         "dataset", "column_name", "semantic_type",
         F.col("min_value").alias("seen_min"), F.col("max_value").alias("seen_max"),
-        F.transform(F.coalesce("top_values", F.expr(
+        F.transform(F.coalesce("category_values", F.expr(
             "cast(array() as array<struct<value:string,n:bigint>>)")),
             lambda t: t["value"]).alias("seen_values"))
     known = (proposed
@@ -135,7 +136,7 @@ def sanitize_rules(proposed: DataFrame, profiles: DataFrame) -> DataFrame:
     no_min = F.col("min_value").isNull() & ~F.coalesce("min_given", F.lit(False))
     no_max = F.col("max_value").isNull() & ~F.coalesce("max_given", F.lit(False))
     seen_low = F.least(F.lit(0.0), F.col("seen_min")).cast("string")
-    seen_high = F.round(F.col("seen_max") * 1.5, 4).cast("string")
+    seen_high = _upper_bound(F.col("seen_max")).cast("string")
     low = (F.when(date_range & no_min, F.lit(MIN_DATE))
            .when(number_range & no_min & F.col("seen_min").isNotNull(), seen_low)
            .otherwise(F.col("min_value")))

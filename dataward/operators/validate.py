@@ -1,9 +1,13 @@
-"""Validation: all row-local rules in one scan, one grouped count per uniqueness rule."""
+"""Validation: all row-local rules in one scan, all uniqueness rules in one more.
+
+Values are read as the profile reads them: NaN is null, and so is text that is no date in
+a text column named like a date."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -21,7 +25,18 @@ from dataward.constants import (
     RULE_TYPES,
     UNIQUE,
 )
-from dataward.functions.coerce import INTEGRAL, NUMERIC, TEMPORAL, col, safe_double, safe_timestamp
+from dataward.functions.coerce import (
+    INTEGRAL,
+    NUMERIC,
+    TEMPORAL,
+    col,
+    nan_to_null,
+    safe_double,
+    safe_timestamp,
+    seen,
+)
+
+LONG_VALUE = 256          # longer texts are grouped by digest
 
 RESULT_SCHEMA = (
     "rule_order bigint, expectation_type string, column_name string, min_value string, "
@@ -61,14 +76,20 @@ def usable_regex(spark: SparkSession, pattern: str | None) -> bool:
     """Whether the pattern compiles; a bad one must not fail the whole job."""
     try:
         re.compile(pattern or "")
-        spark.sql("SELECT '' RLIKE :p", args={"p": anchored(pattern)}).collect()
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(anchored(pattern))
         return True
     except Exception:
         return False
 
 
 def anchored(pattern: str | None) -> str:
-    return rf"(?U)\A(?:{pattern or ''})"
+    """The pattern as Spark's engine writes it: other names for named groups and the end."""
+    text = pattern or ""
+    for name in set(re.findall(r"\(\?P[<=](\w+)[>)]", text)):
+        plain = re.sub(r"\W|_", "", f"g{name}")
+        text = text.replace(f"(?P<{name}>", f"(?<{plain}>").replace(f"(?P={name})", f"\\k<{plain}>")
+    text = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", text)
+    return rf"(?U)\A(?:{text})"
 
 
 def fails_regex(value: Column, pattern: str) -> Column:
@@ -77,19 +98,31 @@ def fails_regex(value: Column, pattern: str) -> Column:
 
 
 def not_in_set(value: Column, data_type: T.DataType, allowed: list) -> Column:
-    """Non-null and outside the set. Numbers are compared as numbers."""
+    """Non-null and outside the set. Numbers are compared as numbers of the column's type."""
     if isinstance(data_type, NUMERIC):
-        numbers = []
-        for item in allowed:
-            try:
-                numbers.append(float(item))
-            except (TypeError, ValueError):
-                continue
-        return value.isNotNull() & ~value.cast("double").isin(numbers)
+        numbers = [n for n in map(_decimal, allowed) if n is not None]
+        if isinstance(data_type, INTEGRAL):
+            whole = [int(n) for n in numbers if n == n.to_integral_value() and abs(n) < 2**63]
+            return value.isNotNull() & ~value.cast("bigint").isin(whole)
+        if isinstance(data_type, T.DecimalType):
+            inside = F.lit(False)
+            for n in numbers:
+                inside = inside | (value == F.lit(str(n)).try_cast(data_type.simpleString()))
+            return value.isNotNull() & ~F.coalesce(inside, F.lit(False))
+        return value.isNotNull() & ~value.cast("double").isin([float(n) for n in numbers])
     return value.isNotNull() & ~value.cast("string").isin([str(a) for a in allowed])
 
 
-def _bound(value) -> float | None:
+def _decimal(value) -> Decimal | None:
+    """An exact number; null for what is none."""
+    try:
+        number = Decimal(str(value).strip())
+        return number if number.is_finite() else None
+    except InvalidOperation:
+        return None
+
+
+def bound(value) -> float | None:
     try:
         return None if value is None else float(value)
     except (TypeError, ValueError):
@@ -134,21 +167,17 @@ def fail_mask(spark: SparkSession, rule: Rule, data_type: T.DataType,
     """True where a row breaks the rule; None for rules that are not row-local."""
     c, kind = col(rule.column_name), rule.expectation_type
     if kind == NOT_NULL:
-        if isinstance(data_type, (T.FloatType, T.DoubleType)):
-            return c.isNull() | F.isnan(c)
-        return c.isNull()
+        return seen(c, rule.column_name, data_type).isNull()
     if kind == BETWEEN:
         if is_date_rule(rule, data_type, semantic_type):
             moment = safe_timestamp(c, data_type)
             low, high = _date_bound(rule.min_value, as_of), _date_bound(rule.max_value, as_of)
             return outside(moment, low, high)
-        return outside(safe_double(c, data_type), _bound(rule.min_value),
-                       _bound(rule.max_value))
+        return outside(safe_double(c, data_type), bound(rule.min_value),
+                       bound(rule.max_value))
     if kind == IN_SET:
         return not_in_set(c, data_type, rule.value_set)
     if kind == REGEX:
-        if not usable_regex(spark, rule.regex):
-            return F.lit(False)
         return fails_regex(c, rule.regex or "")
     if kind == OF_TYPE:
         if rule.type_ in ("int", "float", "number"):
@@ -181,6 +210,8 @@ def plan_checks(df: DataFrame, rules: list[Rule], as_of: str | None,
                 (rule, False, f"Unknown expectation type: {rule.expectation_type}"))
         elif rule.expectation_type == UNIQUE:
             checks.unique.append(rule)
+        elif rule.expectation_type == REGEX and not usable_regex(df.sparkSession, rule.regex):
+            checks.fixed.append((rule, True, f"Pattern cannot be used: {rule.regex} — skipped"))
         else:
             checks.local.append((rule, fail_mask(
                 df.sparkSession, rule, types[rule.column_name], as_of,
@@ -195,14 +226,16 @@ def _counted(df: DataFrame, checks: Checks) -> DataFrame | None:
     if checks.local:
         triples = [F.struct(F.lit(r.rule_order).cast("bigint").alias("rule_order"),
                             F.count_if(mask).alias("failing_count"),
-                            F.count(col(r.column_name)).alias("filled"))
+                            F.count(_seen(df, r)).alias("filled"))
                    for r, mask in checks.local]
         parts.append(df.agg(F.array(*triples).alias("p")).select(F.inline("p")))
-    for rule in checks.unique:
-        groups = df.groupBy(col(rule.column_name).alias("value")).agg(
-            F.count(F.lit(1)).alias("n"))
-        parts.append(groups.agg(
-            F.lit(rule.rule_order).cast("bigint").alias("rule_order"),
+    if checks.unique:
+        # one scan and one shuffle for all uniqueness rules; nulls are one value
+        pairs = df.select(F.inline(F.array(*[F.struct(
+            F.lit(r.rule_order).cast("bigint").alias("rule_order"),
+            _group_key(_seen(df, r)).alias("value")) for r in checks.unique])))
+        groups = pairs.groupBy("rule_order", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(groups.groupBy("rule_order").agg(
             F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
             .alias("failing_count"),
             F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
@@ -215,13 +248,31 @@ def _counted(df: DataFrame, checks: Checks) -> DataFrame | None:
     return out
 
 
+def _seen(df: DataFrame, rule: Rule) -> Column:
+    return seen(col(rule.column_name), rule.column_name, df.schema[rule.column_name].dataType)
+
+
+def _group_key(value: Column) -> Column:
+    """Text that is equal for equal values; long texts by their digest."""
+    text = value.cast("string")
+    return F.when(F.length(text) > LONG_VALUE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+
+
+def require_key(df: DataFrame, key: str) -> None:
+    """Raises if the key is null or repeated: "first" would not be defined."""
+    bad = (df.groupBy(col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+           .where("k IS NULL OR n > 1").head(1))
+    if bad:
+        raise ValueError(f"column '{key}' is no key: value {bad[0].k!r} stands in {bad[0].n} rows")
+
+
 def validate(df: DataFrame, rules, as_of: str | None = None,
              semantic_types: dict[str, str] | None = None,
              skip_empty: bool = False) -> DataFrame:
     """One row per rule: failing_count, success and, where it could not run, an error.
 
     ``skip_empty`` treats a column without any value as missing, so its rules pass."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, nan_to_null(df)
     suite = as_rules(rules)
     checks = plan_checks(df, suite, as_of, semantic_types)
     notes = {id(r): (ok, text) for r, ok, text in checks.fixed}
@@ -235,7 +286,9 @@ def validate(df: DataFrame, rules, as_of: str | None = None,
     if counted is None:
         counted = spark.createDataFrame(
             [], "rule_order bigint, failing_count bigint, filled bigint")
-    empty = F.lit(skip_empty) & (F.coalesce("filled", F.lit(1)) == 0)
+    # no row for a uniqueness rule: the table is empty
+    no_values = F.when(F.col("fixed_success").isNull(), F.coalesce("filled", F.lit(0)) == 0)
+    empty = F.lit(skip_empty) & F.coalesce(no_values, F.lit(False))
     return (suite_table.join(F.broadcast(counted), "rule_order", "left")
             .withColumn("failing_count",
                         F.when(empty, 0).otherwise(F.coalesce("failing_count", F.lit(0))))
@@ -278,9 +331,12 @@ def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
     ``key`` is a unique, non-null column. Uniqueness failures are found by what remains
     after removing the rows whose value occurs once: an anti-join on the unique key, so a
     hot value spreads over all tasks."""
+    df = nan_to_null(df)
     checks = plan_checks(df, as_rules(rules), as_of, semantic_types)
     schema = ["rule_order", "expectation_type", "column_name", "key", "value"]
     parts = []
+    if checks.unique:
+        require_key(df, key)
     if checks.local:
         hits = [F.when(mask, F.struct(
             F.lit(r.rule_order).cast("bigint").alias("rule_order"),
@@ -291,8 +347,8 @@ def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
             F.filter(F.array(*hits), lambda h: h.isNotNull()))).select(schema))
     for rule in checks.unique:
         c = col(rule.column_name)
-        narrow = df.select(col(key).alias("key"), c.alias("value"))
-        single = (narrow.groupBy("value").agg(F.min("key").alias("key"),
+        narrow = df.select(col(key).alias("key"), c.alias("value"), _seen(df, rule).alias("group"))
+        single = (narrow.groupBy("group").agg(F.min("key").alias("key"),
                                               F.max("key").alias("last"))
                   .where(F.col("key") == F.col("last")).select("key"))
         parts.append(narrow.join(single, "key", "left_anti").select(
@@ -300,6 +356,11 @@ def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
             F.lit(rule.expectation_type).alias("expectation_type"),
             F.lit(rule.column_name).alias("column_name"), "key",
             F.col("value").cast("string").alias("value")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], T.StructType(
+            [T.StructField("rule_order", T.LongType())]
+            + [T.StructField(c, T.StringType()) for c in schema[1:3]]
+            + [T.StructField("key", df.schema[key].dataType), T.StructField("value", T.StringType())]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

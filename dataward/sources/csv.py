@@ -25,21 +25,30 @@ def _outside_quotes(line: Column) -> Column:
 
 
 def file_formats(spark: SparkSession, path: str) -> DataFrame:
-    """(file, delimiter, encoding) from one pass over the lines.
+    """(file, delimiter, encoding, header, broken) from one pass over the lines.
 
     The delimiter is the candidate whose count per line is most often the same. The text
     reader keeps raw bytes, so a file is UTF-8 when every line is valid UTF-8, otherwise
-    ISO-8859-1. Files are read as splittable text: a huge one is counted by many tasks
-    and combined map-side."""
+    ISO-8859-1. ``header`` is the first line of the file's first block; ``broken`` tells
+    that a line has an odd number of quotes, so that a record goes on in the next line.
+    Files are read as splittable text: a huge one is counted by many tasks and combined
+    map-side."""
     bare = _outside_quotes(F.col("value"))
-    per_line = _lines(spark, path).where(F.col("value") != "").select(
-        "file", F.is_valid_utf8("value").alias("valid"), F.inline(F.array(*[
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("place"))
+    per_line = lines.where(F.col("value") != "").select(
+        "file", F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("odd"),
+        F.when(F.col("place").isNotNull(), F.struct("place", "value")).alias("start"),
+        F.inline(F.array(*[
             F.struct(F.lit(i).alias("choice"),
                      (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))))
                      .alias("found"))
             for i, d in enumerate(DELIMITERS)])))
     counts = per_line.groupBy("file", "choice", "found").agg(
-        F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("valid"))
+        F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("valid"),
+        F.bool_or("odd").alias("odd"), F.min("start").alias("start"))
     per_choice = Window.partitionBy("file", "choice")
     shares = counts.withColumn("share", F.col("lines") / F.sum("lines").over(per_choice))
     # the modal share decides; more columns, then candidate order, break ties
@@ -48,7 +57,8 @@ def file_formats(spark: SparkSession, path: str) -> DataFrame:
     names = F.array(*[F.lit(d) for d in DELIMITERS])
     return shares.groupBy("file").agg(
         F.get(names, F.coalesce(best, F.lit(0))).alias("delimiter"),
-        F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
+        F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
+        F.min("start")["value"].alias("header"), F.bool_or("odd").alias("broken"))
 
 
 def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
@@ -97,32 +107,33 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.select([col(c) for c in kept]).na.drop("all")
 
 
-def _by_format(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
-    """Distinct formats with their files; a uniform directory is read as a whole. The
-    driver gets one row per file, as it does for Spark's own file index."""
-    groups: dict[tuple[str, str], list[str]] = {}
+def _by_format(spark: SparkSession, path: str) -> list[tuple[str, str, bool, list[str]]]:
+    """Distinct formats and headers with their files; a uniform directory is read as a
+    whole. The driver gets one row per file, as it does for Spark's own file index."""
+    groups: dict[tuple[str, str, str, bool], list[str]] = {}
     for r in file_formats(spark, path).collect():
-        groups.setdefault((r.delimiter, r.encoding), []).append(r.file)
+        groups.setdefault((r.delimiter, r.encoding, r.header or "", bool(r.broken)), []).append(r.file)
     if len(groups) == 1:
-        return [(*next(iter(groups)), [path])]
-    return [(d, e, sorted(files)) for (d, e), files in sorted(groups.items())]
+        delimiter, encoding, _, broken = next(iter(groups))
+        return [(delimiter, encoding, broken, [path])]
+    return [(d, e, broken, sorted(files)) for (d, e, _, broken), files in sorted(groups.items())]
 
 
-def read_raw(spark: SparkSession, path: str,
-             multi_line: bool = False) -> list[tuple[DataFrame, str]]:
-    return [(_read(spark, files, delimiter, encoding, multi_line), delimiter)
-            for delimiter, encoding, files in _by_format(spark, path)]
+def read_raw(spark: SparkSession, path: str) -> list[tuple[DataFrame, str]]:
+    """Rows per format and header. Only files with records over several lines are read by
+    one task each; the others stay splittable."""
+    return [(_read(spark, files, delimiter, encoding, broken), delimiter)
+            for delimiter, encoding, broken, files in _by_format(spark, path)]
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, rows: int | None = None,
-             multi_line: bool = False) -> DataFrame:
-    """A clean table from a CSV file or a directory of them.
+def read_csv(spark: SparkSession, path: str, infer: bool = True,
+             rows: int | None = None) -> DataFrame:
+    """A clean table from a CSV file or a directory of them; columns meet by name.
 
     Over-long lines are skipped, null tokens become null, blank-header columns, empty
-    columns and empty rows are dropped; ``infer`` gives columns their types. ``multi_line``
-    accepts line breaks inside quotes, at the price of one task per file."""
+    columns and empty rows are dropped; ``infer`` gives columns their types."""
     parts = []
-    for raw, delimiter in read_raw(spark, path, multi_line):
+    for raw, delimiter in read_raw(spark, path):
         good = raw.where(~F.coalesce(_too_long(raw, delimiter), F.lit(False))).drop(CORRUPT)
         parts.append(named_columns(good))
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

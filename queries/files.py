@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataward.functions.coerce import infer_types, null_tokens, parse_dates, profile_dtype
-from dataward.operators import classify, rules
+from dataward.functions.coerce import infer_types, null_tokens, parse_dates, profile_dtype, slashed_orders
+from dataward.operators import classify, masking, rules, validate
 from dataward.session import scratch_path
 from dataward.sources import csv, sinks
 from queries.fixtures import VIEWS, oracle, table
@@ -214,3 +217,114 @@ def alert_log(spark, sf):
     return spark.read.parquet(path).select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "severity",
         "message", "source")
+
+
+@query("csv_quoted_line_breaks", """
+SELECT c_custkey AS id, 'two' || chr(10) || 'lines, "' || c_name || '"' AS name, c_mktsegment AS segment
+FROM customer""")
+def csv_quoted_line_breaks(spark, sf):
+    """Records that go on in the next line."""
+    df = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit('two\nlines, "'), "c_name", F.lit('"')).alias("name"),
+        F.col("c_mktsegment").alias("segment"))
+    return csv.read_csv(spark, land(df, "breaks"))
+
+
+@query("csv_mixed_headers", """
+SELECT c_custkey AS id, c_name AS name, NULL AS segment FROM customer
+UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer""")
+def csv_mixed_headers(spark, sf):
+    """Files whose columns come in another order, some with a column more."""
+    base = scratch_path(spark, "headers")
+    df = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS id", "c_name AS name", "c_mktsegment AS segment")
+    df.select("id", "name").write.csv(f"{base}/a", header=True)
+    df.select("segment", "name", "id").write.csv(f"{base}/b", header=True)
+    return csv.read_csv(spark, base + "/*").select("id", "name", "segment")
+
+
+@query("parse_dates_layouts", """
+SELECT o_orderkey AS row_key, CASE o_orderkey % 6
+  WHEN 0 THEN o_orderdate::DATE::TIMESTAMP WHEN 1 THEN o_orderdate::DATE::TIMESTAMP + INTERVAL '10 hours 5 minutes'
+  WHEN 2 THEN o_orderdate::DATE::TIMESTAMP + INTERVAL '8 hours' WHEN 3 THEN o_orderdate::DATE::TIMESTAMP
+  WHEN 4 THEN o_orderdate::DATE::TIMESTAMP END AS order_date
+FROM orders""")
+def parse_dates_layouts(spark, sf):
+    """ISO 8601, with and without zone and seconds, slashes, and days before months, which
+    the column's own values settle."""
+    day = "cast(o_orderdate AS date)"
+    df = table(spark, sf, "orders").selectExpr("o_orderkey AS row_key", f"""CASE o_orderkey % 6
+ WHEN 0 THEN cast({day} AS string) WHEN 1 THEN concat(cast({day} AS string), 'T10:05')
+ WHEN 2 THEN concat(cast({day} AS string), 'T10:00:00+02:00') WHEN 3 THEN date_format({day}, 'yyyy/MM/dd')
+ WHEN 4 THEN date_format({day}, 'd/M/yyyy') ELSE 'junk' END AS order_date""")
+    layouts = {r.column_name: r.layout for r in slashed_orders(df).collect()}   # one row per column
+    return parse_dates(df, layouts)
+
+
+@query("slashed_orders", """
+SELECT 'order_date' AS column_name, count(*) AS slashed, count(*) FILTER (day(o_orderdate) > 12) AS day_first,
+ 0::BIGINT AS month_first, 'd/M/yyyy' AS layout FROM orders
+UNION ALL SELECT 'ship_date', count(*) FILTER (day(o_orderdate) <= 12), 0, 0, NULL FROM orders""")
+def slashed(spark, sf):
+    """The second column has no value that tells day from month: it is not guessed."""
+    day = "cast(o_orderdate AS date)"
+    return slashed_orders(table(spark, sf, "orders").selectExpr(
+        f"date_format({day}, 'd/M/yyyy') AS order_date",
+        f"CASE WHEN day({day}) <= 12 THEN date_format({day}, 'd/M/yyyy') END AS ship_date"))
+
+
+@query("clean_sink", oracle("""
+SELECT row_key, order_id, status, 'parquet' AS fmt FROM dirty_orders
+UNION ALL SELECT row_key, order_id, CASE WHEN status <> '' THEN status END, 'csv' FROM dirty_orders""", "dirty_orders"))
+def clean_sink(spark, sf):
+    """The healed table in two formats; a second write replaces the first."""
+    df = table(spark, sf, "dirty_orders").select("row_key", "order_id", "status")
+    out = []
+    for fmt in ("parquet", "csv"):
+        path = scratch_path(spark, f"clean-{fmt}")
+        sinks.write_clean(df.limit(5), path, fmt)
+        sinks.write_clean(df, path, fmt)
+        back = spark.read.parquet(path) if fmt == "parquet" else csv.read_csv(spark, path)
+        out.append(back.withColumn("fmt", F.lit(fmt)))
+    return out[0].unionByName(out[1])
+
+
+def table_name(label: str) -> str:
+    return f"{label}_{uuid.uuid4().hex[:12]}"
+
+
+@query("saved_tables", oracle("""
+SELECT 'clean' AS part, row_key FROM dirty_orders WHERE email IS NOT NULL
+UNION ALL SELECT 'quarantine', row_key FROM dirty_orders WHERE email IS NULL""", "dirty_orders"))
+def saved_tables(spark, sf):
+    """Results of a run as tables named after the file; saving again replaces them."""
+    df, name = table(spark, sf, "dirty_orders").select("row_key", "email"), table_name("dirty orders")
+    sinks.save_results(df.limit(3), df.limit(1), f"{name}.csv")
+    names = sinks.save_results(df.where("email IS NOT NULL"), df.where("email IS NULL"), f"{name}.csv")
+    return reduce(lambda a, b: a.unionByName(b), [
+        spark.table(n).select(F.lit(n.rsplit("_", 1)[-1]).alias("part"), "row_key") for n in names])
+
+
+@query("saved_masked", oracle("""
+SELECT row_key, left(email, 1) || '***' || substr(email, strpos(email, '@')) AS email FROM customer_pii""",
+    "customer_pii"))
+def saved_masked(spark, sf):
+    name = table_name("people")
+    tables = {name: table(spark, sf, "customer_pii").select("row_key", "email")}
+    found = spark.createDataFrame([(name, "email", "EMAIL")], "table_name string, column_name string, pii_type string")
+    return spark.table(sinks.save_masked(masking.mask_tables(tables, found))[0])
+
+
+@query("missing_suite", oracle("""
+SELECT 0::BIGINT AS evaluated_expectations, false AS success, 'Suite ''none'' not found' AS error,
+ count(*) AS stored_rules FROM (SELECT DISTINCT 1 FROM dirty_orders)""", "dirty_orders"))
+def missing_suite(spark, sf):
+    """Asking the store for a suite it does not hold."""
+    path = scratch_path(spark, "suites")
+    suite = rules.build_suite(classify.with_semantic_types(profiles(spark, sf, "dirty_orders")))
+    sinks.save_suite(suite.limit(1), path, "some", "2026-01-01 00:00:00", "dataward")
+    assert sinks.load_suite(spark, path, "none").isEmpty()
+    stored = sinks.load_suite(spark, path, "some").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return validate.missing_suite(spark, "none").select(
+        "evaluated_expectations", "success", "error", stored.alias("stored_rules"))

@@ -10,7 +10,8 @@ from dataward.plans.quality_run import quality_run
 from queries.fixtures import AS_OF, oracle, table
 from queries.registry import query
 from queries.sqlparts import NOW, safe_double, safe_ts
-from queries.validation import ORDER_RULES, RESULTS, STATUSES, rule
+from queries.profiling import WIDE, wide
+from queries.validation import ORDER_RULES, RESULTS, STATUSES, rule, with_nan
 
 STATUS_SET = "('pending', 'processing', 'shipped', 'delivered')"
 BAD_EMAIL = f"email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL_REGEX}')"
@@ -460,3 +461,44 @@ def type_report(spark, sf):
                                   "ordinal int, column_name string, semantic_type string")
     plan = actions.plan_actions(results, types)
     return reports.type_report(types, actions.repair_confidence(plan))
+
+
+@query("heal_nan", """
+SELECT o_orderkey AS row_key, CASE WHEN o_orderkey % 9 = 4 THEN 'is_null in price' END AS reject_reason FROM orders""")
+def heal_nan(spark, sf):
+    done = heal.heal(with_nan(spark, sf), [quarantine("price", "is_null")], "row_key", AS_OF)
+    kept = done.clean.select("row_key", F.lit(None).cast("string").alias("reject_reason"))
+    return kept.unionByName(done.quarantined.select("row_key", "reject_reason"))
+
+
+@query("heal_loop_bad_dates", """
+SELECT 'PASS' AS status, count(*) FILTER (o_orderkey % 50 <> 9) AS clean_rows,
+ count(*) FILTER (o_orderkey % 50 = 9) AS quarantined_rows FROM orders""")
+def heal_loop_bad_dates(spark, sf):
+    """Text that is no date never ends in the clean table."""
+    df = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS row_key",
+        "CASE WHEN o_orderkey % 50 = 9 THEN 'garbage' ELSE cast(cast(o_orderdate AS date) AS string) END AS order_date")
+    run = quality_run(df, "row_key", as_of=AS_OF)
+    return run.clean.agg(F.lit(run.status).alias("status"), F.count(F.lit(1)).alias("clean_rows")).select(
+        "status", "clean_rows", run.quarantined.agg(F.count(F.lit(1)).alias("q")).scalar().alias("quarantined_rows"))
+
+
+@query("heal_loop_wide_category", f"""
+SELECT 'PASS' AS status, nation, count(*) AS n FROM ({WIDE}) GROUP BY nation""")
+def heal_loop_wide_category(spark, sf):
+    """All 25 nations survive a run whose rules come from the data."""
+    run = quality_run(wide(spark, sf), "row_key", as_of=AS_OF)
+    return run.clean.groupBy("nation").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(run.status).alias("status"), "nation", "n")
+
+
+@query("healing_history", oracle("""
+SELECT 1::BIGINT AS iteration, "column", action, detail, rows_affected, true AS success FROM (
+ SELECT 'quantity' AS "column", 'fix_value' AS action, 'abs' AS detail, count(*) FILTER (quantity < 0) AS rows_affected FROM dirty_orders)
+""", "dirty_orders"))
+def healing_history(spark, sf):
+    """Every repair of every cycle, of which one cycle repeats nothing."""
+    run = order_run(spark, sf, [rule(1, "expect_column_values_to_be_between", "quantity", "0", "100")])
+    return reports.healing_history(run.history).select(
+        "iteration", "column", "action", "detail", "rows_affected", "success")

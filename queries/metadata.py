@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from dataward.operators import catalog, lineage, reports
+from dataward.operators import catalog, lineage, masking, pii, reports
 from dataward.plans.governance_run import governance_run, persist_run
 from queries.fixtures import oracle, table
 from queries.privacy import DETECTED_TYPES
@@ -234,3 +236,50 @@ def sql_query_result(spark, sf):
     return spark.createDataFrame(
         [(",".join(found["columns"]), found["row_count"], len(found["rows"]))],
         "columns string, row_count bigint, shown bigint")
+
+
+@query("governance_run_no_tables", oracle("""
+SELECT 'LOW' AS risk_level, 0.0::DOUBLE AS risk_score, 0::BIGINT AS pii_count,
+ (SELECT count(DISTINCT t) FROM (SELECT src_table AS t FROM edge_log
+  UNION ALL SELECT tgt_table FROM edge_log)) AS tables_analyzed, 0::BIGINT AS masked""", "edge_log"))
+def governance_run_no_tables(spark, sf):
+    """Edges whose tables cannot be read: nothing found, minimal risk."""
+    run = governance_run({}, table(spark, sf, "edge_log"))
+    return run.report.select("risk_level", "risk_score", "pii_count", "tables_analyzed",
+                             F.lit(len(run.masked)).cast("bigint").alias("masked"))
+
+
+@query("governance_run_no_scalars", oracle("""
+SELECT DISTINCT 'LOW' AS risk_level, 0::BIGINT AS pii_count, 0::BIGINT AS masked_tables FROM edge_log""", "edge_log"))
+def governance_run_no_scalars(spark, sf):
+    """A table without a single scalar column."""
+    arrays = {"customer_pii": table(spark, sf, "embeddings").select(F.col("embedding").alias("vector"))}
+    run = governance_run(arrays, table(spark, sf, "edge_log"))
+    summary = masking.masking_summary(arrays, run.detections)
+    return run.report.select("risk_level", "pii_count", summary.agg(
+        F.count(F.lit(1)).alias("n")).scalar().alias("masked_tables"))
+
+
+@query("catalog_schemas", oracle("""
+SELECT 'catalog_tables' AS catalog_table, 7::BIGINT AS n_columns, count(DISTINCT tgt_table) AS n_rows FROM edge_log
+UNION ALL SELECT 'lineage_edges', 6, count(*) FROM (SELECT DISTINCT src_table, src_col, tgt_table, tgt_col FROM edge_log)
+UNION ALL SELECT 'pii_tags', 7, 0 UNION ALL SELECT 'catalog_columns', 8, 0""", "edge_log"))
+def catalog_schemas(spark, sf):
+    """Empty catalog tables have the schemas of the filled ones, so first loads go on top of them."""
+    log = table(spark, sf, "edge_log")
+    stored = {n: catalog.empty_table(spark, n) for n in ("catalog_tables", "lineage_edges", "pii_tags", "catalog_columns")}
+    stored["lineage_edges"] = catalog.upsert_edges(stored["lineage_edges"], log, FIRST)
+    stored["catalog_tables"] = catalog.upsert_target_tables(stored["catalog_tables"], log, "sql", FIRST)
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(n).alias("catalog_table"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_rows")
+        for n, df in stored.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("detect_from_catalog", oracle("""
+SELECT DISTINCT 'customer_pii' AS table_name, 15::BIGINT AS detected FROM edge_log""", "edge_log"))
+def detect_from_catalog(spark, sf):
+    """The tables the edges name, read from the session's catalog; unknown ones are skipped."""
+    table(spark, sf, "customer_pii").createOrReplaceTempView("customer_pii")
+    found = pii.detect_pii(pii.lineage_tables(spark, table(spark, sf, "edge_log")))
+    return found.groupBy("table_name").agg(F.count(F.lit(1)).alias("detected"))

@@ -45,17 +45,37 @@ def profile_quantiles_refined(spark, sf):
         "dataset", "column_name", "unique_count", "p25", "p75")
 
 
-@query("profile_sketched")
-def profile_sketched(spark, sf):
-    """Mergeable sketches instead of exact distinct counts and quartiles."""
-    return profiles(spark, sf, "lineitem", approx=True).select(
-        "column_name", "total_count", "unique_count", "p25", "p75")
+SKETCHED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
 
 
-@query("profile_sampled")
+@query("profile_sketched", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total_count, true AS distinct_close, true AS quartiles_close "
+    "FROM lineitem" for c in SKETCHED))
+def profile_sketched(spark, sf):
+    """Mergeable sketches instead of exact distinct counts and quartiles: distinct counts
+    within 15 %, quartiles within 1 % of the value range."""
+    near = profiles(spark, sf, "lineitem", approx=True).alias("a")
+    exact = profiles(spark, sf, "lineitem").alias("e")
+    span = F.col("e.max_value") - F.col("e.min_value")
+    quartiles = [F.abs(F.col(f"a.{q}") - F.col(f"e.{q}")) <= 0.01 * span for q in ("p25", "p75")]
+    return (near.join(exact, "column_name").where(F.col("column_name").isin(SKETCHED)).select(
+        "column_name", F.col("a.total_count").alias("total_count"),
+        (F.abs(F.col("a.unique_count") - F.col("e.unique_count")) <= 0.15 * F.col("e.unique_count"))
+        .alias("distinct_close"),
+        F.coalesce(quartiles[0] & quartiles[1], F.lit(True)).alias("quartiles_close")))
+
+
+@query("profile_sampled", """
+SELECT 'l_quantity' AS column_name, count(*) > 2000 AS sampled, count(*) AS total_rows, true AS size_close,
+ true AS mean_close FROM lineitem""")
 def profile_sampled(spark, sf):
-    return profiles(spark, sf, "lineitem", sample_rows=20_000).select(
-        "column_name", "sampled", "total_rows", "profiled_rows", "null_count", "mean")
+    """A Bernoulli sample: all rows known, its size within 15 % of the one asked for, the mean
+    within 10 %."""
+    row = profiles(spark, sf, "lineitem", sample_rows=2_000).where("column_name = 'l_quantity'")
+    whole = table(spark, sf, "lineitem").agg(F.avg("l_quantity").alias("m"))
+    return row.select("column_name", "sampled", "total_rows",
+                      F.col("profiled_rows").between(1_700, 2_300).alias("size_close"),
+                      (F.abs(F.col("mean") / whole.scalar() - 1) < 0.1).alias("mean_close"))
 
 
 DATES = ["dataset", "column_name", "total_count", "null_count", "null_pct", "unique_count",
@@ -92,7 +112,7 @@ WITH long_values AS (
  UNION ALL SELECT 'pages', 'html', html FROM pages),
 counted AS (
  SELECT dataset, column_name, v, count(*) AS n,
-  CASE WHEN length(v) > 256 THEN sha256(v) ELSE v END AS k
+  sha256(v) AS k
  FROM long_values GROUP BY ALL),
 ranked AS (
  SELECT *, row_number() OVER (PARTITION BY dataset, column_name ORDER BY n DESC, k) AS r,
@@ -214,8 +234,8 @@ UNION ALL SELECT dataset, column_name, 'expect_column_values_to_be_between',
 UNION ALL SELECT dataset, column_name, 'expect_column_values_to_be_between',
  NULL, NULL, '1900-01-01..today', NULL, NULL FROM typed WHERE semantic_type = 'datetime'
 UNION ALL SELECT dataset, column_name, 'expect_column_values_to_be_in_set',
- NULL, NULL, NULL, array_to_string(top, '|'), NULL FROM typed
- WHERE semantic_type = 'categorical' AND len(top) > 0
+ NULL, NULL, NULL, array_to_string(cats, '|'), NULL FROM typed
+ WHERE semantic_type = 'categorical' AND len(cats) > 0
 UNION ALL SELECT dataset, column_name, 'expect_column_values_to_match_regex',
  NULL, NULL, NULL, NULL, '{EMAIL_REGEX}' FROM typed WHERE semantic_type = 'email'"""
 RULE_OUT = ["dataset", "column_name", "expectation_type", "min_number", "max_number", "bounds",
@@ -300,10 +320,10 @@ SELECT cast(rule_order AS bigint) AS rule_order, dataset, column_name, final AS
  CASE WHEN date_range OR NOT number_range THEN try_cast(min_value AS double)
   WHEN min_value IS NULL THEN least(0.0, seen_min) ELSE try_cast(min_value AS double) END AS min_number,
  CASE WHEN date_range OR NOT number_range THEN try_cast(max_value AS double)
-  WHEN max_value IS NULL THEN round(seen_max * 1.5, 4) ELSE try_cast(max_value AS double) END AS max_number,
+  WHEN max_value IS NULL THEN CASE WHEN seen_max < 0 THEN seen_max ELSE round(seen_max * 1.5, 4) END ELSE try_cast(max_value AS double) END AS max_number,
  CASE WHEN date_range THEN coalesce(min_value, '1900-01-01') || '..' || coalesce(max_value, 'today') END AS bounds,
  CASE WHEN final = 'expect_column_values_to_be_in_set' AND (wanted <> final OR coalesce(len(value_set), 0) = 0)
-  THEN array_to_string(top, '|')
+  THEN array_to_string(cats, '|')
   WHEN number_range THEN NULL ELSE array_to_string(value_set, '|') END AS value_set,
  CASE WHEN final = 'expect_column_values_to_match_regex' AND semantic_type = 'email' THEN '{EMAIL_REGEX}'
   WHEN wanted = final THEN regex END AS regex,
@@ -315,7 +335,7 @@ FROM (SELECT *, CASE
   ELSE wanted END AS final,
   wanted = 'expect_column_values_to_be_between' AND semantic_type = 'datetime' AS date_range,
   is_number AND wanted IN ('expect_column_values_to_be_between', 'expect_column_values_to_be_in_set') AS number_range
- FROM (SELECT q.*, {CANONICAL} AS wanted, t.semantic_type, t.top, t.min_value AS seen_min,
+ FROM (SELECT q.*, {CANONICAL} AS wanted, t.semantic_type, t.cats, t.min_value AS seen_min,
    t.max_value AS seen_max, t.semantic_type IN ('currency', 'integer', 'float') AS is_number
   FROM proposed q JOIN typed t USING (dataset, column_name)))
 WHERE starts_with(final, 'expect_column_values_to_')"""
@@ -342,3 +362,57 @@ def build_suite(spark, sf):
     typed = classify.settled(classify.with_semantic_types(
         profiles(spark, sf, "dirty_orders", "dirty_patients")))
     return comparable(rules.build_suite(typed, proposals(spark)))
+
+
+WIDE = """SELECT o_orderkey AS row_key, n_name AS nation FROM orders
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def wide(spark, sf):
+    """Orders with one of 25 nations."""
+    return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey")).join(
+        table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "o_orderkey AS row_key", "n_name AS nation")
+
+
+@query("suggest_rules_wide_category", f"""
+SELECT 'expect_column_values_to_be_in_set' AS expectation_type,
+ (SELECT string_agg(nation, '|' ORDER BY nation) FROM (SELECT DISTINCT nation FROM ({WIDE}))) AS value_set""")
+def suggest_rules_wide_category(spark, sf):
+    """All values of a category, not the most frequent ones."""
+    typed = classify.settled(classify.with_semantic_types(profile.profile(wide(spark, sf), "wide", AS_OF)))
+    return rules.build_suite(typed).where(F.col("column_name") == "nation").where(
+        F.col("value_set").isNotNull()).select(
+        "expectation_type", F.array_join(F.array_sort("value_set"), "|").alias("value_set"))
+
+
+@query("profile_ties_long_text", """
+WITH t AS (SELECT repeat(n_name, 1 + n_nationkey % 25 * 2) AS v FROM nation)
+SELECT row_number() OVER (ORDER BY sha256(v)) AS rank, sha256(v) AS digest FROM t
+QUALIFY row_number() OVER (ORDER BY sha256(v)) <= 10""")
+def profile_ties_long_text(spark, sf):
+    """Values of equal frequency below and above the length from which digests are grouped."""
+    df = table(spark, sf, "nation").selectExpr("repeat(n_name, cast(1 + n_nationkey % 25 * 2 AS int)) AS v")
+    return profile.profile(df, "ties", AS_OF).select(F.posexplode("top_values").alias("place", "t")).select(
+        (F.col("place") + 1).cast("bigint").alias("rank"), F.sha2("t.value", 256).alias("digest"))
+
+
+@query("profile_decimal", """
+SELECT count(DISTINCT o_orderkey) AS unique_count FROM orders""")
+def profile_decimal(spark, sf):
+    """Decimals that are equal as doubles are still different values."""
+    df = table(spark, sf, "orders").selectExpr(
+        "cast(123456789012345678901.00 AS decimal(30, 2)) + cast(o_orderkey AS decimal(18, 2)) / 100 AS d")
+    return profile.profile(df, "decimals", AS_OF).select("unique_count")
+
+
+@query("sanitize_negative_max", """
+SELECT 'expect_column_values_to_be_between' AS expectation_type, max(-o_totalprice) AS max_number FROM orders""")
+def sanitize_negative_max(spark, sf):
+    """The bound filled in for a column of negative numbers is its maximum."""
+    df = table(spark, sf, "orders").selectExpr("-o_totalprice AS change")
+    typed = classify.settled(classify.with_semantic_types(profile.profile(df, "d", AS_OF)))
+    asked = spark.createDataFrame(
+        [("d", 1, "within_range", "change", None, None, None, None, None, "x")], rules.RULE_SCHEMA)
+    return rules.sanitize_rules(asked, typed).select(
+        "expectation_type", F.col("max_value").cast("double").alias("max_number"))

@@ -79,9 +79,12 @@ def _column_sql(ds: str, ordinal: int, name: str, kind: str) -> str:
     def given(test, sql, sql_type):
         return f"cast({sql if test else 'NULL'} AS {sql_type})"
 
-    top = (f"(SELECT list(t ORDER BY n DESC, t) FROM (SELECT {name} AS t, count(*) AS n "
-           f"FROM {ds} WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY n DESC, t LIMIT 10))"
-           if text else "NULL::varchar[]")
+    def most(k: int) -> str:
+        return (f"(SELECT list(t ORDER BY n DESC, sha256(t)) FROM (SELECT {name} AS t, count(*) AS n "
+                f"FROM {ds} WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY n DESC, sha256(t) LIMIT {k}))"
+                if text else "NULL::varchar[]")
+
+    top, cats = most(10), f"CASE WHEN count(DISTINCT v) <= 50 THEN {most(50)} END"
     return f"""SELECT '{ds}' AS dataset, '{name}' AS column_name, {ordinal} AS ordinal,
  '{kind}' AS dtype, count(*) AS total_count, count(*) - count(v) AS null_count,
  round((count(*) - count(v)) / count(*) * 100, 2) AS null_pct,
@@ -101,7 +104,7 @@ def _column_sql(ds: str, ordinal: int, name: str, kind: str) -> str:
  {given(text, "count(*) FILTER (v = '')", 'bigint')} AS has_empty_strings,
  {given(mail, "count(*) FILTER (regexp_matches(v, '@.*\\.'))", 'bigint')} AS valid_email_count,
  {given(mail, "count(*) FILTER (NOT regexp_matches(v, '@.*\\.'))", 'bigint')} AS invalid_email_count,
- {top} AS top
+ {top} AS top, {cats} AS cats
 FROM (SELECT {value} AS v FROM {ds})"""
 
 

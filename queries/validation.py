@@ -194,9 +194,10 @@ EARLY_OR_LATE = outside(safe_ts("order_date"), "TIMESTAMP '1900-01-01'", NOW)
 CANDIDATES = []
 for _c in ("row_key", "order_id", "customer_id", "customer_name", "email", "product",
            "quantity", "order_amount", "order_date", "status"):
+    _given = f"({safe_ts(_c)})" if _c == "order_date" else _c     # text that is no date is null
     CANDIDATES += [
         f"SELECT '{_c}' AS column_name, '{NOT_NULL}' AS expectation_type, "
-        f"count(*) FILTER ({_c} IS NULL) AS failing_count FROM dirty_orders",
+        f"count(*) FILTER ({_given} IS NULL) AS failing_count FROM dirty_orders",
         f"SELECT '{_c}', '{UNIQUE}', {dup_count(_c, 'dirty_orders')}"]
 for _c in ("row_key", "order_id", "customer_id", "quantity", "order_amount"):
     CANDIDATES.append(
@@ -229,3 +230,50 @@ def validate_generated_suite(spark, sf):
         table(spark, sf, "dirty_orders"), rules.build_suite(typed), AS_OF,
         {r.column_name: r.semantic_type for r in rows}).select(
         "column_name", "expectation_type", "failing_count", "success")
+
+
+@query("validate_not_null_date", oracle(f"""
+SELECT 1::BIGINT AS rule_order, count(*) FILTER (({safe_ts('order_date')}) IS NULL) AS failing_count FROM dirty_orders
+UNION ALL SELECT 2, coalesce((SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM dirty_orders
+ GROUP BY {safe_ts('order_date')}) WHERE n > 1), 0)""", "dirty_orders"))
+def validate_not_null_date(spark, sf):
+    """Text that is no date counts as missing, as it does in the profile."""
+    return validate.validate(table(spark, sf, "dirty_orders"), [
+        rule(1, NOT_NULL, "order_date"), rule(2, UNIQUE, "order_date")], AS_OF).select(
+        "rule_order", "failing_count")
+
+
+def with_nan(spark, sf):
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS row_key",
+        "CASE WHEN o_orderkey % 9 = 4 THEN double('NaN') ELSE o_totalprice END AS price")
+
+
+@query("validate_nan", """
+SELECT 1::BIGINT AS rule_order, count(*) FILTER (o_orderkey % 9 = 4) AS failing_count FROM orders
+UNION ALL SELECT 2, 0 UNION ALL SELECT 3, 0""")
+def validate_nan(spark, sf):
+    """NaN is a missing value: it fails only where one may not be missing."""
+    return validate.validate(with_nan(spark, sf), [
+        rule(1, NOT_NULL, "price"), rule(2, BETWEEN, "price", "0", "10000000"),
+        rule(3, REGEX, "price", regex=r"(?P<whole_part>\d+)\.?.*\Z")], AS_OF).select(
+        "rule_order", "failing_count")
+
+
+@query("validate_in_set_bigint", """
+SELECT 1::BIGINT AS rule_order, count(*) FILTER (o_orderkey % 2 = 1) AS failing_count FROM orders
+UNION ALL SELECT 2, count(*) FILTER (o_orderkey % 2 = 0) FROM orders""")
+def validate_in_set_bigint(spark, sf):
+    """Neighbours beyond the precision of a double, whole and with decimals."""
+    df = table(spark, sf, "orders").selectExpr(
+        "9007199254740992 + o_orderkey % 2 AS n",
+        "cast(90071992547409921.01 + o_orderkey % 2 AS decimal(30, 2)) AS d")
+    return validate.validate(df, [
+        rule(1, IN_SET, "n", values=["9007199254740992", "x"]),
+        rule(2, IN_SET, "d", values=["90071992547409922.01"])], AS_OF).select("rule_order", "failing_count")
+
+
+@query("failing_rows_no_rules", "SELECT NULL::BIGINT AS rule_order, NULL::BIGINT AS key FROM orders WHERE false")
+def failing_rows_no_rules(spark, sf):
+    return validate.failing_rows(table(spark, sf, "orders"), [rule(1, NOT_NULL, "no_such_column")],
+                                 "o_orderkey", AS_OF).select("rule_order", "key")

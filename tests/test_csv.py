@@ -45,7 +45,7 @@ def test_unnamed_and_empty_columns(spark, tmp_path):
 
 def test_line_breaks_in_quotes(spark, tmp_path):
     path = write(tmp_path, "f.csv", b'id,text\n1,"two\nlines"\n2,one\n')
-    assert rows(csv.read_csv(spark, path, multi_line=True)) == [(1, "two\nlines"), (2, "one")]
+    assert rows(csv.read_csv(spark, path)) == [(1, "two\nlines"), (2, "one")]
 
 
 def test_over_long_lines_are_skipped_and_counted(spark, tmp_path):

@@ -118,3 +118,12 @@ def test_text_numbers_and_not_a_number(spark):
                       "reason": "text"}], "k")
     assert {r.k: r.v for r in done.clean.collect()} == {1: "5.0", 3: None, 4: "7", 5: "8"}
     assert [r.reject_reason for r in done.quarantined.collect()] == ["text"]
+
+
+def test_key_is_checked(spark):
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "k int, a int")
+    plan = [{"action_type": "deduplicate", "column": "a"}]
+    with pytest.raises(ValueError, match="no key"):
+        heal(df, plan, "k")
+    with pytest.raises(ValueError, match="no key"):
+        heal(df.selectExpr("CASE WHEN a = 6 THEN k END AS k", "a"), plan, "k")

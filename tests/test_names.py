@@ -48,7 +48,7 @@ def test_negative_only_column_keeps_its_bound(spark):
         "dataset string, column_name string, ordinal int, dtype string, total_count bigint, "
         "null_count bigint, null_pct double, unique_count bigint, unique_pct double, "
         "min_value double, max_value double, negative_count bigint, semantic_type string"
-    ).withColumn("top_values", F.lit(None).cast("array<struct<value:string,n:bigint>>"))
+    ).withColumn("category_values", F.lit(None).cast("array<struct<value:string,n:bigint>>"))
     between = [r for r in rules.generate_rules(row).collect()
                if r.expectation_type.endswith("between")]
     assert [(r.min_value, r.max_value) for r in between] == [("-9.0", "-3.0")]

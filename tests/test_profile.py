@@ -26,7 +26,9 @@ def test_profile_small(small):
     assert p["sign_date"].future_date_pct == 50.0
     assert (p["email"].valid_email_count, p["email"].invalid_email_count) == (2, 1)
     assert p["status"].has_empty_strings == 1
-    assert [(t.value, t.n) for t in p["status"].top_values] == [("a", 2), ("", 1), ("b", 1)]
+    # ties come in the order of the values' digests
+    assert [(t.value, t.n) for t in p["status"].top_values] == [("a", 2), ("b", 1), ("", 1)]
+    assert p["status"].category_values == p["status"].top_values
     assert [(t.value, t.n) for t in p["ok"].top_values] == [("true", 2), ("false", 1)]
 
 
@@ -82,3 +84,15 @@ def test_empty_and_all_null(spark):
     nulls = spark.createDataFrame([(None, None)], "a double, b string")
     assert {r.column_name: (r.null_pct, r.p25) for r in profile(nulls).collect()} == {
         "a": (100.0, None), "b": (100.0, None)}
+
+
+def test_category_values_are_complete_or_null(spark):
+    df = spark.createDataFrame([(f"v{i % 50}", f"w{i % 51}") for i in range(5000)], "few string, many string")
+    p = {r.column_name: r for r in profile(df, "t").collect()}
+    assert len(p["few"].category_values) == 50 and len(p["few"].top_values) == 10
+    assert p["many"].category_values is None and len(p["many"].top_values) == 10
+
+
+def test_score_of_a_dataset_without_columns(spark, small):
+    scores = classify.quality_score(profile(small, "t", "2026-01-01"), ["t", "empty"])
+    assert {r.dataset: r.quality_score for r in scores.collect()}["empty"] == 50
