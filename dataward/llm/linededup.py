@@ -30,8 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dataward.session import materialize
+
 FUZZY = 20
 BLOCK = 32
+BITS = 24                   # size of the candidates' bitmap
 _LAST = 9223372036854775807
 
 
@@ -45,25 +48,35 @@ def _suffix(n: Column, block: Column) -> Column:
     return BLOCK * F.floor(F.greatest(n - BLOCK * (block + 1), F.lit(0)) / BLOCK).cast("int")
 
 
+def _worded(line: Column) -> Column:
+    return line.rlike(r"[^ \t-\r]")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with a 128-bit key of both."""
-    return docs.filter(F.col("text").isNotNull()).select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"))
+    """doc_id and text with the text's hash: (doc_id, content) is a document's key."""
+    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("content"))
 
 
 def lines(texts: DataFrame) -> DataFrame:
     """One row per line with a word, with a 128-bit hash of it."""
-    return (texts.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .filter(F.trim(F.regexp_replace("line", r"[\t-\r]", " ")) != "")
-            .select("doc_id", "k1", "k2", "pos", "line", F.xxhash64("line").alias("h1"),
-                    F.xxhash64(F.lit(11), "line").alias("h2"), F.length("line").alias("n")))
+    return (texts.select("doc_id", "content", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+            .filter(_worded(F.col("line")))
+            .select("doc_id", "content", "pos", "line", F.xxhash64("line").alias("h1"),
+                    F.xxhash64(F.lit(11), "line").alias("h2")))
 
 
-def first_lines(found: DataFrame) -> DataFrame:
-    """Each different line (h1, h2) and its earliest place."""
-    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "pos", "k1", "k2")
-    return (found.groupBy("h1", "h2").agg(F.min(order).alias("at"))
-            .select("h1", "h2", "at.doc", "at.pos", "at.k1", "at.k2"))
+def first_lines(texts: DataFrame) -> DataFrame:
+    """Each different line (h1, h2), its earliest place and its half keys."""
+    n = F.length("line")
+    sizes = F.array_distinct(F.array(_half(n), _half(n + 1)))
+    ends = F.flatten(F.transform(sizes, lambda p: F.array(
+        F.xxhash64(F.lit(1), p, F.col("line").substr(F.lit(1), p)),
+        F.xxhash64(F.lit(2), p, F.col("line").substr(n - p + 1, p)))))
+    halves = F.when(n >= FUZZY, ends)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "content")
+    return (lines(texts).select("h1", "h2", order.alias("at"), halves.alias("halves"))
+            .groupBy("h1", "h2").agg(F.min(F.struct("at", "halves")).alias("best"))
+            .select("h1", "h2", "best.at.doc_id", "best.at.pos", "best.at.content", "best.halves"))
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -72,15 +85,40 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
             .filter("low <> high").select(*keys))
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """Lines (h1, h2) that share a half key with another line."""
-    sizes = F.array_distinct(F.array(_half(F.col("n")), _half(F.col("n") + 1)))
-    ends = F.flatten(F.transform(sizes, lambda p: F.array(
-        F.xxhash64(F.lit(1), p, F.expr("line").substr(F.lit(1), p)),
-        F.xxhash64(F.lit(2), p, F.expr("line").substr(F.col("n") - p + 1, p)))))
-    halves = (found.filter(F.col("n") >= FUZZY).select("h1", "h2", F.explode(ends).alias("half")))
-    halves = halves.distinct()                             # equal lines are one here, before the shuffle
-    return halves.join(_shared(halves, "half"), "half", "left_semi").select("h1", "h2").distinct()
+def _candidates(first: DataFrame) -> DataFrame:
+    """Hashes of lines that share a half key with another line."""
+    halves = first.select("h1", F.explode("halves").alias("half"))
+    return halves.join(_shared(halves, "half"), "half", "left_semi").select("h1").distinct()
+
+
+def _bitmap(hashes: DataFrame) -> DataFrame:
+    """A set of hashes as at most 2**(BITS - 6) words of 64 bits: never more than 4 MB."""
+    return (hashes.select(_word(F.col("h1")).alias("word"), _bit(F.col("h1")).alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+
+
+def _word(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 70 - BITS)
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))
+
+
+def _texts_of(candidates: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate lines with their text. A bitmap of their hashes, which has a fixed size,
+    keeps nearly all other lines out of the shuffle; the join then decides."""
+    wanted = first.join(candidates, "h1", "left_semi").select(
+        "h1", "h2", F.col("doc_id").alias("doc"), F.col("pos").alias("at"), F.col("content").alias("own"))
+    near = (lines(texts).withColumn("word", _word(F.col("h1")))
+            .join(F.broadcast(_bitmap(candidates)), "word")
+            .filter(F.col("bits").bitwiseAND(_bit(F.col("h1"))) != 0).drop("word", "bits"))
+    return (near.join(wanted, ["h1", "h2"])
+            .filter(F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("pos") == F.col("at"))
+                    & (F.col("content") == F.col("own")))
+            .dropDuplicates(["h1", "h2"])
+            .select("h1", "h2", F.coalesce("doc", F.lit(_LAST)).alias("doc"), "pos", "line",
+                    F.length("line").alias("n")))
 
 
 def _variants(text: DataFrame) -> DataFrame:
@@ -122,71 +160,52 @@ def _earlier(variants: DataFrame) -> DataFrame:
             .select("h1", F.col("other.h1").alias("other")).distinct())
 
 
-def dropped(texts: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
+def dropped(texts: DataFrame, first: DataFrame) -> DataFrame:
     """Different lines (h1, h2) that have an earlier line within one edit."""
-    wanted = (first.join(_candidates(found), ["h1", "h2"], "left_semi")
-              .groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h1", "h2", "doc")).alias("wanted")))
-    picked = (texts.join(wanted, ["k1", "k2"])
-              .select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-              .select("w.h1", "w.h2", "w.doc", "w.pos", F.element_at("all", F.col("w.pos") + 1).alias("line"))
-              .withColumn("n", F.length("line")))
+    candidates = materialize(_candidates(first), "line_candidates")
+    picked = materialize(_texts_of(candidates, first, texts), "line_texts")
     links = _earlier(_variants(picked))
     own = picked.select("h1", "h2", "line")
     pairs = links.join(own, "h1").join(own.select(F.col("h1").alias("other"), F.col("line").alias("earlier")), "other")
-    return (pairs.filter(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2").distinct())
+    return pairs.filter(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2").distinct()
 
 
 def _kept(docs: DataFrame) -> DataFrame:
     """For each document that keeps lines: its key and their positions."""
     texts = keyed(docs)
-    found = lines(texts)
-    first = first_lines(found)
-    return (first.join(dropped(texts, found, first), ["h1", "h2"], "left_anti")
-            .groupBy("k1", "k2").agg(F.collect_set("pos").alias("kept")))
-
+    first = materialize(first_lines(texts), "first_lines")
+    return (first.join(dropped(texts, first), ["h1", "h2"], "left_anti")
+            .groupBy(F.col("doc_id").alias("__doc"), F.col("content").alias("__content"))
+            .agg(F.collect_set("pos").alias("__kept")))
 
-def _rebuilt(all_lines: str, kept: str) -> Column:
-    """The kept and the blank lines, in order."""
-    positions = F.sequence(F.lit(0), F.size(all_lines) - 1)
-    blank = F.filter(positions, lambda i: F.trim(F.regexp_replace(
-        F.element_at(F.col(all_lines), i + 1), r"[\t-\r]", " ")) == "")
-    return F.transform(F.array_sort(F.array_union(F.coalesce(F.col(kept), F.array().cast("array<int>")), blank)),
-                       lambda i: F.element_at(F.col(all_lines), i + 1))
 
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lines (before) and kept (lines after) of every row with text."""
-    texts = keyed(docs)
-    return (texts.join(_kept(docs), ["k1", "k2"], "left")
-            .select("doc_id", "text", F.split("text", "\n").alias("lines"), "kept")
-            .select("doc_id", "text", "lines", _rebuilt("lines", "kept").alias("kept")))
+def _with_kept(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with `__lines` and `__left`, the kept and the blank lines in order;
+    `__kept` is null where every line with a word goes."""
+    lined = F.split("text", "\n")
+    blank = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: ~_worded(F.get("__lines", i)))
+    places = F.array_sort(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
+    left = F.when(F.size(places) == F.size("__lines"), F.col("__lines")).otherwise(
+        F.transform(places, lambda i: F.get("__lines", i)))
+    return (docs.join(_kept(docs.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__doc"))
+                      & (F.xxhash64("text") == F.col("__content")), "left")
+            .withColumn("__lines", lined).withColumn("__left", left))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, number of lines, number removed and the SHA-256 of the text left, per row."""
-    plain = docs.select("doc_id", "text")
-    rows = deduplicated(plain).select(
-        "doc_id", F.size("lines").cast("bigint").alias("n_lines"),
-        (F.size("lines") - F.size("kept")).cast("bigint").alias("n_removed"),
-        F.sha2(F.array_join("kept", "\n").cast("binary"), 256).alias("kept_sha256"))
-    none = plain.filter("text IS NULL").select(
-        "doc_id", F.lit(0).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"),
-        F.lit(None).cast("string").alias("kept_sha256"))
-    return rows.union(none)
+    size = F.coalesce(F.size("__lines"), F.lit(0))
+    return _with_kept(docs.select("doc_id", "text")).select(
+        "doc_id", F.greatest(size, F.lit(0)).cast("bigint").alias("n_lines"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(size - F.size("__left")).cast("bigint").alias("n_removed"),
+        F.when(F.col("text").isNotNull(), F.sha2(F.array_join("__left", "\n").cast("binary"), 256)).alias("kept_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` without repeated lines. Rows whose lines with words are all gone go; `n_chars`,
     where there is such a column, follows the text."""
-    marks = _kept(docs.select("doc_id", "text")).select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"))
-    lined = F.split("text", "\n")
-    worded = F.trim(F.regexp_replace("text", r"[\t-\r]", " ")) != ""
-    rows = (docs.withColumn("__h1", F.xxhash64("doc_id", "text")).withColumn("__h2", F.xxhash64(F.lit(7), "text", "doc_id"))
-            .join(marks, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
-            .filter(F.col("text").isNull() | ~worded | F.col("__kept").isNotNull())
-            .withColumn("__lines", lined)
-            .withColumn("__text", F.when(F.col("text").isNotNull(), F.array_join(_rebuilt("__lines", "__kept"), "\n"))))
+    rows = (_with_kept(docs).filter(F.col("text").isNull() | ~_worded(F.col("text")) | F.col("__kept").isNotNull())
+            .withColumn("__text", F.when(F.col("text").isNotNull(), F.array_join("__left", "\n"))))
     out = []
     for field in docs.schema:
         value = F.col(f"`{field.name}`")
