@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dataward.llm import linededup, neardup, packing, quality, substrdedup
+from dataward.llm.registry import importable
 from dataward.session import materialize
 
 
@@ -44,7 +45,7 @@ ORACLE_SQL = None       # near-duplicates and packing have no SQL form; tests us
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

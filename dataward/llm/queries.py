@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataward.llm import bpe, chat, htmltext, langid, linededup, neardup, packing, quality, substrdedup, topk
-from dataward.llm.registry import query
+from dataward.llm.registry import importable, query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op1_best_fit_packing")
