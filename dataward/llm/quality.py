@@ -33,7 +33,7 @@ SPREAD = 4.0                # fences lie this many interquartile ranges outside
 RULES = {
     "word_length": (True, True, 2.0),
     "symbols_per_word": (False, True, 0.1),
-    "dup_lines_per_word": (False, True, 0.02),
+    "dup_lines_per_word": (False, True, 0.05),
     "repeat_share": (False, True, 0.3),
 }
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
