@@ -33,10 +33,11 @@ def sample_distinct(df: DataFrame, table: str, k: int = PII_SAMPLES) -> DataFram
     """The k smallest distinct non-empty values per column: (table_name, column_name,
     rank, value).
 
-    The first rows read give, per column, a value that at least k distinct values do not
-    exceed. Only values up to it can be among the k smallest, so nearly all rows drop out
-    in the scan and the exact distinct step that follows is small. A column without such
-    a bound has few distinct values among its rows; those combine map-side."""
+    Rows drawn from the whole table give, per column, a value that at least k distinct
+    values do not exceed, however the table is sorted. Only values up to it can be among
+    the k smallest, so nearly all rows drop out in the scan and the exact distinct step
+    that follows is small. A column without such a bound shows fewer than k values in
+    `BOUND_ROWS` rows; equal values combine map-side."""
     names = [f.name for f in df.schema.fields if profile_dtype(f.dataType) in PROFILED]
     if not names:
         return df.sparkSession.createDataFrame([], SAMPLES)
@@ -56,7 +57,7 @@ def _upper_bounds(df: DataFrame, text: dict[str, Column], k: int) -> dict[str, s
     """Per column a text at least k distinct values do not exceed, from a few short
     prefixes. A prefix followed by the highest character is not below the whole value."""
     head = df.select([F.left(c, F.lit(BOUND_PREFIX)).alias(n) for n, c in text.items()]
-                     ).limit(BOUND_ROWS).collect()
+                     ).orderBy(F.rand(seed=11)).limit(BOUND_ROWS).collect()
     bounds = {}
     for i, name in enumerate(text):
         seen = sorted({r[i] for r in head if r[i]}, key=lambda v: v.encode("utf-8"))
