@@ -7,9 +7,9 @@ share one: such a stretch is a super-k-mer.
 1. Texts give super-k-mer descriptors (minimiser, document, place), without their words.
 2. Only minimisers met in two documents can hold a shared window; the others stop here.
 3. The remaining super-k-mers travel as one packed string of words to their minimiser's
-   bucket. Equal strings are combined before the shuffle. A bucket sorts its windows and
-   finds the smallest document of each. Windows of a minimiser met more than `HOT` times
-   travel alone, as digests with a bucket each, so no bucket is large.
+   bucket, which sorts its windows and finds the smallest document of each. Windows of a
+   minimiser met more than `HOT` times travel alone, as digests that are combined before
+   the shuffle, so no bucket is larger than that.
 4. Each document's windows that start in a smaller document mark their words.
 
 Defined results. Null text: no words. A null doc_id is not compared: its row stays whole.
@@ -34,7 +34,7 @@ from dataward.session import materialize
 WINDOW = 50
 SEED = 6                    # words whose hash may become a minimiser
 LONGEST = 256               # most windows in one super-k-mer
-HOT = 2000                  # more super-k-mers than this, and a minimiser's windows travel alone
+HOT = 20_000                # more super-k-mers than this (100 MB), and a minimiser's windows travel alone
 _SEED_BASE = 0xA24BAED4963EE407 | 1
 _NONE = np.uint64(2**64 - 1)
 
@@ -71,22 +71,31 @@ def _key_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text with a 128-bit key of both, never null."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"),
+                       F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"))
+
+
 def descriptors(docs: DataFrame, window: int) -> DataFrame:
+    """Super-k-mers of keyed documents, without their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 doc, first, count, key = super_kmers(Texts(part.column("text")), window)
+                doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc)), part.column("content").take(pa.array(doc)),
+                    [*(part.column(c).take(doc) for c in ("doc_id", "k1", "k2")),
                      pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(key, pa.int64())],
-                    names=["doc_id", "content", "first", "n", "key"])
+                    names=["doc_id", "k1", "k2", "first", "n", "key"])
 
-    return docs.mapInArrow(run, f"doc_id {_key_type(docs)}, content bigint, first int, n int, key bigint")
+    return (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+            .mapInArrow(run, f"doc_id {_key_type(docs)}, k1 bigint, k2 bigint, first int, n int, key bigint"))
 
 
-def packed(docs: DataFrame, window: int) -> DataFrame:
-    """The strings that travel, cut from documents with their list of shared super-k-mers."""
-
+def packed(docs: DataFrame, window: int, single: bool) -> DataFrame:
+    """The strings that travel, cut from documents with a list of super-k-mers; `single`: the
+    digests of their windows instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -97,109 +106,118 @@ def packed(docs: DataFrame, window: int) -> DataFrame:
                 rows = []
                 for d, shared in enumerate(part.column("shared").to_pylist()):
                     for s in shared:
-                        a = zero[d] + s["first"]
-                        if not s["hot"]:
-                            words = b" ".join(whole[start[a]:end[a + s["n"] + window - 2]].split())
-                            rows.append((d, s["first"], s["key"], words, False))
+                        a, n = zero[d] + s["first"], s["n"]
+                        if not single:
+                            rows.append((d, s["first"], s["key"],
+                                         b" ".join(whole[start[a]:end[a + n + window - 2]].split())))
                             continue
-                        for k in range(s["n"]):
+                        for k in range(n):
                             words = b" ".join(whole[start[a + k]:end[a + k + window - 1]].split())
-                            digest = hashlib.blake2b(words, digest_size=16).digest()
-                            rows.append((d, s["first"] + k, int.from_bytes(digest[:8], "little", signed=True),
-                                         digest, True))
-                doc, first, key, text, single = zip(*rows) if rows else ((),) * 5
+                            rows.append((d, s["first"] + k, s["key"], hashlib.blake2b(words, digest_size=16).digest()))
+                doc, first, key, text = zip(*rows) if rows else ((),) * 4
                 doc = pa.array(doc, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(doc), part.column("content").take(doc), pa.array(first, pa.int32()),
-                     pa.array(key, pa.int64()), pa.array(text, pa.binary()), pa.array(single, pa.bool_())],
-                    names=["doc_id", "content", "first", "key", "packed", "single"])
+                    [*(part.column(c).take(doc) for c in ("doc_id", "k1", "k2")), pa.array(first, pa.int32()),
+                     pa.array(key, pa.int64()), pa.array(text, pa.binary())],
+                    names=["doc_id", "k1", "k2", "first", "key", "packed"])
 
-    return docs.mapInArrow(run, f"doc_id {_key_type(docs)}, content bigint, first int, key bigint, "
-                                "packed binary, single boolean")
+    return docs.mapInArrow(run, f"doc_id {_key_type(docs)}, k1 bigint, k2 bigint, first int, key bigint, packed binary")
 
 
-def smallest_of_windows(bucket: list[tuple[bytes, int, bool]], window: int) -> list[list[int]]:
-    """For each string of a bucket, the smallest document of each of its windows."""
+def smallest_of_windows(strings: dict[bytes, int], window: int) -> dict[bytes, list[int]]:
+    """For each string (with its smallest document), the smallest document of each window."""
     entries = []
-    for number, (text, doc, single) in enumerate(bucket):
-        if single:
-            entries.append((text, doc, number, 0))
-            continue
+    for text, doc in strings.items():
         starts = [0]
         at = text.find(b" ")
         while at >= 0:
             starts.append(at + 1)
             at = text.find(b" ", at + 1)
         ends = [s - 1 for s in starts[1:]] + [len(text)]
-        entries += [(text[starts[k]:ends[k + window - 1]], doc, number, k) for k in range(len(starts) - window + 1)]
+        entries += [(text[starts[k]:ends[k + window - 1]], doc, k, text) for k in range(len(starts) - window + 1)]
     entries.sort()
-    out: list[dict[int, int]] = [{} for _ in bucket]
+    out: dict[bytes, dict[int, int]] = {text: {} for text in strings}
     last, least = None, 0
-    for text, doc, number, k in entries:
-        if text != last:
-            last, least = text, doc                      # the sort puts the smallest document first
-        out[number][k] = least
-    return [[own[k] for k in range(len(own))] for own in out]
+    for words, doc, k, text in entries:
+        if words != last:
+            last, least = words, doc                     # the sort puts the smallest document first
+        out[text][k] = least
+    return {text: [own[k] for k in range(len(own))] for text, own in out.items()}
+
 
+MARKS = "k1 bigint, k2 bigint, places array<int>"
 
-def _buckets(strings: DataFrame, window: int) -> DataFrame:
-    """Sorts each bucket's windows; buckets lie next to each other in a partition."""
 
+def _bucketed(strings: DataFrame, window: int) -> DataFrame:
+    """Sorts each bucket's windows; a bucket's rows lie next to each other in a partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, bucket = None, []
 
-        def close() -> pa.RecordBatch:
-            least = smallest_of_windows([b[1:] for b in bucket], window)
+        def close() -> list[tuple]:
+            smallest: dict[bytes, int] = {}
+            for doc, _, _, _, text in bucket:
+                smallest[text] = min(doc, smallest.get(text, doc))
+            if len(set(smallest.values())) == 1 and all(b[0] == bucket[0][0] for b in bucket):
+                return []                                # one document alone
+            least = smallest_of_windows(smallest, window)
+            found = []
+            for doc, k1, k2, first, text in bucket:
+                places = [first + k for k, d in enumerate(least[text]) if d < doc]
+                if places:
+                    found.append((k1, k2, places))
+            return found
+
+        def as_batch(found: list[tuple]) -> pa.RecordBatch:
+            k1, k2, places = zip(*found) if found else ((), (), ())
             return pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(bucket), pa.int64()), pa.array([b[0] for b in bucket], pa.int64()),
-                 pa.array(least, pa.list_(pa.int64()))], names=["key", "string", "least"])
+                [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(places, pa.list_(pa.int32()))],
+                names=["k1", "k2", "places"])
 
-        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "string", "packed", "doc", "single")]
-            for k, *row in zip(*columns):
+            found = []
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "k1", "k2", "first", "packed"))):
                 if k != key and bucket:
-                    waiting.append(close())
+                    found += close()
                     bucket = []
                 key = k
-                bucket.append(tuple(row))
-            if waiting:
-                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                waiting = []
+                bucket.append(row)
+            yield as_batch(found)
         if bucket:
-            yield close()
+            yield as_batch(close())
 
-    return strings.mapInArrow(run, "key bigint, string bigint, least array<bigint>")
+    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, MARKS)
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, content, marked): the first words of the windows that also start in a smaller
-    document, in lists, for each document that has any. `content` is xxhash64 of the text."""
-    comparable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    keyed = comparable.select("doc_id", F.xxhash64("text").alias("content"), "text")
-    found = materialize(descriptors(keyed, window), "super_kmers")
-    shared = (found.groupBy("key")
-              .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("met"))
-              .filter("low < high").select("key", (F.col("met") > HOT).alias("hot")))
-    lists = (found.join(shared, "key").groupBy("doc_id", "content")
-             .agg(F.sort_array(F.collect_set(F.struct("first", "n", "key", "hot"))).alias("shared")))
-    cut = packed(keyed.join(lists, ["doc_id", "content"]), window).withColumn("string", F.xxhash64("packed"))
-    strings = (cut.groupBy("key", "string", "packed", "single").agg(F.min("doc_id").cast("bigint").alias("doc"))
-               .repartition("key").sortWithinPartitions("key"))
-    least = _buckets(strings, window)
-    places = F.filter(F.transform("least", lambda d, k: F.when(d < F.col("doc_id"), F.col("first") + k)),
-                      lambda x: x.isNotNull())
-    return (cut.select("key", "string", "doc_id", "content", "first").join(least, ["key", "string"])
-            .select("doc_id", "content", places.alias("places")).filter(F.size("places") > 0)
-            .groupBy("doc_id", "content").agg(F.collect_set("places").alias("marked")))
+    """(k1, k2, marked) for documents with repeated windows: the first words of the windows that
+    also start in a smaller document, in lists."""
+    texts = keyed(docs)
+    found = materialize(descriptors(texts, window), "super_kmers")
+    shared = materialize(
+        found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("met"))
+        .filter("low < high").select("key", (F.col("met") > HOT).alias("hot")), "minimisers")
+
+    def cut(hot: bool) -> DataFrame:
+        lists = (found.join(shared.filter(F.col("hot") == hot), "key").groupBy("k1", "k2")
+                 .agg(F.collect_set(F.struct("first", "n", "key")).alias("shared")))
+        return packed(texts.join(lists, ["k1", "k2"]), window, hot)
+
+    marks = _bucketed(cut(False), window)
+    if not shared.filter("hot").isEmpty():
+        # equal digests are combined before the shuffle; the join splits hot ones by size
+        least = cut(True).groupBy("packed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        single = (cut(True).join(least.filter("least < most"), "packed").filter("least < doc_id")
+                  .select("k1", "k2", F.array("first").alias("places")))
+        marks = marks.union(single)
+    return marks.groupBy("k1", "k2").agg(F.collect_set("places").alias("marked"))
 
 
 def _with_marks(docs: DataFrame, window: int) -> DataFrame:
     """The rows of `docs` with `__marked`; rows without repeated words have null there."""
     marks = repeated_words(docs.select("doc_id", "text"), window).select(
-        F.col("doc_id").alias("__doc"), F.col("content").alias("__content"), F.col("marked").alias("__marked"))
-    return docs.join(marks, (docs["doc_id"] == F.col("__doc"))
-                     & (F.xxhash64(docs["text"]) == F.col("__content")), "left").drop("__doc", "__content")
+        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("marked").alias("__marked"))
+    rows = docs.withColumns({"__h1": F.xxhash64("doc_id", "text"), "__h2": F.xxhash64(F.lit(7), "text", "doc_id")})
+    return rows.join(marks, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
 
 
 def kept_words(t: Texts, marked: list, window: int) -> np.ndarray:
