@@ -68,15 +68,19 @@ def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def safe_timestamp(value: Column, data_type: T.DataType) -> Column:
-    """Timestamp or null. Only strings are parsed, and only in the listed layouts."""
+def safe_timestamp(value: Column, data_type: T.DataType, layout: str | None = None) -> Column:
+    """Timestamp or null. Only strings are parsed, and only in the listed layouts and, where
+    the column settles one, in its layout of slashed dates."""
     if isinstance(data_type, TEMPORAL):
         return value.cast("timestamp")
     if isinstance(data_type, T.StringType):
         dashed = F.regexp_replace(F.trim(value), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
         full = F.regexp_replace(dashed, r"^(\S{10}[ T]\d{2}:\d{2})(?!:)", "$1:00")
-        return (F.when(value.rlike(TIME_TEXT), value.try_cast("timestamp"))
-                .when(value.rlike(LOOSE_TIME_TEXT), full.try_cast("timestamp")))
+        moment = (F.when(value.rlike(TIME_TEXT), value.try_cast("timestamp"))
+                  .when(value.rlike(LOOSE_TIME_TEXT), full.try_cast("timestamp")))
+        if layout:
+            moment = moment.when(value.rlike(SLASHED_DATE), F.try_to_timestamp(F.trim(value), F.lit(layout)))
+        return moment
     return F.lit(None).cast("timestamp")
 
 
@@ -102,13 +106,21 @@ def slashed_orders(df: DataFrame) -> DataFrame:
         .when((F.col("month_first") > 0) & (F.col("day_first") == 0), "M/d/yyyy"))
 
 
-def seen(value: Column, name: str, data_type: T.DataType) -> Column:
+def date_layouts(df: DataFrame) -> dict[str, str]:
+    """The layouts that columns settle, by column name: one aggregate, if there is a text
+    column named like a date."""
+    if not any(isinstance(f.dataType, T.StringType) and looks_like_date(f.name) for f in df.schema.fields):
+        return {}
+    return {r.column_name: r.layout for r in slashed_orders(df).collect() if r.layout}   # one row per column
+
+
+def seen(value: Column, name: str, data_type: T.DataType, layout: str | None = None) -> Column:
     """The value as the profile reads it: NaN and, in text columns named like a date, text
     that is no date are null."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(value), value)
     if isinstance(data_type, T.StringType) and looks_like_date(name):
-        return safe_timestamp(value, data_type)
+        return safe_timestamp(value, data_type, layout)
     return value
 
 
@@ -128,13 +140,7 @@ def parse_dates(df: DataFrame, layouts: dict[str, str] | None = None) -> DataFra
     parsed = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType) and looks_like_date(f.name):
-            moment = safe_timestamp(col(f.name), f.dataType)
-            layout = (layouts or {}).get(f.name)
-            if layout:
-                moment = F.coalesce(moment, F.when(
-                    col(f.name).rlike(SLASHED_DATE),
-                    F.try_to_timestamp(F.trim(col(f.name)), F.lit(layout))))
-            parsed[f.name] = moment
+            parsed[f.name] = safe_timestamp(col(f.name), f.dataType, (layouts or {}).get(f.name))
     return df.withColumns(parsed) if parsed else df
 
 

@@ -20,6 +20,7 @@ from dataward.functions.coerce import (
     NUMERIC,
     TEMPORAL,
     col,
+    date_layouts,
     nan_to_null,
     safe_double,
     safe_timestamp,
@@ -106,7 +107,7 @@ class _Steps:
 
 
 def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.DataType,
-                     as_of: str | None) -> Column:
+                     as_of: str | None, layout: str | None) -> Column:
     """True for rows the action would set aside (duplicates are handled elsewhere)."""
     condition = _condition(action)
 
@@ -114,7 +115,7 @@ def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.
         return value.isNotNull() & safe_double(value, data_type).isNull()
 
     if condition == "is_null":
-        return seen(value, action.column, data_type).isNull()
+        return seen(value, action.column, data_type, layout).isNull()
     if condition == "is_future_date":
         name = action.column.lower()
         is_date = (action.semantic_type in ("datetime", "date")
@@ -122,7 +123,7 @@ def _quarantine_mask(steps: _Steps, action: Action, value: Column, data_type: T.
                    or isinstance(data_type, TEMPORAL))
         if not is_date:
             return not_a_number()
-        moment = steps.add(safe_timestamp(value, data_type))
+        moment = steps.add(safe_timestamp(value, data_type, layout))
         return ~F.coalesce(moment.between(F.lit(MIN_DATE).cast("timestamp"), now(as_of)),
                            F.lit(False))
     if condition == "out_of_bounds":
@@ -166,13 +167,16 @@ def _is_shuffle(action: Action) -> bool:
 
 
 def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
-         guard: float = GUARD_SHARE, cut_lineage: bool | None = None) -> Healed:
+         guard: float = GUARD_SHARE, cut_lineage: bool | None = None,
+         layouts: dict[str, str] | None = None) -> Healed:
     """Apply actions in order. ``key`` is a unique, non-null column that also defines
-    which of several duplicates is the first.
+    which of several duplicates is the first. ``layouts`` of slashed dates, by column, are
+    found in the table if not given.
 
     ``cut_lineage`` writes each intermediate table once, so that long plans neither
     recompute nor lose it; by default this is done when a plan has several stages."""
     plan, df = as_actions(actions), nan_to_null(df)
+    layouts = date_layouts(df) if layouts is None else layouts
     if any(_is_shuffle(a) for a in plan):
         require_key(df, key)
     if cut_lineage is None:
@@ -189,7 +193,7 @@ def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
             while (end < len(plan) and end - position < FUSE_LIMIT
                    and not _is_shuffle(plan[end])):
                 end += 1
-            clean, gone, rows = _fused(clean, plan[position:end], as_of, guard, cut_lineage)
+            clean, gone, rows = _fused(clean, plan[position:end], as_of, guard, cut_lineage, layouts)
             stats += rows
             position += len(rows)
         if gone is not None:
@@ -200,7 +204,7 @@ def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
     return Healed(clean, out, stats)
 
 
-def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage):
+def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage, layouts):
     """Apply a run of row-local actions, or its first half when rows combine too many
     triggers: (clean rows, set-aside rows or None, one result per action done)."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -218,7 +222,8 @@ def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage):
                 fixes.append((i, action.column, fixed))
             elif action.action_type == "quarantine":
                 mask = steps.add(F.coalesce(
-                    _quarantine_mask(steps, action, value, data_type, as_of), F.lit(False)))
+                    _quarantine_mask(steps, action, value, data_type, as_of,
+                                     layouts.get(action.column)), F.lit(False)))
         masks.append(mask)
 
     bits = F.lit(0).cast("bigint")
@@ -228,7 +233,7 @@ def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage):
               .agg(F.count(F.lit(1)).alias("n"))
               .limit(COMBINATION_LIMIT + 1).collect())
     if len(groups) > COMBINATION_LIMIT:
-        return _fused(df, run[:len(run) // 2], as_of, guard, cut_lineage)
+        return _fused(df, run[:len(run) // 2], as_of, guard, cut_lineage, layouts)
     rows, effective = _replay(run, types, {g.bits: g.n for g in groups}, guard)
     return (*_apply(df, steps, run, masks, fixes, effective, cut_lineage), rows)
 

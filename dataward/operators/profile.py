@@ -19,6 +19,7 @@ from dataward.constants import CATEGORY_VALUES, TOP_VALUES
 from dataward.functions.coerce import (
     TEMPORAL,
     col,
+    date_layouts,
     nan_to_null,
     parse_dates,
     profile_dtype,
@@ -41,13 +42,15 @@ STATS_SCHEMA = (
 
 def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
             sample_rows: int | None = None, approx: bool = False,
-            group_limit: int = GROUP_LIMIT) -> DataFrame:
+            group_limit: int = GROUP_LIMIT, layouts: dict[str, str] | None = None) -> DataFrame:
     """Profile table of one dataset.
 
+    ``layouts`` of slashed dates, by column, are found in the table if not given.
+
     ``sample_rows`` profiles a Bernoulli sample of about that many rows (off by default).
     ``approx`` replaces exact distinct counts and quartiles by mergeable sketches.
     """
-    table = parse_dates(nan_to_null(df))
+    table = parse_dates(nan_to_null(df), date_layouts(df) if layouts is None else layouts)
     total, sampled = None, False
     if sample_rows is not None:
         total = table.count()

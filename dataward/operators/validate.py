@@ -30,6 +30,7 @@ from dataward.functions.coerce import (
     NUMERIC,
     TEMPORAL,
     col,
+    date_layouts,
     nan_to_null,
     safe_double,
     safe_timestamp,
@@ -163,14 +164,15 @@ def _date_bound(value, as_of: str | None) -> Column | None:
 
 
 def fail_mask(spark: SparkSession, rule: Rule, data_type: T.DataType,
-              as_of: str | None = None, semantic_type: str | None = None) -> Column | None:
+              as_of: str | None = None, semantic_type: str | None = None,
+              layout: str | None = None) -> Column | None:
     """True where a row breaks the rule; None for rules that are not row-local."""
     c, kind = col(rule.column_name), rule.expectation_type
     if kind == NOT_NULL:
-        return seen(c, rule.column_name, data_type).isNull()
+        return seen(c, rule.column_name, data_type, layout).isNull()
     if kind == BETWEEN:
         if is_date_rule(rule, data_type, semantic_type):
-            moment = safe_timestamp(c, data_type)
+            moment = safe_timestamp(c, data_type, layout)
             low, high = _date_bound(rule.min_value, as_of), _date_bound(rule.max_value, as_of)
             return outside(moment, low, high)
         return outside(safe_double(c, data_type), bound(rule.min_value),
@@ -184,7 +186,7 @@ def fail_mask(spark: SparkSession, rule: Rule, data_type: T.DataType,
             return safe_double(c, data_type).isNull()
         return F.lit(False)
     if kind == DATEUTIL:
-        return c.isNotNull() & safe_timestamp(c, data_type).isNull()
+        return c.isNotNull() & safe_timestamp(c, data_type, layout).isNull()
     return None
 
 
@@ -198,7 +200,7 @@ class Checks:
 
 
 def plan_checks(df: DataFrame, rules: list[Rule], as_of: str | None,
-                semantic_types: dict[str, str] | None) -> Checks:
+                semantic_types: dict[str, str] | None, layouts: dict[str, str]) -> Checks:
     types = {f.name: f.dataType for f in df.schema.fields}
     checks = Checks([], [], [])
     for rule in rules:
@@ -215,25 +217,25 @@ def plan_checks(df: DataFrame, rules: list[Rule], as_of: str | None,
         else:
             checks.local.append((rule, fail_mask(
                 df.sparkSession, rule, types[rule.column_name], as_of,
-                (semantic_types or {}).get(rule.column_name))))
+                (semantic_types or {}).get(rule.column_name), layouts.get(rule.column_name))))
     return checks
 
 
-def _counted(df: DataFrame, checks: Checks) -> DataFrame | None:
+def _counted(df: DataFrame, checks: Checks, layouts: dict[str, str]) -> DataFrame | None:
     """(rule_order, failing_count, filled) of every rule that needs the data; ``filled``
     counts the non-null values of the rule's column."""
     parts = []
     if checks.local:
         triples = [F.struct(F.lit(r.rule_order).cast("bigint").alias("rule_order"),
                             F.count_if(mask).alias("failing_count"),
-                            F.count(_seen(df, r)).alias("filled"))
+                            F.count(_seen(df, r, layouts)).alias("filled"))
                    for r, mask in checks.local]
         parts.append(df.agg(F.array(*triples).alias("p")).select(F.inline("p")))
     if checks.unique:
         # one scan and one shuffle for all uniqueness rules; nulls are one value
         pairs = df.select(F.inline(F.array(*[F.struct(
             F.lit(r.rule_order).cast("bigint").alias("rule_order"),
-            _group_key(_seen(df, r)).alias("value")) for r in checks.unique])))
+            _group_key(_seen(df, r, layouts)).alias("value")) for r in checks.unique])))
         groups = pairs.groupBy("rule_order", "value").agg(F.count(F.lit(1)).alias("n"))
         parts.append(groups.groupBy("rule_order").agg(
             F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
@@ -248,8 +250,9 @@ def _counted(df: DataFrame, checks: Checks) -> DataFrame | None:
     return out
 
 
-def _seen(df: DataFrame, rule: Rule) -> Column:
-    return seen(col(rule.column_name), rule.column_name, df.schema[rule.column_name].dataType)
+def _seen(df: DataFrame, rule: Rule, layouts: dict[str, str]) -> Column:
+    return seen(col(rule.column_name), rule.column_name, df.schema[rule.column_name].dataType,
+                layouts.get(rule.column_name))
 
 
 def _group_key(value: Column) -> Column:
@@ -268,13 +271,16 @@ def require_key(df: DataFrame, key: str) -> None:
 
 def validate(df: DataFrame, rules, as_of: str | None = None,
              semantic_types: dict[str, str] | None = None,
-             skip_empty: bool = False) -> DataFrame:
+             skip_empty: bool = False, layouts: dict[str, str] | None = None) -> DataFrame:
     """One row per rule: failing_count, success and, where it could not run, an error.
 
+    ``layouts`` of slashed dates, by column, are found in the table if not given.
+
     ``skip_empty`` treats a column without any value as missing, so its rules pass."""
     spark, df = df.sparkSession, nan_to_null(df)
     suite = as_rules(rules)
-    checks = plan_checks(df, suite, as_of, semantic_types)
+    layouts = date_layouts(df) if layouts is None else layouts
+    checks = plan_checks(df, suite, as_of, semantic_types, layouts)
     notes = {id(r): (ok, text) for r, ok, text in checks.fixed}
     rows = [(r.rule_order, r.expectation_type, r.column_name, _text(r.min_value),
              _text(r.max_value), [str(v) for v in r.value_set], r.regex, r.type_, r.reasoning,
@@ -282,7 +288,7 @@ def validate(df: DataFrame, rules, as_of: str | None = None,
     schema = RESULT_SCHEMA.replace("failing_count bigint, success boolean, error string",
                                    "fixed_success boolean, error string")
     suite_table = spark.createDataFrame(rows, schema)
-    counted = _counted(df, checks)
+    counted = _counted(df, checks, layouts)
     if counted is None:
         counted = spark.createDataFrame(
             [], "rule_order bigint, failing_count bigint, filled bigint")
@@ -325,14 +331,16 @@ def missing_suite(spark: SparkSession, suite: str) -> DataFrame:
 
 
 def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
-                 semantic_types: dict[str, str] | None = None) -> DataFrame:
+                 semantic_types: dict[str, str] | None = None,
+                 layouts: dict[str, str] | None = None) -> DataFrame:
     """Every (rule_order, expectation_type, column_name, key, value) that breaks a rule.
 
     ``key`` is a unique, non-null column. Uniqueness failures are found by what remains
     after removing the rows whose value occurs once: an anti-join on the unique key, so a
     hot value spreads over all tasks."""
     df = nan_to_null(df)
-    checks = plan_checks(df, as_rules(rules), as_of, semantic_types)
+    layouts = date_layouts(df) if layouts is None else layouts
+    checks = plan_checks(df, as_rules(rules), as_of, semantic_types, layouts)
     schema = ["rule_order", "expectation_type", "column_name", "key", "value"]
     parts = []
     if checks.unique:
@@ -347,7 +355,7 @@ def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
             F.filter(F.array(*hits), lambda h: h.isNotNull()))).select(schema))
     for rule in checks.unique:
         c = col(rule.column_name)
-        narrow = df.select(col(key).alias("key"), c.alias("value"), _seen(df, rule).alias("group"))
+        narrow = df.select(col(key).alias("key"), c.alias("value"), _seen(df, rule, layouts).alias("group"))
         single = (narrow.groupBy("group").agg(F.min("key").alias("key"),
                                               F.max("key").alias("last"))
                   .where(F.col("key") == F.col("last")).select("key"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from dataward.constants import GUARD_SHARE, MAX_CYCLES
+from dataward.functions.coerce import date_layouts
 from dataward.operators.actions import plan_actions, skip_tried, with_confidence
 from dataward.operators.classify import settled, with_semantic_types
 from dataward.operators.heal import as_actions, heal
@@ -44,8 +45,9 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
     and the counts that decide the guard. Each round's table is written once to shared
     storage, so rounds neither recompute earlier ones nor depend on executors staying up."""
     spark = df.sparkSession
+    layouts = date_layouts(df)
     if typed is None:
-        typed = with_semantic_types(profile(df, dataset, as_of))
+        typed = with_semantic_types(profile(df, dataset, as_of, layouts=layouts))
     typed = settled(typed)
     semantics = {r.column_name: r.semantic_type for r in typed.collect()}
     suite = as_rules(build_suite(typed, proposed_rules) if rules is None else rules)
@@ -53,7 +55,7 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
     work, gone, history = df, None, []
     cycle = 0
     while True:
-        result_rows = validate(work, suite, as_of, semantics, skip_empty=True).collect()
+        result_rows = validate(work, suite, as_of, semantics, skip_empty=True, layouts=layouts).collect()
         results = spark.createDataFrame(result_rows, RESULT_SCHEMA)
         if all(r.success for r in result_rows):
             status = "PASS"
@@ -69,7 +71,7 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
         if not actions:
             cycle, status = max_cycles, "ALERT"      # nothing left to try in any round
             break
-        done = heal(work, actions, key, as_of, guard, cut_lineage=True)
+        done = heal(work, actions, key, as_of, guard, cut_lineage=True, layouts=layouts)
         work = done.clean
         if done.quarantined is not None:
             gone = done.quarantined if gone is None else gone.unionByName(done.quarantined)

@@ -482,6 +482,19 @@ def heal_loop_bad_dates(spark, sf):
         "status", "clean_rows", run.quarantined.agg(F.count(F.lit(1)).alias("q")).scalar().alias("quarantined_rows"))
 
 
+@query("heal_loop_slashed_dates", """
+SELECT 'PASS' AS status, count(*) FILTER (o_orderkey % 50 <> 9) AS clean_rows,
+ count(*) FILTER (o_orderkey % 50 = 9) AS quarantined_rows FROM orders""")
+def heal_loop_slashed_dates(spark, sf):
+    """A third of the dates has the day first, which the column settles: they stay clean."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey AS row_key", """CASE WHEN o_orderkey % 50 = 9 THEN 'garbage'
+ WHEN o_orderkey % 3 = 0 THEN date_format(cast(o_orderdate AS date), 'd/M/yyyy')
+ ELSE cast(cast(o_orderdate AS date) AS string) END AS order_date""")
+    run = quality_run(df, "row_key", as_of=AS_OF)
+    return run.clean.agg(F.lit(run.status).alias("status"), F.count(F.lit(1)).alias("clean_rows")).select(
+        "status", "clean_rows", run.quarantined.agg(F.count(F.lit(1)).alias("q")).scalar().alias("quarantined_rows"))
+
+
 @query("heal_loop_wide_category", f"""
 SELECT 'PASS' AS status, nation, count(*) AS n FROM ({WIDE}) GROUP BY nation""")
 def heal_loop_wide_category(spark, sf):
