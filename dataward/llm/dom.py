@@ -17,6 +17,7 @@ _SPACE = re.compile(r"\s+")
 
 # Element classes of HTML
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noframes", "noembed"}
+_RAW_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 HIDDEN = {"head", "select", "option", "button", "datalist", "object", "canvas", "audio", "video", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
@@ -66,7 +67,6 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]      # open elements with their block node
         pieces: list[str] = []
         linked = anchors = hidden = 0
-        lower = ""
         at = 0
         self.has_blocks = [False]
 
@@ -127,12 +127,11 @@ class Page:
             if name == "br":
                 pieces.append(" ")
             if name in RAW:
-                lower = lower or source.lower()
-                stop = lower.find(f"</{name}", at)
-                if stop < 0:
+                stop = _RAW_END[name].search(source, at)
+                if not stop:
                     at = len(source)
                 else:
-                    close = source.find(">", stop)
+                    close = source.find(">", stop.start())
                     at = len(source) if close < 0 else close + 1
                 continue
             if name in VOID:

@@ -87,6 +87,12 @@ def test_blocks(source, blocks):
     assert [t for t in dom.Page(source).text if t] == blocks
 
 
+@pytest.mark.parametrize("end", ["</script>", "</SCRIPT >"])
+def test_letters_that_grow_in_lower_case_move_no_end(end):
+    page = dom.Page("<p>" + "\u0130" * 40 + f"</p><script>x{end}<p>main text</p><p>more</p>")
+    assert [t for t in page.text if t] == ["\u0130" * 40, "main text", "more"]
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert htmltext.extract(none).count() == 0
