@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataward.llm import bpe, chat, htmltext, langid, linededup, neardup, packing, quality, substrdedup, topk
+from dataward.llm import bpe, chat, htmltext, langid, linededup, neardup, packing, pieces, quality, substrdedup, topk
 from dataward.llm.registry import importable, query
 
 
@@ -202,3 +202,8 @@ def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pair_id").alias("conv_id"), "n_prompt_turns",
         *[F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
         *[trained(f"{c}_mask").alias(f"{c}_trained") for c in ("chosen", "rejected")])
+
+
+@query("op11_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))

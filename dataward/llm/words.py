@@ -1,8 +1,9 @@
 """Words, lines and their 64-bit hashes for slices of an Arrow text column.
 
 A slice's texts lie in one byte buffer; every step is a few numpy passes over it, so no
-Python object is made per word. Hashes are polynomial in the bytes modulo 2**64, taken
-from prefix sums (any span costs O(1)), then mixed with the span's length.
+Python object is made per word. Byte spans are hashed in pieces of eight bytes, each mixed
+with its place, so that no regular strings collide; runs of word hashes are polynomials of
+those modulo 2**64, taken from prefix sums (any run costs O(1)).
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEED = 20240501
+_PLACES = 0xD1B54A32D192ED03
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_CODES = np.random.default_rng(_SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -66,6 +66,33 @@ class SpanHashes:
         return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class ByteSpans:
+    """Hashes of byte spans: the sum of their mixed eight-byte pieces, mixed with the length.
+    A piece is mixed with its place first, so equal sums of different spans are chance."""
+
+    def __init__(self, buf: np.ndarray):
+        self.padded = np.append(buf, np.zeros(8, np.uint8))
+        self.eights = np.ndarray(len(buf) + 1, np.dtype("<u8"), self.padded, strides=(1,))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        pieces = (size + 7) >> 3
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        at = np.repeat(start, pieces) + 8 * place
+        value = self.eights[at]
+        short = np.flatnonzero(np.repeat(end, pieces) - at < 8)      # the last piece of a span
+        left = (np.repeat(end, pieces)[short] - at[short]).astype(np.uint64)
+        value[short] &= (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1)
+        places = mix(np.arange(1, int(pieces.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(_PLACES))
+        value = mix(value ^ places[place])
+        total = np.zeros(len(size), np.uint64)
+        filled = pieces > 0
+        if filled.any():
+            total[filled] = np.add.reduceat(value, first[filled])
+        return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Texts:
     """The words of a slice of texts: `start`, `end` (bytes) and `doc` (row) per word."""
 
@@ -91,8 +118,8 @@ class Texts:
         self.doc = np.searchsorted(off[1:], self.start, side="right")
         self.counts = np.bincount(self.doc, minlength=self.n)[:self.n]
 
-    def byte_hashes(self) -> SpanHashes:
-        return SpanHashes(_BYTE_CODES[self.buf])
+    def byte_hashes(self) -> ByteSpans:
+        return ByteSpans(self.buf)
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each text have the flag."""
