@@ -137,7 +137,7 @@ class UnitEncoder:
         if odd:
             keep = ~np.isin(doc, odd) | np.isin(start, t.off[:-1])
             start, doc = start[keep], doc[keep]
-        return start, np.append(start[1:], len(buf)), doc
+        return start, np.append(start[1:], len(buf))[:len(start)], doc
 
     def _with_special(self, t: Texts):
         whole = t.buf.tobytes()

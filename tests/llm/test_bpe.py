@@ -4,6 +4,7 @@ import unicodedata
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import colliding
 from tokenizers import Tokenizer
 
 from dataward.llm import bpe
@@ -27,7 +28,7 @@ def same(texts):
 
 def test_odd_texts():
     same([None, "", " ", "a  b", "x<|startoftext|>y <|endoftext|>", "aaaa aaa aaaaa", "I'LL it's ΑΣ ΟΔΟΣ İ", "é é",
-          "日本 語", "\x1c \x85 z\x00", "12ab!!??", "<|", "a b​c", "q" * 3000, "\U0001f600 \U0001f600\U0001f600"])
+          "日本 語", "\x1c \x85 z\x00", "12ab!!??", "<|", "a b​c", "q" * 3000, "\U0001f600 \U0001f600\U0001f600", " ".join(colliding())])
 
 
 @settings(max_examples=150, deadline=None)

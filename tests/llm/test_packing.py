@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import colliding
 from tokenizers import Tokenizer
 
 from dataward.llm import packing
@@ -19,7 +20,7 @@ def ids_of(text):
 
 def test_units_encode_as_whole_texts():
     texts = [None, "", " ", "a  b", " lead", "trail ", "a\n b", "it's <|endoftext|> x y", "<|endoftext|>", "日本 語 x",
-             "é « x »", "a b 　 c", "\x1c \x85 z", "x" * 5000, "tab\tand 12 34.5"]
+             "é « x »", "a b 　 c", "\x1c \x85 z", "x" * 5000, "tab\tand 12 34.5", *colliding()]
     ids, off = packing.encoder(packing.TOKENIZER, packing.RANKS).encode(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
         assert ids[off[i]:off[i + 1]].tolist() == ids_of(text), text

@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import colliding
 from sentencepiece import sentencepiece_model_pb2 as format
 
 from dataward.llm import pieces
@@ -90,12 +91,7 @@ def test_bytes_that_are_no_text(own):
 
 
 def test_equal_polynomial_hashes(own):
-    a = "a"
-    for _ in range(11):
-        a += a.translate(str.maketrans("ab", "ba"))
-    b = a.translate(str.maketrans("ab", "ba"))
-    for text, (_, ids, _) in zip([a, b], own.texts(pa.array([a, b]))):
-        assert [int(i) for i in ids.split()[:-1]] == LIBRARY.encode(text)
+    same(own, LIBRARY, [*colliding(), " ".join(colliding())])
 
 
 def test_forgetting_units(monkeypatch):

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from llm_texts import DOCS, prose
+from llm_texts import DOCS, colliding, prose
 
 from dataward.llm import quality
 
@@ -21,7 +21,8 @@ def expected(text):
 
 def test_measures():
     texts = [None, "", "a", "a b c a b c a", "x\n x\nx\n\n\n", "é & é & é", "a\x0bb\x1cc d", "\n", prose(1, 500),
-             "same line here\nsame line here", "z " * 300]
+             "same line here\nsame line here", "z " * 300,
+             "\n".join(colliding()), " ".join(colliding())]
     got = quality.measure(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
         assert {k: int(v[i]) for k, v in got.items()} == expected(text), text
