@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataward.llm import bpe, chat, htmltext, langid, linededup, neardup, packing, pieces, quality, substrdedup, topk
+from dataward.llm import (
+    bpe, chat, htmltext, langid, linededup, neardup, packing, pieces, prefixtrie, quality, substrdedup, topk)
 from dataward.llm.registry import importable, query
 
 
@@ -207,3 +208,34 @@ def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_sentencepiece")
 def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def _trie_sql() -> str:
+    crc = """xor(list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(range(1, length(c) + 1),
+                 lambda i: [ascii(c[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                                 ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+    return f"""
+WITH own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                                  ORDER BY turn NULLS FIRST) AS q
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT conv_id, q, {crc} % 6 AS h FROM (SELECT *, conv_id::VARCHAR AS c FROM own)),
+r AS (SELECT k.conv_id, list_concat(coalesce(b.q[1:k.h], []), k.q[k.h + 1:]) AS q
+      FROM k LEFT JOIN own b ON b.conv_id = k.conv_id - k.conv_id % 100),
+p AS (SELECT conv_id, len(q) AS n, unnest(range(0, len(q) + 1)) AS d, q FROM r),
+v AS (SELECT q[1:d] AS path, d, count(*) AS n_convs, min(conv_id) AS low,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends
+      FROM p GROUP BY ALL),
+c AS (SELECT v.*, u.low AS above, (SELECT count(*) FROM v x WHERE x.d = v.d + 1 AND x.path[1:v.d] = v.path) AS children
+      FROM v LEFT JOIN v u ON u.d = v.d - 1 AND u.path = v.path[1:v.d - 1])
+SELECT a.low AS conv_id, a.d AS depth, a.above AS parent_conv_id, a.n_convs, a.children AS n_children,
+       count(*) FILTER (b.children = 0) AS n_leaves,
+       sum((b.n_convs - 1) * CASE WHEN b.d = 0 THEN 0 ELSE length(b.path[b.d].text) END)::BIGINT AS saved_tokens,
+       a.ends AS ends_sha256
+FROM c a JOIN c b ON b.d >= a.d AND b.path[1:a.d] = a.path
+GROUP BY a.path, a.low, a.d, a.above, a.n_convs, a.children, a.ends"""
+
+
+@query("op12_prefix_trie", _trie_sql())
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.nodes(prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
