@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataward.llm import (
-    bpe, chat, htmltext, langid, linededup, neardup, packing, pieces, prefixtrie, quality, substrdedup, topk)
+    bpe, chat, hardneg, htmltext, langid, linededup, neardup, packing, pieces, prefixtrie, quality, substrdedup, topk)
 from dataward.llm.registry import importable, query
 
 
@@ -239,3 +239,30 @@ GROUP BY a.path, a.low, a.d, a.above, a.n_convs, a.children, a.ends"""
 @query("op12_prefix_trie", _trie_sql())
 def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.nodes(prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def _negatives_sql() -> str:
+    return """
+WITH v AS (SELECT row_number() OVER () AS row_id, vec_id,
+                  CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row_id, a.vec_id AS anchor_id, b.vec_id, b.row_id AS other, a.label = b.label AS same,
+             coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0)::BIGINT AS score
+      FROM v a JOIN v b ON a.row_id <> b.row_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id, other) AS place
+      FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.row_id, p.place, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id,
+             p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.row_id, p.place ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+      FROM p JOIN s ON s.row_id = p.row_id AND NOT s.same
+      WHERE 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5"""
+
+
+@query("op13_hard_negatives", _negatives_sql())
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"))
