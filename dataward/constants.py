@@ -140,3 +140,6 @@ RISK_WEIGHTS = {
     "PAN": 0.9, "PASSPORT": 0.9, "DOB": 0.5, "SSN": 0.95, "IP": 0.4, "CREDIT_CARD": 0.95,
 }
 DEFAULT_WEIGHT = 0.5
+
+# Own text: the reason of rows whose date has two readings.
+AMBIGUOUS_DATE = "Ambiguous date: day and month cannot be told apart"

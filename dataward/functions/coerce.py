@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,19 @@ TIME_TEXT = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?\s*$"
 LOOSE_TIME_TEXT = (r"^\s*\d{4}[-/]\d{2}[-/]\d{2}"
                    r"([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$")
 SLASHED_DATE = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
+# Other dates, each with an optional time of day (hour, minute, second, fraction, half of the
+# day). Only the last kind has two readings.
+CLOCK = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?)?\s*([AaPp][Mm])?)?\s*$"
+MONTH_NAME = ("((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+              "|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))")
+YEAR_FIRST = r"^\s*(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + CLOCK
+COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})" + CLOCK
+DAY_NAMED_MONTH = r"^\s*(\d{1,2})[-/ ]?" + MONTH_NAME + r"[-/ ,.]*(\d{4}|\d{2})" + CLOCK
+NAMED_MONTH_DAY = r"^\s*" + MONTH_NAME + r"[-/ .]*(\d{1,2})(?:,\s*|[-/ ]+)(\d{4}|\d{2})" + CLOCK
+NUMERIC_ORDER = r"^\s*(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})" + CLOCK
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+CENTURY_FROM = "69"         # two-digit years from here on belong to the nineteen hundreds
+DAY_FIRST, MONTH_FIRST = "d/M/yyyy", "M/d/yyyy"
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -68,9 +83,31 @@ def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _assembled(value: Column, pattern: str, year: int, month: int, day: int, clock: int) -> Column:
+    """The moment of a text that matches the pattern, from its groups; ``clock`` is the first
+    group of the time of day."""
+    def group(i: int) -> Column:
+        return F.regexp_extract(value, pattern, i)
+
+    full_year = F.when(F.length(group(year)) == 4, group(year)).otherwise(F.concat(
+        F.when(group(year) >= CENTURY_FROM, F.lit("19")).otherwise(F.lit("20")), group(year)))
+    number = group(month)
+    if MONTH_NAME in pattern:
+        place = F.call_function("instr", F.lit(MONTHS), F.lower(F.substring(number, 1, 3)))
+        number = ((place + 2) / 3).cast("int").cast("string")
+    hour, half = group(clock), F.lower(group(clock + 4))
+    of_day = F.when(half == "", hour).otherwise(
+        (F.pmod(hour.try_cast("int"), F.lit(12)) + F.when(half == "pm", 12).otherwise(0)).cast("string"))
+    time = F.when(hour == "", F.lit("")).otherwise(F.concat(
+        F.lit(" "), F.lpad(of_day, 2, "0"), F.lit(":"), group(clock + 1), F.lit(":"),
+        F.when(group(clock + 2) == "", F.lit("00")).otherwise(group(clock + 2)), group(clock + 3)))
+    return F.concat(full_year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(group(day), 2, "0"), time).try_cast("timestamp")
+
+
 def safe_timestamp(value: Column, data_type: T.DataType, layout: str | None = None) -> Column:
-    """Timestamp or null. Only strings are parsed, and only in the listed layouts and, where
-    the column settles one, in its layout of slashed dates."""
+    """Timestamp or null. Only strings are parsed: ISO 8601 and its variants, the year first,
+    eight digits, and months by name. Dates of two numbers and a year are read only in
+    ``layout``, day or month first, whatever stands between the numbers."""
     if isinstance(data_type, TEMPORAL):
         return value.cast("timestamp")
     if isinstance(data_type, T.StringType):
@@ -79,39 +116,93 @@ def safe_timestamp(value: Column, data_type: T.DataType, layout: str | None = No
         moment = (F.when(value.rlike(TIME_TEXT), value.try_cast("timestamp"))
                   .when(value.rlike(LOOSE_TIME_TEXT), full.try_cast("timestamp")))
         if layout:
-            moment = moment.when(value.rlike(SLASHED_DATE), F.try_to_timestamp(F.trim(value), F.lit(layout)))
-        return moment
+            day, month = (1, 3) if layout == DAY_FIRST else (3, 1)
+            moment = moment.when(value.rlike(NUMERIC_ORDER), _assembled(value, NUMERIC_ORDER, 4, month, day, 5))
+        return (moment.when(value.rlike(YEAR_FIRST), _assembled(value, YEAR_FIRST, 1, 3, 4, 5))
+                .when(value.rlike(COMPACT), _assembled(value, COMPACT, 1, 2, 3, 4))
+                .when(value.rlike(DAY_NAMED_MONTH), _assembled(value, DAY_NAMED_MONTH, 3, 2, 1, 4))
+                .when(value.rlike(NAMED_MONTH_DAY), _assembled(value, NAMED_MONTH_DAY, 3, 1, 2, 4)))
     return F.lit(None).cast("timestamp")
 
 
+def _date_texts(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
+    """Text columns named like a date; of those only ``columns``, if given."""
+    wanted = None if columns is None else set(columns)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and looks_like_date(f.name)
+            and (wanted is None or f.name in wanted)]
+
+
 def slashed_orders(df: DataFrame) -> DataFrame:
     """(column_name, slashed, day_first, month_first, layout) of text columns named like a
     date, from one aggregate: a first or second number above 12 shows which one is the day.
     Without such a value, or with both kinds, the layout is null: it is not guessed."""
-    names = [f.name for f in df.schema.fields
-             if isinstance(f.dataType, T.StringType) and looks_like_date(f.name)]
+    names = _date_texts(df, None)
     if not names:
         return df.sparkSession.createDataFrame(
             [], "column_name string, slashed bigint, day_first bigint, month_first bigint, layout string")
 
-    def part(name: str, group: int) -> Column:
-        return F.regexp_extract(col(name), SLASHED_DATE, group).try_cast("int")
+    def above(name: str, group: int) -> Column:
+        # a text that does not match has no number to convert: failing conversions are slow
+        return F.when(col(name).rlike(SLASHED_DATE), F.regexp_extract(col(name), SLASHED_DATE, group).cast("int") > 12)
 
-    counts = [F.struct(F.lit(n).alias("column_name"),
-                       F.count_if(col(n).rlike(SLASHED_DATE)).alias("slashed"),
-                       F.count_if(part(n, 1) > 12).alias("day_first"),
-                       F.count_if(part(n, 2) > 12).alias("month_first")) for n in names]
+    counts = [F.struct(F.lit(n).alias("column_name"), F.count_if(col(n).rlike(SLASHED_DATE)).alias("slashed"),
+                       F.count_if(above(n, 1)).alias("day_first"), F.count_if(above(n, 2)).alias("month_first"))
+              for n in names]
     return df.agg(F.array(*counts).alias("c")).select(F.inline("c")).withColumn(
-        "layout", F.when((F.col("day_first") > 0) & (F.col("month_first") == 0), "d/M/yyyy")
-        .when((F.col("month_first") > 0) & (F.col("day_first") == 0), "M/d/yyyy"))
+        "layout", F.when((F.col("day_first") > 0) & (F.col("month_first") == 0), DAY_FIRST)
+        .when((F.col("month_first") > 0) & (F.col("day_first") == 0), MONTH_FIRST))
+
+
+READINGS = ("column_name string, two_numbers bigint, day_first bigint, month_first bigint, other_dates bigint, "
+            "layout string, ambiguous boolean")
 
 
-def date_layouts(df: DataFrame) -> dict[str, str]:
-    """The layouts that columns settle, by column name: one aggregate, if there is a text
-    column named like a date."""
-    if not any(isinstance(f.dataType, T.StringType) and looks_like_date(f.name) for f in df.schema.fields):
+def date_readings(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """How text columns named like a date are read: one row per column, from one aggregate.
+
+    Every value of two numbers and a year rules out the orders that cannot read it, and what
+    is left over all of them is the column's order. ``day_first`` and ``month_first`` count the
+    values that allow one order only, ``other_dates`` those of the layouts with one reading.
+    A column whose values allow both orders is ambiguous: if it holds no other dates, months
+    are read first, as a reader without further knowledge does; beside other dates such values are not read. If
+    the values of a column contradict each other, none of them is."""
+    names = _date_texts(df, columns)
+    if not names:
+        return df.sparkSession.createDataFrame([], READINGS)
+    other = "|".join(f"(?:{p})" for p in (TIME_TEXT, LOOSE_TIME_TEXT, YEAR_FIRST.replace(r"\2", r"[-/.]"), COMPACT,
+                                          DAY_NAMED_MONTH, NAMED_MONTH_DAY))
+
+    def orders(name: str) -> Column:
+        """Bit 1: the day can be first, bit 2: the month can; null for other texts."""
+        first, second = (F.regexp_extract(col(name), NUMERIC_ORDER, i).cast("int") for i in (1, 3))
+        day, month = (F.when(a.between(1, 12) & b.between(1, 31), bit).otherwise(0)
+                      for a, b, bit in ((second, first, 1), (first, second, 2)))
+        return F.when(~col(name).rlike(TIME_TEXT) & col(name).rlike(NUMERIC_ORDER), day + month)
+
+    bits = df.select(*[F.struct(orders(n).alias("bits"),
+                                (F.col(quoted(n)).rlike(TIME_TEXT) | col(n).rlike(other)).alias("other")).alias(f"c{i}")
+                       for i, n in enumerate(names)])
+    counts = [F.struct(F.lit(n).alias("column_name"), F.count_if(F.col(f"c{i}.bits") > 0).alias("two_numbers"),
+                       F.count_if(F.col(f"c{i}.bits") == 1).alias("day_first"),
+                       F.count_if(F.col(f"c{i}.bits") == 2).alias("month_first"),
+                       F.count_if(F.col(f"c{i}.other")).alias("other_dates"),
+                       # what all of them allow; values that no order reads say nothing
+                       F.bit_and(F.when(F.col(f"c{i}.bits") > 0, F.col(f"c{i}.bits"))).alias("all"))
+              for i, n in enumerate(names)]
+    allowed = F.coalesce("all", F.lit(0))
+    return (bits.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+            .withColumn("layout", F.when(allowed == 1, DAY_FIRST).when(allowed == 2, MONTH_FIRST)
+                        .when((allowed == 3) & (F.col("other_dates") == 0), MONTH_FIRST))
+            .withColumn("ambiguous", (allowed == 3) | (F.col("two_numbers") > 0) & (allowed == 0))
+            .select([c.split()[0] for c in READINGS.split(", ")]))
+
+
+def date_layouts(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, str]:
+    """The orders that columns settle, by column name: one aggregate, if there is a text
+    column named like a date among ``columns`` (None: all)."""
+    if not _date_texts(df, columns):
         return {}
-    return {r.column_name: r.layout for r in slashed_orders(df).collect() if r.layout}   # one row per column
+    return {r.column_name: r.layout for r in date_readings(df, columns).collect() if r.layout}   # one row per column
 
 
 def seen(value: Column, name: str, data_type: T.DataType, layout: str | None = None) -> Column:
@@ -136,7 +227,7 @@ def looks_like_date(name: str) -> bool:
 def parse_dates(df: DataFrame, layouts: dict[str, str] | None = None) -> DataFrame:
     """String columns named like a date become timestamps; unparseable text becomes null.
 
-    ``layouts`` gives a column's layout of slashed dates, as ``slashed_orders`` finds it."""
+    ``layouts`` gives a column's order of numeric dates, as ``date_readings`` finds it."""
     parsed = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType) and looks_like_date(f.name):

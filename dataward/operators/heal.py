@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataward.constants import CATEGORICAL_FIXES, DATE_COLUMN_NAMES, GUARD_SHARE, MIN_DATE
+from dataward.constants import AMBIGUOUS_DATE, CATEGORICAL_FIXES, DATE_COLUMN_NAMES, GUARD_SHARE, MIN_DATE
 from dataward.functions.coerce import (
     NUMERIC,
+    NUMERIC_ORDER,
     TEMPORAL,
     col,
     date_layouts,
+    looks_like_date,
     nan_to_null,
     safe_double,
     safe_timestamp,
@@ -161,37 +163,54 @@ def _fix(steps: _Steps, action: Action, value: Column,
     return mask, steps.add(F.when(mask, fixed).otherwise(value))
 
 
-def _is_shuffle(action: Action) -> bool:
+def _reads_dates(action: Action) -> bool:
+    return _condition(action) in ("is_null", "is_future_date")
+
+
+def _reason(action: Action, value: Column | None, data_type: T.DataType | None, layout: str | None) -> Column:
+    """Why the action sets a row aside."""
+    given = F.lit(action.reason or "Data quality failure")
+    if (value is None or layout or not _reads_dates(action) or not looks_like_date(action.column)
+            or not isinstance(data_type, T.StringType)):
+        return given
+    return F.when(value.rlike(NUMERIC_ORDER), F.lit(AMBIGUOUS_DATE)).otherwise(given)
+
+
+def is_shuffle(action: Action) -> bool:
+    """Whether the action handles duplicates."""
     return action.action_type == "deduplicate" or (
         action.action_type == "quarantine" and _condition(action) == "is_duplicate")
 
 
 def heal(df: DataFrame, actions, key: str, as_of: str | None = None,
          guard: float = GUARD_SHARE, cut_lineage: bool | None = None,
-         layouts: dict[str, str] | None = None) -> Healed:
+         layouts: dict[str, str] | None = None, key_checked: bool = False) -> Healed:
     """Apply actions in order. ``key`` is a unique, non-null column that also defines
-    which of several duplicates is the first. ``layouts`` of slashed dates, by column, are
-    found in the table if not given.
+    which of several duplicates is the first; that it is one is checked here unless the
+    caller has done so (``key_checked``). ``layouts`` of numeric dates, by column, are
+    found in the table if not given. Rows whose date is set aside because its day and month
+    cannot be told apart say so as their reason.
 
     ``cut_lineage`` writes each intermediate table once, so that long plans neither
     recompute nor lose it; by default this is done when a plan has several stages."""
     plan, df = as_actions(actions), nan_to_null(df)
-    layouts = date_layouts(df) if layouts is None else layouts
-    if any(_is_shuffle(a) for a in plan):
+    if layouts is None:
+        layouts = date_layouts(df, [a.column for a in plan if a.action_type == "quarantine" and _reads_dates(a)])
+    if not key_checked and any(is_shuffle(a) for a in plan):
         require_key(df, key)
     if cut_lineage is None:
-        cut_lineage = len(plan) > 1 and any(_is_shuffle(a) for a in plan)
+        cut_lineage = len(plan) > 1 and any(is_shuffle(a) for a in plan)
     clean, rejected, stats = df, [], []
     position = 0
     while position < len(plan):
-        if _is_shuffle(plan[position]):
+        if is_shuffle(plan[position]):
             clean, gone, row = _duplicates(clean, plan[position], key, guard, cut_lineage)
             stats.append(row)
             position += 1
         else:
             end = position
             while (end < len(plan) and end - position < FUSE_LIMIT
-                   and not _is_shuffle(plan[end])):
+                   and not is_shuffle(plan[end])):
                 end += 1
             clean, gone, rows = _fused(clean, plan[position:end], as_of, guard, cut_lineage, layouts)
             stats += rows
@@ -211,9 +230,12 @@ def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage, layouts)
     steps = _Steps(df)
     current = {c: col(c) for c in df.columns}
     masks: list[Column] = []
+    reasons: list[Column] = []
     fixes: list[tuple[int, str, Column]] = []
     for i, action in enumerate(run):
         mask = F.lit(False)
+        reasons.append(_reason(action, current.get(action.column), types.get(action.column),
+                               layouts.get(action.column)))
         if action.column in types:
             value, data_type = current[action.column], types[action.column]
             if action.action_type == "fix_value":
@@ -235,7 +257,7 @@ def _fused(df: DataFrame, run: list[Action], as_of, guard, cut_lineage, layouts)
     if len(groups) > COMBINATION_LIMIT:
         return _fused(df, run[:len(run) // 2], as_of, guard, cut_lineage, layouts)
     rows, effective = _replay(run, types, {g.bits: g.n for g in groups}, guard)
-    return (*_apply(df, steps, run, masks, fixes, effective, cut_lineage), rows)
+    return (*_apply(df, steps, masks, reasons, fixes, effective, cut_lineage), rows)
 
 
 def _replay(run, types, alive: dict[int, int], guard: float) -> tuple[list[dict], list[int]]:
@@ -259,7 +281,7 @@ def _replay(run, types, alive: dict[int, int], guard: float) -> tuple[list[dict]
     return rows, effective
 
 
-def _apply(df, steps, run, masks, fixes, effective, cut_lineage):
+def _apply(df, steps, masks, reasons, fixes, effective, cut_lineage):
     """Project the surviving effects: (clean rows, set-aside rows or None)."""
     values = {c: col(c) for c in df.columns}
     if not effective:
@@ -267,14 +289,13 @@ def _apply(df, steps, run, masks, fixes, effective, cut_lineage):
         clean = steps.df.select([values[c].alias(c) for c in df.columns])
         return (materialize(clean, "healed") if cut_lineage and fixes else clean), None
     rejected_by = steps.add(F.coalesce(
-        *[F.when(masks[i], F.lit(i)) for i in effective], F.lit(len(run))))
+        *[F.when(masks[i], F.lit(i)) for i in effective], F.lit(len(masks))))
     for i, column, fixed in fixes:
         # a row set aside earlier keeps the value it had then
         values[column] = fixed if effective[0] > i else (
             F.when(rejected_by > i, fixed).otherwise(values[column]))
-    reasons = F.array(*[F.lit(a.reason or "Data quality failure") for a in run])
-    out = steps.df.select([values[c].alias(c) for c in df.columns]
-                          + [F.get(reasons, rejected_by).alias(REASON)])
+    reason = F.coalesce(*[F.when(rejected_by == i, reasons[i]) for i in effective])
+    out = steps.df.select([values[c].alias(c) for c in df.columns] + [reason.alias(REASON)])
     if cut_lineage:
         out = materialize(out, "healed")
     return (out.where(F.col(REASON).isNull()).drop(REASON),

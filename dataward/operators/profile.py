@@ -45,7 +45,7 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
             group_limit: int = GROUP_LIMIT, layouts: dict[str, str] | None = None) -> DataFrame:
     """Profile table of one dataset.
 
-    ``layouts`` of slashed dates, by column, are found in the table if not given.
+    ``layouts`` of numeric dates, by column, are found in the table if not given.
 
     ``sample_rows`` profiles a Bernoulli sample of about that many rows (off by default).
     ``approx`` replaces exact distinct counts and quartiles by mergeable sketches.

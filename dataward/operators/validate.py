@@ -274,12 +274,12 @@ def validate(df: DataFrame, rules, as_of: str | None = None,
              skip_empty: bool = False, layouts: dict[str, str] | None = None) -> DataFrame:
     """One row per rule: failing_count, success and, where it could not run, an error.
 
-    ``layouts`` of slashed dates, by column, are found in the table if not given.
+    ``layouts`` of numeric dates, by column, are found in the table if not given.
 
     ``skip_empty`` treats a column without any value as missing, so its rules pass."""
     spark, df = df.sparkSession, nan_to_null(df)
     suite = as_rules(rules)
-    layouts = date_layouts(df) if layouts is None else layouts
+    layouts = date_layouts(df, [r.column_name for r in suite]) if layouts is None else layouts
     checks = plan_checks(df, suite, as_of, semantic_types, layouts)
     notes = {id(r): (ok, text) for r, ok, text in checks.fixed}
     rows = [(r.rule_order, r.expectation_type, r.column_name, _text(r.min_value),
@@ -338,9 +338,9 @@ def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
     ``key`` is a unique, non-null column. Uniqueness failures are found by what remains
     after removing the rows whose value occurs once: an anti-join on the unique key, so a
     hot value spreads over all tasks."""
-    df = nan_to_null(df)
-    layouts = date_layouts(df) if layouts is None else layouts
-    checks = plan_checks(df, as_rules(rules), as_of, semantic_types, layouts)
+    df, suite = nan_to_null(df), as_rules(rules)
+    layouts = date_layouts(df, [r.column_name for r in suite]) if layouts is None else layouts
+    checks = plan_checks(df, suite, as_of, semantic_types, layouts)
     schema = ["rule_order", "expectation_type", "column_name", "key", "value"]
     parts = []
     if checks.unique:

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from dataward.constants import GUARD_SHARE, MAX_CYCLES
-from dataward.functions.coerce import date_layouts
+from dataward.functions.coerce import READINGS, date_readings
 from dataward.operators.actions import plan_actions, skip_tried, with_confidence
 from dataward.operators.classify import settled, with_semantic_types
-from dataward.operators.heal import as_actions, heal
+from dataward.operators.heal import as_actions, heal, is_shuffle
 from dataward.operators.profile import profile
 from dataward.operators.rules import build_suite
 from dataward.operators.validate import RESULT_SCHEMA, as_rules, validate
@@ -31,6 +31,7 @@ class QualityRun:
     rules: list
     results: DataFrame               # the last validation
     history: DataFrame
+    date_readings: DataFrame         # how text dates were read, and which have two readings
 
 
 def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str | None = None,
@@ -45,7 +46,8 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
     and the counts that decide the guard. Each round's table is written once to shared
     storage, so rounds neither recompute earlier ones nor depend on executors staying up."""
     spark = df.sparkSession
-    layouts = date_layouts(df)
+    readings = date_readings(df).collect()       # one row per text column named like a date
+    layouts = {r.column_name: r.layout for r in readings if r.layout}
     if typed is None:
         typed = with_semantic_types(profile(df, dataset, as_of, layouts=layouts))
     typed = settled(typed)
@@ -53,7 +55,7 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
     suite = as_rules(build_suite(typed, proposed_rules) if rules is None else rules)
 
     work, gone, history = df, None, []
-    cycle = 0
+    cycle, key_checked = 0, False
     while True:
         result_rows = validate(work, suite, as_of, semantics, skip_empty=True, layouts=layouts).collect()
         results = spark.createDataFrame(result_rows, RESULT_SCHEMA)
@@ -71,7 +73,10 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
         if not actions:
             cycle, status = max_cycles, "ALERT"      # nothing left to try in any round
             break
-        done = heal(work, actions, key, as_of, guard, cut_lineage=True, layouts=layouts)
+        done = heal(work, actions, key, as_of, guard, cut_lineage=True, layouts=layouts, key_checked=key_checked)
+        # rows that stay keep their keys, unless a repair changes them
+        key_checked = ((key_checked or any(is_shuffle(a) for a in actions))
+                       and not any(a.action_type == "fix_value" and a.column == key for a in actions))
         work = done.clean
         if done.quarantined is not None:
             gone = done.quarantined if gone is None else gone.unionByName(done.quarantined)
@@ -79,4 +84,5 @@ def quality_run(df: DataFrame, key: str, dataset: str = "dataset", as_of: str |
                      s["rows_affected"], s["remaining_rows"], s["success"], s["confidence"],
                      s["reasoning"], s["error"]) for s in done.stats]
     return QualityRun(status, cycle, work, gone, typed, suite, results,
-                      spark.createDataFrame(history, RUN_HISTORY))
+                      spark.createDataFrame(history, RUN_HISTORY),
+                      spark.createDataFrame(readings, READINGS))

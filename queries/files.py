@@ -8,11 +8,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataward.functions.coerce import infer_types, null_tokens, parse_dates, profile_dtype, slashed_orders
+from dataward.functions.coerce import (
+    date_layouts,
+    date_readings,
+    infer_types,
+    null_tokens,
+    parse_dates,
+    profile_dtype,
+    slashed_orders,
+)
 from dataward.operators import classify, masking, rules, validate
 from dataward.session import scratch_path
 from dataward.sources import csv, sinks
-from queries.fixtures import VIEWS, oracle, table
+from queries.fixtures import MOMENT, VIEWS, WRITTEN, oracle, table, written_dates
 from queries.healing import BAD_DATE
 from queries.profiling import GENERATED, RULE_OUT, comparable, profiles, typed_cte
 from queries.registry import query
@@ -274,6 +282,35 @@ def slashed(spark, sf):
         f"CASE WHEN day({day}) <= 12 THEN date_format({day}, 'd/M/yyyy') END AS ship_date"))
 
 
+@query("parse_dates_many_layouts", f"""
+SELECT o_orderkey AS row_key, {", ".join(
+    f"({MOMENT if timed else 'o_orderdate::DATE::TIMESTAMP'}) AS {c}" for c, (_, timed) in WRITTEN.items())} FROM orders""")
+def parse_dates_many_layouts(spark, sf):
+    """Nine columns, each written in one layout throughout: not a value is lost."""
+    df = written_dates(spark, sf)
+    return parse_dates(df, date_layouts(df))
+
+
+@query("date_readings", """
+SELECT 'order_date' AS column_name, count(*) AS two_numbers, count(*) FILTER (day(o_orderdate) > 12) AS day_first,
+ 0::BIGINT AS month_first, 0::BIGINT AS other_dates, 'd/M/yyyy' AS layout, false AS ambiguous FROM orders
+UNION ALL SELECT 'ship_date', count(*) FILTER (day(o_orderdate) <= 12), 0, 0, 0, 'M/d/yyyy', true FROM orders
+UNION ALL SELECT 'due_date', count(*) FILTER (day(o_orderdate) <= 12), 0, 0, count(*) FILTER (day(o_orderdate) > 12),
+ NULL, true FROM orders
+UNION ALL SELECT 'paid_date', count(*), count(*) FILTER (day(o_orderdate) > 12 AND o_orderkey % 2 = 0),
+ count(*) FILTER (day(o_orderdate) > 12 AND o_orderkey % 2 = 1), 0, NULL, true FROM orders
+UNION ALL SELECT 'iso_date', 0, 0, 0, count(*), NULL, false FROM orders""")
+def readings(spark, sf):
+    """Settled, ambiguous alone and beside other dates, contradictory, and without a choice."""
+    day = "cast(o_orderdate AS date)"
+    return date_readings(table(spark, sf, "orders").selectExpr(
+        f"date_format({day}, 'd/M/yyyy') AS order_date",
+        f"CASE WHEN day({day}) <= 12 THEN date_format({day}, 'd.M.yyyy') ELSE 'open' END AS ship_date",
+        f"CASE WHEN day({day}) <= 12 THEN date_format({day}, 'd/M/yyyy') ELSE date_format({day}, 'd MMM yyyy') END AS due_date",
+        f"date_format({day}, CASE WHEN o_orderkey % 2 = 0 THEN 'd/M/yyyy' ELSE 'M/d/yyyy' END) AS paid_date",
+        f"cast({day} AS string) AS iso_date"))
+
+
 @query("clean_sink", oracle("""
 SELECT row_key, order_id, status, 'parquet' AS fmt FROM dirty_orders
 UNION ALL SELECT row_key, order_id, CASE WHEN status <> '' THEN status END, 'csv' FROM dirty_orders""", "dirty_orders"))

@@ -110,3 +110,18 @@ def oracle(sql: str, *views: str, ctes: dict[str, str] | None = None) -> str:
     if not parts:
         return sql
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts.items()) + "\n" + sql
+
+
+# Columns that hold one layout throughout, all of the same days: Spark's pattern, and the part
+# of the day that it keeps.
+WRITTEN = {"named_date": ("d MMM yyyy", False), "long_date": ("MMMM d, yyyy", False), "compact_date": ("yyyyMMdd", False),
+           "dotted_date": ("yyyy.MM.dd", False), "day_date": ("dd.MM.yyyy", False), "month_date": ("M/d/yyyy", False),
+           "short_date": ("dd-MMM-yy", False), "stamp_time": ("yyyyMMdd HH:mm:ss", True),
+           "half_time": ("MM/dd/yyyy hh:mm a", True)}
+MOMENT = "o_orderdate::DATE::TIMESTAMP + INTERVAL 1 MINUTE * (o_orderkey % 1440)"
+
+
+def written_dates(spark, sf) -> DataFrame:
+    moment = "timestampadd(MINUTE, o_orderkey % 1440, cast(cast(o_orderdate AS date) AS timestamp))"
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS row_key", *[f"date_format({moment}, '{p}') AS {c}" for c, (p, _) in WRITTEN.items()])

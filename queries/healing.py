@@ -495,6 +495,26 @@ def heal_loop_slashed_dates(spark, sf):
         "status", "clean_rows", run.quarantined.agg(F.count(F.lit(1)).alias("q")).scalar().alias("quarantined_rows"))
 
 
+@query("quality_run_ambiguous_dates", """
+SELECT 'clean' AS part, 'PASS' AS status, NULL AS reject_reason, count(*) AS n, true AS ambiguous
+FROM orders WHERE NOT (o_orderkey % 40 = 7 OR o_orderkey % 50 = 9)
+UNION ALL SELECT 'set aside', 'PASS', CASE WHEN o_orderkey % 40 = 7 AND o_orderkey % 50 <> 9
+ THEN 'Ambiguous date: day and month cannot be told apart' ELSE 'Missing required value in ''order_date'' (null check failed)' END, count(*), true
+FROM orders WHERE o_orderkey % 40 = 7 OR o_orderkey % 50 = 9 GROUP BY ALL""")
+def quality_run_ambiguous_dates(spark, sf):
+    """Some dates in a column of others have two readings: they are set aside for that reason,
+    and the run's result names the column."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey AS row_key", """CASE WHEN o_orderkey % 50 = 9 THEN 'garbage'
+ WHEN o_orderkey % 40 = 7 THEN '05/01/2024'
+ ELSE cast(cast(o_orderdate AS date) AS string) END AS order_date""")
+    run = quality_run(df, "row_key", as_of=AS_OF)
+    parts = run.clean.select(F.lit("clean").alias("part"), F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        run.quarantined.select(F.lit("set aside").alias("part"), "reject_reason"))
+    return parts.groupBy("part", "reject_reason").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.lit(run.status).alias("status"), "reject_reason", "n",
+        run.date_readings.where("column_name = 'order_date'").select("ambiguous").scalar().alias("ambiguous"))
+
+
 @query("heal_loop_wide_category", f"""
 SELECT 'PASS' AS status, nation, count(*) AS n FROM ({WIDE}) GROUP BY nation""")
 def heal_loop_wide_category(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dataward.constants import EMAIL_REGEX
 from dataward.operators import classify, profile, rules
-from queries.fixtures import AS_OF, VIEWS, oracle, table
+from queries.fixtures import AS_OF, VIEWS, oracle, table, written_dates
 from queries.registry import query
 from queries.sqlparts import ABS_SAFE, HEALTH, SEMANTIC, profile_sql
 
@@ -416,3 +416,17 @@ def sanitize_negative_max(spark, sf):
         [("d", 1, "within_range", "change", None, None, None, None, None, "x")], rules.RULE_SCHEMA)
     return rules.sanitize_rules(asked, typed).select(
         "expectation_type", F.col("max_value").cast("double").alias("max_number"))
+
+
+@query("profile_month_names", """
+SELECT c AS column_name, 'datetime' AS dtype, 0::BIGINT AS null_count, n_days AS unique_count,
+ strftime(low, '%Y-%m-%d %H:%M:%S') AS min_date, strftime(high, '%Y-%m-%d %H:%M:%S') AS max_date
+FROM (VALUES ('named_date'), ('long_date'), ('compact_date'), ('dotted_date'), ('month_date')) t(c),
+ (SELECT count(DISTINCT o_orderdate::DATE) AS n_days, min(o_orderdate)::DATE::TIMESTAMP AS low,
+         max(o_orderdate)::DATE::TIMESTAMP AS high FROM orders)""")
+def profile_month_names(spark, sf):
+    """Bounds and distinct counts of date columns written with names, without separators, with
+    dots, and months first."""
+    return (profile.profile(written_dates(spark, sf), as_of=AS_OF)
+            .where(F.col("column_name").isin("named_date", "long_date", "compact_date", "dotted_date", "month_date"))
+            .select("column_name", "dtype", "null_count", "unique_count", "min_date", "max_date"))

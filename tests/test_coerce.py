@@ -1,12 +1,19 @@
+import datetime as dt
+import warnings
+
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataward.constants import NA_TOKENS
 from dataward.functions.coerce import (
+    date_layouts,
+    date_readings,
     infer_types,
     nan_to_null,
     null_tokens,
+    parse_dates,
     safe_double,
     safe_timestamp,
     strip,
@@ -60,3 +67,43 @@ def test_infer_types_looks_past_the_first_rows(spark):
     late = spark.range(5000).selectExpr(
         "CASE WHEN id = 4321 THEN 'late' ELSE cast(id AS string) END AS v")
     assert dict(infer_types(late).dtypes) == {"v": "string"}
+
+
+LAYOUTS = ["%d %b %Y", "%Y%m%d", "%Y.%m.%d", "%m/%d/%Y", "%d/%m/%Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%d-%b-%Y",
+           "%b %d %Y", "%d.%m.%Y", "%m-%d-%Y", "%m/%d/%y", "%d-%b-%y", "%Y/%m/%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M",
+           "%m/%d/%Y %I:%M %p", "%d %b %Y %H:%M:%S", "%Y%m%d %H:%M:%S", "%d%b%Y", "%d/%b/%Y", "%Y-%m-%dT%H:%M:%S"]
+
+
+def test_columns_of_one_layout_are_read_as_pandas_reads_them(spark):
+    # two-digit years on the side of the century where no window matters; the first value of a
+    # column with the day first shows it
+    days = [dt.datetime(1980 + i % 40, 1 + i % 12, 28 - (i * 7) % 28, i % 24, (i * 13) % 60, (i * 17) % 60) for i in range(60)]
+    columns = {f"date{i}": [d.strftime(f) for d in days] for i, f in enumerate(LAYOUTS)}
+    df = spark.createDataFrame(pd.DataFrame(columns))
+    got = parse_dates(df, date_layouts(df)).toPandas()
+    for name, values in columns.items():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            want = pd.to_datetime(pd.Series(values), errors="coerce")
+        assert not want.isna().any()
+        assert got[name].tolist() == want.tolist(), values[0]
+
+
+@pytest.mark.parametrize("values,layout,ambiguous", [
+    (["05/01/2024", "06/02/2024"], "M/d/yyyy", True), (["05/01/2024", "2024-01-05"], None, True),
+    (["05/01/2024", "25/01/2024", "2024-01-05", "junk"], "d/M/yyyy", False), (["13/01/2024", "01/13/2024"], None, True),
+    (["45/45/2024", "1/25/2024"], "M/d/yyyy", False), (["2024-01-05", None, ""], None, False), ([None], None, False),
+    (["5 Jan 2024", "1.2.2024"], None, True), (["99/99/2024"], None, False)])
+def test_readings(spark, values, layout, ambiguous):
+    df = spark.createDataFrame([(v, v) for v in values], "some_date string, other string")
+    rows = date_readings(df).collect()
+    assert [(r.column_name, r.layout, r.ambiguous) for r in rows] == [("some_date", layout, ambiguous)]
+    assert date_readings(df, ["other"]).count() == 0 and date_layouts(df, []) == {}
+
+
+def test_impossible_days_are_null(spark):
+    values = ["31.02.2024", "32 Jan 2024", "5 Foo 2024", "20241301", "2024.13.01", "Jan 5", "5 Jan 2024 25:00", "13:00",
+              "5 May 2024 13:30 PM", "2024-01-05"]
+    df = spark.createDataFrame([(v,) for v in values], "a_date string")
+    got = [r.a_date for r in parse_dates(df, {"a_date": "d/M/yyyy"}).collect()]
+    assert [g is not None for g in got] == [False] * 8 + [True, True]
