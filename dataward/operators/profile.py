@@ -1,13 +1,14 @@
 """Column profiles: one row per column of a table.
 
 First one global aggregate counts, bounds and moments, without a shuffle of rows; its
-result is one row per column. Distinct counts, quartiles and top values then come from
-(column, value) frequencies, counted per kind of column and combined map-side, so a hot
-value leaves each task as one row.
+result is one row per column. Distinct counts, quartiles and top values of all columns then
+come from one table of (column, value) frequencies: one more scan and one shuffle, combined
+map-side, so a hot value leaves each task as one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -149,92 +150,86 @@ def _stats_sql(field: T.StructField, ordinal: int, as_of: str | None,
 
 
 PROFILED = ("int", "float", "datetime", "boolean", "object")
+TEXTS = ("object", "boolean")
 
 
 def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str, Extent],
                      approx: bool, group_limit: int) -> list[DataFrame]:
-    """(column_name, unique_count, p25, p75, tops) per kind of column."""
+    """(column_name, unique_count, p25, p75, tops) from one table of value frequencies.
+
+    Every part reads n, and filters columns by an expression of n, so that all of them stand on
+    the same aggregate and its one shuffle."""
     no_top, no_quartiles = f"cast(NULL AS {TOP_TYPE}) AS tops", [
         "double(NULL) AS p25", "double(NULL) AS p75"]
-    pieces = []
     kinds = {f.name: profile_dtype(f.dataType) for f in df.schema.fields}
+    names = [n for n, k in kinds.items() if k in PROFILED and (not approx or k in TEXTS)]
+    if not names:
+        return []
+    freq, pieces = _frequencies(df, names, longest), []
+    numbers = {i: extents[n] for i, n in enumerate(names) if kinds[n] in ("int", "float") and extents[n].n}
     if not approx:
-        for sql_type, kind in (("bigint", "int"), ("double", "float")):
-            names = [n for n, k in kinds.items() if k == kind]
-            numbers = {i: extents[n] for i, n in enumerate(names) if extents[n].n}
-            if not numbers:
-                continue
-            freq = _frequencies(df, names, sql_type)
-            if max(e.n for e in numbers.values()) > group_limit:
-                freq = materialize(freq, "value-counts")
-            pieces.append(exact_quantiles(
-                freq.withColumn("value", F.col("value").cast("double")), numbers,
-                [0.25, 0.75], ["p25", "p75"], group_limit)
-                .selectExpr(_name_of(names), "unique_count", "p25", "p75", no_top))
-        # as doubles, decimals that differ can be equal; the larger count is the right one
-        decimals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
-        if decimals:
-            pieces.append(_frequencies(df, decimals, "string").groupBy("column_id").agg(
-                F.count(F.lit(1)).alias("unique_count"))
-                .selectExpr(_name_of(decimals), "unique_count", *no_quartiles, no_top))
-        moments = [n for n, k in kinds.items() if k == "datetime"]
-        if moments:
-            pieces.append(_frequencies(df, moments, "bigint").groupBy("column_id").agg(
-                F.count(F.lit(1)).alias("unique_count"))
-                .selectExpr(_name_of(moments), "unique_count", *no_quartiles, no_top))
-    texts = [n for n, k in kinds.items() if k in ("object", "boolean")]
+        if max((e.n for e in numbers.values()), default=0) > group_limit:
+            freq = materialize(freq, "value-counts")
+        pieces.append(freq.groupBy("column_id").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
+                      .selectExpr(_name_of(names), "unique_count", *no_quartiles, no_top))
+    if numbers and not approx:
+        # decimals are counted exactly, as text; for quartiles they are doubles like the rest
+        value = F.coalesce("real", F.col("whole").cast("double"), F.col("text").try_cast("double"))
+        pieces.append(exact_quantiles(
+            _of(freq, numbers).select("column_id", value.alias("value"), "n"), numbers,
+            [0.25, 0.75], ["p25", "p75"], group_limit)
+            .selectExpr(_name_of(names), "bigint(NULL) AS unique_count", "p25", "p75", no_top))
+    texts = [i for i, n in enumerate(names) if kinds[n] in TEXTS]
     if texts:
-        counts = _text_counts(df, texts, longest)
-        if not approx:
-            # reading n keeps this and the top values on one shuffle
-            pieces.append(counts.groupBy("column_id").agg(
-                F.count_if(F.col("n") > 0).alias("unique_count"))
-                .selectExpr(_name_of(texts), "unique_count", *no_quartiles, no_top))
-        tops = _top_of(df, texts, counts, longest, CATEGORY_VALUES + 1).groupBy("column_id").agg(
+        tops = _top_of(df, names, _of(freq, texts), longest, CATEGORY_VALUES + 1).groupBy("column_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                         lambda t: F.struct(t["value"].alias("value"), t["n"].alias("n")))
             .alias("tops"))
-        pieces.append(tops.selectExpr(_name_of(texts), "bigint(NULL) AS unique_count",
+        pieces.append(tops.selectExpr(_name_of(names), "bigint(NULL) AS unique_count",
                                       *no_quartiles, "tops"))
     return pieces
 
 
-def _name_of(names: list[str]) -> str:
-    return f"array({', '.join(text_literal(n) for n in names)})[column_id] AS column_name"
-
-
-def _pairs(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
-    """(column_id, value) of the named columns, nulls left out; the id is the position in
-    ``names``. Points in time are counted as microseconds."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+def _of(freq: DataFrame, columns: Iterable[int]) -> DataFrame:
+    """The frequencies of some columns; the filter stays above the aggregate."""
+    return freq.where(F.when(F.col("n") > 0, F.col("column_id")).isin(list(columns)))
 
-    def cast(name: str) -> str:
-        if isinstance(types[name], TEMPORAL):
-            return f"unix_micros(cast({quoted(name)} AS timestamp))"
-        return f"cast({quoted(name)} AS {sql_type})"
 
-    pairs = ", ".join(f"{i}, {cast(n)}" for i, n in enumerate(names))
-    return df.selectExpr(f"stack({len(names)}, {pairs}) AS (column_id, value)").where(
-        "value IS NOT NULL")
+def _name_of(names: list[str]) -> str:
+    return f"array({', '.join(text_literal(n) for n in names)})[column_id] AS column_name"
 
 
-def _frequencies(df: DataFrame, names: list[str], sql_type: str) -> DataFrame:
-    return _pairs(df, names, sql_type).groupBy("column_id", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+def _is_long(name: str, longest: dict[str, int]) -> bool:
+    return (longest.get(name) or 0) > LONG_VALUE
 
 
-def _text_counts(df: DataFrame, names: list[str], longest: dict[str, int]) -> DataFrame:
-    """Frequencies of text and boolean columns: (column_id, key, is_digest, n). Long texts
-    are counted by their digest, so whole documents never reach the shuffle."""
-    pairs = _pairs(df, names, "string")
-    if max((longest.get(n, 0) for n in names), default=0) <= LONG_VALUE:
-        keyed = pairs.selectExpr("column_id", "value AS key", "false AS is_digest")
-    else:
-        keyed = pairs.selectExpr(
-            "column_id",
-            f"CASE WHEN length(value) > {LONG_VALUE} THEN sha2(value, 256) ELSE value END AS key",
-            f"length(value) > {LONG_VALUE} AS is_digest")
-    return keyed.groupBy("column_id", "key", "is_digest").agg(F.count(F.lit(1)).alias("n"))
+def _frequencies(df: DataFrame, names: list[str], longest: dict[str, int]) -> DataFrame:
+    """(column_id, whole, real, text, is_digest, n) per different value of the named columns,
+    nulls left out; the id is the position in ``names``. One of the three holds the value:
+    whole numbers and points in time (as microseconds), other numbers, texts (also of
+    booleans and decimals). Long texts are counted by their digest, so whole documents never
+    reach the shuffle."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = []
+    for i, name in enumerate(names):
+        c, kind = quoted(name), profile_dtype(types[name])
+        whole, real, text, digest = "bigint(NULL)", "double(NULL)", "string(NULL)", "false"
+        if isinstance(types[name], TEMPORAL):
+            whole = f"unix_micros(cast({c} AS timestamp))"
+        elif kind == "int":
+            whole = f"cast({c} AS bigint)"
+        elif kind == "float" and not isinstance(types[name], T.DecimalType):
+            real = f"cast({c} AS double)"
+        else:
+            text = f"cast({c} AS string)"
+            if _is_long(name, longest):
+                text, digest = (f"CASE WHEN length({c}) > {LONG_VALUE} THEN sha2({c}, 256) ELSE {c} END",
+                                f"length({c}) > {LONG_VALUE}")
+        rows.append(f"{i}, {whole}, {real}, {text}, {digest}")
+    return (df.selectExpr(f"stack({len(names)}, {', '.join(rows)}) AS (column_id, whole, real, text, is_digest)")
+            # the join with extents would ask for a column_id in its own copy, and get a scan of its own
+            .where("column_id IS NOT NULL AND (whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL)")
+            .groupBy("column_id", "whole", "real", "text", "is_digest").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _top_of(df: DataFrame, names: list[str], counts: DataFrame, longest: dict[str, int],
@@ -242,15 +237,17 @@ def _top_of(df: DataFrame, names: list[str], counts: DataFrame, longest: dict[st
     """The k most frequent values per column, ties in the order of the values' digests,
     whatever their length: (column_id, rank, value, n). The rank filter runs before the
     shuffle."""
-    digest = F.when(F.col("is_digest"), F.col("key")).otherwise(F.sha2("key", 256))
+    digest = F.when(F.col("is_digest"), F.col("text")).otherwise(F.sha2("text", 256))
     w = Window.partitionBy("column_id").orderBy(F.desc("n"), digest)
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    short = ranked.where("NOT is_digest").selectExpr("column_id", "rank", "key AS value", "n")
-    if max((longest.get(n, 0) for n in names), default=0) <= LONG_VALUE:
+    short = ranked.where("NOT is_digest").selectExpr("column_id", "rank", "text AS value", "n")
+    wide = [(i, n) for i, n in enumerate(names) if _is_long(n, longest)]
+    if not wide:
         return short
     # Fetch the text behind the few winning digests: at most k per column are broadcast.
-    digests = ranked.where("is_digest").select("column_id", "key", "rank", "n")
-    texts = _pairs(df, names, "string").where(f"length(value) > {LONG_VALUE}")
+    digests = ranked.where("is_digest").select("column_id", F.col("text").alias("key"), "rank", "n")
+    pairs = ", ".join(f"{i}, {quoted(n)}" for i, n in wide)
+    texts = df.selectExpr(f"stack({len(wide)}, {pairs}) AS (column_id, value)").where(f"length(value) > {LONG_VALUE}")
     restored = (texts.withColumn("key", F.sha2("value", 256))
                 .join(F.broadcast(digests), ["column_id", "key"])
                 .groupBy("column_id", "rank", "n").agg(F.min("value").alias("value"))

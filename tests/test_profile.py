@@ -96,3 +96,17 @@ def test_category_values_are_complete_or_null(spark):
 def test_score_of_a_dataset_without_columns(spark, small):
     scores = classify.quality_score(profile(small, "t", "2026-01-01"), ["t", "empty"])
     assert {r.dataset: r.quality_score for r in scores.collect()}["empty"] == 50
+
+
+def test_one_shuffle_of_values_for_all_kinds(spark):
+    df = spark.range(2000).selectExpr(
+        "id", "id % 7 AS few", "cast(id AS double) / 3 AS real", "cast(id % 50 AS decimal(10, 2)) AS money",
+        "concat('t', id % 30) AS text", "id % 2 = 0 AS flag", "timestamp_seconds(id) AS at")
+    result = profile(df, as_of="2026-01-01")
+    rows = {r.column_name: r for r in result.collect()}
+    assert {c: r.unique_count for c, r in rows.items()} == {
+        "id": 2000, "few": 7, "real": 2000, "money": 50, "text": 30, "flag": 2, "at": 2000}
+    assert rows["few"].p75 == 5.0 and rows["money"].p25 == 12.0 and rows["flag"].top_values[0].n == 1000
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    of_values = [line for line in plan.splitlines() if "Exchange hashpartitioning(column_id" in line and "whole" in line]
+    assert len([line for line in of_values if "Reused" not in line]) == 1
