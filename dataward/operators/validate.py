@@ -1,4 +1,5 @@
-"""Validation: all row-local rules in one scan, all uniqueness rules in one more.
+"""Validation: all row-local rules in one scan, all uniqueness rules in one more, and one for
+the rules whose value sets are too large to be written into a plan.
 
 Values are read as the profile reads them: NaN is null, and so is text that is no date in
 a text column named like a date."""
@@ -8,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
+from fractions import Fraction
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -38,6 +40,7 @@ from dataward.functions.coerce import (
 )
 
 LONG_VALUE = 256          # longer texts are grouped by digest
+SET_LITERALS = 1000       # values of a set that are written into the plan; larger sets are tables
 
 RESULT_SCHEMA = (
     "rule_order bigint, expectation_type string, column_name string, min_value string, "
@@ -100,18 +103,24 @@ def fails_regex(value: Column, pattern: str) -> Column:
 
 def not_in_set(value: Column, data_type: T.DataType, allowed: list) -> Column:
     """Non-null and outside the set. Numbers are compared as numbers of the column's type."""
-    if isinstance(data_type, NUMERIC):
-        numbers = [n for n in map(_decimal, allowed) if n is not None]
-        if isinstance(data_type, INTEGRAL):
-            whole = [int(n) for n in numbers if n == n.to_integral_value() and abs(n) < 2**63]
-            return value.isNotNull() & ~value.cast("bigint").isin(whole)
-        if isinstance(data_type, T.DecimalType):
-            inside = F.lit(False)
-            for n in numbers:
-                inside = inside | (value == F.lit(str(n)).try_cast(data_type.simpleString()))
-            return value.isNotNull() & ~F.coalesce(inside, F.lit(False))
-        return value.isNotNull() & ~value.cast("double").isin([float(n) for n in numbers])
-    return value.isNotNull() & ~value.cast("string").isin([str(a) for a in allowed])
+    kind, members = set_members(data_type, allowed)
+    literals = [F.lit(m).cast(kind) for m in members]
+    return value.isNotNull() & ~value.cast(kind).isin(literals)
+
+
+def set_members(data_type: T.DataType, allowed: list) -> tuple[str, list]:
+    """The type in which a column is compared with a set, and the set's members of that type.
+    A number that the type cannot hold is no member."""
+    if not isinstance(data_type, NUMERIC):
+        return "string", sorted({str(a) for a in allowed})
+    numbers = {n for n in map(_decimal, allowed) if n is not None}
+    if isinstance(data_type, INTEGRAL):
+        return "bigint", sorted({int(n) for n in numbers if n == n.to_integral_value() and -2**63 <= n < 2**63})
+    if isinstance(data_type, T.DecimalType):
+        top, unit = 10 ** data_type.precision, 10 ** data_type.scale
+        return data_type.simpleString(), sorted(
+            {n for n in numbers if (Fraction(n) * unit).denominator == 1 and abs(Fraction(n) * unit) < top})
+    return "double", sorted({float(n) for n in numbers})
 
 
 def _decimal(value) -> Decimal | None:
@@ -196,13 +205,14 @@ class Checks:
 
     local: list[tuple[Rule, Column]]
     unique: list[Rule]
+    sets: list[Rule]                         # sets of more than SET_LITERALS values
     fixed: list[tuple[Rule, bool, str]]      # missing column or unknown type
 
 
 def plan_checks(df: DataFrame, rules: list[Rule], as_of: str | None,
                 semantic_types: dict[str, str] | None, layouts: dict[str, str]) -> Checks:
     types = {f.name: f.dataType for f in df.schema.fields}
-    checks = Checks([], [], [])
+    checks = Checks([], [], [], [])
     for rule in rules:
         if rule.column_name not in types:
             checks.fixed.append(
@@ -212,6 +222,8 @@ def plan_checks(df: DataFrame, rules: list[Rule], as_of: str | None,
                 (rule, False, f"Unknown expectation type: {rule.expectation_type}"))
         elif rule.expectation_type == UNIQUE:
             checks.unique.append(rule)
+        elif rule.expectation_type == IN_SET and len(rule.value_set) > SET_LITERALS:
+            checks.sets.append(rule)
         elif rule.expectation_type == REGEX and not usable_regex(df.sparkSession, rule.regex):
             checks.fixed.append((rule, True, f"Pattern cannot be used: {rule.regex} — skipped"))
         else:
@@ -233,15 +245,22 @@ def _counted(df: DataFrame, checks: Checks, layouts: dict[str, str]) -> DataFram
         parts.append(df.agg(F.array(*triples).alias("p")).select(F.inline("p")))
     if checks.unique:
         # one scan and one shuffle for all uniqueness rules; nulls are one value
-        pairs = df.select(F.inline(F.array(*[F.struct(
-            F.lit(r.rule_order).cast("bigint").alias("rule_order"),
-            _group_key(_seen(df, r, layouts)).alias("value")) for r in checks.unique])))
-        groups = pairs.groupBy("rule_order", "value").agg(F.count(F.lit(1)).alias("n"))
+        pairs, keys = _keyed(df, checks.unique, layouts)
+        groups = pairs.groupBy("rule_order", *keys).agg(F.count(F.lit(1)).alias("n"))
+        given = _any([F.col(k).isNotNull() for k in keys])
         parts.append(groups.groupBy("rule_order").agg(
             F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
             .alias("failing_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
+            F.coalesce(F.sum(F.when(given, F.col("n"))), F.lit(0))
             .alias("filled")))
+    if checks.sets:
+        # values are counted first, so a hot one meets its set once per task
+        pairs, members, keys = _sets(df, checks.sets)
+        groups = pairs.groupBy("rule_order", *keys).agg(F.count(F.lit(1)).alias("n"))
+        filled = groups.groupBy("rule_order").agg(F.sum("n").alias("filled"))
+        failing = _outside(groups, members, keys).groupBy("rule_order").agg(F.sum("n").alias("failing_count"))
+        parts.append(filled.join(failing, "rule_order", "left").select(
+            "rule_order", F.coalesce("failing_count", F.lit(0)).alias("failing_count"), "filled"))
     if not parts:
         return None
     out = parts[0]
@@ -255,10 +274,64 @@ def _seen(df: DataFrame, rule: Rule, layouts: dict[str, str]) -> Column:
                 layouts.get(rule.column_name))
 
 
-def _group_key(value: Column) -> Column:
-    """Text that is equal for equal values; long texts by their digest."""
-    text = value.cast("string")
-    return F.when(F.length(text) > LONG_VALUE, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+def _comparable(value: Column, data_type: T.DataType) -> tuple[Column, str]:
+    """A value that groups as its own type does, and that type: 0.0 and -0.0 are one, so are
+    NaNs, and arrays are compared item by item. Long texts go by their digest, marked as such;
+    maps by their sorted entries."""
+    if isinstance(data_type, T.StringType):
+        long = F.length(value) > LONG_VALUE
+        key = F.struct(long.alias("long"), F.when(long, F.sha2(value, 256)).otherwise(value).alias("key"))
+        return F.when(value.isNotNull(), key), "struct<long:boolean,key:string>"
+    if isinstance(data_type, T.MapType):
+        entries = f"array<struct<key:{data_type.keyType.simpleString()},value:{data_type.valueType.simpleString()}>>"
+        return F.sort_array(F.map_entries(value)), entries
+    return value, data_type.simpleString()
+
+
+def _stacked(df: DataFrame, items: list[tuple[Rule, Column, str]], *extra: Column) -> tuple[DataFrame, list[str]]:
+    """(rule_order, one key column per type, extra columns, value) for every row and rule, from
+    one scan, and the names of the key columns: a rule's key stands in the one of its type."""
+    kinds = sorted({kind for _, _, kind in items})
+    names = [f"key{i}" for i in range(len(kinds))]
+    rows = F.array(*[F.struct(
+        F.lit(rule.rule_order).cast("bigint").alias("rule_order"),
+        *[(key if own == kind else F.lit(None)).cast(kind).alias(name) for name, kind in zip(names, kinds)],
+        *extra, col(rule.column_name).cast("string").alias("value")) for rule, key, own in items])
+    return df.select(F.inline(rows)), names
+
+
+def _keyed(df: DataFrame, rules: list[Rule], layouts: dict[str, str], *extra: Column) -> tuple[DataFrame, list[str]]:
+    """The values of uniqueness rules as typed keys."""
+    items = []
+    for r in rules:
+        value = _seen(df, r, layouts)
+        items.append((r, *_comparable(value, df.select(value.alias("v")).schema["v"].dataType)))
+    return _stacked(df, items, *extra)
+
+
+def _sets(df: DataFrame, rules: list[Rule], *extra: Column) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The values of rules with large sets as typed keys, the sets as a table of (rule_order,
+    typed keys), and the names of the key columns."""
+    found = {r.rule_order: set_members(df.schema[r.column_name].dataType, r.value_set) for r in rules}
+    pairs, names = _stacked(df, [(r, col(r.column_name).cast(found[r.rule_order][0]), found[r.rule_order][0])
+                                 for r in rules], *extra)
+    kinds = sorted({kind for kind, _ in found.values()})
+    rows = [(order, *[m if own == kind else None for own in kinds]) for order, (kind, members) in found.items()
+            for m in members]
+    members = df.sparkSession.createDataFrame(
+        rows, ", ".join(["rule_order bigint", *(f"{n} {k}" for n, k in zip(names, kinds))]))
+    given = F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()
+    return pairs.where(given), members, names
+
+
+def _outside(pairs: DataFrame, members: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose key is in no set of their rule."""
+    left, right = pairs.alias("p"), members.alias("m")
+    same = [F.col(f"p.{n}").eqNullSafe(F.col(f"m.{n}")) for n in names]
+    on = F.col("p.rule_order") == F.col("m.rule_order")
+    for test in same:
+        on = on & test
+    return left.join(right, on, "left_anti")
 
 
 def require_key(df: DataFrame, key: str) -> None:
@@ -330,6 +403,14 @@ def missing_suite(spark: SparkSession, suite: str) -> DataFrame:
         "error string")
 
 
+def _named(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows with the type and column of their rule: one broadcast row per rule."""
+    names = rows.sparkSession.createDataFrame(
+        [(r.rule_order, r.expectation_type, r.column_name) for r in rules],
+        "rule_order bigint, expectation_type string, column_name string")
+    return rows.join(F.broadcast(names), "rule_order")
+
+
 def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
                  semantic_types: dict[str, str] | None = None,
                  layouts: dict[str, str] | None = None) -> DataFrame:
@@ -353,17 +434,14 @@ def failing_rows(df: DataFrame, rules, key: str, as_of: str | None = None,
             col(r.column_name).cast("string").alias("value"))) for r, mask in checks.local]
         parts.append(df.select(F.inline(
             F.filter(F.array(*hits), lambda h: h.isNotNull()))).select(schema))
-    for rule in checks.unique:
-        c = col(rule.column_name)
-        narrow = df.select(col(key).alias("key"), c.alias("value"), _seen(df, rule, layouts).alias("group"))
-        single = (narrow.groupBy("group").agg(F.min("key").alias("key"),
-                                              F.max("key").alias("last"))
-                  .where(F.col("key") == F.col("last")).select("key"))
-        parts.append(narrow.join(single, "key", "left_anti").select(
-            F.lit(rule.rule_order).cast("bigint").alias("rule_order"),
-            F.lit(rule.expectation_type).alias("expectation_type"),
-            F.lit(rule.column_name).alias("column_name"), "key",
-            F.col("value").cast("string").alias("value")))
+    if checks.unique:
+        pairs, keys = _keyed(df, checks.unique, layouts, col(key).alias("key"))
+        single = (pairs.groupBy("rule_order", *keys).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+                  .where("n = 1").select("rule_order", "key"))
+        parts.append(_named(pairs.join(single, ["rule_order", "key"], "left_anti"), checks.unique).select(schema))
+    if checks.sets:
+        pairs, members, keys = _sets(df, checks.sets, col(key).alias("key"))
+        parts.append(_named(_outside(pairs, members, keys), checks.sets).select(schema))
     if not parts:
         return df.sparkSession.createDataFrame([], T.StructType(
             [T.StructField("rule_order", T.LongType())]

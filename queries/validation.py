@@ -277,3 +277,60 @@ def validate_in_set_bigint(spark, sf):
 def failing_rows_no_rules(spark, sf):
     return validate.failing_rows(table(spark, sf, "orders"), [rule(1, NOT_NULL, "no_such_column")],
                                  "o_orderkey", AS_OF).select("rule_order", "key")
+
+
+@query("validate_unique_signed_zero", """
+SELECT t.rule_order, t.column_name, (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM orders
+  GROUP BY o_custkey % 1000 + (o_orderkey // 4) * 1000, t.rule_order HAVING count(*) > 1)) AS failing_count
+FROM (VALUES (1::BIGINT, 'amount')) t(rule_order, column_name)
+UNION ALL SELECT 2, 'zero', count(*) FILTER (o_orderkey % 3 <> 2) FROM orders""")
+def validate_unique_signed_zero(spark, sf):
+    """0.0 and -0.0 are one value; every third row has a value of its own."""
+    df = table(spark, sf, "orders").selectExpr(
+        "cast(o_custkey % 1000 + (o_orderkey div 4) * 1000 AS double) AS amount",
+        "CASE o_orderkey % 3 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D ELSE cast(o_orderkey + 1 AS double) END AS zero")
+    return validate.validate(df, [rule(1, UNIQUE, "amount"), rule(2, UNIQUE, "zero")], AS_OF).select(
+        "rule_order", "column_name", "failing_count")
+
+
+@query("validate_unique_array", """
+SELECT 1::BIGINT AS rule_order, o_orderkey AS key FROM orders WHERE o_orderkey % 10 IN (3, 4)""")
+def validate_unique_array(spark, sf):
+    """Arrays whose texts look alike are different; equal ones are found, in rows as in counts."""
+    df = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", """CASE o_orderkey % 10 WHEN 0 THEN array(concat('a, b', cast(o_orderkey AS string)))
+ WHEN 1 THEN array('a', concat('b', cast(o_orderkey - 1 AS string)))
+ WHEN 3 THEN array('same') WHEN 4 THEN array('same') ELSE array(cast(o_orderkey AS string), 'x') END AS items""")
+    rules_ = [rule(1, UNIQUE, "items")]
+    rows = validate.failing_rows(df, rules_, "o_orderkey", AS_OF)
+    counted = validate.validate(df, rules_, AS_OF).select("failing_count")
+    return rows.where(F.lit(rows.count()) == counted.scalar()).select("rule_order", "key")
+
+
+LARGE_SET = 200_000
+
+
+@query("validate_in_set_large", f"""
+SELECT 1::BIGINT AS rule_order, 'o_custkey' AS column_name, count(*) FILTER (o_custkey % 3 = 0) AS failing_count FROM orders
+UNION ALL SELECT 2, 'code', count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey // 7 >= {LARGE_SET}) FROM orders
+UNION ALL SELECT 3, 'price', count(*) FILTER (o_totalprice >= {LARGE_SET}) FROM orders""")
+def validate_in_set_large(spark, sf):
+    """Sets of 200,000 whole numbers, texts and decimals."""
+    df = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "concat(cast(o_orderkey div 7 AS string), CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END) AS code",
+        "cast(floor(o_totalprice) AS decimal(18, 2)) AS price")
+    numbers = range(LARGE_SET)
+    return validate.validate(df, [
+        rule(1, IN_SET, "o_custkey", values=[k for k in range(LARGE_SET * 3 // 2) if k % 3]),
+        rule(2, IN_SET, "code", values=[str(k) for k in numbers]),
+        rule(3, IN_SET, "price", values=[f"{k}.0" for k in numbers])], AS_OF).select(
+        "rule_order", "column_name", "failing_count")
+
+
+@query("failing_rows_large_set", """
+SELECT 1::BIGINT AS rule_order, 'expect_column_values_to_be_in_set' AS expectation_type, 'o_custkey' AS column_name,
+ o_orderkey AS key, o_custkey::VARCHAR AS value FROM orders WHERE o_custkey % 3 = 0""")
+def failing_rows_large_set(spark, sf):
+    values = [k for k in range(LARGE_SET * 3 // 2) if k % 3]
+    return validate.failing_rows(table(spark, sf, "orders"), [rule(1, IN_SET, "o_custkey", values=values)],
+                                 "o_orderkey", AS_OF)
