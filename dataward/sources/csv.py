@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataward.constants import DELIMITERS
-from dataward.functions.coerce import col, infer_types, null_tokens
+from dataward.functions.coerce import col, infer_types, null_tokens, quoted
 
 CORRUPT = "__malformed"
 BOM = "﻿"
@@ -71,20 +71,119 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
         .alias("encoding"))
 
 
+def _options(delimiter: str, encoding: str) -> dict[str, str]:
+    return {"header": "true", "sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"',
+            "columnPruning": "false", "emptyValue": "", "nullValue": "", "mode": "PERMISSIVE",
+            "columnNameOfCorruptRecord": CORRUPT}
+
+
 def _read(spark: SparkSession, paths: list[str], delimiter: str, encoding: str,
           multi_line: bool) -> DataFrame:
     """All-string rows of files of one format and header, with malformed lines kept as
     text in the marker column."""
-    options = {"header": True, "sep": delimiter, "encoding": encoding, "quote": '"',
-               "escape": '"', "columnPruning": False, "emptyValue": "", "nullValue": "",
-               "multiLine": multi_line}
-    raw = spark.read.options(**options).csv(paths)
+    options = _options(delimiter, encoding)
+    raw = spark.read.options(**options, multiLine=multi_line).csv(paths)     # reads the header only
     names = [c.removeprefix(BOM) if i == 0 else c for i, c in enumerate(raw.columns)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
-    return (spark.read.schema(schema)
-            .options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-                     enforceSchema=True, **options).csv(paths))
+    if not multi_line:
+        return spark.read.schema(schema).options(**options, enforceSchema=True).csv(paths)
+    fields = ", ".join(f"{quoted(f.name)} string" for f in schema)
+    return (records(spark, paths, delimiter, encoding).where("NOT header")
+            .select(F.from_csv("record", fields, options).alias("r")).select("r.*"))
+
+
+def _closes(separator: str) -> str:
+    """What follows a quote that ends a field."""
+    return rf"(?={separator}|\r?$)"
+
+
+def _inside_text(separator: str) -> str:
+    """Text within quotes up to the quote that ends the field: quotes are doubled, or followed by
+    something else than a separator. Without alternatives per character, so that long fields
+    do not deepen the matcher's stack."""
+    return rf"""[^"]*+(?:(?:""|"(?!{separator}|\r?$|"))[^"]*+)*+"""
+
+
+def _opens(line: Column, separator: str) -> Column:
+    """Whether a line that begins outside quotes ends inside them."""
+    whole = rf"""(^|{separator})[ \t]*"{_inside_text(separator)}"{_closes(separator)}"""
+    return F.regexp_replace(line, whole, "$1").rlike(rf"""(?:^|{separator})[ \t]*\"""")
+
+
+def _line_effects(line: Column, separator: str) -> tuple[Column, Column]:
+    """Whether a line ends inside quotes if it begins outside, and if it begins inside."""
+    closing = rf"""^{_inside_text(separator)}"{_closes(separator)}"""
+    # what a field that ends is followed by begins with a separator, not with a field
+    after = F.when(line.rlike(closing), _opens(F.concat(F.lit("-"), F.regexp_replace(line, closing, "")), separator))
+    return _opens(line, separator), F.coalesce(after, F.lit(True))
+
+
+def _begins_inside(order: WindowSpec) -> Column:
+    """Whether quotes are open where a row begins, as far as the rows before it in its window
+    tell: null if all of them leave open what they find open. Rows carry ``fixed`` (the state
+    after them whatever was before, or null) and ``turn`` (1 if they turn the state round)."""
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum("turn").over(before), F.lit(0))
+    last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns")), ignorenulls=True).over(before)
+    return F.struct(last["fixed"].alias("fixed"), (turns - F.coalesce(last["turns"], F.lit(0))).alias("turns"))
+
+
+def _state(known: Column, start: Column) -> Column:
+    """The state after so many turns of a fixed one, or of the one at the start."""
+    return F.coalesce(known["fixed"], start) != (known["turns"] % 2 == 1)
+
+
+def records(spark: SparkSession, paths: list[str], delimiter: str, encoding: str) -> DataFrame:
+    """(file, header, record) of files whose records may go on over line breaks in quotes.
+
+    A line, and so a block of a file, either fixes whether quotes are open after it, or keeps or
+    turns what was before. One row per block, in file order, gives the state at the start of
+    each; then every block finds its records by itself, in a task of its own, and only the
+    pieces at the edges of blocks, two a block, are put together."""
+    separator = re.escape(delimiter)
+    text = spark.read.option("lineSep", "\n").text(paths)
+    value = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if encoding != "UTF-8" else F.col("value")
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("place"), value.alias("line"))
+    from_outside, from_inside = _line_effects(F.col("line"), separator)
+    in_block = Window.partitionBy("file", "block").orderBy("place")
+    marked = (lines.withColumn("opens", from_outside).withColumn("stays", from_inside)
+              .withColumn("fixed", F.when(F.col("opens") == F.col("stays"), F.col("opens")))
+              .withColumn("turn", (F.col("opens") & ~F.col("stays")).cast("int"))
+              .withColumn("turns", F.sum("turn").over(in_block))
+              .withColumn("known", _begins_inside(in_block)))
+    after = F.struct(F.coalesce("fixed", "known.fixed").alias("fixed"),
+                     F.when(F.col("fixed").isNotNull(), 0).otherwise(F.col("known.turns") + F.col("turn")).alias("turns"))
+    blocks = (marked.groupBy("file", "block").agg(F.max_by(after, "place").alias("last"))
+              .select("file", "block",
+                      F.when(F.col("last.fixed").isNotNull(), F.col("last.fixed") != (F.col("last.turns") % 2 == 1)).alias("fixed"),
+                      F.when(F.col("last.fixed").isNull(), F.col("last.turns")).otherwise(0).alias("turn")))
+    in_file = Window.partitionBy("file").orderBy("block")
+    begins = (blocks.withColumn("turns", F.sum("turn").over(in_file)).withColumn("known", _begins_inside(in_file))
+              .select("file", "block", _state(F.col("known"), F.lit(False)).alias("start")))
+    inside = _state(F.col("known"), F.col("start"))
+    blank = F.col("line").rlike(r"^\r?$")
+    numbered = (marked.join(begins, ["file", "block"]).withColumn("inside", inside)
+                .where(F.col("inside") | ~blank)
+                .withColumn("number", F.sum((~F.col("inside")).cast("int")).over(in_block)))
+    pieces = (numbered.groupBy("file", "block", "number")
+              .agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("all"))
+              .select("file", "block", "number", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("record")))
+    counts = pieces.groupBy("file", "block").agg(F.max("number").alias("records"))
+    owners = counts.select("file", "block", "records", F.last(
+        F.when(F.col("records") > 0, F.col("block")), ignorenulls=True)
+        .over(in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    told = pieces.join(owners, ["file", "block"])
+    whole = told.where("number > 0 AND number < records").select("file", "block", "number", "record")
+    edges = (told.where("number = 0 OR number = records")
+             .withColumn("owner", F.when(F.col("number") > 0, F.col("block")).otherwise(F.col("before")))
+             .groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("block", "number", "record"))).alias("all"))
+             .select("file", F.col("owner").alias("block"), F.get("all", F.lit(0))["number"].alias("number"),
+                     F.array_join(F.transform("all", lambda x: x["record"]), "\n").alias("record")))
+    return whole.union(edges).select(
+        "file", ((F.col("block") == 0) & (F.col("number") == 1)).alias("header"),
+        F.regexp_replace("record", r"\r$", "").alias("record"))
 
 
 def _too_long(df: DataFrame, delimiter: str) -> Column:
@@ -120,8 +219,8 @@ def _by_format(spark: SparkSession, path: str) -> list[tuple[str, str, bool, lis
 
 
 def read_raw(spark: SparkSession, path: str) -> list[tuple[DataFrame, str]]:
-    """Rows per format and header. Only files with records over several lines are read by
-    one task each; the others stay splittable."""
+    """Rows per format and header. Files with records over several lines stay splittable too:
+    their records are found block by block."""
     return [(_read(spark, files, delimiter, encoding, broken), delimiter)
             for delimiter, encoding, broken, files in _by_format(spark, path)]
 

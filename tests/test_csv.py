@@ -1,3 +1,9 @@
+import csv as reader
+import io
+import random
+
+import pytest
+
 from dataward.sources import csv
 
 
@@ -52,3 +58,52 @@ def test_over_long_lines_are_skipped_and_counted(spark, tmp_path):
     path = write(tmp_path, "g.csv", b'a,b\n1,2\n1,2,3\n"x,y",4\n5\n')
     assert rows(csv.read_csv(spark, path)) == [("1", 2), ("x,y", 4), ("5", None)]
     assert tuple(csv.malformed_lines(spark, path).first()) == (1, 3)
+
+
+def quoted_file(seed, n, delimiter):
+    """Records with breaks, doubled quotes, separators, empty and long fields, in any order."""
+    r = random.Random(seed)
+    parts = ["a", "two\nlines", 'a "word"', f"x{delimiter}y", "\n", "", "end\n\n", '"', "é", f'"{delimiter}"', "z" * 60, "\r\n"]
+    rows = [[str(i), "".join(r.choice(parts) for _ in range(r.randint(0, 4))), r.choice(parts)] for i in range(n)]
+    out = io.StringIO()
+    w = reader.writer(out, delimiter=delimiter, lineterminator=r.choice(["\n", "\r\n"]))
+    w.writerow(["id", "text", "other"])
+    w.writerows(rows)
+    return out.getvalue(), rows
+
+
+@pytest.mark.parametrize("seed,delimiter,encoding", [(1, ",", "utf-8"), (2, ";", "latin-1"), (3, "|", "utf-8"), (4, "\t", "utf-8")])
+def test_quoted_records_over_many_splits(spark, tmp_path, seed, delimiter, encoding):
+    text, want = quoted_file(seed, 400, delimiter)
+    path = write(tmp_path, "q.csv", text.encode(encoding))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = csv.records(spark, [path], delimiter, "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        rows = [next(reader.reader(io.StringIO(r.record, newline=""), delimiter=delimiter))
+                for r in found.where("NOT header").collect()]
+        assert sorted(rows) == sorted(want)
+        assert [r.record for r in found.where("header").collect()] == [delimiter.join(["id", "text", "other"])]
+        table = csv.read_csv(spark, path, infer=False)
+        assert table.rdd.getNumPartitions() > 1
+        assert sorted(int(r.id) for r in table.collect()) == list(range(400))
+        texts = {r.id: r.text for r in table.collect()}
+        assert all((texts[i] or "") == t for i, t, _ in want if "\r" not in t and t not in ("", '"'))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_stray_quotes_do_not_join_lines(spark, tmp_path):
+    path = write(tmp_path, "s.csv", b'id,size\n1,5" pipe\n2,"two\nlines"\n\n3,x"y\n4,"a"\n')
+    assert sorted(rows(csv.read_csv(spark, path))) == [(1, '5" pipe'), (2, "two\nlines"), (3, 'x"y'), (4, "a")]
+    found = csv.records(spark, [path], ",", "UTF-8")
+    assert found.where("NOT header").count() == 4
+
+
+def test_long_quoted_field(spark, tmp_path):
+    text = "word \"\"x\"\" " * 40_000
+    path = write(tmp_path, "l.csv", ('id,text\n1,"' + text + '\nend"\n2,b\n').encode())
+    found = {r.id: r.text for r in csv.read_csv(spark, path).collect()}
+    assert found[2] == "b" and found[1] == text.replace('""', '"') + "\nend"
