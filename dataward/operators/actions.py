@@ -1,7 +1,9 @@
 """From failed rules to repair actions: joins of small metadata tables.
 
 An action row is (column_name, failure_type, action_type, operation, condition, min_bound,
-max_bound, valid_values, default_value, regex, reason, reasoning, semantic_type).
+max_bound, valid_values, default_value, regex, reason, reasoning, semantic_type). Tables of a
+fleet are told apart by a ``dataset`` column: where both sides of a join have one, it is part
+of the key, and rows of a plan keep it.
 """
 
 from __future__ import annotations
@@ -92,12 +94,24 @@ def action_for_failure() -> Column:
                   + f" ELSE {other} END")
 
 
+DATASET = "dataset"
+
+
+def column_key(*tables: DataFrame) -> list[str]:
+    """What names a column in all of the tables."""
+    return [DATASET, "column_name"] if all(DATASET in t.columns for t in tables) else ["column_name"]
+
+
+def _dataset(table: DataFrame) -> list[str]:
+    return [DATASET] if DATASET in table.columns else []
+
+
 def _failures(results: DataFrame, semantics: DataFrame) -> DataFrame:
     """Failed rules with canonical type and semantic type."""
-    types = semantics.select("column_name", "semantic_type")
+    key = column_key(results, semantics)
     return (results.where(~F.col("success"))
             .withColumn("expectation_type", canonical_type(F.col("expectation_type")))
-            .join(F.broadcast(types), "column_name", "left")
+            .join(semantics.select(*key, "semantic_type"), key, "left")
             .withColumn("semantic_type", F.coalesce("semantic_type", F.lit("unknown"))))
 
 
@@ -106,16 +120,17 @@ def plan_actions(results: DataFrame, semantics: DataFrame,
     """Screened and completed proposals, then the standard repair of every failed rule
     that no proposal covers. ``semantics`` is (column_name, semantic_type)."""
     failures = _failures(results, semantics).withColumn("standard", action_for_failure())
+    own = _dataset(failures)
     if proposed is None:
         plan = failures.select(
-            F.col("rule_order").alias("step"), "column_name",
+            *own, F.col("rule_order").alias("step"), "column_name",
             F.col("expectation_type").alias("failure_type"), "semantic_type",
             "min_value", "max_value", "value_set", F.col("standard").alias("act"))
         return _complete(plan)
     screened = _screen(proposed, failures, semantics)
-    covered = screened.where(F.col("rule_order").isNotNull()).select("rule_order")
-    rest = failures.join(covered, "rule_order", "left_anti").select(
-        (F.lit(1_000_000) + F.col("rule_order")).alias("step"), "column_name",
+    covered = screened.where(F.col("rule_order").isNotNull()).select(*own, "rule_order")
+    rest = failures.join(covered, [*own, "rule_order"], "left_anti").select(
+        *own, (F.lit(1_000_000) + F.col("rule_order")).alias("step"), "column_name",
         F.col("expectation_type").alias("failure_type"), "semantic_type",
         "min_value", "max_value", "value_set", F.col("standard").alias("act"))
     return _complete(screened.drop("rule_order").unionByName(rest))
@@ -125,15 +140,20 @@ def _screen(proposed: DataFrame, failures: DataFrame, semantics: DataFrame) -> D
     """Match each proposal to its failed rule and replace what is not on the menu."""
     own = proposed.where(F.col("column_name").isNotNull()).withColumn(
         "failure_type", canonical_type(F.col("failure_type")))
+    key = column_key(failures, own)
+    if key == ["column_name"] and DATASET in failures.columns:
+        raise ValueError("proposals for a fleet need a dataset column")
     rule = failures.select(
-        F.col("column_name").alias("c"), "rule_order", "expectation_type", "min_value",
+        *[F.col(k).alias(f"of_{k}") for k in key], "rule_order", "expectation_type", "min_value",
         "max_value", "value_set", "standard")
-    matched = own.join(rule, (own.column_name == rule.c) & (
-        own.failure_type.isNull() | (own.failure_type == rule.expectation_type)), "left")
-    w = Window.partitionBy("proposal_order").orderBy(F.desc("rule_order"))
+    on = own.failure_type.isNull() | (own.failure_type == rule.expectation_type)
+    for k in key:
+        on = on & (own[k] == rule[f"of_{k}"])
+    matched = own.join(rule, on, "left")
+    w = Window.partitionBy(*_dataset(own), "proposal_order").orderBy(F.desc("rule_order"))
+    key = column_key(own, semantics)
     matched = (matched.withColumn("place", F.row_number().over(w)).where(F.col("place") == 1)
-               .join(F.broadcast(semantics.select("column_name", "semantic_type")),
-                     "column_name", "left")
+               .join(semantics.select(*key, "semantic_type"), key, "left")
                .withColumn("semantic_type", F.coalesce("semantic_type", F.lit("unknown"))))
     kind, operation = F.col("action_type"), F.col("operation")
     rejected = (
@@ -144,7 +164,7 @@ def _screen(proposed: DataFrame, failures: DataFrame, semantics: DataFrame) -> D
         | ((kind == "quarantine") & F.col("expectation_type").isin(REGEX, BETWEEN)))
     as_proposed = F.expr(_action(**{n: n for n in ACTION_FIELDS}))
     return matched.select(
-        F.col("proposal_order").alias("step"), "column_name",
+        *_dataset(failures), F.col("proposal_order").alias("step"), "column_name",
         F.coalesce("failure_type", "expectation_type").alias("failure_type"), "rule_order",
         "semantic_type", "min_value", "max_value", "value_set",
         F.when(F.coalesce(rejected, F.lit(False)) & F.col("rule_order").isNotNull(),
@@ -153,8 +173,9 @@ def _screen(proposed: DataFrame, failures: DataFrame, semantics: DataFrame) -> D
 
 def _complete(plan: DataFrame) -> DataFrame:
     """Fill what an action lacks from its failed rule, and veto unsafe repairs."""
+    own = _dataset(plan)
     facts = plan.selectExpr(
-        "step", "column_name", "failure_type", "semantic_type", "min_value", "max_value",
+        *own, "step", "column_name", "failure_type", "semantic_type", "min_value", "max_value",
         "value_set AS rule_set", "act.*").selectExpr(
         "*",
         f"coalesce(operation IN ({_words(CATEGORICAL_FIXES)}), false) AS categorical",
@@ -176,7 +197,7 @@ def _complete(plan: DataFrame) -> DataFrame:
                 f"THEN coalesce({own}, {rule}) ELSE {own} END AS {own}")
 
     return facts.selectExpr(
-        "step", "column_name", "failure_type", "semantic_type", "action_type AS planned_type",
+        *own, "step", "column_name", "failure_type", "semantic_type", "action_type AS planned_type",
         "CASE WHEN no_set OR veto THEN 'quarantine' ELSE action_type END AS action_type",
         "CASE WHEN NOT (no_set OR veto) THEN operation END AS operation",
         "final_condition AS condition",
@@ -217,12 +238,13 @@ def with_confidence(actions: DataFrame) -> DataFrame:
 
 def repair_confidence(actions: DataFrame) -> DataFrame:
     """Highest confidence per column."""
-    return with_confidence(actions).groupBy("column_name").agg(
+    return with_confidence(actions).groupBy(*column_key(actions)).agg(
         F.max("confidence").alias("confidence"))
 
 
 def skip_tried(plan: DataFrame, history: DataFrame) -> DataFrame:
     """Leave out (column, action type) pairs that once changed nothing."""
+    key = column_key(plan, history)
     tried = (history.where(F.coalesce("rows_affected", F.lit(0)) == 0)
-             .select("column_name", F.col("action_type").alias("planned_type")).distinct())
-    return plan.join(F.broadcast(tried), ["column_name", "planned_type"], "left_anti")
+             .select(*key, F.col("action_type").alias("planned_type")).distinct())
+    return plan.join(tried, [*key, "planned_type"], "left_anti")

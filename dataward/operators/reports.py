@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataward.operators.actions import DATASET, column_key
 from dataward.operators.risk import percent
 
 
@@ -71,10 +72,12 @@ def healing_history(history: DataFrame) -> DataFrame:
 
 
 def type_report(typed: DataFrame, confidence: DataFrame) -> DataFrame:
-    """Semantic type and best repair confidence per column."""
-    return typed.select("ordinal", "column_name", "semantic_type").join(
-        F.broadcast(confidence), "column_name", "left").select(
-        "ordinal", "column_name", "semantic_type",
+    """Semantic type and best repair confidence per column, of one table or, with a ``dataset``
+    in both inputs, of many."""
+    key = column_key(typed, confidence)
+    return typed.select(*key, "ordinal", "semantic_type").join(
+        confidence.select(*key, "confidence"), key, "left").select(
+        *key[:-1], "ordinal", "column_name", "semantic_type",
         F.when(F.col("confidence") > 0, percent(F.col("confidence"))).otherwise("—")
         .alias("repair_confidence"))
 
@@ -90,18 +93,20 @@ def alert_line(semantic: Column, confidence: Column) -> Column:
 
 def alert_message(results: DataFrame, typed: DataFrame, confidence: DataFrame,
                   cycles: int) -> DataFrame:
-    """The alert text for a run that could not heal itself; one line per failed rule."""
+    """The alert text for a run that could not heal itself; one line per failed rule. Results
+    with a ``dataset`` give one row for each."""
+    types, sure = column_key(results, typed), column_key(results, confidence)
+    own = [c for c in results.columns if c == DATASET]
     lines = (results.where(~F.col("success"))
-             .join(F.broadcast(typed.select("column_name", "semantic_type")),
-                   "column_name", "left")
-             .join(F.broadcast(confidence), "column_name", "left")
-             .select("rule_order", alert_line(F.col("semantic_type"), F.col("confidence"))
+             .join(typed.select(*types, "semantic_type"), types, "left")
+             .join(confidence.select(*sure, "confidence"), sure, "left")
+             .select(*own, "rule_order", alert_line(F.col("semantic_type"), F.col("confidence"))
                      .alias("line")))
     joined = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rule_order", "line"))),
         lambda s: s["line"]), "\n")
     count = F.count(F.lit(1))
-    return lines.agg(
+    return (lines.groupBy(*own) if own else lines).agg(
         F.lit("CRITICAL").alias("severity"),
         F.concat(F.lit(f"DATA QUALITY ALERT: pipeline could not self-heal after {cycles} "
                        "iteration(s).\n\nUnresolved failures ("), count.cast("string"),

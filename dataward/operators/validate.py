@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -378,6 +379,26 @@ def validate(df: DataFrame, rules, as_of: str | None = None,
             .select([c.split()[0] for c in RESULT_SCHEMA.split(", ")]))
 
 
+def validate_fleet(tables: dict[str, DataFrame], rules, as_of: str | None = None,
+                   semantics: DataFrame | None = None, skip_empty: bool = False) -> DataFrame:
+    """Results of many tables in one job: each table's rules are those whose ``dataset`` is its
+    name, and so are their rows. ``semantics`` is (dataset, column_name, semantic_type)."""
+    rows = [r.asDict() if isinstance(r, Row) else dict(r)
+            for r in (rules.collect() if isinstance(rules, DataFrame) else rules)]
+    types: dict[str, dict[str, str]] = {}
+    if semantics is not None:
+        for r in semantics.select("dataset", "column_name", "semantic_type").collect():   # one row per column
+            types.setdefault(r.dataset, {})[r.column_name] = r.semantic_type
+    unknown = {r["dataset"] for r in rows} - set(tables)
+    if unknown:
+        raise ValueError(f"rules for tables that are not given: {sorted(unknown)}")
+    parts = [validate(df, own, as_of, types.get(name), skip_empty).select(F.lit(name).alias("dataset"), "*")
+             for name, df in tables.items() if (own := [r for r in rows if r["dataset"] == name])]
+    if not parts:
+        raise ValueError("no rules are given")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _text(value) -> str | None:
     return None if value is None else str(value)
 

@@ -533,3 +533,62 @@ def healing_history(spark, sf):
     run = order_run(spark, sf, [rule(1, "expect_column_values_to_be_between", "quantity", "0", "100")])
     return reports.healing_history(run.history).select(
         "iteration", "column", "action", "detail", "rows_affected", "success")
+
+
+# Two tables of one warehouse with equal column names and different types, rules and repairs.
+FLEET = {
+    "web_orders": "SELECT o_orderkey AS id, o_totalprice - 1000 AS amount, CASE WHEN o_orderkey % 5 = 0 THEN 'odd' ELSE 'web' END AS status FROM {orders}",
+    "refunds": "SELECT o_orderkey - o_orderkey % 2 AS id, -o_totalprice AS amount, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'paid' END AS status FROM {orders}"}
+FLEET_CTES = {name: sql.format(orders="orders") for name, sql in FLEET.items()}
+FLEET_RULES = [
+    {"dataset": "web_orders", **rule(1, "expect_column_values_to_be_in_set", "status", values=["web"])},
+    {"dataset": "web_orders", **rule(2, "expect_column_values_to_be_unique", "id")},
+    {"dataset": "web_orders", **rule(3, "expect_column_values_to_be_between", "amount", "0", None)},
+    {"dataset": "refunds", **rule(1, "expect_column_values_to_not_be_null", "status")},
+    {"dataset": "refunds", **rule(2, "expect_column_values_to_be_unique", "id")},
+    {"dataset": "refunds", **rule(3, "expect_column_values_to_be_between", "amount", None, "0")}]
+FLEET_TYPES = [("web_orders", 0, "id", "identifier"), ("web_orders", 1, "amount", "currency"), ("web_orders", 2, "status", "categorical"),
+               ("refunds", 0, "id", "integer"), ("refunds", 1, "amount", "float"), ("refunds", 2, "status", "categorical")]
+FLEET_RESULTS = """
+SELECT 'web_orders' AS dataset, 1::BIGINT AS rule_order, 'status' AS column_name, count(*) FILTER (status <> 'web') AS failing_count FROM web_orders
+UNION ALL SELECT 'web_orders', 2, 'id', 0 FROM (SELECT 1)
+UNION ALL SELECT 'web_orders', 3, 'amount', count(*) FILTER (amount < 0) FROM web_orders
+UNION ALL SELECT 'refunds', 1, 'status', count(*) FILTER (status IS NULL) FROM refunds
+UNION ALL SELECT 'refunds', 2, 'id', (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM refunds GROUP BY id) WHERE n > 1)
+UNION ALL SELECT 'refunds', 3, 'amount', count(*) FILTER (amount > 0) FROM refunds"""
+
+
+def fleet_results(spark, sf):
+    tables = {name: spark.sql(sql, orders=table(spark, sf, "orders")) for name, sql in FLEET.items()}
+    types = spark.createDataFrame(FLEET_TYPES, "dataset string, ordinal int, column_name string, semantic_type string")
+    return validate.validate_fleet(tables, FLEET_RULES, AS_OF, types), types
+
+
+@query("validate_fleet", oracle(FLEET_RESULTS, ctes=FLEET_CTES))
+def validate_fleet(spark, sf):
+    """Rules of two tables with equal column names, in one job."""
+    return fleet_results(spark, sf)[0].select("dataset", "rule_order", "column_name", "failing_count")
+
+
+@query("plan_actions_fleet", oracle(f"""
+SELECT dataset, rule_order AS step, column_name, CASE WHEN column_name = 'status' AND dataset = 'web_orders' THEN 'fix_value'
+  WHEN column_name = 'amount' THEN CASE dataset WHEN 'web_orders' THEN 'fix_value' ELSE 'quarantine' END
+  WHEN column_name = 'id' THEN 'deduplicate' ELSE 'quarantine' END AS action_type,
+ CASE dataset WHEN 'web_orders' THEN CASE column_name WHEN 'amount' THEN 'currency' WHEN 'id' THEN 'identifier' ELSE 'categorical' END
+  ELSE CASE column_name WHEN 'amount' THEN 'float' WHEN 'id' THEN 'integer' ELSE 'categorical' END END AS semantic_type
+FROM ({FLEET_RESULTS}) WHERE failing_count > 0""", ctes=FLEET_CTES))
+def plan_actions_fleet(spark, sf):
+    """No rule of one table meets the types of the other."""
+    return actions.plan_actions(*fleet_results(spark, sf)).select(
+        "dataset", "step", "column_name", "action_type", "semantic_type")
+
+
+@query("type_report_fleet", oracle(f"""
+SELECT dataset, i AS ordinal, c AS column_name, t AS semantic_type, CASE
+  WHEN (SELECT coalesce(max(failing_count), 0) FROM ({FLEET_RESULTS}) r WHERE r.dataset = f.dataset AND r.column_name = f.c) = 0 THEN '—'
+  WHEN dataset = 'web_orders' THEN CASE c WHEN 'amount' THEN '82%' WHEN 'status' THEN '70%' ELSE '95%' END
+  ELSE CASE c WHEN 'status' THEN '99%' WHEN 'id' THEN '95%' ELSE '75%' END END AS repair_confidence
+FROM (VALUES {", ".join(f"('{d}', {i}, '{c}', '{t}')" for d, i, c, t in FLEET_TYPES)}) f(dataset, i, c, t)""", ctes=FLEET_CTES))
+def type_report_fleet(spark, sf):
+    results, types = fleet_results(spark, sf)
+    return reports.type_report(types, actions.repair_confidence(actions.plan_actions(results, types)))
