@@ -16,7 +16,7 @@ table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template
@@ -80,18 +80,24 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     return formatted(pairs.filter("chosen IS NOT NULL AND rejected IS NOT NULL"))
 
 
-def repeated_answers(conversations: DataFrame) -> DataFrame:
-    """Pairs from single conversations (conv_id, turn, role, text). Chosen: the turns up to the
-    last answer. Rejected: the same, but the last answer repeats the answer before it, or the
-    turn before it where there is none (an empty text if it comes first)."""
-    whole = (conversations.filter("conv_id IS NOT NULL").groupBy(F.col("conv_id").alias("pair_id"))
-             .agg(_turns().alias("turns")))
-    answers = F.filter(F.sequence(F.lit(1), F.size("turns")),
-                       lambda i: F.element_at("turns", i)["role"] == TRAINED_ROLE)
-    last = F.get("answers", F.size("answers") - 1)
-    previous = F.coalesce(F.get("answers", F.size("answers") - 2), last - 1)
-    text = F.when(previous > 0, F.get("turns", previous - 1)["text"]).otherwise(F.lit(""))
-    wrong = F.struct(F.lit(TRAINED_ROLE).alias("role"), text.alias("text"))
-    return (whole.withColumn("answers", answers).filter(F.size("answers") > 0)
-            .select("pair_id", F.slice("turns", 1, last).alias("chosen"),
-                    F.concat(F.slice("turns", 1, last - 1), F.array(wrong)).alias("rejected")))
+def made_pairs(conversations: DataFrame) -> DataFrame:
+    """Rows (pair_id, side, turn, role, text) of pairs made from single conversations (conv_id,
+    turn, role, text). Chosen: the conversation. Rejected: the same, but one of its answers,
+    which the id picks, repeats the text before it (nothing, if it comes first); the turns
+    after it stay. Conversations without an answer give no pair; if the picked answer repeats
+    the text before it anyway, the sides are equal."""
+    rows = (conversations.filter("conv_id IS NOT NULL")
+            .select(F.col("conv_id").alias("pair_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"),
+                    F.coalesce("text", F.lit("")).alias("text")).distinct())
+    whole = Window.partitionBy("pair_id")
+    order = whole.orderBy(F.asc_nulls_last("turn"), "role", "text")
+    answer = (F.col("role") == TRAINED_ROLE).cast("int")
+    numbered = rows.select(
+        "pair_id", "role", "text", F.row_number().over(order).alias("place"),
+        F.lag("text", 1, "").over(order).alias("before"), F.sum(answer).over(order).alias("answer"),
+        F.sum(answer).over(whole).alias("answers")).filter("answers > 0")
+    picked = F.crc32(F.col("pair_id").cast("string").cast("binary")) % F.col("answers") + 1
+    wrong = F.when((F.col("role") == TRAINED_ROLE) & (F.col("answer") == picked), F.col("before")).otherwise(F.col("text"))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col("place").alias("turn"), F.col("role"), text.alias("text"))
+                      for side, text in (("chosen", F.col("text")), ("rejected", wrong))])
+    return numbered.select("pair_id", F.inline(sides))

@@ -164,37 +164,47 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    return f"""xor(list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(range(1, length({text}) + 1),
+                 lambda i: [ascii({text}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                                 ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+
 def _preference_sql() -> str:
     def safe(c: str) -> str:
         return f"replace({c}, '{chat.OPEN}', '< |')"
 
-    def shown(role: str, text: str) -> str:
-        return f"'{chat.OPEN}' || {safe(role)} || '|>' || chr(10) || {safe(text)} || '<|end|>' || chr(10)"
+    def shown(text: str) -> str:
+        return f"'{chat.OPEN}' || {safe('n.role')} || '|>' || chr(10) || {safe(text)} || '<|end|>' || chr(10)"
 
-    end = len(chat.END)
+    def joined(text: str, test: str) -> str:
+        return f"sha256(coalesce(string_agg({shown(text)}, '' ORDER BY n.i) FILTER ({test}), ''))"
+
+    def trained(text: str) -> str:
+        return (f"coalesce(sum(length({safe(text)}) + {len(chat.END)}) "
+                "FILTER (n.i >= p.at AND n.role = 'assistant'), 0)::BIGINT")
+
+    wrong = "CASE WHEN n.i = p.at THEN p.bad ELSE n.text END"
     return f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
            FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i FROM t),
-a AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
-p AS (SELECT a.conv_id, a.last, coalesce((SELECT max(i) FROM n WHERE n.conv_id = a.conv_id
-             AND n.role = 'assistant' AND n.i < a.last), a.last - 1) AS previous FROM a),
-x AS (SELECT p.conv_id, p.last, g.text AS good, coalesce(b.text, '') AS bad
-      FROM p JOIN n g ON g.conv_id = p.conv_id AND g.i = p.last
-      LEFT JOIN n b ON b.conv_id = p.conv_id AND b.i = p.previous)
-SELECT x.conv_id, (x.last - 1)::INTEGER AS n_prompt_turns,
-       sha256(coalesce((SELECT string_agg({shown('n.role', 'n.text')}, '' ORDER BY n.i) FROM n
-                        WHERE n.conv_id = x.conv_id AND n.i < x.last), '')) AS prompt_sha256,
-       sha256({shown("'assistant'", 'x.good')}) AS chosen_sha256,
-       sha256({shown("'assistant'", 'x.bad')}) AS rejected_sha256,
-       (length({safe('x.good')}) + {end})::BIGINT AS chosen_trained,
-       (length({safe('x.bad')}) + {end})::BIGINT AS rejected_trained
-FROM x WHERE x.good <> x.bad"""
+n AS (SELECT *, row_number() OVER w AS i, lag(text, 1, '') OVER w AS before,
+             sum((role = 'assistant')::INT) OVER w AS k, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id) AS answers,
+             conv_id::VARCHAR AS c
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+p AS (SELECT conv_id, i AS at, before AS bad FROM n
+      WHERE role = 'assistant' AND text <> before AND k = {_crc32_sql('c')} % answers + 1)
+SELECT p.conv_id, (p.at - 1)::INTEGER AS n_prompt_turns, {joined('n.text', 'n.i < p.at')} AS prompt_sha256,
+       {joined('n.text', 'n.i >= p.at')} AS chosen_sha256, {joined(wrong, 'n.i >= p.at')} AS rejected_sha256,
+       {trained('n.text')} AS chosen_trained, {trained(wrong)} AS rejected_trained
+FROM p JOIN n USING (conv_id) GROUP BY p.conv_id, p.at"""
 
 
 @query("op5_preference_formatting", _preference_sql())
 def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat.formatted(chat.repeated_answers(table(spark, sf_dir, "conversations")))
+    pairs = chat.preference_pairs(chat.made_pairs(table(spark, sf_dir, "conversations")))
 
     def trained(mask: str):
         return F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -211,15 +221,11 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trie_sql() -> str:
-    crc = """xor(list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(range(1, length(c) + 1),
-                 lambda i: [ascii(c[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
-               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
-                                 ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
     return f"""
 WITH own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
                                   ORDER BY turn NULLS FIRST) AS q
              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-k AS (SELECT conv_id, q, {crc} % 6 AS h FROM (SELECT *, conv_id::VARCHAR AS c FROM own)),
+k AS (SELECT conv_id, q, {_crc32_sql('c')} % 6 AS h FROM (SELECT *, conv_id::VARCHAR AS c FROM own)),
 r AS (SELECT k.conv_id, list_concat(coalesce(b.q[1:k.h], []), k.q[k.h + 1:]) AS q
       FROM k LEFT JOIN own b ON b.conv_id = k.conv_id - k.conv_id % 100),
 p AS (SELECT conv_id, len(q) AS n, unnest(range(0, len(q) + 1)) AS d, q FROM r),

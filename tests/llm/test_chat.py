@@ -1,3 +1,5 @@
+import zlib
+
 from dataward.llm import chat
 
 
@@ -30,18 +32,28 @@ def test_common_prefix_and_masks(spark):
 
 
 def test_pairs_from_conversations(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "r"), (1, 3, "assistant", "a2"), (1, 4, "user", "z"),
-            (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "no answer"), (4, 0, "assistant", "first"),
-            (5, 0, "assistant", "a"), (5, 1, "assistant", "a"), (None, 0, "assistant", "a"), (1, 0, "user", "q")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
-    got = {r["pair_id"]: r for r in chat.formatted(chat.repeated_answers(df)).collect()}
-    assert set(got) == {1, 2, 4}                         # 5 repeats itself: chosen equals rejected
-    assert got[1]["chosen"] == "<|assistant|>\na2<|end|>\n" and got[1]["rejected"] == "<|assistant|>\na1<|end|>\n"
-    assert got[1]["n_prompt_turns"] == 3 and got[2]["rejected"] == "<|assistant|>\nq<|end|>\n"
-    assert got[4]["rejected"] == "<|assistant|>\n<|end|>\n"
+    rows = [(c, t, role, f"{role} {c} {t}") for c in range(1, 40) for t, role in
+            enumerate(["system", "user", "assistant", "user", "assistant", "assistant", "user"])]
+    rows += [(50, 0, "user", "q"), (50, 1, "assistant", "a"), (51, 0, "user", "no answer"), (52, 0, "assistant", "first"),
+             (53, 0, "user", "a"), (53, 1, "assistant", "a"), (None, 0, "assistant", "a"), (50, 0, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(3)
+    made = chat.made_pairs(df)
+    assert made.columns == ["pair_id", "side", "turn", "role", "text"]
+    got = {r["pair_id"]: r for r in chat.preference_pairs(made).collect()}
+    assert set(got) == {*range(1, 40), 50, 52}              # 51 has no answer, 53 repeats itself
+    assert {got[c]["n_prompt_turns"] for c in range(1, 40)} == {2, 4, 5}
+    for c in range(1, 40):
+        n, answers = got[c]["n_prompt_turns"], (2, 4, 5)
+        assert n == answers[zlib.crc32(str(c).encode()) % 3]
+        spans = [got[c]["chosen"][m["start"]:m["end"]] for m in got[c]["chosen_mask"]]
+        assert spans == [f"assistant {c} {t}<|end|>\n" for t in answers if t >= n]
+        before = next(r[3] for r in rows if r[:2] == (c, n - 1))
+        assert got[c]["rejected"] == got[c]["chosen"].replace(f"assistant {c} {n}<", f"{before}<")
+        assert got[c]["chosen"].endswith(f"<|user|>\nuser {c} 6<|end|>\n")
+    assert got[50]["rejected"] == "<|assistant|>\nq<|end|>\n" and got[52]["rejected"] == "<|assistant|>\n<|end|>\n"
 
 
 def test_empty(spark):
     assert chat.preference_pairs(turns(spark, [])).count() == 0
     none = spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")
-    assert chat.formatted(chat.repeated_answers(none)).count() == 0
+    assert chat.preference_pairs(chat.made_pairs(none)).count() == 0
