@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataward.operators.lineage import EDGE_KEY, deduplicate_edges, sources_and_targets
+from dataward.session import materialize
 
 SCHEMAS = {
     "catalog_tables": (
@@ -52,6 +54,39 @@ def upsert(existing: DataFrame | None, changes: DataFrame, keys: list[str]) -> D
     return existing.join(changes.select(keys), keys, "left_anti").unionByName(changes)
 
 
+BUCKETS = 64                # of a stored catalog table; one is rewritten as a whole
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def upsert_stored(path: str, changes: DataFrame, keys: list[str]) -> int:
+    """Upsert into a table stored below ``path`` in buckets of its keys; returns how many
+    buckets were rewritten. Only the buckets of changed keys are read and written, all others
+    keep their files. The new rows are written elsewhere first, as a folder that is read cannot
+    be written; a run that fails in between leaves the old rows."""
+    spark = changes.sparkSession
+    batch = changes.withColumn("bucket", _bucket(keys))
+    touched = sorted(r.bucket for r in batch.select("bucket").distinct().collect())      # BUCKETS at most
+    if not touched:
+        return 0
+    try:
+        stored = spark.read.schema(batch.schema).parquet(path).where(F.col("bucket").isin(touched))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    merged = upsert(stored, batch, [*keys, "bucket"])
+    (materialize(merged, "catalog").repartition("bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    return len(touched)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def upsert_edges(existing: DataFrame | None, edges: DataFrame, created_at) -> DataFrame:
     """Store edges; of one batch the first transform per key counts."""
     batch = deduplicate_edges(edges).select(

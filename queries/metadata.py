@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dataward.operators import catalog, lineage, masking, pii, reports
 from dataward.plans.governance_run import governance_run, persist_run
+from dataward.session import scratch_path
 from queries.fixtures import oracle, table
 from queries.privacy import DETECTED_TYPES
 from queries.registry import query
@@ -135,6 +136,20 @@ def catalog_upsert_tags(spark, sf):
     return day(stored_tags(spark, sf))
 
 
+@query("catalog_upsert_incremental", oracle(f"""
+SELECT table_name, column_name, pii_type, CASE WHEN table_name = 'customer_pii' THEN 1.0 ELSE confidence END AS confidence
+FROM ({TAGS}) UNION ALL SELECT 'new_table', 'email', 'EMAIL', 0.5""", "tag_log"))
+def catalog_upsert_incremental(spark, sf):
+    """A second batch changes one table's tags and adds one: only its buckets are written."""
+    path, keys = scratch_path(spark, "tags"), ["table_name", "column_name"]
+    first = tags(spark, sf).select(*keys, "pii_type", "confidence")
+    catalog.upsert_stored(path, first, keys)
+    changes = first.where("table_name = 'customer_pii'").withColumn("confidence", F.lit(1.0)).unionByName(
+        spark.createDataFrame([("new_table", "email", "EMAIL", 0.5)], first.schema))
+    catalog.upsert_stored(path, changes, keys)
+    return catalog.read_stored(spark, path)
+
+
 @query("catalog_columns", oracle(f"""
 SELECT table_name, column_name, CASE WHEN table_name = 'customer_pii' AND column_name IN ('email', 'ssn', 'full_name') THEN 'object' END AS data_type,
  1 AS is_pii, pii_type, confidence AS pii_confidence,
