@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 
@@ -29,6 +30,7 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "d
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody", "tfoot"}}
 SCOPES = {"table", "td", "th", "ul", "ol", "dl", "body", "html", "article", "section", "main", "div", "aside", "nav"}
+TABLE_SCOPES, LIST_SCOPES = {"table"}, {"ul", "ol", "dl", "table", "menu"}      # beyond which nothing is ended
 KINDS = [{"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dd", "dt"},
          {"td", "th", "tr", "table", "tbody"}, {"div", "section"}, {"article", "main"}, {"nav", "menu"},
          {"header", "hgroup"}, {"footer", "address"}, {"aside", "dialog"}, {"form", "fieldset", "legend"},
@@ -65,6 +67,9 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]      # open elements with their block node
+        # depths at which a name is open, and those of all blocks: stray tags search no stack
+        where: defaultdict[str, list[int]] = defaultdict(list)
+        blocks = [0]
         pieces: list[str] = []
         linked = anchors = hidden = 0
         at = 0
@@ -90,17 +95,23 @@ class Page:
                     hidden -= 1
                 if name not in INLINE:
                     flush()
+                    blocks.pop()
+                where[name].pop()
                 stack.pop()
 
-        def within(names: set) -> int:
+        def enter(name: str, node: int) -> None:
+            where[name].append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append((name, node))
+
+        def innermost(names: set) -> int:
+            return max((where[n][-1] for n in names if where[n]), default=0)
+
+        def within(names: set, scopes: set) -> int:
             """Depth of the innermost open element of these names, up to the nearest scope."""
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name in names:
-                    return depth
-                if name in SCOPES:
-                    return 0
-            return 0
+            depth = innermost(names)
+            return depth if depth and depth >= innermost(scopes) else 0
 
         while at < len(source):
             m = _TAG.search(source, at)
@@ -116,12 +127,9 @@ class Page:
             if not name:
                 continue
             if m["close"]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name:
-                        leave(depth)
-                        break
-                    if name in INLINE and stack[depth][0] not in INLINE:
-                        break
+                depth = where[name][-1] if where[name] else 0
+                if depth and (name not in INLINE or depth > blocks[-1]):
+                    leave(depth)
                 continue
             self.marks[stack[-1][1]] += 1
             if name == "br":
@@ -138,36 +146,27 @@ class Page:
                 if name == "hr":
                     flush()
                 continue
-            if name in CLOSES_P and (depth := within({"p"})):
+            if name in CLOSES_P and (depth := within({"p"}, SCOPES)):
                 leave(depth)
             if name in ENDED_BY:
-                while depth := self._implied(stack, ENDED_BY[name], name):
+                scopes = TABLE_SCOPES if name in ("tr", "td", "th", "tbody") else LIST_SCOPES
+                while depth := within(ENDED_BY[name], scopes):
                     leave(depth)
             if name == "body" or name == "html":
                 hidden = 0
             if name in INLINE:
                 anchors += name == "a"
-                stack.append((name, stack[-1][1]))
+                enter(name, stack[-1][1])
                 continue
             flush()
             hidden += name in HIDDEN
             words = frozenset(_TOKEN.findall(" ".join(
                 (a or b or c) for key, a, b, c in _ATTR.findall(m["attrs"]) if key.lower() in ("class", "id", "role")
             ).lower())) if m["attrs"] else frozenset()
-            stack.append((name, self._open(name, stack[-1][1], words)))
+            enter(name, self._open(name, stack[-1][1], words))
         leave(1)
         flush()
 
-    @staticmethod
-    def _implied(stack, names: set, name: str) -> int:
-        stop = {"table"} if name in ("tr", "td", "th", "tbody") else {"ul", "ol", "dl", "table", "menu"}
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in names:
-                return depth
-            if stack[depth][0] in stop:
-                return 0
-        return 0
-
     def _finish(self) -> None:
         """Merges a block's only stretch of text into it and drops blocks without text."""
         n = len(self.tag)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from llm_texts import prose
@@ -96,3 +97,13 @@ def test_letters_that_grow_in_lower_case_move_no_end(end):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert htmltext.extract(none).count() == 0
+
+
+@pytest.mark.parametrize("source", [
+    "<p>" + "<i>" * 60_000 + "</b>" * 60_000, "<b>" * 60_000 + "</i>" * 60_000, "<div>" * 60_000 + "</section>" * 60_000,
+    "<b><p>" + "<i>" * 60_000 + "</b>" * 60_000, "<p><table>" + "<nav>" * 60_000 + "<p>x" * 30_000,
+    "<ul><li><table>" + "<div>" * 60_000 + "<li>x" * 30_000, "</p>" * 200_000 + "text"])
+def test_stray_tags_take_linear_time(source):
+    started = time.process_time()
+    dom.Page(source)
+    assert time.process_time() - started < 10            # a megabyte; the square of it would take minutes
