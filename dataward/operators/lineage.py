@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDGE_KEY = ["src_table", "src_col", "tgt_table", "tgt_col"]
+PER_SALT = 1_000_000        # rows of one key that meet in one task
 
 
 def deduplicate_edges(edges: DataFrame) -> DataFrame:
@@ -41,11 +42,25 @@ def flows(edges: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("transform")), ",").alias("transforms"))
 
 
-def tag_edges(edges: DataFrame, detections: DataFrame) -> DataFrame:
-    """Edges with the personal-data type at either end; the source's type is shown first.
+def salted_left_join(rows: DataFrame, facts: DataFrame, keys: list[str], per_salt: int = PER_SALT) -> DataFrame:
+    """A left join in which no key puts more than about ``per_salt`` rows into one task.
+
+    A counting pass, combined map-side, finds the heavy keys: one per ``per_salt`` rows at
+    most, so they are small enough to be broadcast. Their rows are dealt over salts, and only
+    their facts are repeated, once per salt."""
+    heavy = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_salt)
+                        .select(*keys, F.ceil(F.col("n") / per_salt).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    place = F.pmod(F.xxhash64(*rows.columns), salts).cast("int")
+    dealt = rows.join(heavy, keys, "left").withColumn("__salt", place).drop("__salts")
+    repeated = (facts.join(heavy, keys, "left")
+                .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts"))
+    return dealt.join(repeated, [*keys, "__salt"], "left").drop("__salt")
 
-    Both joins are left to the optimizer: adaptive execution broadcasts the tags while
-    they are small and splits hot tables when they are not."""
+
+def tag_edges(edges: DataFrame, detections: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
+    """Edges with the personal-data type at either end; the source's type is shown first.
+    A table that many edges share does not end in one task (`salted_left_join`)."""
     tags = detections.select("table_name", "column_name", "pii_type")
     at_source = tags.select(F.col("table_name").alias("src_table"),
                             F.col("column_name").alias("src_col"),
@@ -53,9 +68,9 @@ def tag_edges(edges: DataFrame, detections: DataFrame) -> DataFrame:
     at_target = tags.select(F.col("table_name").alias("tgt_table"),
                             F.col("column_name").alias("tgt_col"),
                             F.col("pii_type").alias("tgt_pii"))
-    return (edges.join(at_source, ["src_table", "src_col"], "left")
-            .join(at_target, ["tgt_table", "tgt_col"], "left")
-            .withColumn("pii", F.coalesce("src_pii", "tgt_pii", F.lit("—"))))
+    named = salted_left_join(edges, at_source, ["src_table", "src_col"], per_salt)
+    return (salted_left_join(named, at_target, ["tgt_table", "tgt_col"], per_salt)
+            .select(*edges.columns, "src_pii", "tgt_pii", F.coalesce("src_pii", "tgt_pii", F.lit("—")).alias("pii")))
 
 
 def summary(edges: DataFrame, detections: DataFrame) -> DataFrame:
