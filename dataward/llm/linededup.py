@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dataward.llm.words import aside
 from dataward.session import materialize
 
 FUZZY = 20
@@ -204,14 +205,11 @@ def digests(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` without repeated lines. Rows whose lines with words are all gone go; `n_chars`,
     where there is such a column, follows the text."""
-    rows = (_with_kept(docs).filter(F.col("text").isNull() | ~_worded(F.col("text")) | F.col("__kept").isNotNull())
-            .withColumn("__text", F.when(F.col("text").isNotNull(), F.array_join("__left", "\n"))))
-    out = []
-    for field in docs.schema:
-        value = F.col(f"`{field.name}`")
-        if field.name == "text":
-            value = F.col("__text")
-        elif field.name == "n_chars":
-            value = F.when(F.col("__text") == F.col("text"), value).otherwise(F.length("__text")).cast(field.dataType)
-        out.append(value.alias(field.name))
-    return rows.select(*out)
+    plain, back = aside(docs, ["doc_id", "text", "n_chars"])
+    left = F.when(F.col("text").isNotNull(), F.array_join("__left", "\n"))
+    rows = (_with_kept(plain).filter(F.col("text").isNull() | ~_worded(F.col("text")) | F.col("__kept").isNotNull())
+            .withColumn("__text", left))
+    if "n_chars" in plain.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__text") == F.col("text"), F.col("n_chars"))
+                               .otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType))
+    return back(rows.withColumn("text", F.col("__text")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataward.llm.words import SpanHashes, Texts, mix, slices
+from dataward.llm.words import SpanHashes, Texts, aside, mix, slices
 from dataward.session import materialize
 
 MIN_WORDS = 50              # base rule: fewer words fail
@@ -178,6 +178,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass, with all their columns. Texts are measured twice, once
     for the thresholds and once for the filter, so that none has to be shuffled."""
-    rows = materialize(measured(docs.select("lang", "source", "text"), ["lang", "source"]), "quality")
-    return (judged(measured(docs, docs.columns), fences(sketch(rows)))
-            .filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    plain, back = aside(docs, ["lang", "source", "text"])
+    rows = materialize(measured(plain.select("lang", "source", "text"), ["lang", "source"]), "quality")
+    return back(judged(measured(plain, plain.columns), fences(sketch(rows))).filter("__kept"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataward.llm.words import SpanHashes, Texts, slices
+from dataward.llm.words import SpanHashes, Texts, aside, slices
 from dataward.session import materialize
 
 WINDOW = 50
@@ -261,10 +261,10 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` without repeated passages: the words go with the white space after them. Rows of
     which nothing is left go; `n_chars`, where there is such a column, follows the text."""
-    columns = docs.columns
-    rows = _with_marks(docs, window)
-    touched = rows.select(*[F.col(f"`{c}`") for c in columns], "__marked")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__empty boolean"])
+    plain, back = aside(docs, ["doc_id", "text", "n_chars"])
+    columns = plain.columns
+    touched = _with_marks(plain, window).select(*columns, "__marked")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "__empty boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,4 +292,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     arrays.append(values)
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(empty)], names=[*columns, "__empty"])
 
-    return touched.mapInArrow(run, schema).filter("NOT __empty").drop("__empty")
+    return back(touched.mapInArrow(run, schema).filter("NOT __empty"))

@@ -8,10 +8,13 @@ those modulo 2**64, taken from prefix sums (any run costs O(1)).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -139,10 +142,10 @@ class Texts:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most `most` bytes of text each, or one text if it is longer."""
-    sizes = batch.column(column).cast(pa.large_string()).fill_null("")
-    total = np.concatenate([[0], np.cumsum([0 if v is None else v for v in
-                            pa.compute.binary_length(sizes).to_pylist()])]) if len(sizes) else [0]
+    """Parts of a batch with at most `most` bytes in a text or binary column each, or one row if
+    that is longer."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    total = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
@@ -150,6 +153,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
+def aside(docs: DataFrame, own: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but `own` under names that no operator uses, and the function
+    that gives rows their names back."""
+    names = {c: c if c in own else f"other{i}" for i, c in enumerate(docs.columns)}
+
+    def back(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in names.items()]), back
+
+
 class Numbering:
     """Numbers 64-bit keys in order of first sight; forgets all beyond `limit` keys, so the
     memory of a long-lived worker is bounded."""

@@ -106,3 +106,13 @@ def test_plan_is_native(spark):
     plan = linededup.digests(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__text", "__kept", "__lines", "__left", "__doc", "__content", "h1", "other0"]
+    df = spark.createDataFrame([(1, "one line here that stays\nanother line", *range(8)),
+                                (2, "one line here that stays\nits own line", *range(8))], ["doc_id", "text", *names])
+    kept = linededup.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [
+        (1, "one line here that stays\nanother line", *range(8)), (2, "its own line", *range(8))]

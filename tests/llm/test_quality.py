@@ -65,3 +65,12 @@ def test_filter_keeps_columns(messy, nothing):
     good = sorted(str(r["doc_id"]) for r in quality.verdicts(messy).filter("kept").collect())
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == good
     assert quality.keep_good(nothing).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__kept", "__base_failed", "__text", "__n_words", "__lang", "__source", "other0", "kept"]
+    df = spark.createDataFrame([(1, prose(1, 90), "en", "a", *range(8)), (2, "short", "en", "a", *range(8))],
+                               ["doc_id", "text", "lang", "source", *names])
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns
+    assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in df.filter("doc_id = 1").collect()]

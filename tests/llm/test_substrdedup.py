@@ -76,3 +76,12 @@ def test_text_left(spark, messy, nothing):
     out = substrdedup.deduplicate(messy)
     assert out.dtypes == messy.dtypes and substrdedup.deduplicate(nothing).count() == 0
     assert len(substrdedup.digests(messy).collect()) == messy.count() and substrdedup.digests(nothing).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__marked", "__h1", "__h2", "__k1", "__k2", "__empty", "k1", "other0"]
+    shared = " ".join(words(1, 60))
+    df = spark.createDataFrame([(1, shared, *range(8)), (2, "begin " + shared, *range(8))], ["doc_id", "text", *names])
+    kept = substrdedup.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, shared, *range(8)), (2, "begin", *range(8))]
