@@ -10,14 +10,12 @@
 3. Buckets of at most `SMALL` texts compare all their pairs. A larger one compares its members
    with one pivot, the best connected member, which joins a group of copies in linear time.
    What that leaves open is settled by distances (1 - similarity is a metric): members near
-   the pivot cannot be alike to one that is further than twice the bound. The others, and
-   the near ones that a member between the bounds could still reach, stay. If at most
-   `OUTSIDERS` of them are outside the largest class, these are compared with all the rest,
-   which settles the bucket. The members of other buckets are dealt anew: first
-   to `FINE_BANDS` bands of `FINE_ROWS` further samples (a pair at similarity 0.8 shares one
-   with probability 0.9993), then each bucket that is still large and open by `MORE_ROWS`
-   further samples of its depth, until none is. A member so makes a bounded number of
-   comparisons a level, whatever the size of its bucket.
+   the pivot cannot be alike to one that is further than twice the bound. All other pairs of
+   different classes are compared, whatever the size of the bucket: its members are dealt to
+   blocks of at most about `BLOCK` texts and `BLOCK_BYTES`, and every two blocks meet in a group
+   of their own, as matrices; members of the largest class do not meet each other. So no pair
+   that shares a bucket is lost. A bucket of m members outside its largest class and n in it
+   costs m * (m + n) comparisons and m * (m + n) / `BLOCK` rows.
 4. Weighted Jaccard similarity, sum of minima over sum of maxima, decides; linked texts are
    joined to classes by connected components. Hot pivots are split by salts.
 
@@ -48,9 +46,10 @@ FEATURES = 1 << 16
 CHUNK = 4096
 DAMPING = 0.1
 SMALL = 8                   # texts of a bucket whose pairs are all compared
-OUTSIDERS = 16              # members beside a bucket's main class that are compared with all of it
-FINE_BANDS, FINE_ROWS = 24, 6
-MORE_ROWS = 6               # samples by which a bucket that stays large is split again
+CLOSE = 1e-9                # similarities so close to a bound are computed once more, or count as within it
+BLOCK, BLOCK_BYTES = 2048, 8 << 20   # texts and bytes of packed shingles in one of the blocks that are compared
+FREQUENT = 100              # shingles in more than one of so many pairs of two blocks are multiplied as matrices
+PAIRS, COLUMNS = 1 << 21, 1024        # pairs and shingles taken at once there
 SLICE = 4 << 20             # bytes of packed shingles unpacked at once
 PER_SALT = 512              # comparisons with one pivot in one group
 _BASE = 0xD1342543DE82EF95
@@ -61,11 +60,6 @@ _BETA = _rng.random(1 << 16)
 _SPREAD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _spreads(depth: int, n: int) -> np.ndarray:
-    """The further samples of a depth, independent of all others."""
-    return np.random.default_rng([97, depth]).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash and count of the distinct shingles, ordered by text and hash."""
     words = t.byte_hashes().of(t.start, t.end)
@@ -285,24 +279,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def _linked(known: DataFrame, vector: DataFrame, factor: np.ndarray, least: float) -> DataFrame:
-    """(node, root) of the linked nodes of buckets (bucket, node, degree), level by level until
-    no large bucket is open."""
-    spark = known.sparkSession
-    rooted = spark.createDataFrame([], "node binary, root binary")
-    few = spark.createDataFrame([], "pivot binary, node binary")
-    depth = 0
-    while True:
-        members = materialize(_open(known, rooted), "members")
-        pairs = materialize(_small_pairs(members).union(_star_pairs(members)).union(few).distinct(), "pairs")
-        near = materialize(verified(pairs, vector, factor, 2 * least - 1), "near")
-        rooted = _joined(near.filter(F.col("similarity") >= least), rooted)
-        left = materialize(_left(members, near, rooted, least), "left")
-        few, many = _few_outsiders(left)
-        few = materialize(few, "few")
-        if left.isEmpty():
-            return rooted
-        known = materialize(_dealt_anew(many, vector, factor, depth), "buckets")
-        depth += 1
+    """(node, root) of the linked nodes of buckets (bucket, node, degree): pairs of small buckets
+    and pivots of large ones first, then all pairs that these leave open."""
+    rooted = known.sparkSession.createDataFrame([], "node binary, root binary")
+    members = materialize(_open(known, rooted), "members")
+    pairs = materialize(_small_pairs(members).union(_star_pairs(members)).distinct(), "pairs")
+    near = materialize(verified(pairs, vector, factor, 2 * least - 1 - CLOSE), "near")
+    rooted = _joined(near.filter(F.col("similarity") >= least), rooted)
+    left = materialize(_left(members, near, rooted, least), "left")
+    if left.isEmpty():
+        return rooted
+    return _joined(materialize(_block_links(left, vector, factor, least), "block-links"), rooted)
 
 
 def _joined(links: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -372,47 +359,141 @@ def _left(members: DataFrame, near: DataFrame, rooted: DataFrame, least: float)
     return kept.join(open_still.select("bucket"), "bucket", "left_semi").select("bucket", "node", "degree", "root")
 
 
-def _few_outsiders(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (pivot, node) of different classes in the buckets with at most `OUTSIDERS` members
-    outside the largest class, which settle those buckets; the members of the other buckets."""
+def _blocks(left: DataFrame, vector: DataFrame) -> DataFrame:
+    """(bucket, first, second, number, node, root, shingles, counts): the members of each bucket in
+    blocks of bounded size, one group (bucket, first, second) for every two blocks whose members
+    have to meet. Members of a bucket's largest class are in blocks of their own, which meet
+    those of the others only."""
     sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    facts = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"))
-    told = left.join(facts.select("bucket", F.col("largest.root").alias("main"),
-                                  (F.col("size") - F.col("largest.n") <= OUTSIDERS).alias("few")), "bucket")
-    settled = told.filter("few")
-    asking = settled.filter("root <> main").select("bucket", F.col("node").alias("pivot"), F.col("root").alias("own"))
-    pairs = settled.join(asking, "bucket").filter("root <> own").select("pivot", "node").distinct()
-    return pairs, told.filter("NOT few").select("bucket", "node", "degree")
-
-
-def _dealt_anew(left: DataFrame, vector: DataFrame, factor: np.ndarray, depth: int) -> DataFrame:
-    """(bucket, node, degree) by further samples: at first all nodes in new bands, later each
-    bucket by samples of its depth. Buckets of one are left out."""
-    n_bands, n_rows = (FINE_BANDS, FINE_ROWS) if depth == 0 else (1, MORE_ROWS)
-    spreads = _spreads(depth + 1, n_bands * n_rows)
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("largest")).select(
+        "bucket", F.col("largest.root").alias("main"))
+    told = left.join(main, "bucket").select("bucket", "node", "root", (F.col("root") != F.col("main")).alias("beside"))
+    lengths = vector.select("node", (F.length("shingles") + F.length("counts")).alias("bytes"))
+
+    def number(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    facts = (told.join(lengths, "node").groupBy("bucket").agg(
+        number(F.count("*"), F.sum("bytes")).alias("all"),
+        number(F.count_if("beside"), F.sum(F.when(F.col("beside"), F.col("bytes")))).alias("own"),
+        number(F.count_if(~F.col("beside")), F.sum(F.when(~F.col("beside"), F.col("bytes")))).alias("others"))
+        # what fits one block is one
+        .select("bucket", F.when(F.col("all") == 1, 1).otherwise(F.col("own")).alias("own"),
+                F.when(F.col("all") == 1, 0).otherwise(F.col("others")).alias("others")))
+    place = F.xxhash64("node")
+    dealt = told.join(facts, "bucket").withColumn(
+        "number", F.when(F.col("beside") | (F.col("others") == 0), F.pmod(place, F.col("own")))
+        .otherwise(F.col("own") + F.pmod(place, F.col("others"))).cast("int"))
+    met = F.when(F.col("number") < F.col("own"), F.sequence(F.lit(0), F.col("own") + F.col("others") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("own") - 1))
+    return (dealt.select("bucket", "node", "root", "number", F.explode(met).alias("other")).join(vector, "node")
+            .select("bucket", F.least("number", "other").alias("first"), F.greatest("number", "other").alias("second"),
+                    "number", "node", "root", "shingles", "counts"))
+
+
+def _block_links(left: DataFrame, vector: DataFrame, factor: np.ndarray, least: float) -> DataFrame:
+    """(a, b): links that join what all links between the members of a bucket join. Two blocks
+    are compared as matrices; a group returns fewer links than it has members."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        first, second = key[1].as_py(), key[2].as_py()
+        number = rows.column("number").to_numpy()
+        node, root = rows.column("node").to_pylist(), rows.column("root").to_pylist()
+        texts = [(np.frombuffer(v, np.uint32), np.frombuffer(c, np.uint32))
+                 for v, c in zip(rows.column("shingles").to_pylist(), rows.column("counts").to_pylist())]
+        x = np.flatnonzero(number == first)
+        y = np.flatnonzero(number == second)
+        total = np.array([weights(v, c, factor).sum() for v, c in texts])
+        least_sum = _least_sums([texts[i] for i in x], [texts[i] for i in y], factor)
+        alike = least_sum / (total[x][:, None] + total[y][None, :] - least_sum)
+        linked = alike >= least - CLOSE
+        for i, j in np.argwhere(linked & (alike < least + CLOSE)).tolist():     # rounding must not decide
+            a, b = ((texts[k][0], weights(*texts[k], factor), total[k]) for k in (x[i], y[j]))
+            linked[i, j] = similarity(a, b) >= least
+        ids = {r: k for k, r in enumerate(dict.fromkeys(root))}
+        edges = [(node[x[i]], node[y[j]]) for i, j in _forest(linked, np.array([ids[root[k]] for k in x], np.int64),
+                                                              np.array([ids[root[k]] for k in y], np.int64))]
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return (_blocks(left, vector).groupBy("bucket", "first", "second")
+            .applyInArrow(run, "a binary, b binary").distinct())
+
+
+def _least_sums(x: list, y: list, factor: np.ndarray) -> np.ndarray:
+    """Sum of minima of the weights for every text of x and of y, each (shingles, counts). A shingle
+    that is met n times has one layer for each count up to n; minima are the layers both have."""
+    out = np.zeros((len(x), len(y)))
+    counts = [np.concatenate([c for _, c in own]) for own in (x, y)]
+    levels = np.unique(np.concatenate(counts))
+    if not len(levels):
+        return out
+    gain = np.diff(1 + np.log(levels), prepend=0.0)
+    text, code = [], []
+    for own, count in zip((x, y), counts):
+        doc = np.repeat(np.arange(len(own)), [len(v) for v, _ in own])
+        value = np.concatenate([v for v, _ in own]).astype(np.int64)
+        layers = np.searchsorted(levels, count, side="right")
+        place = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
+        text.append(np.repeat(doc, layers))
+        code.append(np.repeat(value, layers) * len(levels) + place)
+    both = np.intersect1d(code[0], code[1])
+    weight = gain[both % len(levels)] * factor[(both // len(levels)) % FEATURES]
+    starts, sizes = [], []
+    for k in (0, 1):                                   # by layer, those that both sides have
+        at = np.searchsorted(both, code[k])
+        at[at == len(both)] = 0
+        kept = np.flatnonzero(both[at] == code[k]) if len(both) else np.zeros(0, np.int64)
+        order = kept[np.argsort(at[kept], kind="stable")]
+        text[k], code[k] = text[k][order], at[order]
+        sizes.append(np.bincount(code[k], minlength=len(both)))
+        starts.append(np.cumsum(sizes[k]) - sizes[k])
+    pairs = sizes[0] * sizes[1]
+    frequent = pairs * FREQUENT > out.size
+    rare = np.flatnonzero(~frequent)
+    upto = np.cumsum(pairs[rare])
+    for part in np.split(rare, np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS))) if len(rare) else ():
+        n = pairs[part]
+        own = np.repeat(part, n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i = text[0][starts[0][own] + place // sizes[1][own]]
+        j = text[1][starts[1][own] + place % sizes[1][own]]
+        out += np.bincount(i * len(y) + j, weight[own], out.size).reshape(out.shape)
+    dense = np.flatnonzero(frequent)
+    for part in (dense[k:k + COLUMNS] for k in range(0, len(dense), COLUMNS)):
+        sides = []
+        for k in (0, 1):
+            own = np.repeat(np.arange(len(part)), sizes[k][part])
+            place = np.arange(len(own)) - np.repeat(np.cumsum(sizes[k][part]) - sizes[k][part], sizes[k][part])
+            side = np.zeros(((len(x), len(y))[k], len(part)))
+            side[text[k][starts[k][part][own] + place], own] = 1.0
+            sides.append(side)
+        out += (sides[0] * weight[part]) @ sides[1].T
+    return out
+
+
+def _forest(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places (row, column) of links that join all classes that `linked` joins, none of them twice;
+    x and y are the classes of rows and columns. Every turn each class takes a link to another."""
+    label = np.arange(max(x.max(), y.max()) + 1)
+    out: list[tuple[int, int]] = []
+
+    def top(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "shingles", SLICE):
-                values = [np.frombuffer(v, np.uint32) for v in part.column("shingles").to_pylist()]
-                counts = [np.frombuffer(c, np.uint32) for c in part.column("counts").to_pylist()]
-                value = np.concatenate(values)
-                doc = np.repeat(np.arange(len(values)), [len(v) for v in values])
-                _, keys = samples(doc, value, weights(value, np.concatenate(counts), factor), len(values), spreads)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(bands(keys, n_bands, n_rows).tolist(), pa.list_(pa.int64()))],
-                    names=["node", "bands"])
-
-    sampled = (vector.join(left.select("node").distinct(), "node").select("node", "shingles", "counts")
-               .mapInArrow(run, "node binary, bands array<bigint>"))
-    if depth == 0:
-        nodes = left.groupBy("node").agg(F.max("degree").alias("degree"))
-        rows = nodes.join(sampled, "node").select(F.explode("bands").alias("bucket"), "node", "degree")
-    else:
-        rows = left.join(sampled, "node").select(F.xxhash64("bucket", F.col("bands")[0]).alias("bucket"), "node", "degree")
-    rows = materialize(rows, "dealt")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(shared.select("bucket"), "bucket", "left_semi")
+    while True:
+        now = np.array([top(k) for k in range(len(label))])
+        open_still = linked & (now[x][:, None] != now[y][None, :])
+        rows = np.flatnonzero(open_still.any(axis=1))
+        if not len(rows):
+            return out
+        for i, j in zip(rows.tolist(), open_still[rows].argmax(axis=1).tolist()):
+            a, b = top(x[i]), top(y[j])
+            if a != b:
+                label[max(a, b)] = min(a, b)
+                out.append((i, j))
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

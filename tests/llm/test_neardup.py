@@ -158,6 +158,61 @@ def test_pairs_within_a_large_group_that_is_not_alike(spark):
     assert sum(found[d] == want[d] for d in want) >= 0.97 * len(rows)
 
 
+def partners(seed, n):
+    """A group of texts that are not alike enough, each with one partner a little above the bound."""
+    rows = []
+    for k, text in enumerate(copies(seed, n, 400, 8)):
+        w = text.split(" ")
+        rows += [text, " ".join(w[:5 * k % 360] + [f"own{k}x{i}" for i in range(30)] + w[5 * k % 360 + 30:])]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [2048, 30])
+def test_a_bucket_of_any_size_loses_no_link(spark, monkeypatch, block):
+    one_bucket(monkeypatch)
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(neardup, "OUTSIDERS", 0, raising=False)     # no short cut for the few, if there is one
+    rows = partners(6, 90)
+    want = brute(rows)
+    assert len(set(want.values())) == 90
+    assert classes(spark, rows) == want
+
+
+def test_sums_of_minima_by_blocks(monkeypatch):
+    r = np.random.default_rng(5)
+    factor = r.uniform(1, 1.1, neardup.FEATURES)
+    texts = []
+    for _ in range(25):
+        value = np.unique(np.append(r.choice(300, 40), r.choice(2**31, 30))).astype(np.uint32)
+        texts.append((value, r.integers(1, 6, len(value)).astype(np.uint32)))
+    x, y = texts[:15], texts[5:]
+    for frequent, pairs, columns in ((100, 1 << 21, 1024), (1, 7, 16), (3, 50, 3)):
+        monkeypatch.setattr(neardup, "FREQUENT", frequent)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        monkeypatch.setattr(neardup, "COLUMNS", columns)
+        found = neardup._least_sums(x, y, factor)
+        for i, (v, c) in enumerate(x):
+            for j, (w, d) in enumerate(y):
+                mine, other = (dict(zip(a.tolist(), neardup.weights(a, b, factor))) for a, b in ((v, c), (w, d)))
+                assert found[i, j] == pytest.approx(sum(min(mine[k], other[k]) for k in mine.keys() & other.keys()))
+
+
+def test_links_of_a_block_join_what_all_links_join():
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        linked = r.random((12, 9)) < 0.1
+        x, y = r.integers(0, 15, 12), r.integers(0, 15, 9)
+        found = neardup._forest(linked, x, y)
+
+        def joined(links):
+            root = list(range(15))
+            for i, j in links:
+                root = [root[x[i]] if k == root[y[j]] else k for k in root]
+            return {tuple(a for a in range(15) if root[a] == k) for k in root}
+
+        assert joined(found) == joined(np.argwhere(linked).tolist()) and len(found) == 15 - len(joined(found))
+
+
 def test_samples_estimate_weighted_similarity():
     r = np.random.default_rng(2)
     value = np.sort(r.choice(2**31, 600, replace=False)).astype(np.uint32)
