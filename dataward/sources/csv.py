@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from dataward.constants import DELIMITERS
 from dataward.functions.coerce import col, infer_types, null_tokens, quoted
+from dataward.session import materialize
 
 CORRUPT = "__malformed"
 BOM = "﻿"
@@ -25,7 +26,8 @@ def _outside_quotes(line: Column) -> Column:
 
 
 def file_formats(spark: SparkSession, path: str) -> DataFrame:
-    """(file, delimiter, encoding, header, broken) from one pass over the lines.
+    """(file, delimiter, encoding, header, broken) from one pass over the lines, and another that
+    fetches the headers.
 
     The delimiter is the candidate whose count per line is most often the same. The text
     reader keeps raw bytes, so a file is UTF-8 when every line is valid UTF-8, otherwise
@@ -37,10 +39,11 @@ def file_formats(spark: SparkSession, path: str) -> DataFrame:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), "value",
-        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("place"))
-    per_line = lines.where(F.col("value") != "").select(
-        "file", F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("odd"),
-        F.when(F.col("place").isNotNull(), F.struct("place", "value")).alias("start"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("place")
+    ).where(F.col("value") != "")
+    # places, not lines, are aggregated: texts would have every line sorted
+    per_line = lines.select(
+        "file", F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("odd"), "place",
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("choice"),
                      (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))))
@@ -48,17 +51,22 @@ def file_formats(spark: SparkSession, path: str) -> DataFrame:
             for i, d in enumerate(DELIMITERS)])))
     counts = per_line.groupBy("file", "choice", "found").agg(
         F.count(F.lit(1)).alias("lines"), F.bool_and("valid").alias("valid"),
-        F.bool_or("odd").alias("odd"), F.min("start").alias("start"))
+        F.bool_or("odd").alias("odd"), F.min("place").alias("place"))
     per_choice = Window.partitionBy("file", "choice")
     shares = counts.withColumn("share", F.col("lines") / F.sum("lines").over(per_choice))
     # the modal share decides; more columns, then candidate order, break ties
     best = F.max_by(F.when(F.col("found") > 0, F.col("choice")),
                     F.when(F.col("found") > 0, F.struct("share", "found", -F.col("choice"))))
     names = F.array(*[F.lit(d) for d in DELIMITERS])
-    return shares.groupBy("file").agg(
+    formats = shares.groupBy("file").agg(
         F.get(names, F.coalesce(best, F.lit(0))).alias("delimiter"),
         F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
-        F.min("start")["value"].alias("header"), F.bool_or("odd").alias("broken"))
+        F.min("place").alias("place"), F.bool_or("odd").alias("broken"))
+    formats = materialize(formats, "formats")                  # one row per file
+    # the same scan deals the same places; only lines of a file's first block have one
+    first = (lines.where(F.col("place").isNotNull()).withColumnRenamed("value", "header")
+             .join(F.broadcast(formats.select("file", "place")), ["file", "place"]).select("file", "header"))
+    return formats.join(first, "file", "left").select("file", "delimiter", "encoding", "header", "broken")
 
 
 def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import csv as reader
 import io
 import random
+import re
 
 import pytest
 
@@ -107,3 +108,20 @@ def test_long_quoted_field(spark, tmp_path):
     path = write(tmp_path, "l.csv", ('id,text\n1,"' + text + '\nend"\n2,b\n').encode())
     found = {r.id: r.text for r in csv.read_csv(spark, path).collect()}
     assert found[2] == "b" and found[1] == text.replace('""', '"') + "\nend"
+
+
+def test_lines_are_counted_without_being_sorted(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("\n\nid;name\n1;x\n2;y\n")
+    (tmp_path / "b.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "c.csv").write_text("\n\n")
+    plans, write = [], csv.materialize
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(csv, "materialize", seen)
+    found = {r.file[-5:]: (r.delimiter, r.header) for r in csv.file_formats(spark, str(tmp_path)).collect()}
+    assert found == {"a.csv": (";", "id;name"), "b.csv": (",", "id,name")}
+    assert "HashAggregate(keys=[file" in plans[0] or "HashAggregate(key=[file" in plans[0]
+    assert not re.search(r"SortAggregate\(keys?=\[file#\d+, choice", plans[0])
