@@ -3,11 +3,14 @@
 First one global aggregate counts, bounds and moments, without a shuffle of rows; its
 result is one row per column. Distinct counts, quartiles and top values of all columns then
 come from one table of (column, value) frequencies: one more scan and one shuffle, combined
-map-side, so a hot value leaves each task as one row.
+map-side, so a hot value leaves each task as one row. The rows of a table of more than
+`TASK_ROWS` are dealt out before, so that no task combines more than about that many, however
+many of them a file's row group holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -31,6 +34,7 @@ from dataward.operators.quantile import GROUP_LIMIT, Extent, exact_quantiles
 from dataward.session import materialize
 
 COLUMNS_PER_SCAN = 200
+TASK_ROWS = 250_000       # rows whose values one task combines
 LONG_VALUE = 256          # longer strings are grouped by digest, never by their text
 TOP_TYPE = "array<struct<value:string,n:bigint>>"
 STATS_SCHEMA = (
@@ -65,7 +69,8 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
         total = rows[0].total_count if rows else 0
     extents = {r.column_name: Extent(r.total_count - r.null_count, r.min_value, r.max_value)
                for r in rows}
-    pieces = _distinct_pieces(table, longest, extents, approx, group_limit)
+    pieces = _distinct_pieces(table, longest, extents, approx, group_limit,
+                              rows[0].total_count if rows else 0)
     if pieces:
         merged = reduce(DataFrame.unionByName, pieces).groupBy("column_name").agg(
             *[F.max(c).alias(c) for c in ("unique_count", "p25", "p75", "tops")])
@@ -154,7 +159,7 @@ TEXTS = ("object", "boolean")
 
 
 def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str, Extent],
-                     approx: bool, group_limit: int) -> list[DataFrame]:
+                     approx: bool, group_limit: int, total: int) -> list[DataFrame]:
     """(column_name, unique_count, p25, p75, tops) from one table of value frequencies.
 
     Every part reads n, and filters columns by an expression of n, so that all of them stand on
@@ -165,7 +170,7 @@ def _distinct_pieces(df: DataFrame, longest: dict[str, int], extents: dict[str,
     names = [n for n, k in kinds.items() if k in PROFILED and (not approx or k in TEXTS)]
     if not names:
         return []
-    freq, pieces = _frequencies(df, names, longest), []
+    freq, pieces = _frequencies(df, names, longest, total), []
     numbers = {i: extents[n] for i, n in enumerate(names) if kinds[n] in ("int", "float") and extents[n].n}
     if not approx:
         if max((e.n for e in numbers.values()), default=0) > group_limit:
@@ -203,30 +208,37 @@ def _is_long(name: str, longest: dict[str, int]) -> bool:
     return (longest.get(name) or 0) > LONG_VALUE
 
 
-def _frequencies(df: DataFrame, names: list[str], longest: dict[str, int]) -> DataFrame:
-    """(column_id, whole, real, text, is_digest, n) per different value of the named columns,
+def _frequencies(df: DataFrame, names: list[str], longest: dict[str, int], total: int) -> DataFrame:
+    """Of ``total`` rows: (column_id, whole, real, text, is_digest, n) per different value of the named columns,
     nulls left out; the id is the position in ``names``. One of the three holds the value:
     whole numbers and points in time (as microseconds), other numbers, texts (also of
     booleans and decimals). Long texts are counted by their digest, so whole documents never
     reach the shuffle."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = []
+    cells, rows = [], []
     for i, name in enumerate(names):
         c, kind = quoted(name), profile_dtype(types[name])
+        value, v = f"cast({c} AS string)", f"c{i}"
         whole, real, text, digest = "bigint(NULL)", "double(NULL)", "string(NULL)", "false"
         if isinstance(types[name], TEMPORAL):
-            whole = f"unix_micros(cast({c} AS timestamp))"
+            value, whole = f"unix_micros(cast({c} AS timestamp))", v
         elif kind == "int":
-            whole = f"cast({c} AS bigint)"
+            value, whole = f"cast({c} AS bigint)", v
         elif kind == "float" and not isinstance(types[name], T.DecimalType):
-            real = f"cast({c} AS double)"
+            value, real = f"cast({c} AS double)", v
+        elif _is_long(name, longest):
+            value = (f"CASE WHEN length({c}) > {LONG_VALUE} THEN struct(sha2({c}, 256) AS text, true AS is_digest) "
+                     f"ELSE struct({c} AS text, false AS is_digest) END")
+            text, digest = f"{v}.text", f"{v}.is_digest"
         else:
-            text = f"cast({c} AS string)"
-            if _is_long(name, longest):
-                text, digest = (f"CASE WHEN length({c}) > {LONG_VALUE} THEN sha2({c}, 256) ELSE {c} END",
-                                f"length({c}) > {LONG_VALUE}")
+            text = v
+        cells.append(f"{value} AS {v}")
         rows.append(f"{i}, {whole}, {real}, {text}, {digest}")
-    return (df.selectExpr(f"stack({len(names)}, {', '.join(rows)}) AS (column_id, whole, real, text, is_digest)")
+    table = df.selectExpr(cells)
+    if total > TASK_ROWS:
+        tasks = max(math.ceil(total / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+        table = table.repartition(tasks, F.xxhash64(*table.columns))
+    return (table.selectExpr(f"stack({len(names)}, {', '.join(rows)}) AS (column_id, whole, real, text, is_digest)")
             # the join with extents would ask for a column_id in its own copy, and get a scan of its own
             .where("column_id IS NOT NULL AND (whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL)")
             .groupBy("column_id", "whole", "real", "text", "is_digest").agg(F.count(F.lit(1)).alias("n")))

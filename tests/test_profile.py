@@ -110,3 +110,14 @@ def test_one_shuffle_of_values_for_all_kinds(spark):
     plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     of_values = [line for line in plan.splitlines() if "Exchange hashpartitioning(column_id" in line and "whole" in line]
     assert len([line for line in of_values if "Reused" not in line]) == 1
+
+
+def test_rows_are_dealt_out_before_values_are_counted(spark, monkeypatch):
+    from dataward.operators import profile as module
+    df = spark.range(1000).selectExpr("id AS k", "concat('v', id % 7) AS v", "repeat(concat('w', id % 3), 200) AS w",
+                                      "if(id % 2 = 0, id / 4, NULL) AS x")
+    want = profile(df, "t", "2026-01-01").orderBy("ordinal").collect()
+    monkeypatch.setattr(module, "TASK_ROWS", 100, raising=False)
+    got = profile(df, "t", "2026-01-01")
+    assert got.orderBy("ordinal").collect() == want
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
