@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +25,23 @@ SLASHED_DATE = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
 # Other dates, each with an optional time of day (hour, minute, second, fraction, half of the
 # day). Only the last kind has two readings.
 CLOCK = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?)?\s*([AaPp][Mm])?)?\s*$"
-MONTH_NAME = ("((?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
-              "|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))")
+# the group holds the first three letters
+MONTH_NAME = ("((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))"
+              "(?i:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust"
+              "|(?<=sep)tember|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?")
 YEAR_FIRST = r"^\s*(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + CLOCK
 COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})" + CLOCK
 DAY_NAMED_MONTH = r"^\s*(\d{1,2})[-/ ]?" + MONTH_NAME + r"[-/ ,.]*(\d{4}|\d{2})" + CLOCK
 NAMED_MONTH_DAY = r"^\s*" + MONTH_NAME + r"[-/ .]*(\d{1,2})(?:,\s*|[-/ ]+)(\d{4}|\d{2})" + CLOCK
 NUMERIC_ORDER = r"^\s*(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})" + CLOCK
+# NUMERIC_ORDER with a first or second number that can be the month and another that can be the day
+_MONTH, _DAY = r"^\s*(0?[1-9]|1[0-2])([-/.])", r"^\s*(0?[1-9]|[12]\d|3[01])([-/.])"
+MONTH_THEN_DAY = _MONTH + r"(0?[1-9]|[12]\d|3[01])\2(\d{4}|\d{2})" + CLOCK
+DAY_THEN_MONTH = _DAY + r"(0?[1-9]|1[0-2])\2(\d{4}|\d{2})" + CLOCK
+# The time of day of a text that ends in CLOCK: hour, minute, second, fraction.
+END_CLOCK = r"^[^:]*[ T](\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?)?\s*(?:[AaPp][Mm])?\s*$"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-CENTURY_FROM = "69"         # two-digit years from here on belong to the nineteen hundreds
+OLD_YEAR, NEW_YEAR = r"^(69|[7-9]\d)-", r"^(\d\d)-"    # two-digit years from 69 on belong to the nineteen hundreds
 DAY_FIRST, MONTH_FIRST = "d/M/yyyy", "M/d/yyyy"
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -83,25 +92,44 @@ def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _assembled(value: Column, pattern: str, year: int, month: int, day: int, clock: int) -> Column:
-    """The moment of a text that matches the pattern, from its groups; ``clock`` is the first
-    group of the time of day."""
-    def group(i: int) -> Column:
-        return F.regexp_extract(value, pattern, i)
-
-    full_year = F.when(F.length(group(year)) == 4, group(year)).otherwise(F.concat(
-        F.when(group(year) >= CENTURY_FROM, F.lit("19")).otherwise(F.lit("20")), group(year)))
-    number = group(month)
-    if MONTH_NAME in pattern:
-        place = F.call_function("instr", F.lit(MONTHS), F.lower(F.substring(number, 1, 3)))
-        number = ((place + 2) / 3).cast("int").cast("string")
-    hour, half = group(clock), F.lower(group(clock + 4))
-    of_day = F.when(half == "", hour).otherwise(
-        (F.pmod(hour.try_cast("int"), F.lit(12)) + F.when(half == "pm", 12).otherwise(0)).cast("string"))
-    time = F.when(hour == "", F.lit("")).otherwise(F.concat(
-        F.lit(" "), F.lpad(of_day, 2, "0"), F.lit(":"), group(clock + 1), F.lit(":"),
-        F.when(group(clock + 2) == "", F.lit("00")).otherwise(group(clock + 2)), group(clock + 3)))
-    return F.concat(full_year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(group(day), 2, "0"), time).try_cast("timestamp")
+def _time_of_day(value: Column) -> Column:
+    """The time of day at the end of a text that has been found to end in CLOCK, as text after
+    a blank; empty without one."""
+    hour = F.regexp_extract(value, END_CLOCK, 1)
+    of_day = F.when(value.rlike(r"[Mm]\s*$"), (F.pmod(hour.try_cast("int"), F.lit(12)) + F.when(
+        value.rlike(r"[Pp][Mm]\s*$"), 12).otherwise(0)).cast("string")).otherwise(hour)
+    # the second is missing or two digits
+    rest = F.replace(F.regexp_replace(value, END_CLOCK, ":$2:<$3>$4"), F.lit("<>"), F.lit("00"))
+    return F.when(F.call_function("instr", value, F.lit(":")) == 0, F.lit("")).otherwise(
+        F.concat(F.lit(" "), of_day, F.translate(rest, "<>", "")))
+
+
+def _apart(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` as a lambda function. The value is computed once; and long expressions of many
+    columns stay out of the stage's one generated method, which the JVM would not compile."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _moment(value: Column, layout: str | None) -> Column:
+    """A text as ``safe_timestamp`` reads it: it is rewritten to ISO 8601 by one replacement for
+    its date and one for its time of day, and cast once."""
+    dashed = F.regexp_replace(F.trim(value), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
+    full = F.regexp_replace(dashed, r"^(\S{10}[ T]\d{2}:\d{2})(?!:)", "$1:00")
+    place = F.call_function("instr", F.lit(MONTHS), F.lower(F.regexp_extract(value, MONTH_NAME, 1)))
+    month = ((place + 2) / 3).cast("int").cast("string")
+    def date(pattern: str, parts: str) -> tuple[Column, Column]:
+        return value.rlike(pattern), F.regexp_replace(value, pattern, parts)
+
+    layouts = [date(YEAR_FIRST, "$1-$3-$4"), date(COMPACT, "$1-$2-$3")]
+    if layout:
+        layouts.insert(0, date(NUMERIC_ORDER, "$4-$3-$1" if layout == DAY_FIRST else "$4-$1-$3"))
+    for pattern, parts in ((DAY_NAMED_MONTH, "$3-m-$1"), (NAMED_MONTH_DAY, "$3-m-$2")):
+        found, named = date(pattern, parts)
+        layouts.append((found, F.replace(named, F.lit("m"), month)))
+    day = reduce(lambda done, x: done.when(*x), layouts, F)
+    day = F.regexp_replace(F.regexp_replace(day, OLD_YEAR, "19$1-"), NEW_YEAR, "20$1-")
+    return (F.when(value.rlike(TIME_TEXT), value).when(value.rlike(LOOSE_TIME_TEXT), full)
+            .otherwise(F.concat(day, _time_of_day(value)))).try_cast("timestamp")
 
 
 def safe_timestamp(value: Column, data_type: T.DataType, layout: str | None = None) -> Column:
@@ -111,17 +139,7 @@ def safe_timestamp(value: Column, data_type: T.DataType, layout: str | None = No
     if isinstance(data_type, TEMPORAL):
         return value.cast("timestamp")
     if isinstance(data_type, T.StringType):
-        dashed = F.regexp_replace(F.trim(value), r"^(\d{4})/(\d{2})/(\d{2})", "$1-$2-$3")
-        full = F.regexp_replace(dashed, r"^(\S{10}[ T]\d{2}:\d{2})(?!:)", "$1:00")
-        moment = (F.when(value.rlike(TIME_TEXT), value.try_cast("timestamp"))
-                  .when(value.rlike(LOOSE_TIME_TEXT), full.try_cast("timestamp")))
-        if layout:
-            day, month = (1, 3) if layout == DAY_FIRST else (3, 1)
-            moment = moment.when(value.rlike(NUMERIC_ORDER), _assembled(value, NUMERIC_ORDER, 4, month, day, 5))
-        return (moment.when(value.rlike(YEAR_FIRST), _assembled(value, YEAR_FIRST, 1, 3, 4, 5))
-                .when(value.rlike(COMPACT), _assembled(value, COMPACT, 1, 2, 3, 4))
-                .when(value.rlike(DAY_NAMED_MONTH), _assembled(value, DAY_NAMED_MONTH, 3, 2, 1, 4))
-                .when(value.rlike(NAMED_MONTH_DAY), _assembled(value, NAMED_MONTH_DAY, 3, 1, 2, 4)))
+        return _apart(value, lambda text: _moment(text, layout))
     return F.lit(None).cast("timestamp")
 
 
@@ -174,9 +192,8 @@ def date_readings(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
 
     def orders(name: str) -> Column:
         """Bit 1: the day can be first, bit 2: the month can; null for other texts."""
-        first, second = (F.regexp_extract(col(name), NUMERIC_ORDER, i).cast("int") for i in (1, 3))
-        day, month = (F.when(a.between(1, 12) & b.between(1, 31), bit).otherwise(0)
-                      for a, b, bit in ((second, first, 1), (first, second, 2)))
+        day, month = (F.when(col(name).rlike(p), bit).otherwise(0)
+                      for p, bit in ((DAY_THEN_MONTH, 1), (MONTH_THEN_DAY, 2)))
         return F.when(~col(name).rlike(TIME_TEXT) & col(name).rlike(NUMERIC_ORDER), day + month)
 
     bits = df.select(*[F.struct(orders(n).alias("bits"),

@@ -55,13 +55,18 @@ def profile(df: DataFrame, dataset: str = "dataset", as_of: str | None = None,
     ``sample_rows`` profiles a Bernoulli sample of about that many rows (off by default).
     ``approx`` replaces exact distinct counts and quartiles by mergeable sketches.
     """
-    table = parse_dates(nan_to_null(df), date_layouts(df) if layouts is None else layouts)
+    layouts = date_layouts(df) if layouts is None else layouts
+    table = parse_dates(nan_to_null(df), layouts)
     total, sampled = None, False
     if sample_rows is not None:
         total = table.count()
         sampled = total > sample_rows
         if sampled:
             table = table.sample(fraction=sample_rows / total, seed=42)
+    if table.dtypes != df.dtypes and all(profile_dtype(f.dataType) in PROFILED for f in table.schema.fields):
+        # dates are read from text once, not in both scans, and by all tasks, not one per row group
+        dealt = df.repartition(F.xxhash64(*[col(c) for c in df.columns]))
+        table = materialize(parse_dates(nan_to_null(dealt), layouts), "parsed")
     rows = column_stats(table, as_of, approx).collect()          # one row per column
     stats = df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
     longest = {r.column_name: r.longest for r in rows if r.longest is not None}
@@ -209,8 +214,8 @@ def _is_long(name: str, longest: dict[str, int]) -> bool:
 
 
 def _frequencies(df: DataFrame, names: list[str], longest: dict[str, int], total: int) -> DataFrame:
-    """Of ``total`` rows: (column_id, whole, real, text, is_digest, n) per different value of the named columns,
-    nulls left out; the id is the position in ``names``. One of the three holds the value:
+    """(column_id, whole, real, text, is_digest, n) per different value of the named columns of
+    ``total`` rows, nulls left out; the id is the position in ``names``. One of the three holds the value:
     whole numbers and points in time (as microseconds), other numbers, texts (also of
     booleans and decimals). Long texts are counted by their digest, so whole documents never
     reach the shuffle."""

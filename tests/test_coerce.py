@@ -107,3 +107,15 @@ def test_impossible_days_are_null(spark):
     df = spark.createDataFrame([(v,) for v in values], "a_date string")
     got = [r.a_date for r in parse_dates(df, {"a_date": "d/M/yyyy"}).collect()]
     assert [g is not None for g in got] == [False] * 8 + [True, True]
+
+
+def test_a_date_is_read_by_few_patterns(spark):
+    values = ["5 March 2024", "mar 5, 24 1:30 pm", "20240305 12:05:09.5 am", "05/03/69", "5.3.68 25:00 PM", "30 feb 2024",
+              "5 marc 2024", "0000-01-01"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    read = df.select(safe_timestamp(F.col("v"), T.StringType(), "d/M/yyyy").cast("string").alias("t"))
+    assert [r.t for r in read.collect()] == [
+        "2024-03-05 00:00:00", "2024-03-05 13:30:00", "2024-03-05 00:05:09.5", "1969-03-05 00:00:00",
+        "2068-03-05 13:00:00", None, None, "0000-01-01 00:00:00"]
+    plan = read._jdf.queryExecution().analyzed().toString()
+    assert sum(plan.count(f) for f in ("RLIKE", "regexp_extract(", "regexp_replace(")) <= 30
