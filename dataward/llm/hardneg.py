@@ -11,6 +11,11 @@
    score so far. Negatives: the windows that the positives' scores give, cut likewise. The
    best of each pair of blocks are merged by rank.
 
+Anchors meet the rows in groups of blocks, each with a copy of all anchors. Blocks are joined
+by sorting: Spark's guess of a side's size leaves out the copies, and would broadcast them.
+Rows are dealt to at most `RANGES` ranges, since Spark gathers some 300 keys of each on the
+driver; a range may hold many blocks.
+
 References only decide how much is left out, never the result; lengths of vectors beyond the
 `LENGTHS` most common ones have none, and all their rows are scored.
 
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataward.session import materialize
@@ -40,6 +45,9 @@ LENGTHS = 64                # lengths of vectors that have references
 BLOCK = 4096                # rows in a block
 ANCHORS = 512               # anchors in a block
 TILE = 32                   # rows of a block that are left out together
+RANGES = 512                # ranges that rows are dealt to
+GROUPS = 128                # groups of blocks, each with a copy of the anchors; more if one held over HELD blocks
+HELD = 64                   # blocks of a group, on average; a task holds a group's blocks
 CARRIED = 64                # blocks of anchors whose lowest useful scores a task remembers
 SLACK = 2e-6                # radians by which angles are widened; arccos is off by 1e-7 at most
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -297,7 +305,7 @@ def _searched(anchors: DataFrame, blocks: DataFrame, groups: int, same: bool, k:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)],
                                                  names=[c.split()[0] for c in HITS.split(", ")])
 
-    hits = asked.join(there, ["group", "dim"]).mapInArrow(run, HITS)
+    hits = asked.hint("merge").join(there, ["group", "dim"]).mapInArrow(run, HITS)
     order = Window.partitionBy("a_block", "a_place", "slot").orderBy(F.desc("score"), "vec_id", "block", "place")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -344,7 +352,19 @@ def _with_windows(anchors: DataFrame, positives: DataFrame, k: int) -> DataFrame
                      *(pa.array([x.ravel().tolist()], pa.list_(pa.int64())) for x in (low, high, ids))],
                     names=[c.split()[0] for c in schema.split(", ")])
 
-    return anchors.join(listed, "block").mapInArrow(run, schema)
+    return anchors.hint("merge").join(listed, "block").mapInArrow(run, schema)
+
+
+def _ranges(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The rows sorted within ranges of about `most` rows, or RANGES larger ones."""
+    parts = max(1, min(RANGES, -(-df.count() // most)))
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def _groups(spark: SparkSession, blocks: int) -> int:
+    """Groups that blocks are dealt to: no more copies of the anchors than tasks can use."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(blocks, tasks, GROUPS), -(-blocks // HELD))
 
 
 def hard_negatives(vectors: DataFrame, k: int = 5, every: int = 100, scale: int = 256) -> DataFrame:
@@ -354,14 +374,11 @@ def hard_negatives(vectors: DataFrame, k: int = 5, every: int = 100, scale: int
     spark = vectors.sparkSession
     rows = labelled(vectors, scale)
     stored = materialize(_stored(rows, references(rows)), "angles").withColumn("salt", F.monotonically_increasing_id())
-    parts = max(1, -(-stored.count() // BLOCK))
-    order = ["dim", "ref", "label", "angle", "vec_id", "salt"]
-    blocks = materialize(_blocks(stored.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("salt"), BLOCK),
-                         "vector_blocks")
-    groups = max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sorted_rows = _ranges(stored, ["dim", "ref", "label", "angle", "vec_id", "salt"], BLOCK).drop("salt")
+    blocks = materialize(_blocks(sorted_rows, BLOCK), "vector_blocks")
+    groups = _groups(spark, blocks.count())
     picked = materialize(_anchors(blocks, every), "anchor_rows")
-    order = ["dim", "ref", "label", "own_block", "own_place"]
-    asking = picked.repartitionByRange(max(1, -(-picked.count() // ANCHORS)), *order).sortWithinPartitions(*order)
+    asking = _ranges(picked, ["dim", "ref", "label", "own_block", "own_place"], ANCHORS)
     anchors = materialize(_blocks(asking, ANCHORS), "anchor_blocks")
     open_windows = anchors.select(
         "*", F.lit(1).alias("slots"), *[F.array_repeat(F.lit(int(v)).cast("bigint"), F.size("ids")).alias(c)

@@ -62,6 +62,36 @@ def test_small_blocks(spark, monkeypatch):
     assert mined(spark, rows) == brute(rows)
 
 
+def test_driver_holds_no_copies_of_anchors(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    write = hardneg.materialize
+    monkeypatch.setattr(hardneg, "materialize", lambda df, label: write(seen(df), label))
+    df = spark.createDataFrame([(*r, "d", 1, "r", 2) for r in table(4, 300)], SCHEMA)
+    seen(hardneg.hard_negatives(df))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("ANCHORS", 2), ("RANGES", 3), ("GROUPS", 2), ("HELD", 8)):
+        monkeypatch.setattr(hardneg, name, value)
+    dealt, frame = [], type(spark.range(0))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, parts, *by: dealt.append(parts) or deal(df, parts, *by))
+    rows = table(5, 700, 4)
+    assert mined(spark, rows) == brute(rows)
+    assert dealt and max(dealt) <= 3
+
+
+def test_groups(spark):
+    found = [hardneg._groups(spark, n) for n in (0, 1, 5, 100, 128 * hardneg.HELD, 1000 * hardneg.HELD)]
+    assert found == [1, 1, 5, 8, 128, 1000]                # 8 shuffle partitions
+
+
 def test_few_and_none(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(100, [1.0], 1)]) == []
